@@ -2,12 +2,16 @@
 
 import corpus_pipeline
 
+from .language import op9_language
+from .licenses import op8_licenses
 from .packing import op3_packing
 from .sharding import op7_sharding
 
 QUERIES = {
     "op3_packing": op3_packing,
     "op7_sharding": op7_sharding,
+    "op8_licenses": op8_licenses,
+    "op9_language": op9_language,
 }
 
 ORACLE_SQL = {}
