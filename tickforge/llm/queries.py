@@ -6,9 +6,11 @@ from .language import op9_language
 from .licenses import op8_licenses
 from .packing import op3_packing
 from .sharding import op7_sharding
+from .simhash import op4_simhash
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op4_simhash": op4_simhash,
     "op7_sharding": op7_sharding,
     "op8_licenses": op8_licenses,
     "op9_language": op9_language,
