@@ -2,8 +2,10 @@
 
 import corpus_pipeline
 
+from .decontaminate import OP10_SQL, op10_decontamination
 from .language import op9_language
 from .licenses import op8_licenses
+from .neighbours import OP6_SQL, op6_neighbours
 from .packing import op3_packing
 from .sharding import op7_sharding
 from .simhash import op4_simhash
@@ -11,9 +13,14 @@ from .simhash import op4_simhash
 QUERIES = {
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
+    "op6_neighbours": op6_neighbours,
     "op7_sharding": op7_sharding,
     "op8_licenses": op8_licenses,
     "op9_language": op9_language,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL = {}
+ORACLE_SQL = {
+    "op6_neighbours": OP6_SQL,
+    "op10_decontamination": OP10_SQL,
+}
