@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that are worked on at once inside a task.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,3 +121,30 @@ def inside(lengths: np.ndarray, k: int, total: int) -> np.ndarray:
     n = max(0, total - k + 1)
     text = np.repeat(np.arange(len(lengths)), lengths)
     return text[:n] == text[k - 1 : k - 1 + n]
+
+
+def joined_words(words: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All words joined by one space, and the byte places where each begins and ends."""
+    if not len(words):
+        return b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
+    length = pc.binary_length(words).to_numpy().astype(np.int64) + 1
+    end = np.cumsum(length) - 1
+    one = pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words)
+    return pc.binary_join(one, pa.scalar(" ", words.type))[0].as_buffer().to_pybytes(), end - length + 1, end
+
+
+def numbered(keys: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The rows with their place, from 0, in the order of `by`; ties in any order. Kept in the shared folder.
+
+    Range partitions are counted, and each starts at the sum of those before it: one
+    row a partition passes through one task, the rows themselves never do.
+    """
+    from pyspark.sql import Window
+
+    ranged = saved(keys.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (
+        ranged.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    )
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*by)).cast("long") - 1
+    return saved(ranged.withColumn("_nth", nth).join(F.broadcast(parts), "_part").withColumn(name, F.col("_nth") + F.col("_before")).drop("_part", "_nth", "_before"))

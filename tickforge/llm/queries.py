@@ -9,10 +9,12 @@ from .neighbours import OP6_SQL, op6_neighbours
 from .packing import op3_packing
 from .sharding import op7_sharding
 from .simhash import op4_simhash
+from .substring import op5_substring
 
 QUERIES = {
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
+    "op5_substring": op5_substring,
     "op6_neighbours": op6_neighbours,
     "op7_sharding": op7_sharding,
     "op8_licenses": op8_licenses,
