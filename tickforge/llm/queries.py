@@ -7,11 +7,13 @@ from .language import op9_language
 from .licenses import op8_licenses
 from .neighbours import OP6_SQL, op6_neighbours
 from .packing import op3_packing
+from .pitman_yor import op1_pitman_yor
 from .sharding import op7_sharding
 from .simhash import op4_simhash
 from .substring import op5_substring
 
 QUERIES = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op5_substring": op5_substring,
