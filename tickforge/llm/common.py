@@ -47,14 +47,17 @@ def crc_of_id(column: str = "doc_id"):
 
 
 def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES):
-    """Parts of a batch whose texts hold about `limit` bytes at most, a single long text excepted."""
+    """Parts of a batch whose texts hold about `limit` bytes at most, a single long text excepted.
+
+    Parts are copies: some Arrow kernels misread slices of a batch.
+    """
     if not batch.num_rows:
         return
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size) // limit
     starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     for start, end in zip(starts, np.r_[starts[1:], batch.num_rows]):
-        yield batch.slice(int(start), int(end - start))
+        yield batch.take(pa.array(np.arange(start, end))) if len(starts) > 1 else batch
 
 
 def split_words(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:
