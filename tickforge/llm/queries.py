@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 
+from .chat import op2_chat
 from .decontaminate import OP10_SQL, op10_decontamination
 from .language import op9_language
 from .licenses import op8_licenses
@@ -14,6 +15,7 @@ from .substring import op5_substring
 
 QUERIES = {
     "op1_pitman_yor": op1_pitman_yor,
+    "op2_chat": op2_chat,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op5_substring": op5_substring,
@@ -22,6 +24,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

@@ -86,14 +86,28 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _spread(f: np.ndarray, most: int, linked: list) -> None:
-    """Joins what is linked within `f` (indices given by the second entry of each call) by a forest, breadth first."""
-    left = np.arange(len(f))
+    """Adds pairs of indices that join all that is linked within `f`.
+
+    Breadth first, which takes a dense group in few steps; once several fingerprints
+    had no link, the rest (if no more than LARGE) is compared as a whole.
+    """
+    left, misses = np.arange(len(f)), 0
     while len(left):
+        if misses >= 8 and len(left) <= LARGE:
+            rest = f[left]
+            near = np.bitwise_count(rest[:, None, 0] ^ rest[None, :, 0])
+            if f.shape[1] > 1 and rest[:, 1].any():
+                near = near + np.bitwise_count(rest[:, None, 1] ^ rest[None, :, 1])
+            a, b = np.nonzero(near <= most)
+            linked.append((left[a[a < b]], left[b[a < b]]))
+            return
+        misses += 1
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
             near = distance(f[left], f[x]) <= most
             if near.any():
+                misses = 0
                 hit = left[near]
                 linked.append((np.full(len(hit), x), hit))
                 queue.extend(hit.tolist())

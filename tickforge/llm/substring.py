@@ -45,10 +45,11 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 10):
+def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 10, keep: tuple[str, ...] = ()):
     """Documents by key, and the spans of each that repeat windows of a document with a smaller id.
 
-    Returns (texts, spans). texts: u, id_key, doc_id, text, dealt by u. spans: u, id_key and
+    Returns (texts, spans). texts: u, id_key, doc_id, text and the columns `keep`, dealt by
+    u; each use of them takes all columns, so that Spark deals them once. spans: u, id_key and
     spans, an array of (start, words, digest): `words` words from `start` are covered by
     windows that also start in a document with a smaller id, and digest is the hash of
     the passage at the place in that document.
@@ -65,7 +66,11 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 10):
     """
     id_key = F.coalesce(F.col("doc_id"), F.lit(LAST))
     keyed = docs.select(
-        F.xxhash64(id_key, F.coalesce("text", F.lit(""))).alias("u"), id_key.alias("id_key"), "doc_id", F.coalesce("text", F.lit("")).alias("text")
+        F.xxhash64(id_key, F.coalesce("text", F.lit(""))).alias("u"),
+        id_key.alias("id_key"),
+        "doc_id",
+        F.coalesce("text", F.lit("")).alias("text"),
+        *[F.col(c).alias(f"_{c}") for c in keep],
     )
 
     def mark(batches):
@@ -108,7 +113,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 10):
                 yield pa.RecordBatch.from_arrays([_signed(rolling_hash(each, window)[at]), pa.array(coordinate)], names=["h", "at"])
 
     candidates = places.join(order, "u").select("u", "id_key", "ord", "places")
-    edge = texts.join(candidates.hint("shuffle_hash"), ["u", "id_key"]).select("ord", "places", "text").mapInArrow(edges, "h long, at long").repartition("h")
+    edge = texts.join(candidates.hint("shuffle_hash"), ["u", "id_key"]).select("ord", "places", *texts.columns).mapInArrow(edges, "h long, at long").repartition("h")
     source = edge.groupBy("h").agg(F.min("at").alias("source"), F.max("at").alias("last"))
     source = source.where(F.shiftright("source", PLACE) != F.shiftright("last", PLACE)).select("h", "source")
     repeats = edge.join(source.hint("shuffle_hash"), "h").where(F.shiftright("source", PLACE) != F.shiftright("at", PLACE)).select("at", "source")
@@ -149,7 +154,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 10):
                 kinds = [pa.int64()] * 4 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
-    asked_texts = texts.join(asked.hint("shuffle_hash"), ["u", "id_key"]).select("text", "u", "id_key", "spans")
+    asked_texts = texts.join(asked.hint("shuffle_hash"), ["u", "id_key"]).select("spans", *texts.columns)
     digests = asked_texts.mapInArrow(read, "source_u long, source_id long, source_start long, words long, digest binary").distinct()
     spans = (
         paths.join(digests, ["source_u", "source_id", "source_start", "words"])
@@ -163,9 +168,11 @@ def digest(joined: bytes, start: np.ndarray, end: np.ndarray, at: int, words: in
     return xxhash.xxh3_128_digest(joined[start[at] : end[at + words - 1]])
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 10) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of each document: kept are its words, joined by one space, without repeats.
 
+    The columns of `docs` that `keep` names follow.
+
     Words are runs of anything but ASCII white space, unchanged. A word is removed if
     one of the windows of `window` words that cover it also starts in a document with a
     smaller doc_id, in the input as it is. The first occurrence stays, and what is
@@ -176,31 +183,33 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 10) -> DataF
     other; equal rows are treated alike. A document may hold up to 2^24 words. Other
     columns are not read. No rows give no rows.
     """
-    texts, spans = repeated_spans(docs, window, anchor)
+    texts, spans = repeated_spans(docs, window, anchor, keep)
 
     def strip(batches):
         for batch in batches:
             for part in chunks(batch):
                 words, count = split_words(part.column("text"), lower=False)
                 first = np.cumsum(count) - count
-                keep = np.ones(len(words), bool)
+                stays = np.ones(len(words), bool)
                 joined, start, end = joined_words(words)
                 for i, own in enumerate(part.column("spans")):
                     for s in own.as_py() or ():
                         a = int(first[i]) + s["start"]
                         if a + s["words"] <= first[i] + count[i] and digest(joined, start, end, a, s["words"]) == s["digest"]:
-                            keep[a : a + s["words"]] = False
-                upto = np.r_[0, np.cumsum(keep)]
+                            stays[a : a + s["words"]] = False
+                upto = np.r_[0, np.cumsum(stays)]
                 offsets = np.r_[upto[first], upto[-1]]
-                lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), words.filter(pa.array(keep)))
+                lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), words.filter(pa.array(stays)))
                 kept = pc.binary_join(lists, pa.scalar(" ", words.type)).cast(pa.string())
                 left = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(count.astype(np.int64)), pa.array((count - left).astype(np.int64)), kept], names=["doc_id", "n_words", "n_removed", "kept"]
+                    [part.column("doc_id"), pa.array(count.astype(np.int64)), pa.array((count - left).astype(np.int64)), kept, *(part.column(f"_{c}") for c in keep)],
+                    names=["doc_id", "n_words", "n_removed", "kept", *keep],
                 )
 
-    joined = texts.join(spans.hint("shuffle_hash"), ["u", "id_key"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(strip, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept string")
+    joined = texts.join(spans.hint("shuffle_hash"), ["u", "id_key"], "left").select("spans", *texts.columns)
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return joined.mapInArrow(strip, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept string{kinds}")
 
 
 def op5_substring(spark, sf_dir: str) -> DataFrame:
