@@ -1,9 +1,285 @@
-"""The registered queries of the market engine, with the SQL that DuckDB answers them by."""
+"""The registered queries of the market engine, with the SQL that DuckDB answers them by.
 
+Candles are the hourly ones of `events`, one symbol for each event type, unless a query
+says otherwise. Doubles are rounded to six places on both sides.
+"""
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from .config import FactorConfig
+from .functions import guards as G
+from .functions import windows as W
+from .operators import factors, indicators, rules, signals, tables
+from .oracles import FACTORS, composed
+from .sources import candles as S
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+CONFIG = FactorConfig()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.with_places(S.hourly_candles(table(spark, sf_dir, "events")))
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def register(name: str, build: Callable[[DataFrame], DataFrame], columns: str, sql: str | None, digits: int = 6, source: Query = hourly) -> None:
+    """A query over candles: the columns of build(source), and its SQL, whose doubles carry a trailing ~."""
+    names = [c.rstrip("~") for c in columns.split()]
+    QUERIES[name] = lambda spark, sf_dir: rounded(build(source(spark, sf_dir)).select(*names), digits)
+    if sql is not None:
+        chosen = ", ".join(f"round({c[:-1]}, {digits}) AS {c[:-1]}" if c.endswith("~") else c for c in columns.split())
+        SQL[name] = composed(f"SELECT {chosen} FROM ({sql})")
+
+
+same = lambda df: df
+OHLCV = "symbol time open~ high~ low~ close~ volume~"
+
+# Candles
+register("candles_hourly", same, OHLCV, "SELECT * FROM hourly", source=lambda s, d: S.hourly_candles(table(s, d, "events")))
+register("candles_daily", same, OHLCV, "SELECT * FROM daily", 4, lambda s, d: S.daily_candles(table(s, d, "orders")))
+register("candles_tail", lambda c: S.tail(c, 180), OHLCV, "SELECT * FROM hourly QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) <= 180")
+
+# Rolling functions
+_CLOSE = F.col("close")
+_W = "WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS 9 PRECEDING), b AS (PARTITION BY symbol ORDER BY i)"
+
+
+def _rolling(name: str, column, sql: str) -> None:
+    register(name, lambda c: c.withColumn("v", column), "symbol time v~", f"SELECT symbol, time, {sql} AS v FROM c {_W}")
+
+
+_rolling("rolling_mean", W.rolling_mean(_CLOSE, 10), "CASE WHEN i >= 9 THEN avg(close) OVER w END")
+_rolling("rolling_std", W.rolling_std(_CLOSE, 10), "CASE WHEN i >= 9 THEN stddev_pop(close) OVER w END")
+_rolling("rolling_max", W.rolling_max(_CLOSE, 10), "CASE WHEN i >= 9 THEN max(close) OVER w END")
+_rolling("rolling_min", W.rolling_min(_CLOSE, 10), "CASE WHEN i >= 9 THEN min(close) OVER w END")
+_rolling("rolling_mean_of_nulls", W.rolling_mean_of_nulls(F.when(_CLOSE > 50, _CLOSE), 10), "CASE WHEN i >= 9 THEN avg(CASE WHEN close > 50 THEN close ELSE 0 END) OVER w END")
+_rolling("delta", W.delta(_CLOSE, 5), "close - lag(close, 5) OVER b")
+_rolling("delay", W.delay(_CLOSE, 5), "lag(close, 5) OVER b")
+_rolling("forward_return", W.forward_return(_CLOSE, 5), "CASE WHEN close > 1e-12 THEN (lead(close, 5) OVER b - close) / close END")
+_rolling("true_range", W.true_range(F.col("high"), F.col("low"), _CLOSE), "CASE WHEN i >= 1 THEN greatest(abs(high - low), abs(high - lag(close) OVER b), abs(low - lag(close) OVER b)) END")
+_rolling("volume_mean", W.volume_mean(), "CASE WHEN i >= 4 THEN avg(volume) OVER (PARTITION BY symbol ORDER BY i ROWS 4 PRECEDING) ELSE 0 END")
+_rolling("volume_upper_quartile", W.volume_upper_quartile(), "CASE WHEN i >= 19 THEN list_sort(list(volume) OVER (PARTITION BY symbol ORDER BY i ROWS 19 PRECEDING))[15] ELSE 0 END")
+_rolling("ts_rank", W.ts_rank(_CLOSE, 10), "CASE WHEN i >= 9 THEN len(list_filter(list(close) OVER w, lambda v: v <= close)) / 10::DOUBLE END")
+_rolling("log_of_volume", W.log(F.col("volume") - 1), "CASE WHEN volume > 1 THEN ln(volume - 1) END")
+_rolling("cross_rank", W.rank(_CLOSE), "percent_rank() OVER (PARTITION BY time ORDER BY close)")
+_rolling("cross_scale", W.scale(_CLOSE), "CASE WHEN sum(abs(close)) OVER (PARTITION BY time) > 1e-12 THEN close / sum(abs(close)) OVER (PARTITION BY time) END")
+register(
+    "ts_corr",
+    lambda c: c.withColumn("v", W.ts_corr(_CLOSE, F.col("volume"), 10)),
+    "symbol time v~",
+    """SELECT symbol, time, CASE WHEN i >= 9 THEN CASE WHEN flat OR sqrt(greatest(xx - x * x / 10, 0) * greatest(yy - y * y / 10, 0)) < 1e-15 THEN 0
+         ELSE least(greatest((xy - x * y / 10) / sqrt(greatest(xx - x * x / 10, 0) * greatest(yy - y * y / 10, 0)), -1), 1) END END AS v
+       FROM (SELECT symbol, time, i, sum(u) OVER w AS x, sum(v) OVER w AS y, sum(u * u) OVER w AS xx, sum(v * v) OVER w AS yy, sum(u * v) OVER w AS xy,
+           max(u) OVER w <= min(u) OVER w OR max(v) OVER w <= min(v) OVER w AS flat
+         FROM (SELECT *, close - avg(close) OVER (PARTITION BY symbol) AS u, volume - avg(volume) OVER (PARTITION BY symbol) AS v FROM c) WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS 9 PRECEDING))""",
+)
+register(
+    "guarded_arithmetic",
+    lambda c: c.withColumns(
+        {
+            "quotient": G.divide(_CLOSE, F.col("volume") - 1),
+            "difference": G.subtract(F.col("high"), F.when(F.col("volume") > 1, F.col("low"))),
+            "clamped": G.clamp(_CLOSE, F.lit(20.0), F.lit(80.0)),
+            "size": F.abs(F.col("open") - _CLOSE),
+            "sign": F.signum(F.col("open") - _CLOSE),
+            "rose": F.when(_CLOSE >= F.col("open"), "up").otherwise("down"),
+        }
+    ),
+    "symbol time quotient~ difference~ clamped~ size~ sign~ rose",
+    """SELECT symbol, time, CASE WHEN abs(volume - 1) > 1e-12 THEN close / (volume - 1) END AS quotient, high - CASE WHEN volume > 1 THEN low END AS difference,
+         least(greatest(close, 20), 80) AS clamped, abs(open - close) AS size, sign(open - close)::DOUBLE AS sign, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS rose FROM c""",
+)
+
+# Indicators
+register("bollinger", indicators.bollinger, "symbol time bb_upper~ bb_middle~ bb_lower~", "SELECT * FROM bb")
+register("keltner", indicators.keltner, "symbol time kc_upper~ kc_middle~ kc_lower~", "SELECT * FROM kc")
+register("macd", indicators.macd, "symbol time dif~ dea~ bar~", "SELECT * FROM md")
+register("kdj", indicators.kdj, "symbol time k~ d~ j~", "SELECT * FROM kdj")
+register("adx", indicators.adx, "symbol time adx~ plus_di~ minus_di~", "SELECT * FROM ad")
+register("rsi", indicators.rsi, "symbol time rsi~", "SELECT * FROM rs")
+register("regime", lambda c: indicators.regime(indicators.all_indicators(c)), "symbol regime", "SELECT * FROM regimes")
+
+
+# Rules
+def _events(c: DataFrame) -> DataFrame:
+    return rules.events(indicators.all_indicators(c))
+
+
+register("kdj_events", _events, "symbol time kdj_buy kdj_sell j_buy j_sell", "SELECT * FROM ev")
+register("macd_events", _events, "symbol time macd_buy macd_sell", "SELECT * FROM ev")
+register("sr_events", _events, "symbol time sr_buy sr_sell", "SELECT * FROM ev")
+register(
+    "rules_confirmed",
+    lambda c: rules.confirmed(_events(c)).select("symbol", "time", F.array_join("buy_tags", " & ").alias("buys"), F.array_join("sell_tags", " & ").alias("sells")),
+    "symbol time buys sells",
+    "SELECT symbol, time, array_to_string(buy_tags, ' & ') AS buys, array_to_string(sell_tags, ' & ') AS sells FROM cf",
+)
+register("rule_trades", lambda c: rules.trades(rules.confirmed(_events(c))), "symbol grp buy_time entry~ buys sell_time exit~ pnl_pct~", "SELECT symbol, grp::BIGINT AS grp, buy_time, entry, buys, sell_time, exit, pnl_pct FROM trade_rows")
+register("rule_signals", rules.rule_signals, "symbol seq time kind price~ tags pnl_pct~", "SELECT * FROM rule_out")
+register("squeeze_trades", lambda c: rules.squeeze_trades(indicators.all_indicators(c)), "symbol time squeeze_buy squeeze_sell", None)
+
+# Factors
+for _f in FACTORS:
+    register(f"factor_{_f}", factors.factor_frame, f"symbol time {_f}~", f"SELECT symbol, time, {_f} FROM f")
+register("factor_frame", factors.factor_frame, "symbol time " + " ".join(f"{f}~" for f in FACTORS), "SELECT * FROM f")
+register(
+    "factor_described",
+    lambda c: factors.factor_frame(c, factors.library(documented=True)),
+    "symbol time ret_20d~ vol_ratio~ atr_pct~ ret_std~",
+    """SELECT symbol, time, CASE WHEN abs(c20) > 1e-12 THEN (close - c20) / c20 END AS ret_20d, CASE WHEN abs(v5) > 1e-12 THEN volume / v5 END AS vol_ratio,
+         CASE WHEN i >= 14 AND abs(close) > 1e-12 THEN avg(abs(close - c1)) OVER (PARTITION BY symbol ORDER BY i ROWS 13 PRECEDING) / close END AS atr_pct,
+         CASE WHEN i >= 20 THEN stddev_pop(r1) OVER (PARTITION BY symbol ORDER BY i ROWS 19 PRECEDING) END AS ret_std FROM f1""",
+)
+
+
+def _ic(c: DataFrame) -> DataFrame:
+    return factors.rolling_ic(factors.long_factors(c, CONFIG), CONFIG)
+
+
+register("rolling_ic", _ic, "symbol factor time ic~", "SELECT * FROM ic")
+register("factor_eval", lambda c: factors.evaluate(_ic(c), CONFIG), "symbol factor ic_mean~ ir~ weight~ is_valid", "SELECT * FROM fe")
+register("winsorized", lambda c: factors.winsorized(factors.long_factors(c, CONFIG)), "symbol factor time w~", "SELECT * FROM wz")
+register("zscores", lambda c: factors.zscores(r := _ic(c), factors.evaluate(r, CONFIG)), "symbol factor time z~", "SELECT * FROM zs")
+_SCORES = "symbol time momentum~ volatility~ volume_score~ trend~ total~"
+register("alpha_scores", factors.alpha_scores, _SCORES, "SELECT * FROM sc")
+
+# Signals and positions
+_SIGNAL = "symbol time kind price~ rule level bound~ category total~"
+_scored = lambda f: lambda c: f(factors.alpha_scores(c))
+register("sig_quantile", _scored(signals.quantile_signals), _SIGNAL, "SELECT * FROM qs")
+register("sig_reversal", _scored(signals.reversal_signals), _SIGNAL, "SELECT * FROM rv")
+register("sig_divergence", _scored(signals.divergence_signals), _SIGNAL, "SELECT * FROM dv")
+register("sig_all", _scored(signals.all_signals), _SIGNAL + " seq", "SELECT * FROM sg")
+
+
+def _paired(c: DataFrame) -> DataFrame:
+    scored = factors.alpha_scores(c)
+    return signals.paired(signals.all_signals(scored), scored)
+
+
+register("sig_paired", _paired, "symbol seq time kind price~ pnl_pct~", "SELECT * FROM pr")
+register("alpha_rolling_z", _scored(signals.rolling_z), "symbol time alpha_std~ alpha_z~", "SELECT * FROM zr")
+_ACTION = "symbol time action price~ alpha_score~ alpha_z~ alpha_std~ position_pct~ units max_units level~ avg_entry~ pnl_pct~"
+register("turtle_actions", _scored(signals.turtle_actions), _ACTION, "SELECT * FROM ta")
+
+# Totals and joins
+register("summary_rules", lambda c: tables.closed_profit(rules.rule_signals(c)), "symbol pnl~ closed", "SELECT symbol, coalesce(sum(pnl_pct) FILTER (kind = 'Buy'), 0) AS pnl, count(pnl_pct) FILTER (kind = 'Buy') AS closed FROM rule_out GROUP BY symbol")
+register("summary_signals", lambda c: tables.closed_profit(_paired(c)), "symbol pnl~ closed", "SELECT symbol, coalesce(sum(pnl_pct), 0) AS pnl, count(pnl_pct) AS closed FROM pr GROUP BY symbol", 5)
+register("summary_turtle", lambda c: tables.exits(_scored(signals.turtle_actions)(c)), "symbol exits win_rate~ pnl~", "SELECT symbol, count(*) FILTER (action = 'Exit') AS exits, avg((pnl_pct > 0)::INTEGER) FILTER (pnl_pct IS NOT NULL) AS win_rate, coalesce(sum(pnl_pct), 0) AS pnl FROM ta GROUP BY symbol")
+
+
+def _factor_summary(c: DataFrame) -> DataFrame:
+    rows = _ic(c)
+    return tables.factor_summary(factors.evaluate(rows, CONFIG), factors.alpha_scores(c))
+
+
+register("summary_factors", _factor_summary, "symbol valid_factors last_total~", "SELECT symbol, valid_factors, last_total FROM (SELECT symbol, count(*) FILTER (is_valid) AS valid_factors FROM fe GROUP BY symbol) JOIN (SELECT symbol, arg_max(total, i) FILTER (total IS NOT NULL) AS last_total FROM sc GROUP BY symbol) USING (symbol)")
+register("tint_map", lambda c: tables.tints(rules.rule_signals(c)), "symbol time kind", "SELECT symbol, time, arg_max(kind, seq) AS kind FROM rule_out WHERE starts_with(tags, '买(') OR starts_with(tags, '卖(') GROUP BY symbol, time")
+register(
+    "history_merge",
+    lambda c: tables.merged_history(c.where("i % 3 <> 0"), c.where("i >= 100").withColumn("close", -F.col("close"))),
+    "symbol time close~",
+    "SELECT symbol, time, CASE WHEN i >= 100 THEN -close ELSE close END AS close FROM c WHERE i >= 100 OR i % 3 <> 0",
+)
+register(
+    "nearest_bar",
+    lambda c: tables.nearest_bar(c.where("i % 7 = 0").select("symbol", (F.col("time") + 5000).alias("at")), c.where("i % 2 = 0")).withColumnRenamed("at", "asked"),
+    "symbol asked near",
+    """SELECT q.symbol, q.asked, arg_min(b.time, (abs(b.time - q.asked), b.time)) AS near FROM (SELECT symbol, time + 5000 AS asked FROM c WHERE i % 7 = 0) q
+       JOIN c b ON b.symbol = q.symbol AND b.i % 2 = 0 GROUP BY q.symbol, q.asked""",
+)
+register(
+    "price_at_signal",
+    lambda c: rules.rule_signals(c).join(c.select("symbol", "time", "close"), ["symbol", "time"], "left"),
+    "symbol seq time kind close~",
+    "SELECT r.symbol, r.seq, r.time, r.kind, c.close FROM rule_out r LEFT JOIN c ON c.symbol = r.symbol AND c.time = r.time",
+)
+
+
+def _bundle(c: DataFrame) -> DataFrame:
+    made = tables.as_json(c.select("symbol", "time", "close"), {"signals": rules.rule_signals(c)})
+    return made.select("symbol", F.size(F.from_json("json", "candles array<struct<time: bigint>>, signals array<struct<seq: int>>")["candles"]).alias("bars"))
+
+
+register("json_bundle", _bundle, "symbol bars", "SELECT symbol, count(*)::INTEGER AS bars FROM c GROUP BY symbol")
+
+
+# Scalar functions and stores, on other tables
+def _other(name: str, build: Query, sql: str) -> None:
+    QUERIES[name], SQL[name] = build, sql
+
+
+_other(
+    "symbol_route",
+    lambda s, d: table(s, d, "customer").select("c_custkey", F.lpad((F.col("c_custkey") * 797 % 1000000).cast("string"), 6, "0").alias("code")).withColumn("routed", S.exchange_symbol(F.col("code"))),
+    """SELECT *, CASE WHEN code LIKE '6%' THEN 'sh' || code WHEN code LIKE '0%' OR code LIKE '3%' THEN 'sz' || code END AS routed
+       FROM (SELECT c_custkey, lpad((c_custkey * 797 % 1000000)::VARCHAR, 6, '0') AS code FROM customer)""",
+)
+_other(
+    "instrument_search",
+    lambda s, d: S.search(table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("symbol"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("market")), "12"),
+    "SELECT c_custkey::VARCHAR AS symbol, c_name AS name, c_mktsegment AS market FROM customer WHERE contains(c_custkey::VARCHAR, '12') OR contains(c_name, '12') ORDER BY symbol LIMIT 20",
+)
+_other(
+    "market_open",
+    lambda s, d: table(s, d, "events").select("event_id", S.epoch_seconds(F.col("ts")).alias("at")).select("event_id", S.market_open(F.col("at")).alias("open"), S.time_to_live(F.col("at")).alias("ttl")),
+    """SELECT event_id, open, CASE WHEN open THEN 300 ELSE 7200 END AS ttl FROM (SELECT event_id,
+         isodow(l) <= 5 AND (hour(l) IN (9, 10) OR (hour(l) = 11 AND minute(l) <= 30) OR hour(l) IN (13, 14) OR (hour(l) = 15 AND minute(l) = 0)) AS open
+       FROM (SELECT event_id, ts + INTERVAL 8 HOUR AS l FROM events))""",
+)
+_other(
+    "url_encoded",
+    lambda s, d: table(s, d, "events").select("event_id", G.percent_encoded(F.concat_ws(" *~é", "event_type", "props")).alias("coded")),
+    "SELECT event_id, url_encode(event_type || ' *~é' || props) AS coded FROM events WHERE event_type IS NOT NULL AND props IS NOT NULL",
+)
+_other(
+    "cache_upsert",
+    lambda s, d: S.upserted(
+        table(s, d, "orders").where("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("symbol")).agg(F.max("o_orderkey").alias("fetched_at"), F.count("*").alias("day_count")),
+        table(s, d, "orders").where("o_orderkey % 3 = 1").groupBy(F.col("o_custkey").alias("symbol")).agg(F.max("o_orderkey").alias("fetched_at"), F.count("*").alias("day_count")),
+    ),
+    """SELECT symbol, fetched_at, day_count FROM (SELECT o_custkey AS symbol, o_orderkey % 3 AS part, max(o_orderkey) AS fetched_at, count(*) AS day_count FROM orders WHERE o_orderkey % 3 < 2 GROUP BY ALL)
+       QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY fetched_at DESC, part DESC) = 1""",
+)
+_other(
+    "cache_fresh",
+    lambda s, d: S.fresh(
+        table(s, d, "events").groupBy(F.col("user_id").alias("symbol")).agg(F.count("*").alias("day_count"), F.max(S.epoch_seconds(F.col("ts"))).alias("fetched_at")),
+        F.lit(1704270600),
+        3,
+    ).select("symbol", "day_count"),
+    """SELECT symbol, day_count FROM (SELECT user_id AS symbol, count(*) AS day_count, max(floor(epoch(ts)))::BIGINT AS f FROM events GROUP BY user_id)
+       WHERE day_count >= 3 AND 1704270600 - f <= 7200""",
+)
+_other(
+    "vendor_decode",
+    lambda s, d: S.decoded_vendor_rows(
+        table(s, d, "orders").select(
+            F.col("o_orderpriority").alias("symbol"),
+            F.lit(None).cast("array<array<string>>").alias("qfqday"),
+            F.array(F.array(F.substring(F.col("o_orderdate").cast("string"), 1, 10), *[F.when(F.col("o_orderkey") % 10 == 9, "?").otherwise(F.col(c).cast("string")) for c in ("o_totalprice", "o_custkey", "o_totalprice", "o_custkey", "o_orderkey")])).alias("day"),
+        )
+    ),
+    """SELECT o_orderpriority AS symbol, floor(epoch(o_orderdate) / 86400)::BIGINT * 86400 AS time, o_totalprice AS open, o_totalprice AS high, o_custkey::DOUBLE AS low, o_custkey::DOUBLE AS close, o_orderkey::DOUBLE AS volume
+       FROM orders WHERE o_orderkey % 10 <> 9""",
+)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

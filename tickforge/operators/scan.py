@@ -1,0 +1,43 @@
+"""Recurrences over the bars of each symbol, streamed through sorted partitions."""
+
+from collections.abc import Callable
+
+import pyarrow as pa
+
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+
+def scan(bars: DataFrame, reads: list[str], start: Callable[[], object], step: Callable, adds: T.StructType, partitioned: bool = False) -> DataFrame:
+    """Adds columns that depend on a state carried from bar to bar.
+
+    start() makes a symbol's state; step(state, *values of `reads`) changes it and returns
+    the values of `adds`. Rows are dealt by symbol and sorted by time (or are so already:
+    `partitioned`), and go through in Arrow batches: a task holds one batch and one
+    state, however long a series is.
+    """
+    kinds = [to_arrow_type(f.dataType) for f in adds]
+    names = [f.name for f in adds]
+
+    def run(batches):
+        symbol, state = object(), None
+        for batch in batches:
+            out: list[tuple] = []
+            columns = [batch.column(c).to_pylist() for c in ("symbol", *reads)]
+            for s, *values in zip(*columns):
+                if s != symbol:
+                    symbol, state = s, start()
+                out.append(step(state, *values))
+            made = zip(*out) if out else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(list(x), kind) for x, kind in zip(made, kinds))], names=[*batch.schema.names, *names]
+            )
+
+    if not partitioned:
+        bars = bars.repartition("symbol").sortWithinPartitions("symbol", "time")
+    return bars.mapInArrow(run, T.StructType([*bars.schema.fields, *adds.fields]))
+
+
+def doubles(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
