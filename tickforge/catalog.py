@@ -6,7 +6,7 @@ says otherwise. Doubles are rounded to six places on both sides.
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import FactorConfig
@@ -52,32 +52,32 @@ register("candles_daily", same, OHLCV, "SELECT * FROM daily", 4, lambda s, d: S.
 register("candles_tail", lambda c: S.tail(c, 180), OHLCV, "SELECT * FROM hourly QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) <= 180")
 
 # Rolling functions
-_CLOSE = F.col("close")
+_close = lambda: F.col("close")
 _W = "WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS 9 PRECEDING), b AS (PARTITION BY symbol ORDER BY i)"
 
 
-def _rolling(name: str, column, sql: str) -> None:
-    register(name, lambda c: c.withColumn("v", column), "symbol time v~", f"SELECT symbol, time, {sql} AS v FROM c {_W}")
-
-
-_rolling("rolling_mean", W.rolling_mean(_CLOSE, 10), "CASE WHEN i >= 9 THEN avg(close) OVER w END")
-_rolling("rolling_std", W.rolling_std(_CLOSE, 10), "CASE WHEN i >= 9 THEN stddev_pop(close) OVER w END")
-_rolling("rolling_max", W.rolling_max(_CLOSE, 10), "CASE WHEN i >= 9 THEN max(close) OVER w END")
-_rolling("rolling_min", W.rolling_min(_CLOSE, 10), "CASE WHEN i >= 9 THEN min(close) OVER w END")
-_rolling("rolling_mean_of_nulls", W.rolling_mean_of_nulls(F.when(_CLOSE > 50, _CLOSE), 10), "CASE WHEN i >= 9 THEN avg(CASE WHEN close > 50 THEN close ELSE 0 END) OVER w END")
-_rolling("delta", W.delta(_CLOSE, 5), "close - lag(close, 5) OVER b")
-_rolling("delay", W.delay(_CLOSE, 5), "lag(close, 5) OVER b")
-_rolling("forward_return", W.forward_return(_CLOSE, 5), "CASE WHEN close > 1e-12 THEN (lead(close, 5) OVER b - close) / close END")
-_rolling("true_range", W.true_range(F.col("high"), F.col("low"), _CLOSE), "CASE WHEN i >= 1 THEN greatest(abs(high - low), abs(high - lag(close) OVER b), abs(low - lag(close) OVER b)) END")
-_rolling("volume_mean", W.volume_mean(), "CASE WHEN i >= 4 THEN avg(volume) OVER (PARTITION BY symbol ORDER BY i ROWS 4 PRECEDING) ELSE 0 END")
-_rolling("volume_upper_quartile", W.volume_upper_quartile(), "CASE WHEN i >= 19 THEN list_sort(list(volume) OVER (PARTITION BY symbol ORDER BY i ROWS 19 PRECEDING))[15] ELSE 0 END")
-_rolling("ts_rank", W.ts_rank(_CLOSE, 10), "CASE WHEN i >= 9 THEN len(list_filter(list(close) OVER w, lambda v: v <= close)) / 10::DOUBLE END")
-_rolling("log_of_volume", W.log(F.col("volume") - 1), "CASE WHEN volume > 1 THEN ln(volume - 1) END")
-_rolling("cross_rank", W.rank(_CLOSE), "percent_rank() OVER (PARTITION BY time ORDER BY close)")
-_rolling("cross_scale", W.scale(_CLOSE), "CASE WHEN sum(abs(close)) OVER (PARTITION BY time) > 1e-12 THEN close / sum(abs(close)) OVER (PARTITION BY time) END")
+def _rolling(name: str, column: Callable[[], Column], sql: str) -> None:
+    register(name, lambda c: c.withColumn("v", column()), "symbol time v~", f"SELECT symbol, time, {sql} AS v FROM c {_W}")
+
+
+_rolling("rolling_mean", lambda: W.rolling_mean(_close(), 10), "CASE WHEN i >= 9 THEN avg(close) OVER w END")
+_rolling("rolling_std", lambda: W.rolling_std(_close(), 10), "CASE WHEN i >= 9 THEN stddev_pop(close) OVER w END")
+_rolling("rolling_max", lambda: W.rolling_max(_close(), 10), "CASE WHEN i >= 9 THEN max(close) OVER w END")
+_rolling("rolling_min", lambda: W.rolling_min(_close(), 10), "CASE WHEN i >= 9 THEN min(close) OVER w END")
+_rolling("rolling_mean_of_nulls", lambda: W.rolling_mean_of_nulls(F.when(_close() > 50, _close()), 10), "CASE WHEN i >= 9 THEN avg(CASE WHEN close > 50 THEN close ELSE 0 END) OVER w END")
+_rolling("delta", lambda: W.delta(_close(), 5), "close - lag(close, 5) OVER b")
+_rolling("delay", lambda: W.delay(_close(), 5), "lag(close, 5) OVER b")
+_rolling("forward_return", lambda: W.forward_return(_close(), 5), "CASE WHEN close > 1e-12 THEN (lead(close, 5) OVER b - close) / close END")
+_rolling("true_range", lambda: W.true_range(F.col("high"), F.col("low"), _close()), "CASE WHEN i >= 1 THEN greatest(abs(high - low), abs(high - lag(close) OVER b), abs(low - lag(close) OVER b)) END")
+_rolling("volume_mean", lambda: W.volume_mean(), "CASE WHEN i >= 4 THEN avg(volume) OVER (PARTITION BY symbol ORDER BY i ROWS 4 PRECEDING) ELSE 0 END")
+_rolling("volume_upper_quartile", lambda: W.volume_upper_quartile(), "CASE WHEN i >= 19 THEN list_sort(list(volume) OVER (PARTITION BY symbol ORDER BY i ROWS 19 PRECEDING))[15] ELSE 0 END")
+_rolling("ts_rank", lambda: W.ts_rank(_close(), 10), "CASE WHEN i >= 9 THEN len(list_filter(list(close) OVER w, lambda v: v <= close)) / 10::DOUBLE END")
+_rolling("log_of_volume", lambda: W.log(F.col("volume") - 1), "CASE WHEN volume > 1 THEN ln(volume - 1) END")
+_rolling("cross_rank", lambda: W.rank(_close()), "percent_rank() OVER (PARTITION BY time ORDER BY close)")
+_rolling("cross_scale", lambda: W.scale(_close()), "CASE WHEN sum(abs(close)) OVER (PARTITION BY time) > 1e-12 THEN close / sum(abs(close)) OVER (PARTITION BY time) END")
 register(
     "ts_corr",
-    lambda c: c.withColumn("v", W.ts_corr(_CLOSE, F.col("volume"), 10)),
+    lambda c: c.withColumn("v", W.ts_corr(_close(), F.col("volume"), 10)),
     "symbol time v~",
     """SELECT symbol, time, CASE WHEN i >= 9 THEN CASE WHEN flat OR sqrt(greatest(xx - x * x / 10, 0) * greatest(yy - y * y / 10, 0)) < 1e-15 THEN 0
          ELSE least(greatest((xy - x * y / 10) / sqrt(greatest(xx - x * x / 10, 0) * greatest(yy - y * y / 10, 0)), -1), 1) END END AS v
@@ -89,12 +89,12 @@ register(
     "guarded_arithmetic",
     lambda c: c.withColumns(
         {
-            "quotient": G.divide(_CLOSE, F.col("volume") - 1),
+            "quotient": G.divide(_close(), F.col("volume") - 1),
             "difference": G.subtract(F.col("high"), F.when(F.col("volume") > 1, F.col("low"))),
-            "clamped": G.clamp(_CLOSE, F.lit(20.0), F.lit(80.0)),
-            "size": F.abs(F.col("open") - _CLOSE),
-            "sign": F.signum(F.col("open") - _CLOSE),
-            "rose": F.when(_CLOSE >= F.col("open"), "up").otherwise("down"),
+            "clamped": G.clamp(_close(), F.lit(20.0), F.lit(80.0)),
+            "size": F.abs(F.col("open") - _close()),
+            "sign": F.signum(F.col("open") - _close()),
+            "rose": F.when(_close() >= F.col("open"), "up").otherwise("down"),
         }
     ),
     "symbol time quotient~ difference~ clamped~ size~ sign~ rose",

@@ -10,19 +10,27 @@ from pyspark.sql import functions as F
 
 from .guards import divide, zero_filled
 
-SYMBOL = Window.partitionBy("symbol")
-BARS = SYMBOL.orderBy("time")
-TO_HERE = BARS.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def by_symbol():
+    return Window.partitionBy("symbol")
+
+
+def in_order():
+    return by_symbol().orderBy("time")
+
+
+def to_here():
+    return in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def last(k: int):
     """The current bar and the k - 1 before it."""
-    return BARS.rowsBetween(-(k - 1), 0)
+    return in_order().rowsBetween(-(k - 1), 0)
 
 
 def before(k: int):
     """The k bars before the current one."""
-    return BARS.rowsBetween(-k, -1)
+    return in_order().rowsBetween(-k, -1)
 
 
 def full(value: Column, k: int) -> Column:
@@ -53,7 +61,7 @@ def rolling_mean_of_nulls(x: Column, k: int) -> Column:
 
 
 def delay(x: Column, k: int) -> Column:
-    return F.lag(x, k).over(BARS) if k else x
+    return F.lag(x, k).over(in_order()) if k else x
 
 
 def delta(x: Column, k: int) -> Column:
@@ -62,13 +70,13 @@ def delta(x: Column, k: int) -> Column:
 
 def forward_return(close: Column, ahead: int) -> Column:
     """(close in `ahead` bars - close) / close; null at the end of a series or where close is 1e-12 or less."""
-    later = F.lead(close, ahead).over(BARS) if ahead else close
+    later = F.lead(close, ahead).over(in_order()) if ahead else close
     return F.when(close > 1e-12, F.try_divide(later - close, close))
 
 
 def true_range(high: Column, low: Column, close: Column) -> Column:
     """The largest of the bar's range and its distances from the close before; null in the first bar."""
-    was = F.lag(close).over(BARS)
+    was = F.lag(close).over(in_order())
     return F.when(F.col("i") >= 1, F.greatest(F.abs(high - low), F.abs(high - was), F.abs(low - was)))
 
 
@@ -93,11 +101,12 @@ def ts_corr(x: Column, y: Column, k: int) -> Column:
     return full(correlation(x, y, last(k)), k)
 
 
-def correlation(x: Column, y: Column, frame, whole=SYMBOL) -> Column:
+def correlation(x: Column, y: Column, frame, whole=None) -> Column:
     """Pearson's correlation of the pairs in a frame in which both are there; 0 where either does not vary; in [-1, 1].
 
-    Values are taken from their mean over `whole`, so that sums of squares lose no digits.
+    Values are taken from their mean over `whole` (the symbol), so that sums of squares lose no digits.
     """
+    whole = whole or by_symbol()
     there = x.isNotNull() & y.isNotNull()
     x, y = F.when(there, x - F.avg(x).over(whole)), F.when(there, y - F.avg(y).over(whole))
     n, sx, sy = F.count(x).over(frame), F.sum(x).over(frame), F.sum(y).over(frame)

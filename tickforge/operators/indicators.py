@@ -32,7 +32,7 @@ def applied(candles: DataFrame, *parts: Recurrence) -> DataFrame:
     def step(states, *values):
         return tuple(x for f, state, at in zip(steps, states, places) for x in f(state, *(values[i] for i in at)))
 
-    rows = candles.withColumns({**columns, "_at": F.row_number().over(W.BARS)})  # a window, so that rows are dealt and sorted
+    rows = candles.withColumns({**columns, "_at": F.row_number().over(W.in_order())})  # a window, so that rows are dealt and sorted
     adds = T.StructType([f for p in parts for f in p.adds])
     return scan(rows, reads, lambda: [f() for f in starts], step, adds, partitioned=True).drop(*columns, "_at")
 

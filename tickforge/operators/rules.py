@@ -24,7 +24,7 @@ def events(indicated: DataFrame) -> DataFrame:
     A bar's event may count twice where two of its rules hold. Events of KDJ and MACD need
     the bar before; those of support and pressure the bar's bands, from bar 50 on.
     """
-    c, p = F.col, lambda x: F.lag(x).over(W.BARS)
+    c, p = F.col, lambda x: F.lag(x).over(W.in_order())
     k, d, j, dif, dea, bar, close = (c(x) for x in ("k", "d", "j", "dif", "dea", "bar", "close"))
     rows = indicated.withColumns({f"_{x}": p(x) for x in ("k", "d", "j", "dif", "dea", "bar")})
     pk, pd_, pj, pdif, pdea, pbar = (c(f"_{x}") for x in ("k", "d", "j", "dif", "dea", "bar"))
@@ -72,7 +72,7 @@ def trades(confirmed_bars: DataFrame) -> DataFrame:
     state but a sum.
     """
     sell = (F.size("sell_tags") > 0).cast("int")
-    rows = confirmed_bars.withColumn("_sells", F.sum(sell).over(W.TO_HERE))  # sells up to and in this bar
+    rows = confirmed_bars.withColumn("_sells", F.sum(sell).over(W.to_here()))  # sells up to and in this bar
     one = lambda cond, x: F.max(F.when(cond, F.col(x)))
     buys = (
         rows.where(F.size("buy_tags") > 0)
@@ -125,7 +125,7 @@ def squeeze_trades(indicated: DataFrame) -> DataFrame:
     """
     bw = F.try_divide(F.col("bb_upper") - F.col("bb_lower"), F.col("bb_middle"))
     rows = indicated.withColumn("_bw", bw)
-    lag = lambda x: F.lag(x).over(W.BARS)
+    lag = lambda x: F.lag(x).over(W.in_order())
     rows = rows.withColumns(
         {
             "_ready": (F.col("i") >= 50) & F.col("bb_upper").isNotNull() & F.col("kc_upper").isNotNull(),

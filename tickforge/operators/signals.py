@@ -36,7 +36,7 @@ def quantile_signals(scored: DataFrame, config: SignalConfig = SignalConfig()) -
     trend = W.last(6)
     first, last = F.first("total", True).over(trend), F.last("total", True).over(trend)
     moving = (F.col("i") >= 5) & (F.count("total").over(trend) >= 3)
-    rows = scored.withColumns({"_up": moving & (last > first), "_down": moving & (last < first), "_all": F.count("total").over(W.SYMBOL), "category": dominant_category()})
+    rows = scored.withColumns({"_up": moving & (last > first), "_down": moving & (last < first), "_all": F.count("total").over(W.by_symbol()), "category": dominant_category()})
     rows = rows.where(F.col("total").isNotNull() & (F.col("n") >= w + 5) & (F.col("_all") >= w))
     rows = rows.withColumn("_past", F.array_sort(F.collect_list("total").over(W.before(w)))).where(F.size("_past") >= w // 2)
     at = lambda q: F.get("_past", F.floor((F.size("_past") - 1) * F.lit(q)).cast("int"))
@@ -61,7 +61,7 @@ def _signals(rows: DataFrame, buy: Column, rule: str) -> DataFrame:
 
 def reversal_signals(scored: DataFrame) -> DataFrame:
     """Signals where the score crosses 0 after two moves in the same direction; bound is the score before."""
-    rows = scored.withColumns({"bound": F.lag("total", 1).over(W.BARS), "_2": F.lag("total", 2).over(W.BARS)})
+    rows = scored.withColumns({"bound": F.lag("total", 1).over(W.in_order()), "_2": F.lag("total", 2).over(W.in_order())})
     t, p, q = F.col("total"), F.col("bound"), F.col("_2")
     up, down = (p <= 0) & (t > 0) & (t > p) & (p > q), (p >= 0) & (t < 0) & (t < p) & (p < q)
     return _signals(rows.where((F.col("i") >= 3) & (F.col("n") >= 5) & (up | down)), up, "reversal")
@@ -71,7 +71,7 @@ def divergence_signals(scored: DataFrame, config: SignalConfig = SignalConfig())
     """Signals where the price is at an extreme of the bars before and the score is not, and has turned for 5 bars."""
     w = config.divergence_lookback
     frame = W.before(w)
-    four = F.lag("total", 4).over(W.BARS)
+    four = F.lag("total", 4).over(W.in_order())
     rows = scored.withColumns(
         {
             "_ph": F.max("close").over(frame),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.guards import percent_encoded
-from ..functions.windows import SYMBOL
+from ..functions.windows import by_symbol
 
 CANDLES = T.StructType(
     [T.StructField("symbol", T.StringType()), T.StructField("time", T.LongType(), False)]
@@ -21,7 +21,7 @@ def epoch_seconds(ts: Column) -> Column:
 
 def with_places(candles: DataFrame) -> DataFrame:
     """Adds i, each bar's place from 0, and n, the symbol's number of bars. Of rows with one (symbol, time) one must be left."""
-    return candles.withColumn("i", (F.row_number().over(SYMBOL.orderBy("time")) - 1).cast("int")).withColumn("n", F.count("*").over(SYMBOL).cast("int"))
+    return candles.withColumn("i", (F.row_number().over(by_symbol().orderBy("time")) - 1).cast("int")).withColumn("n", F.count("*").over(by_symbol()).cast("int"))
 
 
 def bars(rows: DataFrame, symbol: Column, time: Column, order: Column, price: Column) -> DataFrame:
@@ -107,7 +107,7 @@ def time_to_live(seconds: Column) -> Column:
 
 def tail(candles: DataFrame, n: int) -> DataFrame:
     """The most recent n bars of each symbol."""
-    place = F.row_number().over(SYMBOL.orderBy(F.desc("time")))
+    place = F.row_number().over(by_symbol().orderBy(F.desc("time")))
     return candles.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
