@@ -201,12 +201,11 @@ def test_normalising_and_blending(spark):
     rows = spark.createDataFrame([("A", "ret_5d", i, v) for i, v in enumerate(values)], "symbol string, factor string, time long, x double")
     got = [r.w for r in factors.winsorized(rows).orderBy("time").collect()]
     assert max(got) == 10.0 and got[0] == 1.0
-    evals = spark.createDataFrame([("A", "ret_5d", 0.05, 0.05)], "symbol string, factor string, ic_mean double, weight double")
-    z = factors.zscores(rows, evals)
+    z = factors.zscores(rows.withColumn("ic_mean", F.lit(0.05)))
     assert max(r.z for r in z.collect()) < 50
     z = spark.createDataFrame([("A", "ret_5d", 0, 1.0, 0.05), ("A", "ret_5d", 1, -1.0, 0.05), ("A", "ret_5d", 2, None, 0.05), ("A", "hl_vol", 0, 2.0, 0.0)], "symbol string, factor string, time long, z double, weight double")
     got = {r.time: r for r in factors.synthesize(z).collect()}
-    assert set(got) == {0, 1} and close_to(got[0].total, 0.05) and close_to(got[1].momentum, -0.05) and got[0].volatility == 0
+    assert set(got) == {0, 1, 2} and got[2].total is None and close_to(got[0].total, 0.05) and close_to(got[1].momentum, -0.05) and got[0].volatility == 0
 
 
 def scored(spark, totals, rows=None):

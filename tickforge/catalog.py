@@ -151,7 +151,7 @@ def _ic(c: DataFrame) -> DataFrame:
 register("rolling_ic", _ic, "symbol factor time ic~", "SELECT * FROM ic")
 register("factor_eval", lambda c: factors.evaluate(_ic(c), CONFIG), "symbol factor ic_mean~ ir~ weight~ is_valid", "SELECT * FROM fe")
 register("winsorized", lambda c: factors.winsorized(factors.long_factors(c, CONFIG)), "symbol factor time w~", "SELECT * FROM wz")
-register("zscores", lambda c: factors.zscores(r := _ic(c), factors.evaluate(r, CONFIG)), "symbol factor time z~", "SELECT * FROM zs")
+register("zscores", lambda c: factors.zscores(factors.with_weights(_ic(c), CONFIG)), "symbol factor time z~", "SELECT * FROM zs")
 _SCORES = "symbol time momentum~ volatility~ volume_score~ trend~ total~"
 register("alpha_scores", factors.alpha_scores, _SCORES, "SELECT * FROM sc")
 
@@ -165,8 +165,7 @@ register("sig_all", _scored(signals.all_signals), _SIGNAL + " seq", "SELECT * FR
 
 
 def _paired(c: DataFrame) -> DataFrame:
-    scored = factors.alpha_scores(c)
-    return signals.paired(signals.all_signals(scored), scored)
+    return signals.paired(signals.all_signals(factors.alpha_scores(c)))
 
 
 register("sig_paired", _paired, "symbol seq time kind price~ pnl_pct~", "SELECT * FROM pr")

@@ -59,12 +59,15 @@ def factor_frame(candles: DataFrame, factors: list[Factor] | None = None) -> Dat
     return candles.withColumns({f.name: f.value for f in factors or library()})
 
 
-def long_factors(candles: DataFrame, config: FactorConfig, factors: list[Factor] | None = None) -> DataFrame:
-    """(symbol, time, i, n, factor, x, ahead): a row for each bar and factor, with the forward return."""
+def long_factors(candles: DataFrame, config: FactorConfig, factors: list[Factor] | None = None, keep: tuple[str, ...] = ("symbol", "time", "i", "n")) -> DataFrame:
+    """The columns `keep` with factor, x and ahead (the forward return): a row for each bar and factor.
+
+    Rows stay dealt by symbol, so windows over a symbol's factor need no further shuffle.
+    """
     factors = factors or library()
     wide = factor_frame(candles, factors).withColumn("ahead", W.forward_return(F.col("close"), config.forward))
     pairs = F.array(*[F.struct(F.lit(f.name).alias("factor"), F.col(f.name).alias("x")) for f in factors])
-    return wide.select("symbol", "time", "i", "n", "ahead", F.explode(pairs).alias("p")).select("symbol", "time", "i", "n", "ahead", "p.factor", "p.x")
+    return wide.select(*keep, "ahead", F.explode(pairs).alias("p")).select(*keep, "ahead", "p.factor", "p.x")
 
 
 def rolling_ic(rows: DataFrame, config: FactorConfig) -> DataFrame:
@@ -90,15 +93,35 @@ def evaluate(ics: DataFrame, config: FactorConfig) -> DataFrame:
     Fewer than a third of them: all 0 and not valid. Valid: |ir| > 0.3 or |mean| > 0.02;
     the weight is then |mean|. ic_series is left to with_series().
     """
-    w = config.window
+    by = _used(ics, config).groupBy("symbol", "factor").agg(*_moments())
+    return by.select("symbol", "factor", *_judged(config))
+
+
+def with_weights(ics: DataFrame, config: FactorConfig) -> DataFrame:
+    """Adds what evaluate() finds for a factor to each of its rows, without leaving its partition."""
+    series = Window.partitionBy("symbol", "factor")
+    rows = _used(ics, config)
+    return rows.select("*", *[m.over(series).alias(n) for m, n in zip(_moments(False), "cms")]).select(*ics.columns, *_judged(config))
+
+
+def _used(ics: DataFrame, config: FactorConfig) -> DataFrame:
+    """Adds _u, ic where it is among the last `window` that are there."""
     there = F.col("ic").isNotNull()
     place = F.sum(there.cast("int")).over(Window.partitionBy("symbol", "factor").orderBy(F.desc("time")))
-    used = F.when(there & (F.col("_p") <= w), F.col("ic"))
-    by = ics.withColumn("_p", place).groupBy("symbol", "factor").agg(F.count(used).alias("c"), F.avg(used).alias("m"), F.stddev_pop(used).alias("s"))
-    enough = (F.col("c") >= w // 3) & (F.col("c") > 0)
-    by = by.select("symbol", "factor", F.when(enough, F.col("m")).otherwise(0.0).alias("ic_mean"), F.when(enough & (F.col("s") > 1e-9), F.try_divide("m", "s")).otherwise(0.0).alias("ir"))
-    valid = (F.abs("ir") > 0.3) | (F.abs("ic_mean") > 0.02)
-    return by.withColumn("is_valid", valid).withColumn("weight", F.when(valid, F.abs("ic_mean")).otherwise(0.0))
+    return ics.withColumn("_p", place).withColumn("_u", F.when(there & (F.col("_p") <= config.window), F.col("ic")))
+
+
+def _moments(named: bool = True) -> list[Column]:
+    got = [F.count("_u"), F.avg("_u"), F.stddev_pop("_u")]
+    return [m.alias(n) for m, n in zip(got, "cms")] if named else got
+
+
+def _judged(config: FactorConfig) -> list[Column]:
+    enough = (F.col("c") >= config.window // 3) & (F.col("c") > 0)
+    mean = F.when(enough, F.col("m")).otherwise(0.0)
+    ir = F.when(enough & (F.col("s") > 1e-9), F.try_divide("m", "s")).otherwise(0.0)
+    valid = (F.abs(ir) > 0.3) | (F.abs(mean) > 0.02)
+    return [mean.alias("ic_mean"), ir.alias("ir"), valid.alias("is_valid"), F.when(valid, F.abs(mean)).otherwise(0.0).alias("weight")]
 
 
 def with_series(evals: DataFrame, ics: DataFrame) -> DataFrame:
@@ -118,10 +141,10 @@ def winsorized(rows: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFr
     return rows.withColumns({"_lo": at(low), "_hi": at(high)}).withColumn("w", clamp(F.col("x"), F.col("_lo"), F.col("_hi"))).drop("_k", "_lo", "_hi")
 
 
-def zscores(rows: DataFrame, evals: DataFrame, factors: list[Factor] | None = None) -> DataFrame:
+def zscores(rows: DataFrame, factors: list[Factor] | None = None) -> DataFrame:
     """Adds z: winsorised values in population deviations (1e-9 at least) from the mean, turned by the factor's direction.
 
-    A factor of fewer than two values keeps them as they are.
+    Rows hold ic_mean, whose sign turns factors of direction 0. A factor of fewer than two values keeps them as they are.
     """
     series = Window.partitionBy("symbol", "factor")
     factors = factors or library()
@@ -129,23 +152,32 @@ def zscores(rows: DataFrame, evals: DataFrame, factors: list[Factor] | None = No
     rows = winsorized(rows)
     std = F.greatest(F.stddev_pop("w").over(series), F.lit(1e-9))
     rows = rows.withColumn("_z", (F.col("w") - F.avg("w").over(series)) / std)
-    rows = rows.join(evals.select("symbol", "factor", "ic_mean", "weight"), ["symbol", "factor"], "left")
     own = F.coalesce(F.try_element_at(direction, F.col("factor")), F.lit(1))
     turn = F.when(own != 0, own.cast("double")).otherwise(F.signum(F.coalesce("ic_mean", F.lit(0.0))))
     return rows.withColumn("z", F.when(F.col("_m") < 2, F.col("w")).otherwise(F.col("_z") * turn)).drop("_z", "_m", "w")
 
 
-def synthesize(scored: DataFrame, factors: list[Factor] | None = None) -> DataFrame:
-    """(symbol, time, momentum, volatility, volume, trend, total) of bars to which a factor of some weight contributes."""
+def contributions(factors: list[Factor] | None = None) -> list[Column]:
+    """Sums over a bar's factors of weight times z, for each category and in all; null where none of some weight has a z."""
     category = F.create_map(*[x for f in factors or library() for x in (F.lit(f.name), F.lit(f.category))])
-    rows = scored.where(finite(F.col("z")) & (F.coalesce("weight", F.lit(0.0)) != 0)).withColumn("_c", F.try_element_at(category, F.col("factor")))
-    part = lambda c: F.sum(F.when(F.col("_c") == c, F.col("weight") * F.col("z")).otherwise(0.0)).alias(c)
-    by = rows.groupBy("symbol", "time").agg(*[part(c) for c in CATEGORIES])
-    return by.withColumn("total", sum((F.col(c) for c in CATEGORIES[1:]), F.col(CATEGORIES[0])))
+    there = finite(F.col("z")) & (F.coalesce("weight", F.lit(0.0)) != 0)
+    own = F.try_element_at(category, F.col("factor"))
+    part = lambda c: F.sum(F.when(there, F.when(own == c, F.col("weight") * F.col("z")).otherwise(0.0)))
+    names = [c if c != "volume" else "volume_score" for c in CATEGORIES]
+    return [part(c).alias(n) for c, n in zip(CATEGORIES, names)]
+
+
+def synthesize(scored: DataFrame, factors: list[Factor] | None = None, keep: tuple[str, ...] = ("symbol", "time")) -> DataFrame:
+    """One row for each bar, with momentum, volatility, volume_score, trend and total; all null where no factor contributes."""
+    return scored.groupBy(*keep).agg(*contributions(factors)).withColumn("total", F.col("momentum") + F.col("volatility") + F.col("volume_score") + F.col("trend"))
 
 
 def alpha_scores(candles: DataFrame, config: FactorConfig = FactorConfig(), factors: list[Factor] | None = None) -> DataFrame:
-    """Candles with momentum, volatility, volume, trend and total, null where a bar has no score."""
-    rows = rolling_ic(long_factors(candles, config, factors), config)
-    scores = synthesize(zscores(rows, evaluate(rows, config), factors), factors).withColumnRenamed("volume", "volume_score")
-    return candles.join(scores, ["symbol", "time"], "left")
+    """Candles with momentum, volatility, volume_score, trend and total, null where a bar has no score.
+
+    Every step is a window or a sum inside a symbol, so the one shuffle that deals the
+    candles by symbol serves all.
+    """
+    keep = tuple(candles.columns)
+    rows = with_weights(rolling_ic(long_factors(candles, config, factors, keep), config), config)
+    return synthesize(zscores(rows, factors), factors, keep)

@@ -63,6 +63,40 @@ def confirmed(evented: DataFrame, within: int = 3) -> DataFrame:
     return rows.drop("_macd_buy", "_macd_sell", "_sr_buy", "_sr_sell")
 
 
+def _grouped(bars: DataFrame, j_lines: bool) -> DataFrame:
+    """One row for each trade (part 0, grp the number of sells before it), and each bar's J events (parts 3 and 4, grp the bar)."""
+    sell = (F.size("sell_tags") > 0).cast("int")
+    rows = bars.withColumn("_sells", F.sum(sell).over(W.to_here()))  # sells up to and in this bar
+    event = lambda cond, part, grp, side, tags=None, times=None: F.when(
+        cond,
+        F.struct(
+            F.lit(part).alias("part"),
+            grp.cast("bigint").alias("grp"),
+            F.lit(side).alias("side"),
+            (F.array().cast("array<string>") if tags is None else F.col(tags)).alias("tags"),
+            (F.lit(1) if times is None else F.col(times)).alias("times"),
+        ),
+    )
+    found = [event(F.size("buy_tags") > 0, 0, F.col("_sells"), "b", "buy_tags"), event(F.size("sell_tags") > 0, 0, F.col("_sells") - 1, "s", "sell_tags")]
+    if j_lines:
+        found += [event(F.col("j_buy") > 0, 3, F.col("i"), "j", None, "j_buy"), event(F.col("j_sell") > 0, 4, F.col("i"), "j", None, "j_sell")]
+    rows = rows.select("symbol", "time", "close", F.explode(F.array_compact(F.array(*found))).alias("e")).select("symbol", "time", "close", "e.*")
+    mine = lambda side, x: F.when(F.col("side") == side, F.col(x))
+    tags = F.array_sort(F.collect_list(F.when(F.col("side") == "b", F.struct("time", "tags"))))
+    return rows.groupBy("symbol", "part", "grp").agg(
+        F.min(mine("b", "time")).alias("buy_time"),
+        F.avg(mine("b", "close")).alias("entry"),
+        F.nullif(F.count(mine("b", "time")), F.lit(0)).alias("buys"),
+        F.array_distinct(F.flatten(F.transform(tags, lambda x: x["tags"]))).alias("buy_tags"),
+        F.max(mine("s", "time")).alias("sell_time"),
+        F.max(mine("s", "close")).alias("exit"),
+        F.max(mine("s", "tags")).alias("sell_tags"),
+        F.max(mine("j", "time")).alias("j_time"),
+        F.max(mine("j", "close")).alias("j_close"),
+        F.max(mine("j", "times")).alias("times"),
+    ).withColumn("pnl_pct", F.try_divide(F.col("exit") - F.col("entry"), F.col("entry")) * 100)
+
+
 def trades(confirmed_bars: DataFrame) -> DataFrame:
     """(symbol, grp, buy_time, entry, buys, buy_tags, sell_time, exit, sell_tags, pnl_pct): each sell with the buys it closes.
 
@@ -71,21 +105,7 @@ def trades(confirmed_bars: DataFrame) -> DataFrame:
     (exit null). Numbers of the running count of sells are the groups, so there is no
     state but a sum.
     """
-    sell = (F.size("sell_tags") > 0).cast("int")
-    rows = confirmed_bars.withColumn("_sells", F.sum(sell).over(W.to_here()))  # sells up to and in this bar
-    one = lambda cond, x: F.max(F.when(cond, F.col(x)))
-    buys = (
-        rows.where(F.size("buy_tags") > 0)
-        .groupBy("symbol", F.col("_sells").alias("grp"))
-        .agg(
-            F.min("time").alias("buy_time"),
-            F.avg("close").alias("entry"),
-            F.count("*").alias("buys"),
-            F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("time", "buy_tags"))), lambda x: x["buy_tags"]))).alias("buy_tags"),
-        )
-    )
-    sells = rows.where(F.size("sell_tags") > 0).select("symbol", (F.col("_sells") - 1).alias("grp"), F.col("time").alias("sell_time"), F.col("close").alias("exit"), "sell_tags")
-    return buys.join(sells, ["symbol", "grp"], "full").withColumn("pnl_pct", F.try_divide(F.col("exit") - F.col("entry"), F.col("entry")) * 100)
+    return _grouped(confirmed_bars, False).drop("part", "j_time", "j_close", "times")
 
 
 def rule_signals(candles: DataFrame) -> DataFrame:
@@ -93,25 +113,32 @@ def rule_signals(candles: DataFrame) -> DataFrame:
 
     From candles with i and n. tags is the joined tags in brackets, or the J line's text.
     """
-    bars = confirmed(events(all_indicators(candles)))
-    t = trades(bars)
     tag = lambda side, column: F.concat(F.lit(f"{side}("), F.array_join(column, " & "), F.lit(")"))
-    row = lambda part, sub, time, kind, price, tags, pnl: F.struct(
-        F.lit(part).alias("part"), F.lit(sub).alias("sub"), time.alias("time"), F.lit(kind).alias("kind"), price.alias("price"), tags.alias("tags"), pnl.cast("double").alias("pnl_pct")
+    row = lambda part, sub, time, kind, price, tags, pnl=None: F.struct(
+        F.lit(part).alias("part"),
+        F.lit(sub).alias("sub"),
+        F.col(time).alias("time"),
+        F.lit(kind).alias("kind"),
+        F.col(price).alias("price"),
+        tags.alias("tags"),
+        (F.lit(None).cast("double") if pnl is None else F.col(pnl)).alias("pnl_pct"),
     )
-    none = F.lit(None)
-    sold = row(0, 0, F.col("sell_time"), "Sell", F.col("exit"), tag("卖", "sell_tags"), none)
-    lone, open_ = F.col("buy_time").isNull(), F.col("sell_time").isNull()
-    bought = row(1, 0, F.col("buy_time"), "Buy", F.col("entry"), tag("买", "buy_tags"), F.col("pnl_pct"))
-    closing = row(1, 1, F.col("sell_time"), "Sell", F.col("exit"), tag("卖", "sell_tags"), none)
-    holding = row(2, 0, F.col("buy_time"), "Buy", F.col("entry"), tag("买", "buy_tags"), none)
-    made = t.select("symbol", F.col("grp").alias("at"), F.explode(F.when(lone, F.array(sold)).when(open_, F.array(holding)).otherwise(F.array(bought, closing))).alias("r"))
-    j_line = lambda part, column, kind, text: bars.where(F.col(column) > 0).select(
-        "symbol", F.col("i").cast("bigint").alias("at"), F.explode(F.array_repeat(row(part, 0, F.col("time"), kind, F.col("close"), F.lit(text), none), F.col(column))).alias("r")
+    bought, sold = tag("买", "buy_tags"), tag("卖", "sell_tags")
+    lone = F.array(row(0, 0, "sell_time", "Sell", "exit", sold))
+    pair = F.array(row(1, 0, "buy_time", "Buy", "entry", bought, "pnl_pct"), row(1, 1, "sell_time", "Sell", "exit", sold))
+    held = F.array(row(2, 0, "buy_time", "Buy", "entry", bought))
+    j_line = lambda part, kind, text: F.array_repeat(row(part, 0, "j_time", kind, "j_close", F.lit(text)), F.col("times"))
+    rows = (
+        F.when(F.col("part") == 3, j_line(3, "Buy", J_BUY))
+        .when(F.col("part") == 4, j_line(4, "Sell", J_SELL))
+        .when(F.col("buy_time").isNull(), lone)
+        .when(F.col("sell_time").isNull(), held)
+        .otherwise(pair)
     )
-    rows = made.unionByName(j_line(3, "j_buy", "Buy", J_BUY)).unionByName(j_line(4, "j_sell", "Sell", J_SELL))
-    seq = F.row_number().over(Window.partitionBy("symbol").orderBy("r.part", "at", "r.sub"))
-    return rows.select("symbol", seq.alias("seq"), "r.time", "r.kind", "r.price", "r.tags", "r.pnl_pct")
+    grouped = _grouped(confirmed(events(all_indicators(candles))), True)
+    out = grouped.select("symbol", "grp", F.explode(rows).alias("r"))
+    seq = F.row_number().over(Window.partitionBy("symbol").orderBy("r.part", "grp", "r.sub"))
+    return out.select("symbol", seq.alias("seq"), "r.time", "r.kind", "r.price", "r.tags", "r.pnl_pct")
 
 
 def squeeze_trades(indicated: DataFrame) -> DataFrame:

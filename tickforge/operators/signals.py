@@ -25,53 +25,50 @@ def dominant_category() -> Column:
     return out
 
 
-def quantile_signals(scored: DataFrame, config: SignalConfig = SignalConfig()) -> DataFrame:
-    """Signals (symbol, time, kind, price, rule, level, bound, category) where the score leaves the quantiles of those before.
+def _signal(cond: Column, kind, rule: str, bound: Column, level=None, category=None) -> Column:
+    none = F.lit(None).cast("string")
+    kind = kind if isinstance(kind, Column) else F.lit(kind)
+    fields = {"kind": kind, "rule": F.lit(rule), "level": none if level is None else level, "bound": bound, "category": none if category is None else category}
+    return F.when(cond, F.struct(*[v.alias(k) for k, v in fields.items()]))
 
-    level is p80, p60, p20 or p40, and bound its value: the place int((m - 1) q) of the last
-    `quantile_window` scores before, in order; half as many must be there. Bars without a
-    score are passed over.
-    """
+
+def _with_quantile(scored: DataFrame, config: SignalConfig) -> tuple[DataFrame, list[Column]]:
     w = config.quantile_window
     trend = W.last(6)
     first, last = F.first("total", True).over(trend), F.last("total", True).over(trend)
     moving = (F.col("i") >= 5) & (F.count("total").over(trend) >= 3)
-    rows = scored.withColumns({"_up": moving & (last > first), "_down": moving & (last < first), "_all": F.count("total").over(W.by_symbol()), "category": dominant_category()})
-    rows = rows.where(F.col("total").isNotNull() & (F.col("n") >= w + 5) & (F.col("_all") >= w))
-    rows = rows.withColumn("_past", F.array_sort(F.collect_list("total").over(W.before(w)))).where(F.size("_past") >= w // 2)
+    # Scores that are there make a sequence of their own, in which the last ones are counted.
+    there = Window.partitionBy("symbol", F.col("total").isNull()).orderBy("time").rowsBetween(-w, -1)
+    rows = scored.withColumns({"_up": moving & (last > first), "_down": moving & (last < first), "_all": F.count("total").over(W.by_symbol())})
+    rows = rows.withColumn("_past", F.array_sort(F.collect_list("total").over(there)))
     at = lambda q: F.get("_past", F.floor((F.size("_past") - 1) * F.lit(q)).cast("int"))
-    rows = rows.withColumns({"p80": at(0.8), "p60": at(0.6), "p40": at(0.4), "p20": at(0.2)})
+    rows = rows.withColumns({"_p80": at(0.8), "_p60": at(0.6), "_p40": at(0.4), "_p20": at(0.2)})
     t = F.col("total")
+    ready = t.isNotNull() & (F.col("n") >= w + 5) & (F.col("_all") >= w) & (F.size("_past") >= w // 2)
     level = (
-        F.when((t > F.col("p80")) & F.col("_up"), "p80")
-        .when((t > F.col("p60")) & (t > 0), "p60")
-        .when((t < F.col("p20")) & F.col("_down"), "p20")
-        .when((t < F.col("p40")) & (t < 0), "p40")
+        F.when((t > F.col("_p80")) & F.col("_up"), "p80")
+        .when((t > F.col("_p60")) & (t > 0), "p60")
+        .when((t < F.col("_p20")) & F.col("_down"), "p20")
+        .when((t < F.col("_p40")) & (t < 0), "p40")
     )
-    bound = F.when(level == "p80", F.col("p80")).when(level == "p60", F.col("p60")).when(level == "p20", F.col("p20")).otherwise(F.col("p40"))
-    return _signals(rows.withColumns({"level": level, "bound": bound}).where("level IS NOT NULL"), F.col("level").isin("p80", "p60"), "quantile")
-
+    rows = rows.withColumn("_level", F.when(ready, level))
+    level = F.col("_level")
+    bound = F.when(level == "p80", F.col("_p80")).when(level == "p60", F.col("_p60")).when(level == "p20", F.col("_p20")).otherwise(F.col("_p40"))
+    kind = F.when(level.isin("p80", "p60"), "Buy").otherwise("Sell")
+    return rows, [_signal(level.isNotNull(), kind, "quantile", bound, level, dominant_category())]
 
-def _signals(rows: DataFrame, buy: Column, rule: str) -> DataFrame:
-    for c in ("level", "category"):
-        if c not in rows.columns:
-            rows = rows.withColumn(c, F.lit(None).cast("string"))
-    return rows.select("symbol", "time", F.when(buy, "Buy").otherwise("Sell").alias("kind"), F.col("close").alias("price"), F.lit(rule).alias("rule"), "level", "bound", "category", "total")
 
+def _with_reversal(scored: DataFrame) -> tuple[DataFrame, list[Column]]:
+    rows = scored.withColumns({"_t1": F.lag("total", 1).over(W.in_order()), "_t2": F.lag("total", 2).over(W.in_order())})
+    t, p, q = F.col("total"), F.col("_t1"), F.col("_t2")
+    ready = (F.col("i") >= 3) & (F.col("n") >= 5)
+    up, down = ready & (p <= 0) & (t > 0) & (t > p) & (p > q), ready & (p >= 0) & (t < 0) & (t < p) & (p < q)
+    return rows, [_signal(up, "Buy", "reversal", p), _signal(down, "Sell", "reversal", p)]
 
-def reversal_signals(scored: DataFrame) -> DataFrame:
-    """Signals where the score crosses 0 after two moves in the same direction; bound is the score before."""
-    rows = scored.withColumns({"bound": F.lag("total", 1).over(W.in_order()), "_2": F.lag("total", 2).over(W.in_order())})
-    t, p, q = F.col("total"), F.col("bound"), F.col("_2")
-    up, down = (p <= 0) & (t > 0) & (t > p) & (p > q), (p >= 0) & (t < 0) & (t < p) & (p < q)
-    return _signals(rows.where((F.col("i") >= 3) & (F.col("n") >= 5) & (up | down)), up, "reversal")
 
-
-def divergence_signals(scored: DataFrame, config: SignalConfig = SignalConfig()) -> DataFrame:
-    """Signals where the price is at an extreme of the bars before and the score is not, and has turned for 5 bars."""
+def _with_divergence(scored: DataFrame, config: SignalConfig) -> tuple[DataFrame, list[Column]]:
     w = config.divergence_lookback
     frame = W.before(w)
-    four = F.lag("total", 4).over(W.in_order())
     rows = scored.withColumns(
         {
             "_ph": F.max("close").over(frame),
@@ -79,27 +76,60 @@ def divergence_signals(scored: DataFrame, config: SignalConfig = SignalConfig())
             "_sh": F.max("total").over(frame),
             "_sl": F.min("total").over(frame),
             "_5": F.count("total").over(W.last(5)) == 5,
-            "_4": four,
+            "_t4": F.lag("total", 4).over(W.in_order()),
         }
-    ).where((F.col("i") >= w) & (F.col("n") >= w + 5) & F.col("_5"))
+    )
     t, close = F.col("total"), F.col("close")
-    top = (close >= F.col("_ph") * 0.995) & (t < F.col("_sh") * 0.9) & (t < F.col("_4"))
-    bottom = (close <= F.col("_pl") * 1.005) & (t > F.col("_sl") * 1.1) & (t > F.col("_4"))
-    sells = _signals(rows.where(top).withColumn("bound", F.col("_sh")), F.lit(False), "divergence")
-    return sells.unionByName(_signals(rows.where(bottom).withColumn("bound", F.col("_sl")), F.lit(True), "divergence"))
+    ready = (F.col("i") >= w) & (F.col("n") >= w + 5) & F.col("_5")
+    top = ready & (close >= F.col("_ph") * 0.995) & (t < F.col("_sh") * 0.9) & (t < F.col("_t4"))
+    bottom = ready & (close <= F.col("_pl") * 1.005) & (t > F.col("_sl") * 1.1) & (t > F.col("_t4"))
+    return rows, [_signal(top, "Sell", "divergence", F.col("_sh")), _signal(bottom, "Buy", "divergence", F.col("_sl"))]
+
+
+def _given_out(rows: DataFrame, found: list[Column]) -> DataFrame:
+    out = rows.select("symbol", "time", F.col("close").alias("price"), "total", F.posexplode(F.array_compact(F.array(*found))).alias("_at", "s"))
+    return out.select("symbol", "time", "s.kind", "price", "s.rule", "s.level", "s.bound", "s.category", "total", "_at")
+
+
+def quantile_signals(scored: DataFrame, config: SignalConfig = SignalConfig()) -> DataFrame:
+    """Signals (symbol, time, kind, price, rule, level, bound, category, total) where the score leaves the quantiles of those before.
+
+    level is p80, p60, p20 or p40, and bound its value: the place int((m - 1) q) of the last
+    `quantile_window` scores before, in order; half as many must be there. Bars without a
+    score are passed over.
+    """
+    return _given_out(*_with_quantile(scored, config)).drop("_at")
+
+
+def reversal_signals(scored: DataFrame) -> DataFrame:
+    """Signals where the score crosses 0 after two moves in the same direction; bound is the score before."""
+    return _given_out(*_with_reversal(scored)).drop("_at")
+
+
+def divergence_signals(scored: DataFrame, config: SignalConfig = SignalConfig()) -> DataFrame:
+    """Signals where the price is at an extreme of the bars before and the score is not, and has turned for 5 bars."""
+    return _given_out(*_with_divergence(scored, config)).drop("_at")
 
 
 def all_signals(scored: DataFrame, config: SignalConfig = SignalConfig()) -> DataFrame:
-    """Signals of the rules that are switched on, with seq, their order by time and then by rule; none is there twice."""
-    parts = [f for on, f in ((config.quantile, quantile_signals(scored, config)), (config.reversal, reversal_signals(scored)), (config.divergence, divergence_signals(scored, config))) if on]
-    if not parts:
-        return quantile_signals(scored.limit(0), config).withColumn("seq", F.lit(0))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    rule = F.when(F.col("rule") == "quantile", 0).when(F.col("rule") == "reversal", 1).otherwise(2)
-    rows = rows.dropDuplicates(["symbol", "time", "rule", "kind"])
-    return rows.withColumn("seq", F.row_number().over(Window.partitionBy("symbol").orderBy("time", rule, F.desc("kind"))))
+    """Signals of the rules that are switched on, with seq, their order by time and then by rule.
+
+    One pass over the bars finds all; a rule gives a bar each kind once at most.
+    """
+    rows, found = scored, []
+    if config.quantile:
+        rows, more = _with_quantile(rows, config)
+        found += more
+    if config.reversal:
+        rows, more = _with_reversal(rows)
+        found += more
+    if config.divergence:
+        rows, more = _with_divergence(rows, config)
+        found += more
+    if not found:
+        rows, found = _with_reversal(rows.limit(0))
+    order = Window.partitionBy("symbol").orderBy("time", "_at")
+    return _given_out(rows, found).withColumn("seq", F.row_number().over(order)).drop("_at")
 
 
 def paired(signals: DataFrame, closes: DataFrame | None = None) -> DataFrame:
