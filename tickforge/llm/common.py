@@ -1,5 +1,6 @@
 """What the operators share: tables kept in the shared folder, words and hashes in Arrow batches."""
 
+import ctypes
 import tempfile
 import uuid
 
@@ -46,6 +47,14 @@ def crc_of_id(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+def release() -> None:
+    """Gives freed memory back, which two workers and the JVM of an executor share."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES):
     """Parts of a batch whose texts hold about `limit` bytes at most, a single long text excepted.
 
@@ -58,6 +67,7 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES):
     starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     for start, end in zip(starts, np.r_[starts[1:], batch.num_rows]):
         yield batch.take(pa.array(np.arange(start, end))) if len(starts) > 1 else batch
+        release()
 
 
 def split_words(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:

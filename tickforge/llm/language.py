@@ -156,7 +156,7 @@ def identify(docs: DataFrame, model: PpmModel, keep: list[str] | None = None) ->
     def judge(batches):
         model = shared.value
         for batch in batches:
-            for part in chunks(batch, "_judged"):
+            for part in chunks(batch, "_judged", limit=2 << 20):
                 keys, size = windows(pc.fill_null(part.column("_judged"), ""), model.order + 1)
                 coded = pa.array(keys).dictionary_encode()
                 each = code_lengths(model, coded.dictionary.to_numpy())

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .common import chunks, load, saved, split_words
 from .graph import components
 
+#: Text bytes whose shingles' bits are held at once.
+TEXT = 1 << 20
 #: Rows of the variant index that are compared at once.
 BLOCK = 1 << 18
 #: Groups up to this size are compared by offsets, all groups of a block at once.
@@ -35,7 +37,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, bits: int = 64) -> DataFrame
 
     def hashed(batches):
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=TEXT):
                 words, count = split_words(part.column("text"), lower=True)
                 length = pc.binary_length(words).to_numpy().astype(np.int64) + 1
                 end = np.cumsum(length) - 1
