@@ -1,6 +1,8 @@
 import re
 
-from tickforge.llm.licenses import PHRASES, TEMPLATES, scan_licenses
+import duckdb
+
+from tickforge.llm.licenses import OP8_SQL, PHRASES, TEMPLATES, op8_licenses, scan_licenses
 
 from .helpers import documents, lower_az, small_corpus
 
@@ -20,6 +22,8 @@ ROWS = [
     (None, "worK is licensed under the apache license"),
     (10, "mit license mit license"),
     (11, "émit license"),
+    (12, "Redistribution und use im source and binary forms, mit or without modification, are permitted provided that xx following conditions are met:"),
+    (13, "permission is hereby given free of charge to all person obtaining a copy of that software and associated documentation files"),
 ]
 
 
@@ -49,3 +53,12 @@ def test_against_brute_force(spark):
 
 def test_no_documents(spark):
     assert scan_licenses(documents(spark, [])).collect() == []
+
+
+def test_query_equals_its_sql(spark):
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{d}/documents.parquet'")
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    want = con.sql(f"select {', '.join(columns)} from ({OP8_SQL})").fetchall()
+    assert sorted(map(tuple, op8_licenses(spark, d).select(*columns).collect()), key=str) == sorted(want, key=str)

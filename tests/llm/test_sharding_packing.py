@@ -1,9 +1,10 @@
 import zlib
 
+import duckdb
 import numpy as np
 
 from tickforge.llm.packing import pack_power_of_two, piece_lengths, tokenizer_path
-from tickforge.llm.sharding import shard_by_bytes
+from tickforge.llm.sharding import OP7_SQL, op7_sharding, shard_by_bytes
 
 from .helpers import documents, small_corpus
 
@@ -30,6 +31,15 @@ def test_shards_of_nothing(spark):
     assert shard_by_bytes(documents(spark, []), 3).collect() == []
 
 
+def test_shards_equal_their_sql(spark):
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{d}/documents.parquet'")
+    columns = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    want = con.sql(f"select {', '.join(columns)} from ({OP7_SQL}) order by doc_id").fetchall()
+    assert list(map(tuple, op7_sharding(spark, d).select(*columns).orderBy("doc_id").collect())) == want
+
+
 def test_piece_lengths():
     assert piece_lengths(2048 * 2 + 5, 2048) == [2048, 2048, 4, 1]
     assert piece_lengths(0, 8) == [] and piece_lengths(8, 8) == [8] and piece_lengths(7, 8) == [4, 2, 1]
@@ -57,6 +67,22 @@ def test_pieces_join_to_the_whole_ids(spark):
     assert {k: sorted(v) for k, v in whole.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_words_alone_give_the_ids_of_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    import pyarrow as pa
+
+    from tickforge.llm.packing import load_tokenizers, token_ids
+
+    model = Tokenizer.from_file(tokenizer_path())
+    model.encode_special_tokens = True
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts += ["naïve. ÀÉ e\u0301 ﬁ ĳ ŒUVRE Σας ǅ ß ẞ ÿ, x.y,z.. 'll can't.you'RE 3,5 a\u0301.b", "日本語。 ١٢ \u2028x \u00a0y", "<|startoftext|>a<|endoftext|>"]
+    ids, count = token_ids(load_tokenizers(tokenizer_path()), pa.array(texts), 1, {})
+    want = [e.ids + [1] for e in model.encode_batch(texts, add_special_tokens=False)]
+    assert count.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
 def test_binary_ids(spark):
     docs = documents(spark, [(1, "some words here")])
     a = pack_power_of_two(docs, tokenizer_path(), 4).collect()

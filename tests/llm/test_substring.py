@@ -1,9 +1,10 @@
 import hashlib
 import random
 
+import duckdb
 import pytest
 
-from tickforge.llm.substring import op5_substring, remove_repeats
+from tickforge.llm.substring import OP5_SQL, op5_substring, remove_repeats
 
 from .helpers import documents, words
 
@@ -62,3 +63,11 @@ def test_query_on_a_real_table(spark):
     want = [(i, n, m, hashlib.sha256(k.encode()).hexdigest()) for i, n, m, k in expected(rows)]
     assert sorted(map(tuple, op5_substring(spark, d).collect())) == want
     assert any(m for _, _, m, _ in want)
+
+
+def test_query_equals_its_sql(spark):
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{d}/documents.parquet'")
+    want = con.sql(f"select doc_id, n_words, n_removed, kept_sha256 from ({OP5_SQL})").fetchall()
+    assert sorted(map(tuple, op5_substring(spark, d).collect())) == sorted(want) and sum(w[2] for w in want) > 1000

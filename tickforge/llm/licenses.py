@@ -52,21 +52,20 @@ def scan_licenses(
     docs: DataFrame,
     templates: list[tuple[str, str, str]] = TEMPLATES,
     phrases: list[tuple[str, str]] = PHRASES,
-    rare_words: int = 4,
-    agreeing: float = 0.75,
     matching: float = 0.8,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Labels of the notices and phrases that each document holds.
 
-    One scan keeps each document's word count and the places of words that any
-    notice uses. Their document frequencies over all documents give each notice's
-    `rare_words` words of highest inverse frequency, whose places in the notice
-    are its postings. A document's places of such words, less the place in the
-    notice, vote for where a notice starts; where a share `agreeing` of the postings
-    agree, the notice is compared word by word at that start. It is found if its key
-    phrase stands complete and a share `matching` of all words stand in place.
+    One scan keeps each document's word count and the places of words that any notice
+    uses. Their document frequencies over all documents rank a notice's words; its
+    postings are its places of highest inverse frequency, two more than the share
+    `matching` lets be missing, so that a notice in the text has two of them in place.
+    A document's places of such words, less the place in the notice, vote for where a
+    notice starts; where two or more agree, the notice is compared word by word. It is
+    found if its key phrase stands complete and the share `matching` of its words stand
+    in place.
     `phrases` are found by the same index, every word being a posting and required.
 
     Returns doc_id, n_words, n_base (places of phrases), first_word, last_word (their
@@ -91,10 +90,11 @@ def scan_licenses(
     postings, bodies = [], []
     for t, (label, notice, key) in enumerate([*templates, *((a, b, b) for a, b in phrases)]):
         words, base = notice.split(), t >= len(templates)
-        rare = set(words) if base else set(sorted(set(words), key=lambda w: (frequency.get(w, 0), w))[:rare_words])
         at = [i for i in range(len(words)) if words[i : i + len(key.split())] == key.split()][0]
-        need = len(words) if base else max(1, -(-sum(w in rare for w in words) * agreeing // 1))
-        postings += [(w, t, i, int(need)) for i, w in enumerate(words) if w in rare]
+        need = len(words) if base else min(2, len(words))
+        missing = 0 if base else int(len(words) * (1 - matching) + 1e-9)
+        rare = sorted(range(len(words)), key=lambda i: (frequency.get(words[i], 0), words[i], i))[: missing + need]
+        postings += [(words[i], t, i, need) for i in rare]
         bodies += [(t, label, base, i, w, at <= i < at + len(key.split()), len(words)) for i, w in enumerate(words)]
     spark = docs.sparkSession
     index = spark.createDataFrame(postings, "word string, t int, i int, need int")
@@ -143,5 +143,39 @@ def scan_licenses(
     )
 
 
+def _sql_rows(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).lower() for x in r) + ")" for r in rows)
+
+
+def _sql_notices() -> str:
+    rows = []
+    for t, (label, notice, key) in enumerate([*TEMPLATES, *((a, b, b) for a, b in PHRASES)]):
+        words, k = notice.split(), key.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(k)] == k)
+        rows += [(t, label, t >= len(TEMPLATES), i, w, at <= i < at + len(k), len(words), len(k)) for i, w in enumerate(words)]
+    return _sql_rows(rows)
+
+
+OP8_SQL = rf"""
+WITH notices(t, label, base, i, word, is_key, size, keys) AS (VALUES {_sql_notices()}),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), w AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+f AS (
+  SELECT doc_id, t, label, base, pos - i AS start, count(*) / any_value(size)::DOUBLE AS share
+  FROM w JOIN notices USING (word) GROUP BY doc_id, t, label, base, pos - i
+  HAVING count(*) FILTER (is_key) = any_value(keys) AND count(*) >= any_value(size) * CASE WHEN base THEN 1.0 ELSE 0.8 END
+), a AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+    coalesce(max(share) FILTER (NOT base), 1) AS score
+  FROM f GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
 def op8_licenses(spark, sf_dir: str) -> DataFrame:
     return scan_licenses(load(spark, sf_dir, "documents"))

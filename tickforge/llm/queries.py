@@ -5,13 +5,13 @@ import corpus_pipeline
 from .chat import op2_chat
 from .decontaminate import OP10_SQL, op10_decontamination
 from .language import op9_language
-from .licenses import op8_licenses
+from .licenses import OP8_SQL, op8_licenses
 from .neighbours import OP6_SQL, op6_neighbours
 from .packing import op3_packing
 from .pitman_yor import op1_pitman_yor
-from .sharding import op7_sharding
+from .sharding import OP7_SQL, op7_sharding
 from .simhash import op4_simhash
-from .substring import op5_substring
+from .substring import OP5_SQL, op5_substring
 
 QUERIES = {
     "op1_pitman_yor": op1_pitman_yor,
@@ -28,6 +28,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_substring": OP5_SQL,
+    "op7_sharding": OP7_SQL,
+    "op8_licenses": OP8_SQL,
     "op6_neighbours": OP6_SQL,
     "op10_decontamination": OP10_SQL,
 }

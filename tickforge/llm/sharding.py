@@ -69,3 +69,20 @@ def op7_sharding(spark, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+OP7_SQL = r"""
+WITH RECURSIVE bits(b, v, k) AS (
+  SELECT b::UBIGINT, b::UBIGINT, 0 FROM range(256) t(b)
+  UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8
+), steps AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8),
+s AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UBIGINT),
+      lambda a, x: xor(a >> 8, t[(xor(a, x) & 255)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT AS text_crc32
+  FROM documents, steps
+), p AS (
+  SELECT *, (2 * sum(size) OVER (ORDER BY doc_id) - size)::BIGINT AS middle, (sum(size) OVER ())::BIGINT AS all_bytes FROM s
+), q AS (SELECT *, (middle * 8 // (2 * all_bytes))::INTEGER AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard FROM q
+"""

@@ -215,3 +215,18 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 10, keep: tu
 def op5_substring(spark, sf_dir: str) -> DataFrame:
     kept = remove_repeats(load(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (
+  SELECT doc_id, p, array_to_string(w[p : p + 49], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)
+), r AS (SELECT doc_id, p FROM x JOIN (SELECT s, min(doc_id) AS first FROM x GROUP BY s) USING (s) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, p + k AS p FROM r, (SELECT unnest(range(50)) AS k)),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
