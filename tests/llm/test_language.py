@@ -6,7 +6,7 @@ from tickforge.llm.language import held_out, identify, op9_language, train
 from .helpers import crc, documents
 
 
-def reference_bits(texts, text, order):
+def plain_bits(texts, text, order):
     """PPM code length, byte by byte from dictionaries."""
     counts = defaultdict(lambda: defaultdict(int))
     for t in texts:
@@ -44,7 +44,7 @@ def test_code_lengths_are_exact(spark):
         if not t or not any(c.isalpha() for c in t):
             assert (row.lang_pred, row.score, row.bits_per_byte) == ("und", 0.0, None)
             continue
-        bits = {x: reference_bits([a for _, a, y in LEARN if y == x and a], t, 2) for x in ("en", "fr")}
+        bits = {x: plain_bits([a for _, a, y in LEARN if y == x and a], t, 2) for x in ("en", "fr")}
         best = min(bits, key=bits.get)
         assert row.lang_pred == best
         assert math.isclose(row.bits_per_byte, bits[best] / len(t.encode()), rel_tol=1e-9)

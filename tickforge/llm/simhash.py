@@ -17,14 +17,16 @@ TEXT = 1 << 20
 BLOCK = 1 << 18
 #: Groups up to this size are compared by offsets, all groups of a block at once.
 SMALL = 32
+#: A column that numbers the rows of documents, whose own columns are not called so.
+ROW = "_tickforge_row"
 #: Groups over this size are cut by the parts of which two linked fingerprints share one.
 LARGE = 2048
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, bits: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 4, bits: int = 64, row: str | None = None) -> DataFrame:
     """(doc_id, row, f0, f1) of each row: its SimHash over word shingles, repeats included.
 
-    row is the column _row, or else a number given to each row.
+    row is the column of that name, or else a number given to each row.
 
     A-Z is lower-cased; words are runs of anything but ASCII white space. Shingles are
     joined by one space; a text of fewer words is one shingle, one without words gets
@@ -63,8 +65,8 @@ def fingerprints(docs: DataFrame, shingle: int = 4, bits: int = 64) -> DataFrame
                     names=["doc_id", "row", "f0", "f1"],
                 )
 
-    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
-    rows = docs.select(F.col("doc_id").cast("long"), "text", row.alias("row"))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = docs.select(F.col("doc_id").cast("long"), "text", number.alias("row"))
     return rows.mapInArrow(hashed, "doc_id long, row long, f0 long, f1 long")
 
 
@@ -219,7 +221,7 @@ def linked_fingerprints(nodes: DataFrame, max_bits: int, segments: int, bits: in
     return dealt.mapInArrow(joined, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 64, max_bits: int = 4, segments: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 64, max_bits: int = 4, segments: int = 3, row: str | None = None) -> DataFrame:
     """(doc_id, row, f0, f1, component, component_id) of every row of documents (doc_id, text).
 
     Rows whose fingerprints differ in `max_bits` bits at most are linked;
@@ -230,7 +232,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 64, max_bits:
     without words are linked with each other. A null doc_id is never a component's
     smallest while another is there. No rows give no rows.
     """
-    prints = saved(fingerprints(docs, shingle, bits))
+    prints = saved(fingerprints(docs, shingle, bits, row))
     nodes = saved(prints.groupBy("f0", "f1").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")))
     roots = components(linked_fingerprints(nodes, max_bits, segments, bits))
     found = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -246,11 +248,11 @@ def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     near_duplicates() takes; returns the columns of `docs`, which must be a table that
     is read from files, in the same order each time.
     """
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
-    groups = near_duplicates(docs.select("doc_id", "text", "_row"), **how)
+    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
+    groups = near_duplicates(numbered, row=ROW, **how)
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
-    stay = groups.groupBy("component").agg(F.min(first)["row"].alias("_row"))
-    return docs.join(stay.select("_row"), "_row", "left_semi").drop("_row")
+    stay = groups.groupBy("component").agg(F.min(first)["row"].alias(ROW))
+    return numbered.join(stay.select(ROW), ROW, "left_semi").select(docs.columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
