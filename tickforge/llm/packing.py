@@ -1,17 +1,23 @@
 """Packing by power-of-two decomposition: no sequence crosses a document and none is padded."""
 
+import itertools
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, load
+from .common import chunks, load, split_words
 
-#: Distinct space-free strings whose ids a task remembers at once.
-REMEMBERED = 400_000
+#: Text bytes whose distinct words are tokenised together.
+CHUNK = 12 << 20
+
+#: Distinct words whose encodings are held at once, and whose ids a task remembers.
+ENCODED, REMEMBERED = 20_000, 300_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -26,6 +32,61 @@ def piece_lengths(tokens: int, longest: int) -> list[int]:
     return [longest] * whole + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
+#: Words that this tokenizer neither changes nor splits before it merges bytes: lower-case Latin letters.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def load_tokenizers(path: str):
+    """The tokenizer, and the same without the steps that leave PLAIN words as they are."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    whole.encode_special_tokens = plain.encode_special_tokens = True
+    plain.normalizer = normalizers.Sequence([])
+    plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    return whole, plain
+
+
+def token_ids(models, texts: pa.Array, end_id: int, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, each ended by `end_id`, one after another, and how many each text has.
+
+    For tokenizers that fold case, drop white space and end words at it and between a
+    letter and a full stop or comma, as word_bpe_49k does: each distinct word is
+    tokenised once, and the texts' ids are gathered from the words'. `known` keeps ids
+    from call to call.
+    """
+    lower = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    words, count = split_words(pc.replace_substring_regex(lower, "([a-z])([.,])", r"\1 \2"), lower=False)
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    if len(known) > REMEMBERED:
+        known.clear()
+    new: tuple[list[str], list[str]] = ([], [])
+    for x in distinct:
+        if x not in known:
+            new[PLAIN.fullmatch(x) is not None].append(x)
+    for model, mine in zip(models, new):
+        for s in range(0, len(mine), ENCODED):
+            some = mine[s : s + ENCODED]
+            known.update(zip(some, [e.ids for e in model.encode_batch_fast(some, add_special_tokens=False)]))
+    ids = [known[x] for x in distinct]
+    ids.append([end_id])
+    size = np.fromiter(map(len, ids), np.int32, len(ids))
+    flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))
+    # The end id is one more word, behind the words of each text.
+    word = np.full(len(words) + len(count), len(distinct), np.int32)
+    ends = np.cumsum(count + 1) - 1
+    own = np.ones(len(word), bool)
+    own[ends] = False
+    word[own] = coded.indices.to_numpy()
+    n = size[word]
+    upto = np.cumsum(n, dtype=np.int32 if len(word) < 1 << 26 else np.int64)
+    shift = ((np.cumsum(size) - size).astype(upto.dtype)[word] - (upto - n)).astype(upto.dtype)
+    out = flat[np.repeat(shift, n) + np.arange(int(upto[-1]) if len(upto) else 0, dtype=upto.dtype)]
+    per_text = np.diff(np.r_[0, upto[ends]]).astype(np.int64) if len(count) else np.zeros(0, np.int64)
+    return out, per_text
+
+
 def pack_power_of_two(
     docs: DataFrame,
     tokenizer: str,
@@ -46,56 +107,39 @@ def pack_power_of_two(
     (log2 of the length) and ids: array<int>, or with ids_as="binary" their
     little-endian unsigned 32-bit bytes. A null or empty text has the end id only.
     Repeated rows and ids are packed once for each row. The rows need no shuffle: a
-    task streams over its own texts and remembers the ids of REMEMBERED distinct
-    strings between ASCII white space, across which this tokenizer forms no id.
-    Special tokens written in a text count as ordinary text.
+    task streams over its own texts, CHUNK bytes at a time. Special tokens written in a text count as ordinary text.
     """
     if max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens must be a power of two")
-    end = np.array([end_id], "<u4").tobytes()
 
     def pack(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = True
-        known: dict[str, bytes] = {}
-        blank = str.maketrans("\t\n\x0b\x0c\r", "     ")
+        models = load_tokenizers(tokenizer)
+        known: dict[str, list[int]] = {}
         for batch in batches:
-            for part in chunks(batch):
-                texts = [(x or "").translate(blank).split(" ") for x in part.column("text").to_pylist()]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                new = list(set().union(*texts).difference(known))
-                for x, e in zip(new, model.encode_batch_fast(new, add_special_tokens=False)):
-                    known[x] = np.array(e.ids, "<u4").tobytes()
-                out = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "ids")}
-                for doc_id, words in zip(part.column("doc_id").to_pylist(), texts):
-                    data = b"".join([known[x] for x in words]) + end
-                    start = 0
-                    for length in piece_lengths(len(data) // 4, max_tokens):
-                        out["doc_id"].append(doc_id)
-                        out["start"].append(start)
-                        out["length"].append(length)
-                        out["doc_tokens"].append(len(data) // 4)
-                        out["ids"].append(data[4 * start : 4 * (start + length)])
-                        start += length
+            for part in chunks(batch, limit=CHUNK):
+                ids, count = token_ids(models, part.column("text"), end_id, known)
+                lengths = [piece_lengths(n, max_tokens) for n in count.tolist()]
+                pieces = np.array([len(x) for x in lengths])
+                length = np.array([x for each in lengths for x in each], np.int64)
+                end = np.cumsum(length)
+                document = np.repeat(np.arange(len(count)), pieces)
+                start = end - length - (np.cumsum(count) - count)[document]
+                # The pieces lie in the ids one after another, so their bytes are taken as they are.
+                if ids_as == "binary":
+                    offsets = pa.py_buffer(np.r_[0, 4 * end].astype(np.int32))
+                    own = pa.Array.from_buffers(pa.binary(), len(end), [None, offsets, pa.py_buffer(ids.astype("<u4"))])
+                else:
+                    own = pa.ListArray.from_arrays(pa.array(np.r_[0, end].astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[k], pa.binary() if k == "ids" else pa.int64()) for k in out], names=list(out)
+                    [part.column("doc_id").take(pa.array(document)), pa.array(start), pa.array(length), pa.array(count[document]), own],
+                    names=["doc_id", "start", "length", "doc_tokens", "ids"],
                 )
 
-    def as_arrays(batches):
-        for batch in pack(batches):
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4").astype(np.int32)
-            ends = np.r_[0, np.cumsum(batch.column("length").to_numpy())].astype(np.int32)
-            arrays = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
-
     kind = "binary" if ids_as == "binary" else "array<int>"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = rows.mapInArrow(
-        pack if ids_as == "binary" else as_arrays,
+        pack,
         f"doc_id long, start long, length long, doc_tokens long, ids {kind}",
     )
     return pieces.select(
