@@ -17,7 +17,7 @@ from .common import chunks, load, split_words
 CHUNK = 12 << 20
 
 #: Distinct words whose encodings are held at once, and whose ids a task remembers.
-ENCODED, REMEMBERED = 20_000, 300_000
+ENCODED, REMEMBERED = 20_000, 500_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
