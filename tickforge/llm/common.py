@@ -1,6 +1,7 @@
 """What the operators share: tables kept in the shared folder, words and hashes in Arrow batches."""
 
 import ctypes
+import pickle
 import tempfile
 import uuid
 
@@ -9,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,12 @@ def saved(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast(spark: SparkSession, value):
+    """A function that gives the value in a task, where its class needs no installed package."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)
+
+
 def crc_of_id(column: str = "doc_id"):
     """CRC-32 of an id's decimal text; of no bytes where the id is null."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

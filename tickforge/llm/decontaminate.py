@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, hash_words, inside, load, mix, rolling_hash, split_words
+from .common import broadcast, chunks, hash_words, inside, load, mix, rolling_hash, split_words
 
 #: Everything but ASCII letters and digits and non-ASCII characters separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -123,7 +123,7 @@ def _passes(benchmark: DataFrame, k: int, perms: int, pass_bytes: int):
     for p in range(passes):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).toArrow()
         built = index_items(block.column("item_id").to_pylist(), block.column("text").combine_chunks(), k, perms)
-        yield benchmark.sparkSession.sparkContext.broadcast(built)
+        yield broadcast(benchmark.sparkSession, built)
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, perms: int = 64, pass_bytes: int = 16 << 20) -> DataFrame:
@@ -151,7 +151,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold
     for shared_items in _passes(benchmark, k, perms, pass_bytes):
 
         def scan(batches, shared_items=shared_items):
-            items = shared_items.value
+            items = shared_items()
             for batch in batches:
                 for part in chunks(batch):
                     hits = search(part.column("text"), items, k, threshold, perms)
@@ -177,10 +177,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold:
     for shared_items in _passes(benchmark, k, perms, pass_bytes):
 
         def clean(batches, shared_items=shared_items):
+            items = shared_items()
             for batch in batches:
                 for part in chunks(batch):
                     keep = np.ones(part.num_rows, bool)
-                    keep[[t for t, _, _ in search(part.column("text"), shared_items.value, k, threshold, perms)]] = False
+                    keep[[t for t, _, _ in search(part.column("text"), items, k, threshold, perms)]] = False
                     yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)

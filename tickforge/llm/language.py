@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_of_id, load
+from .common import broadcast, chunks, crc_of_id, load
 
 #: Every text is read as if this many line feeds stood before it.
 PAD = 10
@@ -151,10 +151,10 @@ def identify(docs: DataFrame, model: PpmModel, keep: list[str] | None = None) ->
     kept = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]
     if not model.languages:
         return docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = broadcast(docs.sparkSession, model)
 
     def judge(batches):
-        model = shared.value
+        model = shared()
         for batch in batches:
             for part in chunks(batch, "_judged", limit=2 << 20):
                 keys, size = windows(pc.fill_null(part.column("_judged"), ""), model.order + 1)
