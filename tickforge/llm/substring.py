@@ -57,7 +57,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 10, keep: tu
     1. Anchors (minimal `anchor`-word k-mers) that occur in one document alone rule out
        the windows whose smallest k-mer they are.
     2. The other windows of `window` words are the edges of the graph, from their first
-       window - 1 words to their last. An edge's coordinates are its document's place in
+       window - 1 words to their last; one row for all places that one has in a document. An edge's coordinates are its document's place in
        the order of ids and its own place there; the smallest is its source.
     3. Joined to their sources, a document's neighbouring edges whose sources are
        neighbours too have no branch between them, and compact to one path.
@@ -110,13 +110,24 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 10, keep: tu
                 at = np.flatnonzero(whole & (shared_least == sliding(grams, span, np.minimum)))
                 text = np.repeat(np.arange(len(count)), count)[at]
                 coordinate = (part.column("ord").to_numpy()[text] << PLACE) | (at - first[text])
-                yield pa.RecordBatch.from_arrays([_signed(rolling_hash(each, window)[at]), pa.array(coordinate)], names=["h", "at"])
+                # A window that a document repeats is one row, whose further places stand in a list.
+                hashes = rolling_hash(each, window)[at]
+                by = np.lexsort((coordinate, hashes, text))
+                hashes, coordinate, text = hashes[by], coordinate[by], text[by]
+                again = np.r_[False, (hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1])]
+                row = np.cumsum(~again) - 1
+                alone = np.flatnonzero(~again)
+                size = np.bincount(row[again], minlength=len(alone))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(coordinate[again]), mask=pa.array(size == 0))
+                yield pa.RecordBatch.from_arrays([_signed(hashes[alone]), pa.array(coordinate[alone]), lists], names=["h", "at", "more"])
 
     candidates = places.join(order, "u").select("u", "id_key", "ord", "places")
-    edge = texts.join(candidates.hint("shuffle_hash"), ["u", "id_key"]).select("ord", "places", *texts.columns).mapInArrow(edges, "h long, at long").repartition("h")
+    edge = texts.join(candidates.hint("shuffle_hash"), ["u", "id_key"]).select("ord", "places", *texts.columns).mapInArrow(edges, "h long, at long, more array<long>").repartition("h")
     source = edge.groupBy("h").agg(F.min("at").alias("source"), F.max("at").alias("last"))
     source = source.where(F.shiftright("source", PLACE) != F.shiftright("last", PLACE)).select("h", "source")
-    repeats = edge.join(source.hint("shuffle_hash"), "h").where(F.shiftright("source", PLACE) != F.shiftright("at", PLACE)).select("at", "source")
+    repeats = edge.join(source.hint("shuffle_hash"), "h").where(F.shiftright("source", PLACE) != F.shiftright("at", PLACE))
+    places_of = F.when(F.col("more").isNull(), F.array("at")).otherwise(F.concat(F.array("at"), "more"))
+    repeats = repeats.select(F.explode(places_of).alias("at"), "source")
 
     def compact(batches):
         names = ["ord", "start", "words", "source_ord", "source_start"]
