@@ -80,6 +80,11 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 10, keep: tu
                 grams, chosen, _ = anchors(hash_words(words), count, anchor, window)
                 at = np.flatnonzero(chosen)
                 text = np.repeat(np.arange(len(count)), count)[at]
+                # An anchor that a document repeats is one row.
+                by = np.lexsort((at, grams[at], text))
+                at, text = at[by], text[by]
+                new = np.r_[True, (grams[at][1:] != grams[at][:-1]) | (text[1:] != text[:-1])][: len(at)]
+                at, text = at[new], text[new]
                 place = at - (np.cumsum(count) - count)[text]
                 u = part.column("u").to_numpy()[text]
                 yield pa.RecordBatch.from_arrays([_signed(grams[at]), pa.array(u), pa.array(place.astype(np.int32))], names=["h", "u", "place"])
@@ -97,14 +102,15 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 10, keep: tu
             for part in chunks(batch):
                 words, count = split_words(part.column("text"), lower=False)
                 each = hash_words(words)
-                grams, _, whole = anchors(each, count, anchor, window)
+                grams, chosen, whole = anchors(each, count, anchor, window)
                 if not whole.any():
                     continue
                 first = np.cumsum(count) - count
                 lists = part.column("places")
-                known = np.zeros(len(grams), bool)
                 sizes = np.diff(lists.offsets.to_numpy())
-                known[lists.flatten().to_numpy() + np.repeat(first, sizes)] = True
+                found = grams[lists.flatten().to_numpy() + np.repeat(first, sizes)]
+                known = np.zeros(len(grams), bool)
+                known[chosen] = np.isin(grams[chosen], found)
                 span = window - anchor + 1
                 shared_least = sliding(np.where(known, grams, ~np.uint64(0)), span, np.minimum)
                 at = np.flatnonzero(whole & (shared_least == sliding(grams, span, np.minimum)))
