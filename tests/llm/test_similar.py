@@ -72,3 +72,22 @@ def test_pairs_join_what_is_linked():
 
     got = dict(zip(*(x.tolist() for x in forest(a, b))))
     assert [got.get(i, i) for i in range(51)] == group
+
+
+def pairs_just_over(n):
+    """n pairs of texts whose similarity is 41 / 51, and an equal number of pairs at 39 / 49, just under 0.8."""
+    rng = random.Random(8)
+    rows = []
+    for length in (50, 48):
+        for _ in range(n):
+            words = [f"w{rng.getrandbits(40)}" for _ in range(length)]
+            other = list(words)
+            other[rng.randrange(4, length - 4)] = f"e{rng.getrandbits(40)}"
+            rows += [" ".join(words), " ".join(other)]
+    return list(enumerate(rows))
+
+
+def test_every_pair_just_over_the_threshold_is_linked(spark, tmp_path):
+    rows = pairs_just_over(400)
+    assert 0.8 <= similarity(rows[0][1], rows[1][1]) < 0.81 and 0.79 < similarity(rows[800][1], rows[801][1]) < 0.8
+    assert kept(spark, tmp_path, rows) == [i for i, _ in rows if i % 2 == 0 or i > 800]
