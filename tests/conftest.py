@@ -19,6 +19,7 @@ def spark():
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tickforge-warehouse-"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tickforge-shared-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
