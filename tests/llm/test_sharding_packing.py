@@ -41,16 +41,15 @@ def test_shards_equal_their_sql(spark):
 
 
 def test_piece_lengths():
-    assert piece_lengths(2048 * 2 + 5, 2048) == [2048, 2048, 4, 1]
-    assert piece_lengths(0, 8) == [] and piece_lengths(8, 8) == [8] and piece_lengths(7, 8) == [4, 2, 1]
+    text, length = piece_lengths(np.array([2048 * 2 + 5, 0, 2048, 7]), 2048)
+    assert text.tolist() == [0, 0, 0, 0, 2, 3, 3, 3] and length.tolist() == [2048, 2048, 4, 1, 2048, 4, 2, 1]
 
 
 def test_pieces_join_to_the_whole_ids(spark):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(tokenizer_path())
-    model.encode_special_tokens = True
-    rows = ROWS + small_corpus(spark)[:80]
+    rows = ROWS + small_corpus(spark)[:80] + [(900, "a <|endoftext|> b<|startoftext|>"), (901, "<|ENDOFTEXT|>x"), (902, "<|endoftext|>"), (903, "some words " * 500_000)]
     got = pack_power_of_two(documents(spark, rows), tokenizer_path(), 64).collect()
     assert len({r.sequence_id for r in got}) == len(got) and {r.offset for r in got} == {0}
     assert all(len(r.ids) == r.length == 1 << r.bucket <= 64 for r in got)
@@ -72,15 +71,16 @@ def test_words_alone_give_the_ids_of_whole_texts(spark):
 
     import pyarrow as pa
 
-    from tickforge.llm.packing import load_tokenizers, token_ids
+    from tickforge.llm.packing import Words, token_ids
 
     model = Tokenizer.from_file(tokenizer_path())
-    model.encode_special_tokens = True
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
-    texts += ["naïve. ÀÉ e\u0301 ﬁ ĳ ŒUVRE Σας ǅ ß ẞ ÿ, x.y,z.. 'll can't.you'RE 3,5 a\u0301.b", "日本語。 ١٢ \u2028x \u00a0y", "<|startoftext|>a<|endoftext|>"]
-    ids, count = token_ids(load_tokenizers(tokenizer_path()), pa.array(texts), 1, {})
-    want = [e.ids + [1] for e in model.encode_batch(texts, add_special_tokens=False)]
-    assert count.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+    texts += ["naïve. ÀÉ e\u0301 ﬁ ĳ ŒUVRE Σας ǅ ß ẞ ÿ, x.y,z.. 'll can't.you'RE 3,5 a\u0301.b", "日本語。 ١٢ \u2028x \u00a0y", "<|startoftext|>a<|endoftext|>", "", "A<|StartOfText|>. <|endoftext|><|endoftext|> <|endoftext|"]
+    known = Words(tokenizer_path())
+    for some in (texts[:300], texts[300:], texts):
+        ids, count = token_ids(known, pa.array(some), 1)
+        want = [e.ids + [1] for e in model.encode_batch(some, add_special_tokens=False)]
+        assert count.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
 
 
 def test_binary_ids(spark):

@@ -1,6 +1,7 @@
 """What the operators share: tables kept in the shared folder, words and hashes in Arrow batches."""
 
 import ctypes
+import gc
 import pickle
 import tempfile
 import uuid
@@ -23,12 +24,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: the cluster's checkpoint folder.
+    """The folder that the driver and all executors see: the one that spark.checkpoint.dir names.
 
-    Where the session has none, as in tests on one machine, a temporary one is set.
+    Where it is unset, a session on one machine gets a temporary one. On a cluster that
+    is an error: each machine would write to a disk that it alone can read.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tickforge-"))
     return context.getCheckpointDir()
 
@@ -41,7 +45,25 @@ def saved(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of saved() that nothing reads any more.
+
+    Spark deletes a shuffle's files once its plan is no longer referred to, which the
+    driver finds out when it collects garbage: it is asked to, so that finished steps
+    free their disk before the next one fills it.
+    """
+    spark = tables[0].sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for table in tables:
+        path = jvm.org.apache.hadoop.fs.Path(table.kept_at)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def broadcast(spark: SparkSession, value):
@@ -168,4 +190,7 @@ def numbered(keys: DataFrame, by: list[str], name: str) -> DataFrame:
         ranged.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     )
     nth = F.row_number().over(Window.partitionBy("_part").orderBy(*by)).cast("long") - 1
-    return saved(ranged.withColumn("_nth", nth).join(F.broadcast(parts), "_part").withColumn(name, F.col("_nth") + F.col("_before")).drop("_part", "_nth", "_before"))
+    placed = ranged.withColumn("_nth", nth).join(F.broadcast(parts), "_part").withColumn(name, F.col("_nth") + F.col("_before"))
+    out = saved(placed.drop("_part", "_nth", "_before"))
+    forget(ranged)
+    return out

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = saved(edges.select("a", "b").where("a != b").distinct())
     before = None
     while True:
-        edges = saved(_small_star(_large_star(edges)))
+        last, edges = edges, saved(_small_star(_large_star(edges)))
+        forget(last)
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

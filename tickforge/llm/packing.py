@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import chunks, load, split_words
 
 #: Text bytes whose distinct words are tokenised together.
-CHUNK = 12 << 20
+CHUNK = 4 << 20
 
 #: Distinct words whose encodings are held at once, and whose ids a task remembers.
 ENCODED, REMEMBERED = 20_000, 500_000
@@ -26,65 +26,111 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def piece_lengths(tokens: int, longest: int) -> list[int]:
-    """Lengths, each a power of two of `longest` at most, that add up to `tokens`; the longest come first."""
-    whole, rest = divmod(tokens, longest)
-    return [longest] * whole + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if rest >> b & 1]
+def piece_lengths(tokens: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, length) of the pieces of texts of so many tokens, in order.
+
+    Lengths are powers of two of `longest` at most and add up to the text's tokens; the
+    longest come first.
+    """
+    whole, rest = np.divmod(tokens, longest)
+    bit = 1 << np.arange(longest.bit_length() - 2, -1, -1)
+    text, at = np.nonzero(rest[:, None] & bit)
+    text = np.concatenate([np.repeat(np.arange(len(tokens)), whole), text])
+    by = np.argsort(text, kind="stable")
+    return text[by], np.concatenate([np.full(int(whole.sum()), longest, np.int64), bit[at]])[by]
 
 
 #: Words that this tokenizer neither changes nor splits before it merges bytes: lower-case Latin letters.
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
-def load_tokenizers(path: str):
-    """The tokenizer, and the same without the steps that leave PLAIN words as they are."""
-    from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-    whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    whole.encode_special_tokens = plain.encode_special_tokens = True
-    plain.normalizer = normalizers.Sequence([])
-    plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    return whole, plain
+class Words:
+    """The tokenizer, and the ids of words that it was asked for: one buffer of ids, and each word's place in it.
 
+    `whole` takes any word; `plain` lacks the steps that leave PLAIN words as they are.
+    The special tokens are cut out of a text before its words are looked at.
+    """
 
-def token_ids(models, texts: pa.Array, end_id: int, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = self.plain.encode_special_tokens = True
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.special = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items() if t.special}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.end, self.ids = pa.array([], pa.large_string()), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The places of distinct words in `end`, where word i has ids[end[i] : end[i + 1]]."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        at = pc.index_in(words, value_set=self.known)
+        missing = words.filter(pc.is_null(at))
+        new: tuple[list[str], list[str]] = ([], [])
+        for x in missing.to_pylist():
+            new[PLAIN.fullmatch(x) is not None].append(x)
+        for model, mine in zip((self.whole, self.plain), new):
+            for s in range(0, len(mine), ENCODED):
+                some = mine[s : s + ENCODED]
+                ids = [e.ids for e in model.encode_batch_fast(some, add_special_tokens=False)]
+                size = np.fromiter(map(len, ids), np.int64, len(ids))
+                self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))])
+                self.end = np.concatenate([self.end, self.end[-1] + np.cumsum(size)])
+                self.known = pa.concat_arrays([self.known, pa.array(some, pa.large_string())])
+        return (pc.index_in(words, value_set=self.known) if len(missing) else at).to_numpy()
+
+
+def segments(texts: pa.Array, special: dict[str, int], end_id: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The texts cut at special tokens, the id that ends each segment, and how many segments each text has."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    has = np.zeros(len(texts), bool)
+    for content in special:
+        has |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+    if not has.any():
+        return texts, np.full(len(texts), end_id, np.uint32), np.ones(len(texts), np.int64)
+    cut = re.compile("(" + "|".join(map(re.escape, special)) + ")")
+    split = [cut.split(t.as_py()) if h else [t.as_py()] for t, h in zip(texts, has)]
+    parts, ends = [], []
+    for x in split:
+        parts += x[::2]
+        ends += [*(special[c] for c in x[1::2]), end_id]
+    return pa.array(parts, pa.large_string()), np.array(ends, np.uint32), np.array([len(x) // 2 + 1 for x in split])
+
+
+def token_ids(words: Words, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, each ended by `end_id`, one after another, and how many each text has.
 
     For tokenizers that fold case, drop white space and end words at it and between a
     letter and a full stop or comma, as word_bpe_49k does: each distinct word is
-    tokenised once, and the texts' ids are gathered from the words'. `known` keeps ids
-    from call to call.
+    tokenised once, and the texts' ids are gathered from the words'.
     """
-    lower = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    words, count = split_words(pc.replace_substring_regex(lower, "([a-z])([.,])", r"\1 \2"), lower=False)
-    coded = words.dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    if len(known) > REMEMBERED:
-        known.clear()
-    new: tuple[list[str], list[str]] = ([], [])
-    for x in distinct:
-        if x not in known:
-            new[PLAIN.fullmatch(x) is not None].append(x)
-    for model, mine in zip(models, new):
-        for s in range(0, len(mine), ENCODED):
-            some = mine[s : s + ENCODED]
-            known.update(zip(some, [e.ids for e in model.encode_batch_fast(some, add_special_tokens=False)]))
-    ids = [known[x] for x in distinct]
-    ids.append([end_id])
-    size = np.fromiter(map(len, ids), np.int32, len(ids))
-    flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))
-    # The end id is one more word, behind the words of each text.
-    word = np.full(len(words) + len(count), len(distinct), np.int32)
-    ends = np.cumsum(count + 1) - 1
+    texts, ends, per_text = segments(texts, words.special, end_id)
+    lower = pc.ascii_lower(texts)
+    each, count = split_words(pc.replace_substring_regex(lower, "([a-z])([.,])", r"\1 \2"), lower=False)
+    coded = each.dictionary_encode()
+    place = words.find(coded.dictionary)
+    begin, size = words.end[place], words.end[place + 1] - words.end[place]
+    # The id that ends a segment is one more word behind the segment's words.
+    kinds, kind = np.unique(ends, return_inverse=True)
+    pool = np.concatenate([words.ids, kinds])
+    begin = np.concatenate([begin, len(words.ids) + np.arange(len(kinds))])
+    size = np.concatenate([size, np.ones(len(kinds), np.int64)]).astype(np.int32)
+    last = np.cumsum(count + 1) - 1
+    word = np.zeros(len(each) + len(count), np.int32)
     own = np.ones(len(word), bool)
-    own[ends] = False
+    own[last] = False
     word[own] = coded.indices.to_numpy()
+    word[last] = len(place) + kind
     n = size[word]
-    upto = np.cumsum(n, dtype=np.int32 if len(word) < 1 << 26 else np.int64)
-    shift = ((np.cumsum(size) - size).astype(upto.dtype)[word] - (upto - n)).astype(upto.dtype)
-    out = flat[np.repeat(shift, n) + np.arange(int(upto[-1]) if len(upto) else 0, dtype=upto.dtype)]
-    per_text = np.diff(np.r_[0, upto[ends]]).astype(np.int64) if len(count) else np.zeros(0, np.int64)
-    return out, per_text
+    upto = np.cumsum(n, dtype=np.int64)
+    shift = begin[word] - (upto - n)
+    out = pool[np.repeat(shift, n) + np.arange(int(upto[-1]) if len(upto) else 0)]
+    done = np.r_[0, upto[last[np.cumsum(per_text) - 1]]] if len(per_text) else np.zeros(1, np.int64)
+    return out, np.diff(done)
 
 
 def pack_power_of_two(
@@ -107,23 +153,20 @@ def pack_power_of_two(
     (log2 of the length) and ids: array<int>, or with ids_as="binary" their
     little-endian unsigned 32-bit bytes. A null or empty text has the end id only.
     Repeated rows and ids are packed once for each row. The rows need no shuffle: a
-    task streams over its own texts, CHUNK bytes at a time. Special tokens written in a text count as ordinary text.
+    task streams over its own texts, CHUNK bytes at a time (a longer text by itself).
+    Special tokens written in a text give their ids, as the tokenizer itself does.
     """
     if max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens must be a power of two")
 
     def pack(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        models = load_tokenizers(tokenizer)
-        known: dict[str, list[int]] = {}
+        words = Words(tokenizer)
         for batch in batches:
             for part in chunks(batch, limit=CHUNK):
-                ids, count = token_ids(models, part.column("text"), end_id, known)
-                lengths = [piece_lengths(n, max_tokens) for n in count.tolist()]
-                pieces = np.array([len(x) for x in lengths])
-                length = np.array([x for each in lengths for x in each], np.int64)
+                ids, count = token_ids(words, part.column("text"), end_id)
+                document, length = piece_lengths(count, max_tokens)
                 end = np.cumsum(length)
-                document = np.repeat(np.arange(len(count)), pieces)
                 start = end - length - (np.cumsum(count) - count)[document]
                 # The pieces lie in the ids one after another, so their bytes are taken as they are.
                 if ids_as == "binary":
@@ -160,6 +203,7 @@ def write_buckets(pieces: DataFrame, path: str) -> None:
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
+    """Every document's pieces of binary lengths up to 2048 tokens, each a sequence of its own; CRC-32 of its ids' bytes."""
     pieces = pack_power_of_two(load(spark, sf_dir, "documents"), tokenizer_path(), ids_as="binary")
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket"
