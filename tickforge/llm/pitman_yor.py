@@ -4,20 +4,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_of_id, load, saved, split_words
+from .common import chunks, crc_of_id, forget, load, mix, saved, split_words
+from .seating import Tables, gammas, uniforms
 
 #: The hash of the end token; no word can be a line feed.
 END = xxhash.xxh3_64_intdigest(b"\n")
-#: Tokens whose counts a task adds up before it hands them on.
+#: Tokens whose pairs a task adds up before it hands them on.
 GATHERED = 2_000_000
-#: Customers that are seated one by one; further ones are seated in leaps.
-SINGLY = 64
+#: A token's key is its rank, or its hash with this bit set, which makes it negative.
+RARE = np.uint64(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -50,308 +50,310 @@ def place_of(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[np.minimum(at, len(table) - 1)] == keys, at, len(table)) if len(table) else at
 
 
-def frequent_histories(docs: DataFrame, most: int, local: int = 2000) -> np.ndarray:
-    """Sorted hashes of the `most` tokens that occur most often, from each task's `local` commonest."""
+@dataclass(frozen=True)
+class Ranks:
+    """The commonest tokens' hashes in rising order, and the rank of each."""
+
+    hashes: np.ndarray
+    rank: np.ndarray
+
+    def keys(self, known: np.ndarray) -> np.ndarray:
+        at = place_of(self.hashes, known)
+        found = at < len(self.hashes)
+        return np.where(found, self.rank[np.minimum(at, len(self.rank) - 1)] if len(self.rank) else 0, (known | RARE).view(np.int64))
 
-    def common(batches):
+
+def count_tokens(docs: DataFrame) -> DataFrame:
+    """(w, n): how often each token occurs, by its hash."""
+
+    def count(batches):
         for batch in batches:
             for part in chunks(batch):
                 t = tokens(part.column("text"))
                 n = np.bincount(t.token, minlength=len(t.known))
-                top = np.argsort(-n, kind="stable")[:local]
-                yield pa.RecordBatch.from_arrays([pa.array(t.known[top].view(np.int64)), pa.array(n[top].astype(np.int64))], names=["w", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(t.known[n > 0].view(np.int64)), pa.array(n[n > 0].astype(np.int64))], names=["w", "n"])
+
+    return docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def least_count(counted: DataFrame, count: str, most: int) -> int:
+    """A count that `most` rows at most have or exceed, from a histogram in steps of a 64th of a power of two."""
+    step = F.ceil(F.log2(count) * 64)
+    rows, least = 0, 1 << 62
+    for r in counted.groupBy(step.alias("s")).agg(F.count("*").alias("rows"), F.min(count).alias("least")).orderBy(F.desc("s")).collect():
+        rows += r.rows
+        if rows > most:
+            break
+        least = r.least
+    return least
+
 
-    top = docs.select("text").mapInArrow(common, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(most)
-    return np.sort(np.array([r.w for r in top.collect()], np.int64).view(np.uint64))
+def rank_tokens(docs: DataFrame, most: int) -> Ranks:
+    """Ranks for `most` of the commonest tokens at most, by their counts over all texts."""
+    counts = saved(count_tokens(docs))
+    top = counts.where(F.col("n") >= least_count(counts, "n", most)).toArrow()
+    hashes, n = top.column("w").to_numpy(), top.column("n").to_numpy()
+    by = np.lexsort((hashes, -n))
+    hashes = hashes[by].view(np.uint64)
+    order = np.argsort(hashes)
+    forget(counts)
+    return Ranks(hashes[order], order.astype(np.int64))
 
 
-def count_cells(docs: DataFrame, histories: np.ndarray) -> DataFrame:
-    """(w, context, n): how often token w follows each context; one row for each flush of a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(histories)
+def count_pairs(docs: DataFrame, ranks: Ranks) -> DataFrame:
+    """(h, w, n): how often token w follows token h, by their keys; one row for each flush of a task."""
+    shared = docs.sparkSession.sparkContext.broadcast((ranks.hashes, ranks.rank))
 
     def count(batches):
-        table = shared.value
+        ranks = Ranks(*shared.value)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         rows = 0
 
         def flush():
-            w, c = (np.concatenate(x) for x in zip(*held))
-            by = np.lexsort((c, w))
-            w, c = w[by], c[by]
-            first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (c[1:] != c[:-1])])
-            n = np.diff(np.r_[first, len(w)])
-            return pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(c[first].astype(np.int32)), pa.array(n)], names=["w", "context", "n"])
+            keys = np.unique(np.concatenate([k for k, _ in held]))
+            pair = np.concatenate([np.searchsorted(keys, k)[p] for k, p in held], axis=1)
+            pair, n = np.unique(pair[0] * len(keys) + pair[1], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys[pair // len(keys)]), pa.array(keys[pair % len(keys)]), pa.array(n)], names=["h", "w", "n"])
 
         for batch in batches:
             for part in chunks(batch):
                 t = tokens(part.column("text"))
-                context = place_of(table, t.known)
-                pair = t.token * (len(table) + 1) + context[t.before]
-                pair, n = np.unique(pair, return_counts=True)
-                # Counts of one chunk are small numbers; they are kept as repetitions of their pair.
-                held.append((np.repeat(t.known[pair // (len(table) + 1)], n), np.repeat((pair % (len(table) + 1)).astype(np.uint8), n)))
+                held.append((ranks.keys(t.known), np.stack([t.before, t.token])))
                 rows += len(t.token)
                 if rows >= GATHERED:
                     yield flush()
                     held, rows = [], 0
-        if held:
+        if rows:
             yield flush()
 
-    return docs.select("text").mapInArrow(count, "w long, context int, n long")
+    return docs.select("text").mapInArrow(count, "h long, w long, n long")
 
 
-def by_word(cells: DataFrame) -> DataFrame:
-    """(w, contexts, n): one row for each token with its cells. Kept in the shared folder."""
-    added = cells.repartition("w").groupBy("w", "context").agg(F.sum("n").alias("n"))
-    rows = added.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("context", "n"))).alias("x"))  # a cell for each context at most
-    return saved(rows.select("w", F.col("x.context").alias("contexts"), F.col("x.n").alias("n")))
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """`rows` left-joined with `table` by a token's key. Ranked tokens' rows of the table are broadcast: there are so many at most."""
+    ranked = rows.where(F.col(key) >= 0).join(F.broadcast(table.where(F.col(key) >= 0)), key, "left")
+    return ranked.unionByName(rows.where(F.col(key) < 0).join(table.where(F.col(key) < 0), key, "left"))
 
 
-def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes whose customers are all seated anew.
+def discount_of(once: float, twice: float) -> float:
+    return float(np.clip(once / max(1.0, once + 2 * twice), 0.1, 0.95))
 
-    new: the weight of a new table, (concentration + discount * tables) * parent's
-    probability. The n-th customer of a dish with t tables opens one with probability
-    new / (new + n - discount * t). From the SINGLY-th on, each leap seats a tenth of
-    those before at the probability in its middle.
-    """
-    tables = np.minimum(customers, 1).astype(np.int64)
-    active = np.flatnonzero(customers > 1)
-    n = 1
-    while len(active):
-        step = 1 if n < SINGLY else n // 10
-        more = np.minimum(customers[active] - n, step)
-        p = new[active] / (new[active] + n + (more - 1) / 2 - discount * tables[active])
-        tables[active] += rng.random(len(active)) < p if step == 1 else rng.binomial(more, p)
-        n += step
-        active = active[customers[active] > n]
-    return tables
+
+def _unsigned(column) -> np.ndarray:
+    return column.to_numpy().view(np.uint64)
 
 
 @dataclass(frozen=True)
-class Restaurants:
-    """Totals of the seating; contexts share the root as their parent, whose own parent is uniform."""
+class PitmanYor:
+    """A model: what was counted, and the seating in each of its samples.
 
+    cells: h, w, n, tables (the sum over the samples). restaurants: h, customers, sampled
+    (tables of each sample). roots: w, count, sampled (customers at the root).
+    """
+
+    cells: DataFrame
+    restaurants: DataFrame
+    roots: DataFrame
+    ranks: Ranks
     types: int
-    customers: np.ndarray  # of each context
-    tables: np.ndarray
-    root_tables: float
+    train_tokens: int
+    root_customers: list[int]  # of each sample
     discount: float
     root_discount: float
     concentration: float
 
     @property
-    def uniform(self) -> float:
-        return 1 / (self.types + 1)
-
-    def root(self, customers, tables):
-        """A word's probability in the root."""
-        total = self.concentration + self.tables.sum()
-        return (customers - self.root_discount * tables + (self.concentration + self.root_discount * self.root_tables) * self.uniform) / total
-
-    @property
-    def down(self) -> np.ndarray:
-        """Of each context: the weight that its parent's probability has."""
-        return (self.concentration + self.discount * self.tables) / (self.concentration + self.customers)
+    def samples(self) -> int:
+        return len(self.root_customers)
 
 
-def _lists(column) -> tuple[np.ndarray, np.ndarray]:
-    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
-
-
-def sweep(words: DataFrame, now: Restaurants, sweeps: int, keep: int, seed: int) -> DataFrame:
-    """Seats every word's customers `sweeps` times by Gibbs, and averages the last `keep` states.
+def train(
+    docs: DataFrame, burn_in: int = 2, samples: int = 3, concentration: float = 1.0, ranked_words: int = 1 << 19, seed: int = 11
+) -> PitmanYor:
+    """Learns from every row of `docs` (text). A null text is empty: one end token.
 
-    A sweep empties each cell (context, word) in turn and seats its customers given the
-    word's probability in the root and the totals of its context; its tables are the
-    word's customers in the root, which are seated likewise. A word's cells are in one
-    row, so only the totals come from the round before. Adds tables (of each cell),
-    root_customers, root_tables, and in the first row of a batch its totals.
+    Each history, which is the token before (the end token before a text's first), has a
+    restaurant, whose dishes are the tokens that follow it. All restaurants share the
+    root: a table of theirs is a customer of the root, where each token has one table.
+    The root's new tables are new tokens. Both levels' discounts come from how many cells
+    (and root dishes) have one and two customers.
+
+    A Gibbs sweep draws, in turn and each given all others,
+    1. of each restaurant: x ~ Gamma(concentration / discount + its tables), which makes its cells independent;
+    2. of the root: the tokens' probabilities, Dirichlet(customers - discount, ..., what is left for new tokens);
+    3. of each cell (history, token) with n customers: its tables t, from their exact law,
+       S(n, t) (discount * x * probability)^t (see Tables). Cells of one customer have one table.
+    After `burn_in` sweeps the next `samples` are kept. All draws are named by their keys,
+    so results do not depend on partitions. Sums go by token and by history through
+    Spark; `ranked_words` of the commonest tokens' values at most are broadcast, the
+    others are joined. No texts give a model in which every token is new.
     """
-    contexts = len(now.customers)
-
-    def sample(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            context, size = _lists(batch.column("contexts"))
-            n, _ = _lists(batch.column("n"))
-            word = np.repeat(np.arange(len(size)), size)
-            w = batch.column("w").to_numpy()
-            rng = np.random.default_rng([seed, int(w[0]) & 0xFFFFFFFF, len(w)])
-            customers, tables = batch.column("root_customers").to_numpy(), batch.column("root_tables").to_numpy()
-            sums = [np.zeros(len(n)), np.zeros(len(w)), np.zeros(len(w))]
-            for s in range(sweeps):
-                opened = (now.concentration + now.discount * now.tables)[context] * now.root(customers, tables)[word]
-                cell = seat(n, opened, now.discount, rng)
-                customers = np.bincount(word, cell, len(w))
-                weight = (now.concentration + now.root_discount * now.root_tables) * now.uniform
-                tables = seat(customers.astype(np.int64), np.full(len(w), weight), now.root_discount, rng)
-                if s >= sweeps - keep:
-                    for total, x in zip(sums, (cell, customers, tables)):
-                        total += x / keep
-            totals = np.r_[np.bincount(context, sums[0], contexts), sums[2].sum(), (customers == 1).sum(), (customers == 2).sum()]
-            extra = pa.array([totals.tolist()] + [None] * (len(w) - 1), pa.list_(pa.float64()))
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(sums[0]))
-            columns = [batch.column("w"), batch.column("contexts"), batch.column("n"), lists, pa.array(sums[1]), pa.array(sums[2]), extra]
-            yield pa.RecordBatch.from_arrays(columns, names=["w", "contexts", "n", "tables", "root_customers", "root_tables", "totals"])
-
-    have = words.select("w", "contexts", "n", "root_customers", "root_tables")
-    schema = "w long, contexts array<int>, n array<long>, tables array<double>, root_customers double, root_tables double, totals array<double>"
-    return saved(have.mapInArrow(sample, schema))
-
-
-def settle(words: DataFrame, now: Restaurants) -> Restaurants:
-    """The totals after a round; the root's discount from how many words have one and two customers there."""
-    rows = words.where("totals IS NOT NULL").select(F.posexplode("totals").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-    k = len(now.customers)
-    got = np.zeros(k + 3)
-    for r in rows:
-        got[r.i] = r.x
-    return Restaurants(now.types, now.customers, got[:k], got[k], now.discount, discount_of(got[k + 1], got[k + 2]), now.concentration)
-
-
-def discount_of(once: float, twice: float) -> float:
-    return float(np.clip(once / max(1.0, once + 2 * twice), 0.1, 0.95))
-
-
-@dataclass(frozen=True)
-class PitmanYor:
-    words: DataFrame  # w, contexts, n, tables, root_customers, root_tables
-    state: Restaurants
-    histories: np.ndarray
-    train_tokens: int
+    ranks = rank_tokens(docs, ranked_words)
+    pairs = count_pairs(docs, ranks).groupBy("h", "w").agg(F.sum("n").alias("n"))
+    counted = saved(pairs.withColumn("again", F.col("n") > 1).sortWithinPartitions("h", "w"), partition_by="again")
+    single = F.count_if(F.col("n") == 1).alias("single")
+    restaurants = saved(counted.groupBy("h").agg(F.sum("n").alias("customers"), single, F.count("*").alias("tables")))
+    roots = saved(counted.groupBy("w").agg(F.sum("n").alias("count"), single, F.count("*").alias("customers")))
+    got = counted.agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
+    at_root = roots.agg(F.count("*").alias("types"), F.sum("count").alias("tokens"), *[F.count_if(F.col("customers") == i).alias(n) for i, n in ((1, "once"), (2, "twice"))]).first()
+    discount, root_discount, types = discount_of(got.once, got.twice), discount_of(at_root.once, at_root.twice), at_root.types
+
+    def with_x(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(gammas(concentration / discount + b.column("tables").to_numpy(), _unsigned(b.column("h")), seed, sweep, 1))], names=[*b.schema.names, "x"])
+
+    def with_g(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(gammas(b.column("customers").to_numpy() - root_discount, _unsigned(b.column("w")), seed, sweep, 2))], names=[*b.schema.names, "g"])
+
+    def seat(batches):
+        tables = Tables(discount)
+        for b in batches:
+            key = mix(_unsigned(b.column("h"))) + _unsigned(b.column("w"))
+            weight = discount * b.column("x").to_numpy() * b.column("g").to_numpy() / mass
+            t = tables.draw(b.column("n").to_numpy(), weight, uniforms(key, seed, sweep, 3), uniforms(key, seed, sweep, 4))
+            total = b.column("total").to_numpy() + (t if sweep >= burn_in else 0)
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("w"), b.column("n"), pa.array(t), pa.array(total)], names=["h", "w", "n", "t", "total"])
+
+    cells = counted.where("again").select("h", "w", "n", F.lit(0).cast("long").alias("total"))
+    empty = F.array().cast("array<long>")
+    restaurants, roots = restaurants.withColumn("sampled", empty), roots.withColumn("sampled", empty)
+    kept: list[DataFrame] = []
+    root_customers: list[int] = []
+    for sweep in range(burn_in + samples):
+        r = restaurants.select("h", "tables").mapInArrow(with_x, "h long, tables long, x double").select("h", "x")
+        g = saved(roots.select("w", "customers").mapInArrow(with_g, "w long, customers long, g double").select("w", "g"))
+        new = gammas(np.array([concentration + root_discount * types]), np.array([seed], np.uint64), seed, sweep, 5)
+        mass = (g.agg(F.sum("g")).first()[0] or 0.0) + float(new[0])
+        last, cells = kept, looked_up(looked_up(cells, r, "h"), g, "w")
+        cells = saved(cells.select("h", "w", "n", "total", "x", "g").mapInArrow(seat, "h long, w long, n long, t long, total long"))
+        sample = sweep >= burn_in
+
+        def settled(base: DataFrame, key: str, name: str) -> DataFrame:
+            sums = cells.groupBy(key).agg(F.sum("t").alias("t"))
+            now = (F.col("single") + F.coalesce("t", F.lit(0))).alias(name)
+            rest = [c for c in base.columns if c not in (key, name, "sampled")]
+            joined = base.drop(name).join(sums, key, "left").select(key, *rest, now, "sampled")
+            return saved(joined.withColumn("sampled", F.concat("sampled", F.array(name))) if sample else joined)
+
+        restaurants, roots = settled(restaurants, "h", "tables"), settled(roots, "w", "customers")
+        forget(g, *last)
+        kept = [cells, restaurants, roots]
+        if sample:
+            root_customers.append(roots.agg(F.sum("customers")).first()[0] or 0)
+    once = counted.where(~F.col("again")).select("h", "w", "n", F.lit(samples).cast("long").alias("tables"))
+    return PitmanYor(
+        once.union(cells.select("h", "w", "n", F.col("total").alias("tables"))),
+        restaurants.select("h", "customers", "sampled"),
+        roots.select("w", "count", "sampled"),
+        ranks,
+        types,
+        at_root.tokens or 0,
+        root_customers,
+        discount,
+        root_discount,
+        concentration,
+    )
 
 
-def train(docs: DataFrame, contexts: int = 32, burn_in: int = 2, samples: int = 3, concentration: float = 1.0, seed: int = 11) -> PitmanYor:
-    """Learns from every row of `docs` (text). A null text is empty: one end token.
+def predictive(model: PitmanYor) -> tuple[DataFrame, DataFrame, Column]:
+    """(restaurants, roots, p): p is the averaged probability of a cell's row that is left-joined with both.
 
-    contexts - 1 restaurants belong to the commonest histories (the token before; a
-    text begins after the end token), and one to all others; all have the root as
-    their parent. All counts are over all texts. Three rounds seat the customers:
-    once, `burn_in` times, and `samples` times, which are averaged.
+    In each sample a token has (n - discount * tables) / (concentration + customers) of
+    its history's restaurant, and the rest of the restaurant, (concentration + discount *
+    all tables) / (concentration + customers), times its probability at the root.
     """
-    histories = frequent_histories(docs, contexts - 1)
-    words = by_word(count_cells(docs, histories))
-    cells = words.select(F.explode(F.arrays_zip("contexts", "n")).alias("x")).select("x.contexts", "x.n")
-    rows = cells.groupBy("contexts").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()
-    customers = np.zeros(len(histories) + 1)
-    for r in rows:
-        customers[r.contexts] = r.n
-    types = words.count()
-    discount = discount_of(sum(r.once for r in rows), sum(r.twice for r in rows))
-    state = Restaurants(types, customers, customers * 0.5, 0.5 * types, discount, 0.5, concentration)
-    # To begin with, a word's probability in the root is its share of all tokens.
-    own = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).cast("double")
-    words = words.withColumn("root_customers", own * 0.5).withColumn("root_tables", F.lit(0.0))
-    for sweeps, keep in ((1, 1), (burn_in, 1), (samples, samples)):
-        seed += 1
-        words = sweep(words, state, sweeps, keep, seed)
-        state = settle(words, state)
-    return PitmanYor(words, state, histories, int(customers.sum()))
-
-
-def least_count(counted: DataFrame, most: int) -> int:
-    """A count that `most` words at most have or exceed, from a histogram in steps of a 64th of a power of two."""
-    step = F.ceil(F.log2("c") * 64)
-    words, least = 0, 1 << 62
-    for r in counted.groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("s")).collect():
-        words += r.n
-        if words > most:
-            break
-        least = r.c
-    return least
+    many = range(model.samples)
+    in_all = 1 / (F.lit(model.concentration) + F.col("customers"))
+    restaurants = model.restaurants.select(
+        "h", in_all.alias("in_all"), *[((model.concentration + model.discount * F.col("sampled")[i]) * in_all).alias(f"a{i}") for i in many]
+    )
+    totals = [model.concentration + c for c in model.root_customers]
+    roots = model.roots.select("w", "count", *[((F.col("sampled")[i] - model.root_discount) / totals[i]).alias(f"b{i}") for i in many])
+    new = [(model.concentration + model.root_discount * model.types) / t for t in totals]
+    back = sum((F.coalesce(F.col(f"a{i}"), F.lit(1.0)) * F.coalesce(F.col(f"b{i}"), F.lit(new[i])) for i in many), F.lit(0.0)) / model.samples
+    own = (F.col("n") - model.discount / model.samples * F.col("tables")) * F.col("in_all")
+    return restaurants, roots, F.coalesce(own, F.lit(0.0)) + back
 
 
-def score(docs: DataFrame, model: PitmanYor, keep: dict[str, Column] | None = None, dense_words: int = 100_000) -> DataFrame:
+def score(docs: DataFrame, model: PitmanYor, keep: dict[str, Column] | None = None, dense_pairs: int = 2_000_000) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score of each row, with the columns `keep`.
 
-    score is the sum over a text's tokens of log10 of the averaged predictive
-    probability; 10 ** (-score / n_tokens) is the perplexity. base_score is the same of
-    add-one unigrams over the training tokens. n_known counts tokens seen in training.
-    A null or empty text is one end token; repeated rows are scored each; no rows give
-    none.
+    score is the sum over a text's tokens of log10 of the predictive probability, which is
+    averaged over the model's samples; 10 ** (-score / n_tokens) is the perplexity. A
+    token that training lacked has what the root leaves for new tokens. base_score is the
+    same of add-one unigrams over the training tokens. n_known counts tokens seen in
+    training. A null or empty text is one end token; repeated rows are scored each; no
+    rows give none.
 
-    At most `dense_words` of the commonest words' probabilities in all contexts are broadcast
-    (8 bytes for each word and context at most); every other token is sent to its
-    word's row, and what it adds to its text is summed up.
+    The probabilities of at most `dense_pairs` of the commonest pairs of ranked tokens are
+    broadcast. All other tokens are joined to their cells by (history, token), to their
+    restaurant and to their root; what they add to their text is summed up.
     """
-    spark, state, k = docs.sparkSession, model.state, len(model.histories)
-    types, total = state.types, model.train_tokens
-    count = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
-    counted = model.words.withColumn("c", count)
-    least = least_count(counted, dense_words)
-    top = counted.where(F.col("c") >= least).select("w", "c", "contexts", "n", "tables", "root_customers", "root_tables").toArrow().combine_chunks()
-    w = top.column("w").to_numpy().view(np.uint64)
-    by = np.argsort(w)
-    p = state.root(top.column("root_customers").to_numpy(), top.column("root_tables").to_numpy())
-    chance = np.outer(p, state.down)
-    if len(w):
-        (flat,) = top.to_batches()
-        context, size = _lists(flat.column("contexts"))
-        n, tables = _lists(flat.column("n"))[0], _lists(flat.column("tables"))[0]
-        chance[np.repeat(np.arange(len(w)), size), context] += (n - state.discount * tables) / (state.concentration + state.customers[context])
-    base = np.log10((top.column("c").to_numpy() + 1) / (total + types + 1))
-    del top
-    np.log10(chance, out=chance)
-    shared = spark.sparkContext.broadcast((w[by], chance[by], base[by], model.histories))
-    del chance
+    spark = docs.sparkSession
+    restaurants, roots, p = predictive(model)
+    pairs = model.cells.where("h >= 0 AND w >= 0")
+    ranked = [F.broadcast(x.where(f"{k} >= 0")) for x, k in ((restaurants, "h"), (roots, "w"))]
+    top = pairs.where(F.col("n") >= least_count(pairs, "n", dense_pairs)).join(ranked[0], "h", "left").join(ranked[1], "w", "left")
+    top = top.select(F.expr("shiftleft(h, 32) | w").alias("pair"), F.log10(p).alias("score")).toArrow()
+    by = np.argsort(top.column("pair").to_numpy())
+    pair, chance = top.column("pair").to_numpy()[by], top.column("score").to_numpy()[by]
+    unit = float(model.train_tokens + model.types + 1)
+    counts = roots.where("w >= 0").select("w", "count").toArrow()
+    base = np.zeros(len(model.ranks.hashes))
+    base[counts.column("w").to_numpy()] = np.log10((counts.column("count").to_numpy() + 1) / unit)
+    shared = spark.sparkContext.broadcast((model.ranks.hashes, model.ranks.rank, pair, chance, base))
+    del top, counts, by
     keep = keep or {c: F.col(c) for c in docs.columns}
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("text").alias("_text"), *[c.alias(x) for x, c in keep.items()])
-    keep = list(keep)
-    kinds = ", ".join(f"`{x}` {rows.schema[x].dataType.simpleString()}" for x in keep)
+    own = {c: f"_keep{i}" for i, c in enumerate(keep)}
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "text", *[c.alias(own[x]) for x, c in keep.items()])
+    kinds = "".join(f", {x} {rows.schema[x].dataType.simpleString()}" for x in own.values())
+    names = ["row", "h", "w", "n_tokens", "n_known", "base_score", "score", *own.values(), "kind"]
 
     def look_up(batches):
-        table, chance, base, histories = shared.value
+        hashes, rank, pair, chance, base = shared.value
+        ranks = Ranks(hashes, rank)
         for batch in batches:
-            for part in chunks(batch, "_text"):
-                t = tokens(part.column("_text"))
-                texts = part.num_rows
-                word = place_of(table, t.known)[t.token]
-                context = place_of(histories, t.known)[t.before]
-                dense = word < len(table)
-                x, y, of = word[dense], context[dense], t.text[dense]
-                row = part.column("_row")
-                sums = [np.bincount(t.text, minlength=texts), np.bincount(of, minlength=texts), np.bincount(of, base[x], texts), np.bincount(of, chance[x, y], texts)]
-                rest = np.flatnonzero(~dense)
-                # A text's own row is dealt by its number; no join partner changes it, as it has no context.
-                yield pa.RecordBatch.from_arrays(
-                    [row, row, pa.nulls(texts, pa.int32()), *(pa.array(s.astype(kind)) for s, kind in zip(sums, (np.int64, np.int64, float, float))), *(part.column(c) for c in keep)],
-                    names=names,
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        row.take(pa.array(t.text[rest])),
-                        pa.array(t.known[t.token[rest]].view(np.int64)),
-                        pa.array(context[rest].astype(np.int32)),
-                        *(pa.nulls(len(rest), kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64())),
-                        *(pa.nulls(len(rest), part.column(c).type) for c in keep),
-                    ],
-                    names=names,
-                )
-
-    names = ["_row", "w", "context", "n_tokens", "n_known", "base_score", "score", *keep]
-    parts = rows.mapInArrow(look_up, f"_row long, w long, context int, n_tokens long, n_known long, base_score double, score double, {kinds}")
-
-    root = state.root(F.coalesce("root_customers", F.lit(0.0)), F.coalesce("root_tables", F.lit(0.0)))
-    at = F.array_position("contexts", F.col("context")).cast("int") - 1
-    in_context = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("context"))
-    cell = (F.get("n", at) - state.discount * F.get("tables", at)) / (state.concentration + in_context(state.customers))
-    chance_of = in_context(state.down) * root + F.coalesce(cell, F.lit(0.0))
-    rare = F.col("context").isNotNull()
-    joined = parts.join(counted.select("w", "c", "contexts", "n", "tables", "root_customers", "root_tables"), "w", "left").select(
-        "_row",
-        *keep,
-        F.col("n_tokens"),
-        F.when(rare, F.col("c").isNotNull().cast("long")).otherwise(F.col("n_known")).alias("n_known"),
-        F.when(rare, F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + types + 1)))).otherwise(F.col("base_score")).alias("base_score"),
-        F.when(rare, F.log10(chance_of)).otherwise(F.col("score")).alias("score"),
-    )
-    return (
-        joined.groupBy("_row")
-        .agg(*[F.max(c).alias(c) for c in keep], *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-        .select(*keep, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-    )
+            for part in chunks(batch):
+                t = tokens(part.column("text"))
+                row, texts = part.column("row"), part.num_rows
+                keys = ranks.keys(t.known)
+                h, w = keys[t.before], keys[t.token]
+                common = w >= 0
+                dense = np.full(len(w), len(pair))
+                both = common & (h >= 0)
+                dense[both] = place_of(pair, h[both] << 32 | w[both])
+                hit = dense < len(pair)
+                sums = [
+                    np.bincount(t.text, minlength=texts),
+                    np.bincount(t.text[common], minlength=texts),
+                    np.bincount(t.text[common], base[w[common]], texts),
+                    np.bincount(t.text[hit], chance[dense[hit]], texts),
+                ]
+                columns = [row, *[pa.nulls(texts, pa.int64())] * 2, *(pa.array(s.astype(k)) for s, k in zip(sums, (np.int64, np.int64, float, float))), *(part.column(c) for c in own.values())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(texts, -1, np.int32))], names=names)
+                # The others, in the order of their keys: 0 of ranked tokens, 1 of a rare token, 2 of a rare history, 3 of both.
+                rest = np.flatnonzero(~hit)
+                rest = rest[np.lexsort((w[rest], h[rest]))]
+                kind = (w[rest] < 0) + 2 * (h[rest] < 0)
+                columns = [row.take(pa.array(t.text[rest])), pa.array(h[rest]), pa.array(w[rest]), *(pa.nulls(len(rest), k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), *(pa.nulls(len(rest), part.column(c).type) for c in own.values())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(kind.astype(np.int32))], names=names)
+
+    parts = saved(rows.mapInArrow(look_up, f"row long, h long, w long, n_tokens long, n_known long, base_score double, score double{kinds}, kind int"), partition_by="kind")
+    seen = F.col("count").isNotNull()
+    found = None
+    for kind in range(4):
+        some = parts.where(F.col("kind") == kind).select("row", "h", "w")
+        mine = model.cells.where(f"h {'<' if kind & 2 else '>='} 0 AND w {'<' if kind & 1 else '>='} 0")
+        some = some.join(mine, ["h", "w"], "left")
+        some = some.join(restaurants.where("h < 0") if kind & 2 else ranked[0], "h", "left")
+        some = some.join(roots.where("w < 0") if kind & 1 else ranked[1], "w", "left")
+        some = some.select("row", (seen & F.lit(bool(kind & 1))).cast("long").alias("n_known"), (F.log10((F.coalesce("count", F.lit(0)) + 1) / unit) if kind & 1 else F.lit(0.0)).alias("base_score"), F.log10(p).alias("score"))
+        found = found.union(some) if found else some
+    added = found.groupBy("row").agg(*[F.sum(c).alias(f"_{c}") for c in ("n_known", "base_score", "score")])
+    texts = parts.where("kind = -1").drop("h", "w", "kind").join(added, "row", "left")
+    plus = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
+    return texts.select(*[F.col(x).alias(c) for c, x in own.items()], "n_tokens", plus("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"), plus("base_score"), plus("score"))
 
 
 def held_out(column: str = "doc_id") -> Column:
@@ -359,6 +361,7 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 def op1_pitman_yor(spark, sf_dir: str) -> DataFrame:
+    """Every document's scores by the model of the documents that are not held out."""
     docs = load(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()))
     return score(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held_out()})
