@@ -129,12 +129,6 @@ def count_pairs(docs: DataFrame, ranks: Ranks) -> DataFrame:
     return docs.select("text").mapInArrow(count, "h long, w long, n long")
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """`rows` left-joined with `table` by a token's key. Ranked tokens' rows of the table are broadcast: there are so many at most."""
-    ranked = rows.where(F.col(key) >= 0).join(F.broadcast(table.where(F.col(key) >= 0)), key, "left")
-    return ranked.unionByName(rows.where(F.col(key) < 0).join(table.where(F.col(key) < 0), key, "left"))
-
-
 def discount_of(once: float, twice: float) -> float:
     return float(np.clip(once / max(1.0, once + 2 * twice), 0.1, 0.95))
 
@@ -168,7 +162,7 @@ class PitmanYor:
 
 
 def train(
-    docs: DataFrame, burn_in: int = 2, samples: int = 3, concentration: float = 1.0, ranked_words: int = 1 << 19, seed: int = 11
+    docs: DataFrame, burn_in: int = 1, samples: int = 3, concentration: float = 1.0, ranked_words: int = 1 << 19, seed: int = 11
 ) -> PitmanYor:
     """Learns from every row of `docs` (text). A null text is empty: one end token.
 
@@ -191,61 +185,98 @@ def train(
     ranks = rank_tokens(docs, ranked_words)
     pairs = count_pairs(docs, ranks).groupBy("h", "w").agg(F.sum("n").alias("n"))
     counted = saved(pairs.withColumn("again", F.col("n") > 1).sortWithinPartitions("h", "w"), partition_by="again")
-    single = F.count_if(F.col("n") == 1).alias("single")
-    restaurants = saved(counted.groupBy("h").agg(F.sum("n").alias("customers"), single, F.count("*").alias("tables")))
-    roots = saved(counted.groupBy("w").agg(F.sum("n").alias("count"), single, F.count("*").alias("customers")))
+    single, again = F.count_if(~F.col("again")).alias("single"), F.count_if("again").alias("again")
+    restaurants = saved(counted.groupBy("h").agg(F.sum("n").alias("customers"), single, again))
+    roots = saved(counted.groupBy("w").agg(F.sum("n").alias("count"), single, again))
     got = counted.agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
-    at_root = roots.agg(F.count("*").alias("types"), F.sum("count").alias("tokens"), *[F.count_if(F.col("customers") == i).alias(n) for i, n in ((1, "once"), (2, "twice"))]).first()
+    tables, idle = F.col("single") + F.col("again"), F.col("again") == 0
+    at_root = roots.agg(
+        F.count("*").alias("types"),
+        F.sum("count").alias("tokens"),
+        F.count_if(tables == 1).alias("once"),
+        F.count_if(tables == 2).alias("twice"),
+        F.count_if(idle).alias("idle"),
+        F.coalesce(F.sum(F.when(idle, F.col("single"))), F.lit(0)).alias("idle_customers"),
+    ).first()
     discount, root_discount, types = discount_of(got.once, got.twice), discount_of(at_root.once, at_root.twice), at_root.types
-
-    def with_x(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(gammas(concentration / discount + b.column("tables").to_numpy(), _unsigned(b.column("h")), seed, sweep, 1))], names=[*b.schema.names, "x"])
-
-    def with_g(batches):
+    # Of histories and tokens whose cells have one customer each, nothing is ever drawn but the sum of their shares of the root.
+    idle_shape = concentration + root_discount * types + at_root.idle_customers - root_discount * at_root.idle
+
+    def drawn(table: DataFrame, key: str, shift: float, stream: int) -> tuple[DataFrame, np.ndarray]:
+        """(key, x): Gamma(t + shift) for each row (key, t), kept; and the ranked tokens' values."""
+
+        def draw(batches):
+            for b in batches:
+                x = gammas(b.column("t").to_numpy() + shift, _unsigned(b.column(key)), seed, sweep, stream)
+                yield pa.RecordBatch.from_arrays([b.column(key), pa.array(x)], names=[key, "x"])
+
+        out = saved(table.select(key, "t").mapInArrow(draw, f"{key} long, x double"))
+        top = out.where(F.col(key) >= 0).toArrow()
+        ranked = np.zeros(len(ranks.hashes))
+        ranked[top.column(key).to_numpy()] = top.column("x").to_numpy()
+        return out, ranked
+
+    def seated(b, law, x, g):
+        h, w = b.column("h"), b.column("w")
+        key = mix(_unsigned(h)) + _unsigned(w)
+        t = law.draw(b.column("n").to_numpy(), discount * x * g / mass, uniforms(key, seed, sweep, 3), uniforms(key, seed, sweep, 4))
+        total = b.column("total").to_numpy() + (t if sweep >= burn_in else 0)
+        return pa.RecordBatch.from_arrays([h, w, b.column("n"), pa.array(t), pa.array(total)], names=["h", "w", "n", "t", "total"])
+
+    def seat_ranked(batches):
+        law, (x, g) = Tables(discount), shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(gammas(b.column("customers").to_numpy() - root_discount, _unsigned(b.column("w")), seed, sweep, 2))], names=[*b.schema.names, "g"])
+            yield seated(b, law, x[b.column("h").to_numpy()], g[b.column("w").to_numpy()])
 
-    def seat(batches):
-        tables = Tables(discount)
+    def seat_joined(batches):
+        law = Tables(discount)
         for b in batches:
-            key = mix(_unsigned(b.column("h"))) + _unsigned(b.column("w"))
-            weight = discount * b.column("x").to_numpy() * b.column("g").to_numpy() / mass
-            t = tables.draw(b.column("n").to_numpy(), weight, uniforms(key, seed, sweep, 3), uniforms(key, seed, sweep, 4))
-            total = b.column("total").to_numpy() + (t if sweep >= burn_in else 0)
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("w"), b.column("n"), pa.array(t), pa.array(total)], names=["h", "w", "n", "t", "total"])
+            yield seated(b, law, b.column("x").to_numpy(), b.column("g").to_numpy())
 
+    cell = "h long, w long, n long, t long, total long"
     cells = counted.where("again").select("h", "w", "n", F.lit(0).cast("long").alias("total"))
-    empty = F.array().cast("array<long>")
-    restaurants, roots = restaurants.withColumn("sampled", empty), roots.withColumn("sampled", empty)
-    kept: list[DataFrame] = []
+    ranked, rare = (cells.where(f"{x}(h >= 0 AND w >= 0)") for x in ("", "NOT "))
+    rooms = restaurants.where(~idle).select("h", tables.alias("t"))
+    dishes = roots.where(~idle).select("w", tables.alias("t"))
+    last: list[DataFrame] = []
+    samples_of: list[tuple[DataFrame, DataFrame]] = []
     root_customers: list[int] = []
     for sweep in range(burn_in + samples):
-        r = restaurants.select("h", "tables").mapInArrow(with_x, "h long, tables long, x double").select("h", "x")
-        g = saved(roots.select("w", "customers").mapInArrow(with_g, "w long, customers long, g double").select("w", "g"))
-        new = gammas(np.array([concentration + root_discount * types]), np.array([seed], np.uint64), seed, sweep, 5)
-        mass = (g.agg(F.sum("g")).first()[0] or 0.0) + float(new[0])
-        last, cells = kept, looked_up(looked_up(cells, r, "h"), g, "w")
-        cells = saved(cells.select("h", "w", "n", "total", "x", "g").mapInArrow(seat, "h long, w long, n long, t long, total long"))
-        sample = sweep >= burn_in
-
-        def settled(base: DataFrame, key: str, name: str) -> DataFrame:
-            sums = cells.groupBy(key).agg(F.sum("t").alias("t"))
-            now = (F.col("single") + F.coalesce("t", F.lit(0))).alias(name)
-            rest = [c for c in base.columns if c not in (key, name, "sampled")]
-            joined = base.drop(name).join(sums, key, "left").select(key, *rest, now, "sampled")
-            return saved(joined.withColumn("sampled", F.concat("sampled", F.array(name))) if sample else joined)
-
-        restaurants, roots = settled(restaurants, "h", "tables"), settled(roots, "w", "customers")
-        forget(g, *last)
-        kept = [cells, restaurants, roots]
-        if sample:
-            root_customers.append(roots.agg(F.sum("customers")).first()[0] or 0)
+        x, ranked_x = drawn(rooms, "h", concentration / discount, 1)
+        g, ranked_g = drawn(dishes, "w", -root_discount, 2)
+        others = gammas(np.array([idle_shape]), np.array([seed], np.uint64), seed, sweep, 5)
+        mass = (g.agg(F.sum("x")).first()[0] or 0.0) + float(others[0])
+        shared = docs.sparkSession.sparkContext.broadcast((ranked_x, ranked_g))
+        joined = rare.join(x, "h").join(g.withColumnRenamed("x", "g"), "w").select("h", "w", "n", "total", "x", "g")
+        done = [x, g, *last]
+        ranked = saved(ranked.select("h", "w", "n", "total").mapInArrow(seat_ranked, cell))
+        rare = saved(joined.mapInArrow(seat_joined, cell))
+        cells = ranked.union(rare)
+        rooms, dishes = (
+            saved(base.where(~idle).select(key, F.col("single").alias("t")).union(cells.select(key, "t")).groupBy(key).agg(F.sum("t").alias("t")))
+            for base, key in ((restaurants, "h"), (roots, "w"))
+        )
+        last = [ranked, rare]
+        if sweep >= burn_in:
+            samples_of.append((rooms, dishes))
+            root_customers.append(at_root.idle_customers + (dishes.agg(F.sum("t")).first()[0] or 0))
+        else:
+            last += [rooms, dishes]
+        forget(*done)
+    final = []
+    for base, key, keep, side in ((restaurants, "h", "customers", 0), (roots, "w", "count", 1)):
+        each = None
+        for i, tables_of in enumerate(samples_of):
+            one = tables_of[side].select(key, F.lit(i).alias("i"), "t")
+            each = each.union(one) if each else one
+        each = each.groupBy(key).agg(F.array(*[F.sum(F.when(F.col("i") == i, F.col("t"))) for i in range(samples)]).alias("sampled"))
+        alone = F.array(*[F.col("single")] * samples)
+        final.append(saved(base.join(each, key, "left").select(key, keep, F.coalesce("sampled", alone).alias("sampled"))))
+    forget(restaurants, roots, *[t for pair in samples_of for t in pair])
     once = counted.where(~F.col("again")).select("h", "w", "n", F.lit(samples).cast("long").alias("tables"))
     return PitmanYor(
         once.union(cells.select("h", "w", "n", F.col("total").alias("tables"))),
-        restaurants.select("h", "customers", "sampled"),
-        roots.select("w", "count", "sampled"),
+        *final,
         ranks,
         types,
         at_root.tokens or 0,
@@ -276,7 +307,7 @@ def predictive(model: PitmanYor) -> tuple[DataFrame, DataFrame, Column]:
     return restaurants, roots, F.coalesce(own, F.lit(0.0)) + back
 
 
-def score(docs: DataFrame, model: PitmanYor, keep: dict[str, Column] | None = None, dense_pairs: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, model: PitmanYor, keep: dict[str, Column] | None = None, dense_pairs: int = 2_000_000, passes: int = 2) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score of each row, with the columns `keep`.
 
     score is the sum over a text's tokens of log10 of the predictive probability, which is
@@ -288,7 +319,9 @@ def score(docs: DataFrame, model: PitmanYor, keep: dict[str, Column] | None = No
 
     The probabilities of at most `dense_pairs` of the commonest pairs of ranked tokens are
     broadcast. All other tokens are joined to their cells by (history, token), to their
-    restaurant and to their root; what they add to their text is summed up.
+    restaurant and to their root; what they add to their text is summed up. That is done
+    in `passes` over the texts, a power of two, each for the pairs whose keys' lowest bits
+    differ alike, so that less lies on disk at once.
     """
     spark = docs.sparkSession
     restaurants, roots, p = predictive(model)
@@ -309,6 +342,7 @@ def score(docs: DataFrame, model: PitmanYor, keep: dict[str, Column] | None = No
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "text", *[c.alias(own[x]) for x, c in keep.items()])
     kinds = "".join(f", {x} {rows.schema[x].dataType.simpleString()}" for x in own.values())
     names = ["row", "h", "w", "n_tokens", "n_known", "base_score", "score", *own.values(), "kind"]
+    texts_kind, seen, out = -1, F.col("count").isNotNull(), None
 
     def look_up(batches):
         hashes, rank, pair, chance, base = shared.value
@@ -324,36 +358,41 @@ def score(docs: DataFrame, model: PitmanYor, keep: dict[str, Column] | None = No
                 both = common & (h >= 0)
                 dense[both] = place_of(pair, h[both] << 32 | w[both])
                 hit = dense < len(pair)
-                sums = [
-                    np.bincount(t.text, minlength=texts),
-                    np.bincount(t.text[common], minlength=texts),
-                    np.bincount(t.text[common], base[w[common]], texts),
-                    np.bincount(t.text[hit], chance[dense[hit]], texts),
-                ]
-                columns = [row, *[pa.nulls(texts, pa.int64())] * 2, *(pa.array(s.astype(k)) for s, k in zip(sums, (np.int64, np.int64, float, float))), *(part.column(c) for c in own.values())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(texts, -1, np.int32))], names=names)
+                if turn == 0:
+                    sums = [
+                        np.bincount(t.text, minlength=texts),
+                        np.bincount(t.text[common], minlength=texts),
+                        np.bincount(t.text[common], base[w[common]], texts),
+                        np.bincount(t.text[hit], chance[dense[hit]], texts),
+                    ]
+                    columns = [row, *[pa.nulls(texts, pa.int64())] * 2, *(pa.array(s.astype(k)) for s, k in zip(sums, (np.int64, np.int64, float, float))), *(part.column(c) for c in own.values())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(texts, texts_kind, np.int32))], names=names)
                 # The others, in the order of their keys: 0 of ranked tokens, 1 of a rare token, 2 of a rare history, 3 of both.
                 rest = np.flatnonzero(~hit)
+                rest = rest[(h[rest] ^ w[rest]) & (passes - 1) == turn]
                 rest = rest[np.lexsort((w[rest], h[rest]))]
                 kind = (w[rest] < 0) + 2 * (h[rest] < 0)
                 columns = [row.take(pa.array(t.text[rest])), pa.array(h[rest]), pa.array(w[rest]), *(pa.nulls(len(rest), k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), *(pa.nulls(len(rest), part.column(c).type) for c in own.values())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(kind.astype(np.int32))], names=names)
 
-    parts = saved(rows.mapInArrow(look_up, f"row long, h long, w long, n_tokens long, n_known long, base_score double, score double{kinds}, kind int"), partition_by="kind")
-    seen = F.col("count").isNotNull()
-    found = None
-    for kind in range(4):
-        some = parts.where(F.col("kind") == kind).select("row", "h", "w")
-        mine = model.cells.where(f"h {'<' if kind & 2 else '>='} 0 AND w {'<' if kind & 1 else '>='} 0")
-        some = some.join(mine, ["h", "w"], "left")
-        some = some.join(restaurants.where("h < 0") if kind & 2 else ranked[0], "h", "left")
-        some = some.join(roots.where("w < 0") if kind & 1 else ranked[1], "w", "left")
-        some = some.select("row", (seen & F.lit(bool(kind & 1))).cast("long").alias("n_known"), (F.log10((F.coalesce("count", F.lit(0)) + 1) / unit) if kind & 1 else F.lit(0.0)).alias("base_score"), F.log10(p).alias("score"))
-        found = found.union(some) if found else some
-    added = found.groupBy("row").agg(*[F.sum(c).alias(f"_{c}") for c in ("n_known", "base_score", "score")])
-    texts = parts.where("kind = -1").drop("h", "w", "kind").join(added, "row", "left")
-    plus = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
-    return texts.select(*[F.col(x).alias(c) for c, x in own.items()], "n_tokens", plus("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"), plus("base_score"), plus("score"))
+    for turn in range(passes):
+        parts = saved(rows.mapInArrow(look_up, f"row long, h long, w long, n_tokens long, n_known long, base_score double, score double{kinds}, kind int"), partition_by="kind")
+        found = None
+        for kind in range(4):
+            some = parts.where(F.col("kind") == kind).select("row", "h", "w")
+            mine = model.cells.where(f"h {'<' if kind & 2 else '>='} 0 AND w {'<' if kind & 1 else '>='} 0 AND (h ^ w) & {passes - 1} = {turn}")
+            some = some.join(mine, ["h", "w"], "left")
+            some = some.join(restaurants.where("h < 0") if kind & 2 else ranked[0], "h", "left")
+            some = some.join(roots.where("w < 0") if kind & 1 else ranked[1], "w", "left")
+            base_of = F.log10((F.coalesce("count", F.lit(0)) + 1) / unit) if kind & 1 else F.lit(0.0)
+            some = some.select("row", (seen & F.lit(bool(kind & 1))).cast("long").alias("n_known"), base_of.alias("base_score"), F.log10(p).alias("score"))
+            found = found.union(some) if found else some
+        added = found.groupBy("row").agg(*[F.sum(c).alias(f"_{c}") for c in ("n_known", "base_score", "score")])
+        plus = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
+        texts = out if turn else parts.where(F.col("kind") == texts_kind).drop("h", "w", "kind")
+        before, out = out, saved(texts.join(added, "row", "left").select("row", *own.values(), "n_tokens", plus("n_known"), plus("base_score"), plus("score")))
+        forget(parts, *([before] if turn else []))
+    return out.select(*[F.col(x).alias(c) for c, x in own.items()], "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def held_out(column: str = "doc_id") -> Column:
