@@ -14,6 +14,7 @@ from .functions import guards as G
 from .functions import windows as W
 from .operators import factors, indicators, rules, signals, tables
 from .oracles import FACTORS, composed
+from .plans.strategies import strategy
 from .sources import candles as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,7 +129,7 @@ register(
 )
 register("rule_trades", lambda c: rules.trades(rules.confirmed(_events(c))), "symbol grp buy_time entry~ buys sell_time exit~ pnl_pct~", "SELECT symbol, grp::BIGINT AS grp, buy_time, entry, buys, sell_time, exit, pnl_pct FROM trade_rows")
 register("rule_signals", rules.rule_signals, "symbol seq time kind price~ tags pnl_pct~", "SELECT * FROM rule_out")
-register("squeeze_trades", lambda c: rules.squeeze_trades(indicators.all_indicators(c)), "symbol time squeeze_buy squeeze_sell", None)
+register("squeeze_trades", lambda c: rules.squeeze_trades(indicators.all_indicators(c)), "symbol time squeeze_buy squeeze_sell", "SELECT * FROM sqz")
 
 # Factors
 for _f in FACTORS:
@@ -188,16 +189,16 @@ register("summary_factors", _factor_summary, "symbol valid_factors last_total~",
 register("tint_map", lambda c: tables.tints(rules.rule_signals(c)), "symbol time kind", "SELECT symbol, time, arg_max(kind, seq) AS kind FROM rule_out WHERE starts_with(tags, '买(') OR starts_with(tags, '卖(') GROUP BY symbol, time")
 register(
     "history_merge",
-    lambda c: tables.merged_history(c.where("i % 3 <> 0"), c.where("i >= 100").withColumn("close", -F.col("close"))),
+    lambda c: tables.merged_history(c.where("i < 200"), c.where("i >= 100").withColumn("close", -F.col("close"))),
     "symbol time close~",
-    "SELECT symbol, time, CASE WHEN i >= 100 THEN -close ELSE close END AS close FROM c WHERE i >= 100 OR i % 3 <> 0",
+    "SELECT symbol, time, CASE WHEN i >= 100 THEN -close ELSE close END AS close FROM c",
 )
 register(
     "nearest_bar",
-    lambda c: tables.nearest_bar(c.where("i % 7 = 0").select("symbol", (F.col("time") + 5000).alias("at")), c.where("i % 2 = 0")).withColumnRenamed("at", "asked"),
+    lambda c: tables.nearest_bar(c.select("symbol", (F.col("time") + 5000).alias("at")), c).withColumnRenamed("at", "asked"),
     "symbol asked near",
-    """SELECT q.symbol, q.asked, arg_min(b.time, (abs(b.time - q.asked), b.time)) AS near FROM (SELECT symbol, time + 5000 AS asked FROM c WHERE i % 7 = 0) q
-       JOIN c b ON b.symbol = q.symbol AND b.i % 2 = 0 GROUP BY q.symbol, q.asked""",
+    """SELECT q.symbol, q.asked, arg_min(b.time, (abs(b.time - q.asked), b.time)) AS near FROM (SELECT symbol, time + 5000 AS asked FROM c) q
+       JOIN c b ON b.symbol = q.symbol GROUP BY q.symbol, q.asked""",
 )
 register(
     "price_at_signal",
@@ -208,11 +209,55 @@ register(
 
 
 def _bundle(c: DataFrame) -> DataFrame:
-    made = tables.as_json(c.select("symbol", "time", "close"), {"signals": rules.rule_signals(c)})
-    return made.select("symbol", F.size(F.from_json("json", "candles array<struct<time: bigint>>, signals array<struct<seq: int>>")["candles"]).alias("bars"))
+    """The whole documents, read back: a row for each element of each list."""
+    read = "candles array<struct<time: bigint, close: double>>, signals array<struct<seq: int, time: bigint, kind: string, price: double>>"
+    made = tables.as_json(c.select("symbol", "time", "close"), {"signals": rules.rule_signals(c)}).select("symbol", F.from_json("json", read).alias("d"))
+    candle = made.select("symbol", F.lit("candles").alias("list"), F.posexplode("d.candles").alias("place", "x")).select("symbol", "list", "place", "x.time", F.lit(None).cast("string").alias("kind"), F.col("x.close").alias("value"))
+    signal = made.select("symbol", F.lit("signals").alias("list"), F.posexplode("d.signals").alias("place", "x")).select("symbol", "list", "place", "x.time", "x.kind", F.col("x.price").alias("value"))
+    return candle.union(signal)
 
 
-register("json_bundle", _bundle, "symbol bars", "SELECT symbol, count(*)::INTEGER AS bars FROM c GROUP BY symbol")
+register(
+    "json_bundle",
+    _bundle,
+    "symbol list place time kind value~",
+    "SELECT symbol, 'candles' AS list, i AS place, time, NULL::VARCHAR AS kind, close AS value FROM c UNION ALL SELECT symbol, 'signals', seq - 1, time, kind, price FROM rule_out",
+)
+
+
+def _cache_through(c: DataFrame) -> DataFrame:
+    """Stored are the bars up to place 300; symbols whose last event is younger than the time to live count as fresh."""
+    now = F.lit(1704270600)
+    meta = c.groupBy("symbol").agg(F.max("time").alias("fetched_at"), F.count("*").alias("day_count"))
+    return S.cached_or_fetched(c.where("i <= 300").drop("i", "n"), meta.withColumn("fetched_at", F.when(F.length("symbol") > 5, now - 60).otherwise(F.lit(0))), c.drop("i", "n"), now, 100)
+
+
+register(
+    "cache_through",
+    _cache_through,
+    "symbol time close~",
+    """SELECT symbol, time, close FROM c WHERE CASE WHEN length(symbol) > 5 AND n >= 100 THEN i <= 300 AND i > least(n - 1, 300) - 100 ELSE true END""",
+)
+
+
+def _strategies(c: DataFrame) -> DataFrame:
+    """Every output of each strategy: its rows, and how many symbols it has."""
+    out = None
+    for name in ("default", "factor", "turtle"):
+        for part, df in strategy(c.drop("i", "n"), name).items():
+            one = df.groupBy(F.lit(name).alias("strategy"), F.lit(part).alias("part")).agg(F.count("*").alias("rows"), F.countDistinct("symbol").alias("symbols"))
+            out = out.union(one) if out else one
+    return out
+
+
+_PARTS = {"indicators": "ind", "regime": "regimes", "rule_signals": "rule_out", "evals": "fe", "scores": "sc", "signals": "pr", "actions": "ta"}
+_OF = {"default": ("indicators", "regime", "rule_signals"), "factor": ("indicators", "regime", "rule_signals", "evals", "scores", "signals"), "turtle": ("indicators", "regime", "rule_signals", "evals", "scores", "actions")}
+register(
+    "strategy_outputs",
+    _strategies,
+    "strategy part rows symbols",
+    " UNION ALL ".join(f"SELECT '{name}' AS strategy, '{part}' AS part, count(*) AS rows, count(DISTINCT symbol) AS symbols FROM {_PARTS[part]}" for name, parts in _OF.items() for part in parts),
+)
 
 
 # Scalar functions and stores, on other tables
@@ -246,10 +291,10 @@ _other(
 _other(
     "cache_upsert",
     lambda s, d: S.upserted(
-        table(s, d, "orders").where("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("symbol")).agg(F.max("o_orderkey").alias("fetched_at"), F.count("*").alias("day_count")),
-        table(s, d, "orders").where("o_orderkey % 3 = 1").groupBy(F.col("o_custkey").alias("symbol")).agg(F.max("o_orderkey").alias("fetched_at"), F.count("*").alias("day_count")),
+        table(s, d, "orders").where("o_orderdate < '1998-04-01'").groupBy(F.col("o_custkey").alias("symbol")).agg(F.max("o_orderkey").alias("fetched_at"), F.count("*").alias("day_count")),
+        table(s, d, "orders").where("o_orderdate >= '1998-04-01'").groupBy(F.col("o_custkey").alias("symbol")).agg(F.max("o_orderkey").alias("fetched_at"), F.count("*").alias("day_count")),
     ),
-    """SELECT symbol, fetched_at, day_count FROM (SELECT o_custkey AS symbol, o_orderkey % 3 AS part, max(o_orderkey) AS fetched_at, count(*) AS day_count FROM orders WHERE o_orderkey % 3 < 2 GROUP BY ALL)
+    """SELECT symbol, fetched_at, day_count FROM (SELECT o_custkey AS symbol, (o_orderdate >= '1998-04-01')::INTEGER AS part, max(o_orderkey) AS fetched_at, count(*) AS day_count FROM orders WHERE o_orderdate IS NOT NULL GROUP BY ALL)
        QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY fetched_at DESC, part DESC) = 1""",
 )
 _other(

@@ -144,8 +144,8 @@ def paired(signals: DataFrame, closes: DataFrame | None = None) -> DataFrame:
         rows = rows.withColumn("_exit", F.coalesce("_close", "price")).drop("_close")
     else:
         rows = rows.withColumn("_exit", F.col("price"))
-    order = Window.partitionBy("symbol").orderBy("seq")
-    exit_ = F.first(F.when(F.col("kind") == "Sell", F.col("_exit")), True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    backwards = Window.partitionBy("symbol").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
+    exit_ = F.last(F.when(F.col("kind") == "Sell", F.col("_exit")), True).over(backwards)
     pnl = F.when(F.col("kind") == "Buy", F.try_divide(exit_ - F.col("price"), F.col("price")) * 100)
     return rows.withColumn("pnl_pct", pnl).drop("_exit")
 

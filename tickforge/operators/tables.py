@@ -21,16 +21,17 @@ def merged_series(older: DataFrame, newer: DataFrame, series: list[str], key: tu
 def nearest_bar(asked: DataFrame, bars: DataFrame) -> DataFrame:
     """Adds near, the time of the symbol's bar that is nearest to `at`, the earlier of two; null for a symbol without bars.
 
-    Both sides are put in one order by symbol and time; the bars before and after a
-    question are the last and the next ones in it, so there is no join of ranges.
+    Both sides are put in one order by symbol and time; the bar before a question is the
+    last one in it, the bar after it the last one in the reverse order. Both frames grow
+    by a row at a time, so the work is linear and there is no join of ranges.
     """
     asked = asked.withColumn("_n", F.monotonically_increasing_id())
     rows = asked.select("symbol", F.col("at").alias("_t"), F.lit(None).cast("long").alias("_bar"), F.struct(*asked.columns).alias("_q")).unionByName(
         bars.select("symbol", F.col("time").alias("_t"), F.col("time").alias("_bar")), allowMissingColumns=True
     )
-    order = Window.partitionBy("symbol").orderBy("_t", F.col("_bar").isNull())
-    was = F.last("_bar", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    comes = F.first("_bar", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    asks = F.col("_bar").isNull()
+    upto = lambda *order: F.last("_bar", True).over(Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    was, comes = upto("_t", asks), upto(F.desc("_t"), asks.desc())
     rows = rows.withColumns({"_b": was, "_a": comes}).where("_q IS NOT NULL")
     nearer = F.when(F.col("_b").isNull() | (F.col("_a") - F.col("_t") < F.col("_t") - F.col("_b")), F.col("_a")).otherwise(F.col("_b"))
     return rows.select("_q.*", nearer.alias("near")).drop("_n")

@@ -112,6 +112,22 @@ CTES["ind"] = """
     lag(dif) OVER b AS pdif, lag(dea) OVER b AS pdea, lag(bar) OVER b AS pbar
   FROM bb JOIN kc USING (symbol, i) JOIN md USING (symbol, i) JOIN kdj USING (symbol, i) WINDOW b AS (PARTITION BY bb.symbol ORDER BY bb.i)"""
 
+CTES["sqi"] = """
+  SELECT symbol, time, i, close, bb_middle, coalesce(i >= 50 AND bb_upper IS NOT NULL AND kc_upper IS NOT NULL, false) AS ready,
+    coalesce(bw < 0.85::DOUBLE * sum(bw) OVER (PARTITION BY symbol ORDER BY i ROWS 19 PRECEDING) / 20, false) AS squeezed,
+    coalesce(close > bb_upper AND volume > 2 * avg(volume) OVER (PARTITION BY symbol ORDER BY i ROWS 4 PRECEDING)
+      AND volume > list_sort(list(volume) OVER (PARTITION BY symbol ORDER BY i ROWS 19 PRECEDING))[14 + 1], false) AS surge,
+    coalesce(max((close <= bb_upper)::INTEGER) OVER (PARTITION BY symbol ORDER BY i ROWS 4 PRECEDING) = 1, false) AS pulled,
+    coalesce(pk >= pd AND k < d, false) OR coalesce(pdif >= pdea AND dif < dea, false) AS death, 0.75::DOUBLE * (kc_upper - kc_middle) AS stop
+  FROM (SELECT *, (bb_upper - bb_lower) / bb_middle AS bw FROM ind)"""
+CTES["sqm"] = """
+  SELECT symbol, time, i, false AS buys, false AS sells, NULL::DOUBLE AS highest FROM sqi WHERE i = 0
+  UNION ALL
+  SELECT symbol, time, i, surge AND starts, sells, CASE WHEN surge AND starts THEN greatest(close, held) ELSE held END
+  FROM (SELECT *, CASE WHEN sells THEN NULL ELSE highest END AS held, ready AND CASE WHEN sells OR highest IS NULL THEN squeezed ELSE pulled END AS starts
+    FROM (SELECT q.*, r.highest, q.ready AND r.highest IS NOT NULL AND coalesce(q.close < q.bb_middle OR q.close < r.highest - q.stop OR q.death, false) AS sells
+      FROM sqm r JOIN sqi q ON q.symbol = r.symbol AND q.i = r.i + 1))"""
+CTES["sqz"] = "  SELECT symbol, time, buys AS squeeze_buy, sells AS squeeze_sell FROM sqm"
 
 def _count(*conditions: str) -> str:
     return " + ".join(f"coalesce(({c})::INTEGER, 0)" for c in conditions)
