@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_of_id, forget, load, mix, saved, split_words
+from .common import chunks, crc_of_id, forget, load, mix, release, saved, split_words
 from .seating import Tables, gammas, uniforms
 
 #: The hash of the end token; no word can be a line feed.
@@ -307,7 +307,7 @@ def predictive(model: PitmanYor) -> tuple[DataFrame, DataFrame, Column]:
     return restaurants, roots, F.coalesce(own, F.lit(0.0)) + back
 
 
-def score(docs: DataFrame, model: PitmanYor, keep: dict[str, Column] | None = None, dense_pairs: int = 2_000_000, passes: int = 2) -> DataFrame:
+def score(docs: DataFrame, model: PitmanYor, keep: dict[str, Column] | None = None, dense_pairs: int = 1 << 20, passes: int = 2) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score of each row, with the columns `keep`.
 
     score is the sum over a text's tokens of log10 of the predictive probability, which is
@@ -336,7 +336,8 @@ def score(docs: DataFrame, model: PitmanYor, keep: dict[str, Column] | None = No
     base = np.zeros(len(model.ranks.hashes))
     base[counts.column("w").to_numpy()] = np.log10((counts.column("count").to_numpy() + 1) / unit)
     shared = spark.sparkContext.broadcast((model.ranks.hashes, model.ranks.rank, pair, chance, base))
-    del top, counts, by
+    del top, counts, by, pair, chance, base
+    release()
     keep = keep or {c: F.col(c) for c in docs.columns}
     own = {c: f"_keep{i}" for i, c in enumerate(keep)}
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "text", *[c.alias(own[x]) for x, c in keep.items()])
