@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -74,11 +75,27 @@ def test_large_groups_of_one_key():
     f = rng.integers(0, 2**63, (5000, 2), dtype=np.uint64)
     f[:, 1] = 0
     f[1::5, 0] = f[0::5, 0] ^ np.uint64(0b1011)
-    a, b = links(np.zeros(5000, np.int64), f, 4, 64)
+    a, b = links(np.zeros(5000, np.int64), f, 4)
     node, root = forest(a, b)
     assert dict(zip(node.tolist(), root.tolist())) == {i + 1: i for i in range(0, 5000, 5)}
 
 
+def test_a_large_group_without_links_is_cut():
+    rng = np.random.default_rng(0)
+    f = np.zeros((100_000, 2), np.uint64)
+    f[:, 0] = rng.integers(0, 1 << 43, len(f)).astype(np.uint64)
+    f[1::1000, 0] = f[::1000, 0] ^ np.uint64(0b1011 << 20)
+    began = time.time()
+    a, b = links(np.zeros(len(f), np.int64), f, 4)
+    assert time.time() - began < 60
+    assert (np.bitwise_count(f[a, 0] ^ f[b, 0]) <= 4).all() and {(x, x + 1) for x in range(0, len(f), 1000)} <= set(zip(a.tolist(), b.tolist()))
+    some = f[:6000] & np.uint64((1 << 20) - 1)
+    near = np.argwhere(np.bitwise_count(some[:, None, 0] ^ some[None, :, 0]) <= 2)
+    near = near[near[:, 0] < near[:, 1]]
+    for x, y in zip(forest(*links(np.zeros(len(some), np.int64), some, 2)), forest(near[:, 0], near[:, 1])):
+        assert (x == y).all()
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 300)] + [(7, 7), (500, 499)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

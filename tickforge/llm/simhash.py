@@ -19,7 +19,7 @@ BLOCK = 1 << 18
 SMALL = 32
 #: A column that numbers the rows of documents, whose own columns are not called so.
 ROW = "_tickforge_row"
-#: Groups over this size are cut by the parts of which two linked fingerprints share one.
+#: Groups up to this size are compared as a whole; larger ones are cut by the parts of which two linked fingerprints share one.
 LARGE = 2048
 
 
@@ -89,21 +89,44 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
+def bits_at(f: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The bits of (n, halves) fingerprints at the given places, as one number each."""
+    value = np.zeros(len(f), np.uint64)
+    for p in places:
+        value = (value << np.uint64(1)) | ((f[:, p >> 6] >> np.uint64(p & 63)) & np.uint64(1))
+    return value
+
+
 def _spread(f: np.ndarray, most: int, linked: list) -> None:
     """Adds pairs of indices that join all that is linked within `f`.
 
-    Breadth first, which takes a dense group in few steps; once several fingerprints
-    had no link, the rest (if no more than LARGE) is compared as a whole.
+    Breadth first, which takes a dense group in few steps. Once several fingerprints
+    had no link, no more than LARGE that are left are compared as a whole; more are cut:
+    the bits in which they differ at all fall into most + 1 parts, and linked ones are
+    alike in one part, so groups of one part's values are worked on in turn.
     """
     left, misses = np.arange(len(f)), 0
     while len(left):
-        if misses >= 8 and len(left) <= LARGE:
+        if misses >= 8:
             rest = f[left]
-            near = np.bitwise_count(rest[:, None, 0] ^ rest[None, :, 0])
-            if f.shape[1] > 1 and rest[:, 1].any():
-                near = near + np.bitwise_count(rest[:, None, 1] ^ rest[None, :, 1])
-            a, b = np.nonzero(near <= most)
-            linked.append((left[a[a < b]], left[b[a < b]]))
+            if len(left) <= LARGE:
+                near = np.bitwise_count(rest[:, None, 0] ^ rest[None, :, 0])
+                if f.shape[1] > 1 and rest[:, 1].any():
+                    near = near + np.bitwise_count(rest[:, None, 1] ^ rest[None, :, 1])
+                a, b = np.nonzero(near <= most)
+                linked.append((left[a[a < b]], left[b[a < b]]))
+                return
+            differs = np.bitwise_or.reduce(rest ^ rest[0], axis=0)
+            places = np.flatnonzero([int(differs[p >> 6]) >> (p & 63) & 1 for p in range(64 * f.shape[1])])
+            for part in np.array_split(places, most + 1):
+                value = bits_at(rest, part)
+                by = np.argsort(value, kind="stable")
+                edge = np.r_[np.flatnonzero(np.r_[True, value[by][1:] != value[by][:-1]]), len(by)]
+                for x, y in zip(edge, edge[1:]):
+                    if y - x > 1:
+                        found: list = []
+                        _spread(rest[by[x:y]], most, found)
+                        linked += [(left[by[x:y][a]], left[by[x:y][b]]) for a, b in found]
             return
         misses += 1
         queue, left = [left[0]], left[1:]
@@ -118,8 +141,8 @@ def _spread(f: np.ndarray, most: int, linked: list) -> None:
                 left = left[~near]
 
 
-def links(key: np.ndarray, f: np.ndarray, most: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of indices that join all that is linked inside runs of one key; linear in the rows, not all pairs."""
+def links(key: np.ndarray, f: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of indices that join all that is linked inside runs of one key, not all pairs."""
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
     out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -131,21 +154,9 @@ def links(key: np.ndarray, f: np.ndarray, most: int, bits: int) -> tuple[np.ndar
         i = i[distance(f[i], f[i + d]) <= most]
         out.append((i, i + d))
     for s, n in zip(start[size > SMALL], size[size > SMALL]):
-        own = f[s : s + n]
-        if n <= LARGE:
-            found: list = []
-            _spread(own, most, found)
-            out += [(a + s, b + s) for a, b in found]
-            continue
-        for a, w in cut(bits, most + 1):
-            value = field(own, a, w)
-            by = np.argsort(value, kind="stable")
-            edge = np.r_[np.flatnonzero(np.r_[True, value[by][1:] != value[by][:-1]]), n]
-            for x, y in zip(edge, edge[1:]):
-                if y - x > 1:
-                    found = []
-                    _spread(own[by[x:y]], most, found)
-                    out += [(by[x:y][a] + s, by[x:y][b] + s) for a, b in found]
+        found: list = []
+        _spread(f[s : s + n], most, found)
+        out += [(a + s, b + s) for a, b in found]
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
@@ -197,7 +208,7 @@ def linked_fingerprints(nodes: DataFrame, max_bits: int, segments: int, bits: in
         rows = 0
 
         def verify(x: np.ndarray):
-            a, b = links(x[:, 0], x[:, 2:].view(np.uint64), max_bits, bits)
+            a, b = links(x[:, 0], x[:, 2:].view(np.uint64), max_bits)
             if len(a):
                 a, b = forest(x[a, 1], x[b, 1])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -256,6 +267,7 @@ def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
+    """Every document's 64-bit fingerprint of 4-word shingles and its component over links of 4 bits or fewer."""
     return near_duplicates(load(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id"
     )
