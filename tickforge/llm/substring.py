@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .common import chunks, hash_words, inside, joined_words, load, numbered, rolling_hash, saved, split_words
 
 #: Bits of a coordinate that hold the place of a word in its document.
-PLACE = 24
+PLACE = 26
+#: Spans of one source document that are read together.
+SPANS = 10_000
 LAST = (1 << 63) - 1
 
 
@@ -62,7 +64,11 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 10, keep: tu
     3. Joined to their sources, a document's neighbouring edges whose sources are
        neighbours too have no branch between them, and compact to one path.
     4. A path's source span is read at its coordinates, and its hash handed on, so that
-       the passage itself can be compared.
+       the passage itself can be compared. A source that is asked for many spans is read
+       once for each SPANS of them.
+
+    Windows and anchors are counted before they are shuffled, and the joins by them leave
+    Spark free to split a window that very many documents share.
     """
     id_key = F.coalesce(F.col("doc_id"), F.lit(LAST))
     keyed = docs.select(
@@ -105,6 +111,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 10, keep: tu
                 grams, chosen, whole = anchors(each, count, anchor, window)
                 if not whole.any():
                     continue
+                if count.max() > 1 << PLACE:
+                    raise ValueError(f"a document has {count.max()} words; places hold {1 << PLACE}")
                 first = np.cumsum(count) - count
                 lists = part.column("places")
                 sizes = np.diff(lists.offsets.to_numpy())
@@ -128,10 +136,10 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 10, keep: tu
                 yield pa.RecordBatch.from_arrays([_signed(hashes[alone]), pa.array(coordinate[alone]), lists], names=["h", "at", "more"])
 
     candidates = places.join(order, "u").select("u", "id_key", "ord", "places")
-    edge = texts.join(candidates.hint("shuffle_hash"), ["u", "id_key"]).select("ord", "places", *texts.columns).mapInArrow(edges, "h long, at long, more array<long>").repartition("h")
+    edge = texts.join(candidates, ["u", "id_key"]).select("ord", "places", *texts.columns).mapInArrow(edges, "h long, at long, more array<long>")
     source = edge.groupBy("h").agg(F.min("at").alias("source"), F.max("at").alias("last"))
     source = source.where(F.shiftright("source", PLACE) != F.shiftright("last", PLACE)).select("h", "source")
-    repeats = edge.join(source.hint("shuffle_hash"), "h").where(F.shiftright("source", PLACE) != F.shiftright("at", PLACE))
+    repeats = edge.join(source, "h").where(F.shiftright("source", PLACE) != F.shiftright("at", PLACE))
     places_of = F.when(F.col("more").isNull(), F.array("at")).otherwise(F.concat(F.array("at"), "more"))
     repeats = repeats.select(F.explode(places_of).alias("at"), "source")
 
@@ -156,7 +164,10 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 10, keep: tu
     source_of = order.select(F.col("u").alias("source_u"), F.col("id_key").alias("source_id"), F.col("ord").alias("source_ord"))
     paths = paths.join(source_of, "source_ord")
     asked = paths.select(F.col("source_u").alias("u"), F.col("source_id").alias("id_key"), F.struct(F.col("source_start").alias("start"), "words").alias("s"))
-    asked = asked.groupBy("u", "id_key").agg(F.collect_set("s").alias("spans"))
+    asked = asked.distinct()
+    slices = F.ceil(F.count("*") / SPANS).alias("slices")
+    asked = asked.join(asked.groupBy("u", "id_key").agg(slices), ["u", "id_key"])
+    asked = asked.groupBy("u", "id_key", F.pmod(F.xxhash64("s"), F.col("slices")).alias("slice")).agg(F.collect_list("s").alias("spans"))
 
     def read(batches):
         for batch in batches:
@@ -171,7 +182,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 10, keep: tu
                 kinds = [pa.int64()] * 4 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
-    asked_texts = texts.join(asked.hint("shuffle_hash"), ["u", "id_key"]).select("spans", *texts.columns)
+    asked_texts = texts.join(asked, ["u", "id_key"]).select("spans", *texts.columns)
     digests = asked_texts.mapInArrow(read, "source_u long, source_id long, source_start long, words long, digest binary").distinct()
     spans = (
         paths.join(digests, ["source_u", "source_id", "source_start", "words"])
@@ -197,7 +208,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 10, keep: tu
 
     A null or empty text has no words; texts shorter than the window lose none. A null
     doc_id counts as larger than all others. Rows that share a doc_id do not repeat each
-    other; equal rows are treated alike. A document may hold up to 2^24 words. Other
+    other; equal rows are treated alike. A document of over 2^26 words is an error. Other
     columns are not read. No rows give no rows.
     """
     texts, spans = repeated_spans(docs, window, anchor, keep)
@@ -224,12 +235,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 10, keep: tu
                     names=["doc_id", "n_words", "n_removed", "kept", *keep],
                 )
 
-    joined = texts.join(spans.hint("shuffle_hash"), ["u", "id_key"], "left").select("spans", *texts.columns)
+    joined = texts.join(spans, ["u", "id_key"], "left").select("spans", *texts.columns)
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return joined.mapInArrow(strip, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept string{kinds}")
 
 
 def op5_substring(spark, sf_dir: str) -> DataFrame:
+    """Every document's words, how many of them repeat a window of a document with a smaller id, and the rest's SHA-256."""
     kept = remove_repeats(load(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
