@@ -27,6 +27,17 @@ def test_against_brute_force(spark):
     assert sorted(map(tuple, got)) == brute(as32, 7)
 
 
+def test_products_that_overflow(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.choice([0, 100, 160, -200])).tolist()) for i in range(200)]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 3 == 0, 5, query_block=30, candidate_block=40).collect()
+    with np.errstate(all="ignore"):
+        best = {i: sorted(((float(np.cumsum(np.array(v) * np.array(w))[-1]), j) for j, w in rows if j != i), key=lambda x: (np.isnan(x[0]), -x[0], x[1]))[:5] for i, v in rows if i % 3 == 0}
+    for i, want in best.items():
+        mine = sorted((r.rank, r.score, r.vec_id) for r in got if r.query_id == i)
+        assert [m[2] for m in mine] == [j for _, j in want] and np.allclose([m[1] for m in mine], [s for s, _ in want], equal_nan=True)
+
+
 def test_no_vectors(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 2 == 0).collect() == []
 

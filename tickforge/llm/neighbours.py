@@ -60,7 +60,8 @@ def tile(q: np.ndarray, q_row: np.ndarray, c: np.ndarray, c_row: np.ndarray, c_i
         e = s + ROWS
         near = (qc[s:e].astype(kind) @ right.astype(kind, copy=False)).astype(np.float64) * qs[s:e, None] * cs
         bound = (np.outer(qe[s:e], c_length) + np.outer(qn[s:e], ce)) * (1 + 1e-9) + 1e-300
-        low, high = near - bound, near + bound
+        # Products or lengths that overflow leave no bound: such candidates survive.
+        low, high = np.nan_to_num(near - bound, nan=-np.inf, posinf=np.inf, neginf=-np.inf), np.nan_to_num(near + bound, nan=np.inf, posinf=np.inf, neginf=-np.inf)
         own = q_row[s:e, None] == c_row
         low[own] = high[own] = -np.inf
         if len(c) > k:
@@ -98,7 +99,8 @@ def nearest(
     Ties go to the smaller vec_id. Vectors that are null, zero, empty or hold null or
     non-finite components take no part; those of another dimension than a query's are
     no candidates for it. Rows that share a vec_id are rows of their own. With fewer
-    candidates all are returned; no usable rows give no rows.
+    candidates all are returned; no usable rows give no rows. Sums that overflow are
+    infinite scores; sums of opposite infinities are no numbers and come last.
     """
     rows = saved(
         vectors.where(usable(F.col(vector_col)))
@@ -150,6 +152,7 @@ def nearest(
 
 
 def op6_neighbours(spark, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all vectors to each whose vec_id is divisible by 20."""
     return nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
