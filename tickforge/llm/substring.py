@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, hash_words, inside, joined_words, load, numbered, rolling_hash, saved, split_words
+from .common import chunks, forget, hash_words, inside, joined_words, load, numbered, rolling_hash, saved, split_words
 
 #: Bits of a coordinate that hold the place of a word in its document.
 PLACE = 26
@@ -160,6 +160,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 10, keep: tu
     )
     paths = paths.join(order, "ord").where(F.col("source_ord") < F.col("first")).select("u", "id_key", "start", "words", "source_ord", "source_start")
     paths = saved(paths)
+    del edge, source, repeats, candidates, shared
+    forget(marks, places)
 
     source_of = order.select(F.col("u").alias("source_u"), F.col("id_key").alias("source_id"), F.col("ord").alias("source_ord"))
     paths = paths.join(source_of, "source_ord")
