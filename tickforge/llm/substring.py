@@ -138,7 +138,9 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 10, keep: tu
     candidates = places.join(order, "u").select("u", "id_key", "ord", "places")
     edge = texts.join(candidates, ["u", "id_key"]).select("ord", "places", *texts.columns).mapInArrow(edges, "h long, at long, more array<long>")
     source = edge.groupBy("h").agg(F.min("at").alias("source"), F.max("at").alias("last"))
-    source = source.where(F.shiftright("source", PLACE) != F.shiftright("last", PLACE)).select("h", "source")
+    source = saved(source.where(F.shiftright("source", PLACE) != F.shiftright("last", PLACE)).select("h", "source"))
+    del shared
+    forget(marks)
     repeats = edge.join(source, "h").where(F.shiftright("source", PLACE) != F.shiftright("at", PLACE))
     places_of = F.when(F.col("more").isNull(), F.array("at")).otherwise(F.concat(F.array("at"), "more"))
     repeats = repeats.select(F.explode(places_of).alias("at"), "source")
@@ -160,8 +162,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 10, keep: tu
     )
     paths = paths.join(order, "ord").where(F.col("source_ord") < F.col("first")).select("u", "id_key", "start", "words", "source_ord", "source_start")
     paths = saved(paths)
-    del edge, source, repeats, candidates, shared
-    forget(marks, places)
+    del edge, repeats, candidates
+    forget(source, places)
 
     source_of = order.select(F.col("u").alias("source_u"), F.col("id_key").alias("source_id"), F.col("ord").alias("source_ord"))
     paths = paths.join(source_of, "source_ord")
