@@ -3,6 +3,7 @@ import re
 
 import duckdb
 
+from tickforge.llm.common import CHUNK_BYTES
 from tickforge.llm.decontaminate import OP10_SQL, contained_items, decontaminate, op10_decontamination
 
 from .helpers import documents, lower_az
@@ -47,8 +48,8 @@ def expected(docs, items):
 def test_against_brute_force(spark):
     docs, items = case()
     bench = spark.createDataFrame([(i, t, 9) for i, t in items], "item_id long, text string, doc_id int")
-    for pass_bytes in (1 << 24, 900):
-        got = contained_items(documents(spark, docs), bench, pass_bytes=pass_bytes).collect()
+    for filter_bits in (28, 8):  # with 256 bits nearly all minima pass the filter
+        got = contained_items(documents(spark, docs), bench, filter_bits=filter_bits).collect()
         assert sorted((r.doc_id if r.doc_id is not None else -1, *tuple(r)[1:]) for r in got) == expected(docs, items)
     bad = {d for d, *_ in expected(docs, items)}
     clean = decontaminate(documents(spark, docs), bench)
@@ -56,6 +57,19 @@ def test_against_brute_force(spark):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(d for d, _ in docs if d is not None and d not in bad)
 
 
+def test_very_long_text_and_many_copies_of_an_item(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    items = [(1, text(40)), (2, text(70)), (2, text(70)), (3, text(900))]
+    whole = " ".join([text(300_000), items[3][1], text(400_000), items[0][1], text(1000)])
+    assert len(whole) > CHUNK_BYTES
+    docs = [(1, whole), (2, text(50)), *[(i, text(30) + " " + items[1][1]) for i in range(3, 40)]]
+    bench = spark.createDataFrame(items + items[1:2], "item_id long, text string")
+    got = contained_items(documents(spark, docs), bench).collect()
+    assert sorted(map(tuple, got)) == expected(docs, items + items[1:2])
+    assert [r.doc_id for r in decontaminate(documents(spark, docs), bench).collect()] == [2]
+
+
 def test_empty_sides(spark):
     docs, items = case()
     none = spark.createDataFrame([], "item_id long, text string")

@@ -1,6 +1,6 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly."""
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast, chunks, hash_words, inside, load, mix, rolling_hash, split_words
+from .common import chunks, forget, hash_words, inside, load, mix, rolling_hash, saved, split_words
 
 #: Everything but ASCII letters and digits and non-ASCII characters separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,91 +42,178 @@ def shingles(words: list[str], k: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
-@dataclass
-class Items:
-    """One block of test items: their shingles, and for each size class the MinHash values to look up."""
-
-    ids: list
-    sets: list[set]
-    classes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
-
-
 def permutations(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     return rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
-def index_items(ids: list, texts: pa.Array, k: int, perms: int) -> Items:
-    """MinHash of each item; items are partitioned by size, class c holding those of 2^(c-1) to 2^c - 1 shingles."""
-    words, count = content_words(texts)
-    hashes, n = shingle_hashes(words, count, k)
-    start, first = np.cumsum(n) - n, np.cumsum(count) - count
-    items = Items(ids, [shingles(words[int(a) : int(a + c)].to_pylist(), k) for a, c in zip(first, count)])
-    factor, shift = permutations(perms)
-    members: dict[int, list[int]] = {}
-    for i in np.flatnonzero(n):
-        members.setdefault(int(n[i]).bit_length(), []).append(int(i))
-    for c, own in members.items():
-        tables = []
-        for m, a in zip(factor, shift):
-            low = np.array([((hashes[start[i] : start[i] + n[i]] >> np.uint64(32)).astype(np.uint32) * m + a).min() for i in own])
-            by = np.argsort(low, kind="stable")
-            tables.append((low[by], np.array(own)[by]))
-        items.classes[c] = tables
-    return items
-
-
-def search(texts: pa.Array, items: Items, k: int, threshold: float, perms: int) -> list[tuple[int, int, int]]:
-    """(text, item, shared shingles) of all pairs found in which the text holds the share `threshold` of the item."""
-    words, count = content_words(texts)
-    hashes, n = shingle_hashes(words, count, k)
+def keys_of(least: np.ndarray, size_class: np.ndarray | int, permutation: int) -> np.ndarray:
+    """A 64-bit key for each MinHash value of a size class under a permutation; no two have the same."""
+    rest = np.asarray(size_class).astype(np.uint64) | np.uint64(permutation << 6)
+    return mix(least.astype(np.uint64) | rest << np.uint64(32))
+
+
+def item_keys(texts: pa.Array, k: int, perms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, size class, key) of each item's minima; class c holds the items of 2^(c-1) to 2^c - 1 shingles."""
+    hashes, n = shingle_hashes(*content_words(texts), k)
+    own = np.flatnonzero(n)
+    if not len(own):
+        return own, own, np.zeros(0, np.uint64)
+    base, start = (hashes >> np.uint64(32)).astype(np.uint32), (np.cumsum(n) - n)[own]
+    classes = np.frexp(n[own].astype(np.float64))[1]
+    keys = [keys_of(np.minimum.reduceat(base * m + a, start), classes, p) for p, (m, a) in enumerate(zip(*permutations(perms)))]
+    return np.tile(own, perms), np.tile(classes, perms), np.concatenate(keys)
+
+
+@dataclass(frozen=True)
+class Index:
+    """The items' minima, and what a document's minima are tried against before they are joined to them."""
+
+    items: DataFrame  # item, item_id, text
+    minima: DataFrame  # item, key
+    classes: list[int]  # those that have items
+    bits: np.ndarray  # a Bloom filter of the keys
+
+
+#: Bits of the filter that a key sets.
+PROBES = 3
+
+
+def probed(keys: np.ndarray, size: int) -> list[np.ndarray]:
+    """The bits of a filter of `size` (a power of two) bits that stand for each key."""
+    step = keys >> np.uint64(32) | np.uint64(1)
+    return [keys + np.uint64(i) * step & np.uint64(size - 1) for i in range(PROBES)]
+
+
+def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of the keys that may be in the filter."""
+    at = np.arange(len(keys))
+    for i in range(PROBES):
+        place = probed(keys[at], len(bits) * 64)[i]
+        at = at[bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1) > 0]
+    return at
+
+
+def index(benchmark: DataFrame, k: int, perms: int, filter_bits: int) -> Index:
+    """Minima of all items, computed and kept by Spark; the driver gets 2^filter_bits bits of their filter at most."""
+    text = F.coalesce("text", F.lit("")).alias("text")
+    items = saved(benchmark.select(F.monotonically_increasing_id().alias("item"), "item_id", text))
+
+    def sketch(batches):
+        for batch in batches:
+            for part in chunks(batch):
+                own, classes, keys = item_keys(part.column("text"), k, perms)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("item").take(pa.array(own)), pa.array(classes.astype(np.int32)), pa.array(keys.view(np.int64))],
+                    names=["item", "class", "key"],
+                )
+
+    minima = saved(items.select("item", "text").mapInArrow(sketch, "item long, class int, key long"))
+    classes = sorted(r[0] for r in minima.select("class").distinct().collect())
+    words = max(1, min(1 << filter_bits, 1 << (16 * minima.count()).bit_length()) // 64)
+
+    def set_bits(batches):
+        for batch in batches:
+            place = np.unique(np.concatenate(probed(batch.column("key").to_numpy().view(np.uint64), words * 64)))
+            word, first = np.unique(place >> np.uint64(6), return_index=True)
+            mask = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), first) if len(place) else place
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(mask.view(np.int64))], names=["word", "mask"])
+
+    masks = minima.select("key").mapInArrow(set_bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bits = np.zeros(words, np.uint64)
+    bits[masks.column("word").to_numpy()] = masks.column("mask").to_numpy().view(np.uint64)
+    return Index(items, minima.select("item", "key"), classes, bits)
+
+
+def window_keys(texts: pa.Array, classes: list[int], bits: np.ndarray, k: int, perms: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of the texts' window minima that may be an item's."""
+    hashes, n = shingle_hashes(*content_words(texts), k)
     if not len(hashes):
-        return []
-    base = (hashes >> np.uint64(32)).astype(np.uint32)
-    start = np.cumsum(n) - n
-    factor, shift = permutations(perms)
-    pairs: set[tuple[int, int]] = set()
-    for c, tables in items.classes.items():
-        step = 1 << c  # at least the item's shingles, so that it lies in two neighbouring blocks
-        blocks = -(-n // step)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    base, start = (hashes >> np.uint64(32)).astype(np.uint32), np.cumsum(n) - n
+    blocks_of = {}
+    for c in classes:
+        # Blocks have at least an item's shingles, so that it lies in two neighbouring ones.
+        blocks = -(-n >> c) if c < 62 else np.minimum(n, 1)
         text = np.repeat(np.arange(len(n)), blocks)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        at = start[text] + nth * step
-        last = (start + n)[text] - 1
-        block = base[np.minimum(at + np.arange(step)[:, None], last)]  # the last block is filled with its last shingle
-        next_ = np.r_[text[1:] == text[:-1], False]
-        for (low, own), m, a in zip(tables, factor, shift):
-            least = (block * m + a).min(axis=0)
+        blocks_of[c] = text, start[text] + (nth << c), np.flatnonzero(text[1:] == text[:-1])
+    found_text, found = [], []
+    for p, (m, a) in enumerate(zip(*permutations(perms))):
+        value = base * m + a
+        for c, (text, at, followed) in blocks_of.items():
+            least = np.minimum.reduceat(value, at)
             window = least.copy()
-            window[:-1] = np.where(next_[:-1], np.minimum(least[:-1], least[1:]), least[:-1])
-            seen = np.zeros(1 << 16, bool)
-            seen[low & np.uint32(0xFFFF)] = True
-            maybe = np.flatnonzero(seen[window & np.uint32(0xFFFF)])
-            left, right = np.searchsorted(low, window[maybe]), np.searchsorted(low, window[maybe], side="right")
-            for w, x, y in zip(maybe[right > left], left[right > left], right[right > left]):
-                pairs.update((int(text[w]), int(i)) for i in own[x:y])
-    out, first, cached = [], np.cumsum(count) - count, (-1, set())
-    for t, i in sorted(pairs):
-        if cached[0] != t:
-            cached = t, shingles(words[int(first[t]) : int(first[t] + count[t])].to_pylist(), k)
-        shared = len(items.sets[i] & cached[1])
-        if shared >= threshold * len(items.sets[i]):
-            out.append((t, i, shared))
+            window[followed] = np.minimum(least[followed], least[followed + 1])
+            keys = keys_of(window, c, p)
+            maybe = in_filter(bits, keys)
+            found_text.append(text[maybe])
+            found.append(keys[maybe])
+    pair = np.stack([np.concatenate(found_text).astype(np.uint64), np.concatenate(found)])
+    pair = pair[:, np.lexsort((pair[1], pair[0]))]
+    own = np.r_[True, (pair[:, 1:] != pair[:, :-1]).any(axis=0)] if pair.shape[1] else np.zeros(0, bool)
+    return pair[0, own].astype(np.int64), pair[1, own]
+
+
+def looked_up(docs: DataFrame, found: Index, text: str, all_rows: bool, k: int, perms: int) -> DataFrame:
+    """The rows with `row`, `keys` (those of their minima that may be an item's) and `hit` (there are some); rows without only if `all_rows`. Kept."""
+    rows = docs.withColumn("row", F.monotonically_increasing_id())
+    shared, classes = docs.sparkSession.sparkContext.broadcast(found.bits), found.classes
+
+    def scan(batches):
+        bits = shared.value
+        for batch in batches:
+            for part in chunks(batch, text):
+                of, keys = window_keys(part.column(text), classes, bits, k, perms)
+                count = np.bincount(of, minlength=part.num_rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array(keys.view(np.int64)))
+                part = pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(count > 0)], names=[*part.schema.names, "keys", "hit"])
+                yield part if all_rows else part.filter(part.column("hit"))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return saved(rows.mapInArrow(scan, f"{kinds}, keys array<long>, hit boolean"), partition_by="hit")
+
+
+def verified(rows: DataFrame, found: Index, text: str, k: int, threshold: float) -> DataFrame:
+    """(row, item_id, shared, item_shingles) of all pairs of a row and an item whose text it holds. Kept.
+
+    Candidates are joined by key. A candidate's text and then its items' come one after
+    another in a sorted partition, so a task holds the shingles of one text and one item.
+    """
+    hits = rows.where("hit")
+    pairs = saved(hits.select("row", F.explode("keys").alias("key")).join(found.minima, "key").select("row", "item").distinct())
+    kind = found.items.schema["item_id"].dataType
+    own = hits.join(pairs.select("row").distinct(), "row", "left_semi").select("row", F.lit(False).alias("asked"), F.col(text).alias("text"), F.lit(None).cast(kind).alias("item_id"))
+    both = own.union(pairs.join(found.items, "item").select("row", F.lit(True), "text", "item_id"))
+
+    def check(batches):
+        held: set = set()
+        for batch in batches:
+            for part in chunks(batch):
+                words, count = content_words(part.column("text"))
+                first, asked = np.cumsum(count) - count, part.column("asked").to_pylist()
+                at, shared, size = [], [], []
+                for i, (f, c) in enumerate(zip(first, count)):
+                    mine = shingles(words[int(f) : int(f + c)].to_pylist(), k)
+                    if not asked[i]:
+                        held = mine
+                    elif len(mine & held) >= threshold * len(mine):
+                        at.append(i)
+                        shared.append(len(mine & held))
+                        size.append(len(mine))
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row").take(at), part.column("item_id").take(at), pa.array(shared, pa.int64()), pa.array(size, pa.int64())],
+                    names=["row", "item_id", "shared", "item_shingles"],
+                )
+
+    dealt = both.repartition("row").sortWithinPartitions("row", "asked")
+    out = saved(dealt.mapInArrow(check, f"row long, item_id {kind.simpleString()}, shared long, item_shingles long"))
+    forget(pairs)
     return out
 
 
-def _passes(benchmark: DataFrame, k: int, perms: int, pass_bytes: int):
-    """The benchmark in blocks of about `pass_bytes` of text, each broadcast by itself."""
-    items = benchmark.select(F.col("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    passes = -(-total // pass_bytes)
-    for p in range(passes):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).toArrow()
-        built = index_items(block.column("item_id").to_pylist(), block.column("text").combine_chunks(), k, perms)
-        yield broadcast(benchmark.sparkSession, built)
-
-
-def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, perms: int = 64, pass_bytes: int = 16 << 20) -> DataFrame:
+def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, perms: int = 64, filter_bits: int = 28) -> DataFrame:
     """(doc_id, item_id, shared, item_shingles, containment) of items that a document holds.
 
     Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters;
@@ -139,56 +226,41 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold
     or more with it whatever the document's length. A window is a candidate if one of
     `perms` minima agrees with the item's; at a similarity of 0.19, the least for a
     contained share of 0.8, one pair in a million is missed. Every candidate is verified by its
-    actual shingles over the whole document. Documents are read once for each
-    `pass_bytes` of benchmark text, which bounds what is broadcast.
+    actual shingles over the whole document.
+
+    Spark computes the items' minima, keeps them and joins them to the documents' by
+    equality, which are first tried against a Bloom filter of at most 2 ** `filter_bits`
+    bits. That alone is broadcast; a benchmark it is too small for gives more rows to
+    join and the same result. Documents are read once, whatever the benchmark's size.
 
     Null or empty texts of either side hold and are held by nothing. Repeated
     documents or items give a row for each pair. Other columns are not read.
     """
-    schema = docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, shared long, item_shingles long, containment double").schema
-    found = docs.sparkSession.createDataFrame([], schema)
-    doc_kind = docs.schema["doc_id"].dataType
-    for shared_items in _passes(benchmark, k, perms, pass_bytes):
-
-        def scan(batches, shared_items=shared_items):
-            items = shared_items()
-            for batch in batches:
-                for part in chunks(batch):
-                    hits = search(part.column("text"), items, k, threshold, perms)
-                    if hits:
-                        size = [len(items.sets[i]) for _, i, _ in hits]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                part.column("doc_id").take(pa.array([t for t, _, _ in hits])),
-                                pa.array([items.ids[i] for _, i, _ in hits]),
-                                pa.array([s for _, _, s in hits], pa.int64()),
-                                pa.array(size, pa.int64()),
-                                pa.array([s / n for (_, _, s), n in zip(hits, size)], pa.float64()),
-                            ],
-                            names=schema.names,
-                        )
-
-        found = found.union(docs.select(F.col("doc_id").cast(doc_kind), "text").mapInArrow(scan, schema))
-    return found
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, perms: int = 64, pass_bytes: int = 16 << 20) -> DataFrame:
-    """The rows of `docs` that hold no item of the benchmark, as contained_items() finds them; all their columns."""
-    for shared_items in _passes(benchmark, k, perms, pass_bytes):
-
-        def clean(batches, shared_items=shared_items):
-            items = shared_items()
-            for batch in batches:
-                for part in chunks(batch):
-                    keep = np.ones(part.num_rows, bool)
-                    keep[[t for t, _, _ in search(part.column("text"), items, k, threshold, perms)]] = False
-                    yield part.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    found = index(benchmark, k, perms, filter_bits)
+    doc_kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id")))
+    if not found.classes:
+        return docs.sparkSession.createDataFrame([], f"doc_id {doc_kind}, item_id {item_kind}, shared long, item_shingles long, containment double")
+    rows = looked_up(docs.select("doc_id", "text"), found, "text", False, k, perms)
+    held = verified(rows, found, "text", k, threshold)
+    out = rows.where("hit").select("row", "doc_id").join(held, "row")
+    return out.select("doc_id", "item_id", "shared", "item_shingles", (F.col("shared") / F.col("item_shingles")).alias("containment"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, perms: int = 64, filter_bits: int = 28) -> DataFrame:
+    """The rows of `docs` that hold no item of the benchmark, as contained_items() finds them; all their columns, whatever their names."""
+    found = index(benchmark, k, perms, filter_bits)
+    if not found.classes:
+        return docs
+    own = [f"_doc{i}" for i in range(len(docs.columns))]
+    text = own[docs.columns.index("text")]
+    rows = looked_up(docs.toDF(*own), found, text, True, k, perms)
+    held = verified(rows, found, text, k, threshold)
+    clean = rows.where("hit").join(held.select("row").distinct(), "row", "left_anti").select(own)
+    return rows.where("NOT hit").select(own).union(clean).toDF(*docs.columns)
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
+    """All pairs of a document and a benchmark item that it holds."""
     return contained_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
