@@ -76,7 +76,7 @@ class Index:
 
 
 #: Bits of the filter that a key sets.
-PROBES = 3
+PROBES = 4
 
 
 def probed(keys: np.ndarray, size: int) -> list[np.ndarray]:
@@ -110,7 +110,7 @@ def index(benchmark: DataFrame, k: int, perms: int, filter_bits: int) -> Index:
 
     minima = saved(items.select("item", "text").mapInArrow(sketch, "item long, class int, key long"))
     classes = sorted(r[0] for r in minima.select("class").distinct().collect())
-    words = max(1, min(1 << filter_bits, 1 << (16 * minima.count()).bit_length()) // 64)
+    words = max(1, min(1 << filter_bits, 1 << (128 * minima.count()).bit_length()) // 64)
 
     def set_bits(batches):
         for batch in batches:
@@ -155,35 +155,33 @@ def window_keys(texts: pa.Array, classes: list[int], bits: np.ndarray, k: int, p
     return pair[0, own].astype(np.int64), pair[1, own]
 
 
-def looked_up(docs: DataFrame, found: Index, text: str, all_rows: bool, k: int, perms: int) -> DataFrame:
-    """The rows with `row`, `keys` (those of their minima that may be an item's) and `hit` (there are some); rows without only if `all_rows`. Kept."""
+def looked_up(docs: DataFrame, found: Index, k: int, perms: int) -> DataFrame:
+    """The rows some of whose minima may be an item's, with `row` and these `keys`. Kept."""
     rows = docs.withColumn("row", F.monotonically_increasing_id())
     shared, classes = docs.sparkSession.sparkContext.broadcast(found.bits), found.classes
 
     def scan(batches):
         bits = shared.value
         for batch in batches:
-            for part in chunks(batch, text):
-                of, keys = window_keys(part.column(text), classes, bits, k, perms)
+            for part in chunks(batch):
+                of, keys = window_keys(part.column("text"), classes, bits, k, perms)
                 count = np.bincount(of, minlength=part.num_rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array(keys.view(np.int64)))
-                part = pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(count > 0)], names=[*part.schema.names, "keys", "hit"])
-                yield part if all_rows else part.filter(part.column("hit"))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "keys"]).filter(pa.array(count > 0))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return saved(rows.mapInArrow(scan, f"{kinds}, keys array<long>, hit boolean"), partition_by="hit")
+    return saved(rows.mapInArrow(scan, f"{kinds}, keys array<long>"))
 
 
-def verified(rows: DataFrame, found: Index, text: str, k: int, threshold: float) -> DataFrame:
+def verified(hits: DataFrame, found: Index, k: int, threshold: float) -> DataFrame:
     """(row, item_id, shared, item_shingles) of all pairs of a row and an item whose text it holds. Kept.
 
     Candidates are joined by key. A candidate's text and then its items' come one after
     another in a sorted partition, so a task holds the shingles of one text and one item.
     """
-    hits = rows.where("hit")
     pairs = saved(hits.select("row", F.explode("keys").alias("key")).join(found.minima, "key").select("row", "item").distinct())
     kind = found.items.schema["item_id"].dataType
-    own = hits.join(pairs.select("row").distinct(), "row", "left_semi").select("row", F.lit(False).alias("asked"), F.col(text).alias("text"), F.lit(None).cast(kind).alias("item_id"))
+    own = hits.join(pairs.select("row").distinct(), "row", "left_semi").select("row", F.lit(False).alias("asked"), "text", F.lit(None).cast(kind).alias("item_id"))
     both = own.union(pairs.join(found.items, "item").select("row", F.lit(True), "text", "item_id"))
 
     def check(batches):
@@ -240,23 +238,24 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold
     doc_kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id")))
     if not found.classes:
         return docs.sparkSession.createDataFrame([], f"doc_id {doc_kind}, item_id {item_kind}, shared long, item_shingles long, containment double")
-    rows = looked_up(docs.select("doc_id", "text"), found, "text", False, k, perms)
-    held = verified(rows, found, "text", k, threshold)
-    out = rows.where("hit").select("row", "doc_id").join(held, "row")
+    hits = looked_up(docs.select("doc_id", "text"), found, k, perms)
+    out = hits.select("row", "doc_id").join(verified(hits, found, k, threshold), "row")
     return out.select("doc_id", "item_id", "shared", "item_shingles", (F.col("shared") / F.col("item_shingles")).alias("containment"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, perms: int = 64, filter_bits: int = 28) -> DataFrame:
-    """The rows of `docs` that hold no item of the benchmark, as contained_items() finds them; all their columns, whatever their names."""
+    """The rows of `docs` that hold no item of the benchmark, as contained_items() finds them; all their columns, whatever their names.
+
+    What a row holds depends on its text alone, so rows go whose texts have the SHA-256 of one that holds an item.
+    """
     found = index(benchmark, k, perms, filter_bits)
     if not found.classes:
         return docs
-    own = [f"_doc{i}" for i in range(len(docs.columns))]
-    text = own[docs.columns.index("text")]
-    rows = looked_up(docs.toDF(*own), found, text, True, k, perms)
-    held = verified(rows, found, text, k, threshold)
-    clean = rows.where("hit").join(held.select("row").distinct(), "row", "left_anti").select(own)
-    return rows.where("NOT hit").select(own).union(clean).toDF(*docs.columns)
+    hits = looked_up(docs.select("text"), found, k, perms)
+    held = verified(hits, found, k, threshold)
+    bad = saved(hits.join(held, "row", "left_semi").select(F.sha2("text", 256).alias("digest")).distinct())
+    forget(hits, held, found.items)
+    return docs.join(bad, F.sha2(docs["text"], 256) == bad["digest"], "left_anti")
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
