@@ -31,3 +31,14 @@ def documents(spark, rows, extra: bool = True):
 def small_corpus(spark, limit_sf: str = "/root/testdata/sf0.001"):
     got = spark.read.parquet(f"{limit_sf}/documents.parquet").select("doc_id", "text").collect()
     return [(r.doc_id, r.text) for r in got]
+
+
+def shingles(text: str | None) -> frozenset:
+    w = words(text)
+    return frozenset(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else frozenset([tuple(w)])
+
+
+def similarity(a: str | None, b: str | None) -> float:
+    """Jaccard similarity of two texts' sets of five-word shingles."""
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / max(1, len(a | b))

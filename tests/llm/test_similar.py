@@ -6,8 +6,7 @@ import pytest
 import corpus_pipeline as p
 from tickforge.llm import similar
 
-from .helpers import documents
-from .test_pipeline import similarity
+from .helpers import documents, similarity
 from .test_simhash import ROWS, classes
 
 
