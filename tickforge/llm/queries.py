@@ -5,6 +5,7 @@ import corpus_pipeline
 from .chat import op2_chat
 from .decontaminate import OP10_SQL, op10_decontamination
 from .language import op9_language
+from .lexical import OP11_SQL, op11_lexical
 from .licenses import OP8_SQL, op8_licenses
 from .neighbours import OP6_SQL, op6_neighbours
 from .packing import op3_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
+    "op11_lexical": op11_lexical,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -33,4 +35,5 @@ ORACLE_SQL = {
     "op8_licenses": OP8_SQL,
     "op6_neighbours": OP6_SQL,
     "op10_decontamination": OP10_SQL,
+    "op11_lexical": OP11_SQL,
 }
