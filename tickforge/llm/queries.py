@@ -10,6 +10,7 @@ from .licenses import OP8_SQL, op8_licenses
 from .neighbours import OP6_SQL, op6_neighbours
 from .packing import op3_packing
 from .pitman_yor import op1_pitman_yor
+from .pivots import OP13_SQL, op13_pivots
 from .sharding import OP7_SQL, op7_sharding
 from .simhash import op4_simhash
 from .substring import OP5_SQL, op5_substring
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
     "op11_lexical": op11_lexical,
+    "op13_pivots": op13_pivots,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -36,4 +38,5 @@ ORACLE_SQL = {
     "op6_neighbours": OP6_SQL,
     "op10_decontamination": OP10_SQL,
     "op11_lexical": OP11_SQL,
+    "op13_pivots": OP13_SQL,
 }
