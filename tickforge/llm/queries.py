@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 
+from .alignment import op12_alignment
 from .chat import op2_chat
 from .decontaminate import OP10_SQL, op10_decontamination
 from .language import op9_language
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
     "op11_lexical": op11_lexical,
+    "op12_alignment": op12_alignment,
     "op13_pivots": op13_pivots,
     "pipeline": corpus_pipeline.run,
 }
