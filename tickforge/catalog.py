@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from .config import FactorConfig
 from .functions import guards as G
 from .functions import windows as W
-from .operators import factors, indicators, rules, signals, tables
+from .operators import factors, indicators, orders, rules, signals, tables
+from .operators.blocks import windowed
 from .oracles import FACTORS, composed
 from .plans.strategies import strategy
 from .sources import candles as S
@@ -58,7 +59,11 @@ _W = "WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS 9 PRECEDING), b AS (PARTI
 
 
 def _rolling(name: str, column: Callable[[], Column], sql: str) -> None:
-    register(name, lambda c: c.withColumn("v", column()), "symbol time v~", f"SELECT symbol, time, {sql} AS v FROM c {_W}")
+    _adding(name, lambda c: windowed(c, lambda: {"v": column()}, 20, 5), sql)
+
+
+def _adding(name: str, build: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    register(name, build, "symbol time v~", f"SELECT symbol, time, {sql} AS v FROM c {_W}")
 
 
 _rolling("rolling_mean", lambda: W.rolling_mean(_close(), 10), "CASE WHEN i >= 9 THEN avg(close) OVER w END")
@@ -71,14 +76,14 @@ _rolling("delay", lambda: W.delay(_close(), 5), "lag(close, 5) OVER b")
 _rolling("forward_return", lambda: W.forward_return(_close(), 5), "CASE WHEN close > 1e-12 THEN (lead(close, 5) OVER b - close) / close END")
 _rolling("true_range", lambda: W.true_range(F.col("high"), F.col("low"), _close()), "CASE WHEN i >= 1 THEN greatest(abs(high - low), abs(high - lag(close) OVER b), abs(low - lag(close) OVER b)) END")
 _rolling("volume_mean", lambda: W.volume_mean(), "CASE WHEN i >= 4 THEN avg(volume) OVER (PARTITION BY symbol ORDER BY i ROWS 4 PRECEDING) ELSE 0 END")
-_rolling("volume_upper_quartile", lambda: W.volume_upper_quartile(), "CASE WHEN i >= 19 THEN list_sort(list(volume) OVER (PARTITION BY symbol ORDER BY i ROWS 19 PRECEDING))[15] ELSE 0 END")
-_rolling("ts_rank", lambda: W.ts_rank(_close(), 10), "CASE WHEN i >= 9 THEN len(list_filter(list(close) OVER w, lambda v: v <= close)) / 10::DOUBLE END")
-_rolling("log_of_volume", lambda: W.log(F.col("volume") - 1), "CASE WHEN volume > 1 THEN ln(volume - 1) END")
-_rolling("cross_rank", lambda: W.rank(_close()), "percent_rank() OVER (PARTITION BY time ORDER BY close)")
-_rolling("cross_scale", lambda: W.scale(_close()), "CASE WHEN sum(abs(close)) OVER (PARTITION BY time) > 1e-12 THEN close / sum(abs(close)) OVER (PARTITION BY time) END")
+_adding("volume_upper_quartile", lambda c: orders.rolling_place(c, "volume", 20, 14, "v").withColumn("v", F.coalesce("v", F.lit(0.0))), "CASE WHEN i >= 19 THEN list_sort(list(volume) OVER (PARTITION BY symbol ORDER BY i ROWS 19 PRECEDING))[15] ELSE 0 END")
+_adding("ts_rank", lambda c: orders.rolling_rank(c, "close", 10, "v"), "CASE WHEN i >= 9 THEN len(list_filter(list(close) OVER w, lambda v: v <= close)) / 10::DOUBLE END")
+_adding("log_of_volume", lambda c: c.withColumn("v", W.log(F.col("volume") - 1)), "CASE WHEN volume > 1 THEN ln(volume - 1) END")
+_adding("cross_rank", lambda c: c.withColumn("v", W.rank(_close())), "percent_rank() OVER (PARTITION BY time ORDER BY close)")
+_adding("cross_scale", lambda c: c.withColumn("v", W.scale(_close())), "CASE WHEN sum(abs(close)) OVER (PARTITION BY time) > 1e-12 THEN close / sum(abs(close)) OVER (PARTITION BY time) END")
 register(
     "ts_corr",
-    lambda c: c.withColumn("v", W.ts_corr(_close(), F.col("volume"), 10)),
+    lambda c: windowed(c, lambda: {"v": W.ts_corr(_close(), F.col("volume"), 10)}, 20),
     "symbol time v~",
     """SELECT symbol, time, CASE WHEN i >= 9 THEN CASE WHEN flat OR sqrt(greatest(xx - x * x / 10, 0) * greatest(yy - y * y / 10, 0)) < 1e-15 THEN 0
          ELSE least(greatest((xy - x * y / 10) / sqrt(greatest(xx - x * x / 10, 0) * greatest(yy - y * y / 10, 0)), -1), 1) END END AS v
@@ -146,7 +151,7 @@ register(
 
 
 def _ic(c: DataFrame) -> DataFrame:
-    return factors.rolling_ic(factors.long_factors(c, CONFIG), CONFIG)
+    return factors.long_ics(c, CONFIG)
 
 
 register("rolling_ic", _ic, "symbol factor time ic~", "SELECT * FROM ic")

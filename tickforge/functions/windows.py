@@ -2,17 +2,34 @@
 
 Every frame counts bars, not time. All share one partitioning and order, so that any
 number of them needs one shuffle and one sort. `i` is a bar's place from 0 in its
-symbol and `n` the symbol's number of bars.
+symbol and `n` the symbol's number of bars. Windows are by symbol, or by what
+dealt_by() names while columns are made: operators.blocks has them by blocks of a symbol.
 """
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from .guards import divide, zero_filled
 
 
+_KEYS = ContextVar("keys", default=("symbol",))
+
+
+@contextmanager
+def dealt_by(*keys: str):
+    """Windows made inside are partitioned by these columns."""
+    was = _KEYS.set(keys)
+    try:
+        yield
+    finally:
+        _KEYS.reset(was)
+
+
 def by_symbol():
-    return Window.partitionBy("symbol")
+    return Window.partitionBy(*_KEYS.get())
 
 
 def in_order():

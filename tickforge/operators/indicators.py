@@ -1,91 +1,91 @@
 """Technical indicators of candle series, one nullable set of columns on each candle's row."""
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import windows as W
-from .scan import doubles, scan
+from .blocks import affine, windowed
 
 
 @dataclass(frozen=True)
 class Recurrence:
-    """Window columns to add first, and the recurrence that reads them and the candle's own."""
+    """An indicator: window columns of `before` bars back, states along the symbol, and what it adds.
 
-    columns: dict[str, Column]
-    reads: list[str]
-    start: Callable[[], object]
-    step: Callable
-    adds: T.StructType
+    columns: functions that make the window columns. first: states, as maps (a, b) of the
+    state before (see blocks.affine). between: columns of them. second: states that read
+    these. adds: the indicator's columns.
+    """
+
+    adds: dict[str, Column]
+    first: dict[str, tuple[Column, Column]]
+    columns: dict[str, Callable[[], Column]] = field(default_factory=dict)
+    before: int = 0
+    between: dict[str, Column] = field(default_factory=dict)
+    second: dict[str, tuple[Column, Column]] = field(default_factory=dict)
 
 
 def applied(candles: DataFrame, *parts: Recurrence) -> DataFrame:
-    """Adds what all recurrences give: one shuffle and sort for their windows, and one pass over the bars."""
-    columns = {k: v for p in parts for k, v in p.columns.items()}
-    reads = list(dict.fromkeys(r for p in parts for r in p.reads))
-    places = [[reads.index(r) for r in p.reads] for p in parts]
-    starts, steps = [p.start for p in parts], [p.step for p in parts]
-
-    def step(states, *values):
-        return tuple(x for f, state, at in zip(steps, states, places) for x in f(state, *(values[i] for i in at)))
-
-    rows = candles.withColumns({**columns, "_at": F.row_number().over(W.in_order())})  # a window, so that rows are dealt and sorted
-    adds = T.StructType([f for p in parts for f in p.adds])
-    return scan(rows, reads, lambda: [f() for f in starts], step, adds, partitioned=True).drop(*columns, "_at")
-
-
-def bollinger(candles: DataFrame, period: int = 20, width: float = 2.0) -> DataFrame:
-    """Adds bb_upper, bb_middle, bb_lower: the mean of `period` closes and `width` population deviations around it."""
-    mean, std = W.rolling_mean(F.col("close"), period), W.rolling_std(F.col("close"), period)
-    return candles.withColumns({"bb_middle": mean, "_s": std}).select(
-        *candles.columns,
-        (F.col("bb_middle") + width * F.col("_s")).alias("bb_upper"),
-        "bb_middle",
-        (F.col("bb_middle") - width * F.col("_s")).alias("bb_lower"),
+    """Adds what all recurrences give, each stage of all of them in one pass over blocks of bars; rows keep `block`."""
+    gathered = lambda name: {k: v for p in parts for k, v in getattr(p, name).items()}
+    rows = windowed(candles, lambda: {k: make() for k, make in gathered("columns").items()}, max(p.before for p in parts))
+    if first := gathered("first"):
+        rows = affine(rows, first)
+    if second := gathered("second"):
+        rows = affine(rows.withColumns(gathered("between")), second)
+    return rows.select(*candles.columns, *[c.alias(k) for k, c in gathered("adds").items()], *(["block"] if "block" not in candles.columns else []))
+
+
+def _bollinger(period: int = 20, width: float = 2.0) -> Recurrence:
+    mean, std = F.col("_bb_mean"), F.col("_bb_std")
+    return Recurrence(
+        {"bb_upper": mean + width * std, "bb_middle": mean, "bb_lower": mean - width * std},
+        {},
+        {"_bb_mean": lambda: W.rolling_mean(F.col("close"), period), "_bb_std": lambda: W.rolling_std(F.col("close"), period)},
+        period - 1,
     )
 
 
-class Smoothed:
-    """A mean of the first `period` values that then moves on by y + rate * (x - y) or, as Wilder does, (y * (period - 1) + x) / period."""
+def bollinger(candles: DataFrame, *parameters) -> DataFrame:
+    """Adds bb_upper, bb_middle, bb_lower: the mean of `period` (20) closes and `width` (2) population deviations around it."""
+    return applied(candles, _bollinger(*parameters))
 
-    def __init__(self, period: int, rate: float | None = None):
-        self.period, self.rate, self.seen, self.value = period, rate, 0, 0.0
 
-    def add(self, x: float) -> float | None:
-        """The smoothed value, or None until `period` values are there."""
-        self.seen += 1
-        if self.seen <= self.period:
-            self.value += x
-            if self.seen < self.period:
-                return None
-            self.value /= self.period
-        elif self.rate is None:
-            self.value = (self.value * (self.period - 1) + x) / self.period
-        else:
-            self.value = x * self.rate + self.value * (1 - self.rate)
-        return self.value
+def smoothed(x: Column, period: int, rate: float | None = None, start: int = 0) -> tuple[Column, Column]:
+    """The map of a mean of `period` values from bar `start` on that then moves on by y + rate * (x - y), or as Wilder's does by (x - y) / period.
 
+    It is there from bar start + period - 1 on.
+    """
+    rate = rate or 1.0 / period
+    k = F.col("i") - start
+    a = F.when(k <= 0, 0.0).when(k < period - 1, 1.0).when(k == period - 1, 1.0 / period).otherwise(1.0 - rate)
+    b = F.when(k < 0, 0.0).when(k < period - 1, x).when(k == period - 1, x / period).otherwise(x * rate)
+    return a, b
 
-def _ema(period: int) -> Smoothed:
-    return Smoothed(period, 2.0 / (period + 1))
 
+def _ema(x: Column, period: int, start: int = 0) -> tuple[Column, Column]:
+    return smoothed(x, period, 2.0 / (period + 1), start)
 
-def _keltner(ema_period: int = 20, atr_period: int = 10, width: float = 2.0) -> Recurrence:
-    begin = max(ema_period, atr_period + 1)
 
-    def step(state, i, n, close, tr):
-        middle = state[0].add(close)
-        atr = state[1].add(tr) if i >= 1 else None
-        if n <= max(ema_period, atr_period) or i < begin:
-            return None, None, None
-        return middle + width * atr, middle, middle - width * atr
+def _given(ready: Column, **columns: Column) -> dict[str, Column]:
+    return {k: F.when(ready, c) for k, c in columns.items()}
 
-    columns = {"_tr": W.true_range(F.col("high"), F.col("low"), F.col("close"))}
-    start = lambda: (_ema(ema_period), Smoothed(atr_period))
-    return Recurrence(columns, ["i", "n", "close", "_tr"], start, step, doubles("kc_upper", "kc_middle", "kc_lower"))
+
+def _true_range() -> Column:
+    return W.true_range(F.col("high"), F.col("low"), F.col("close"))
+
+
+def _keltner(ema_period: int = 20, atr_period: int = 10, width: float = 2.0) -> Recurrence:
+    middle, atr = F.col("_kc_middle"), F.col("_kc_atr")
+    ready = (F.col("i") >= max(ema_period, atr_period + 1)) & (F.col("n") > max(ema_period, atr_period))
+    return Recurrence(
+        _given(ready, kc_upper=middle + width * atr, kc_middle=middle, kc_lower=middle - width * atr),
+        {"_kc_middle": _ema(F.col("close"), ema_period), "_kc_atr": smoothed(F.col("_tr"), atr_period, start=1)},
+        {"_tr": _true_range},
+        1,
+    )
 
 
 def keltner(candles: DataFrame, *parameters) -> DataFrame:
@@ -94,17 +94,14 @@ def keltner(candles: DataFrame, *parameters) -> DataFrame:
 
 
 def _macd(fast: int = 12, slow: int = 26, signal: int = 9) -> Recurrence:
-    def step(state, i, n, close):
-        a, b = state[0].add(close), state[1].add(close)
-        if b is None:
-            return None, None, None
-        dif = a - b
-        dea = state[2].add(dif)
-        if dea is None or n < slow + signal:
-            return None, None, None
-        return dif, dea, 2.0 * (dif - dea)
-
-    return Recurrence({}, ["i", "n", "close"], lambda: (_ema(fast), _ema(slow), _ema(signal)), step, doubles("dif", "dea", "bar"))
+    dif, dea = F.col("_dif"), F.col("_dea")
+    ready = (F.col("i") >= slow + signal - 2) & (F.col("n") >= slow + signal)
+    return Recurrence(
+        _given(ready, dif=dif, dea=dea, bar=2.0 * (dif - dea)),
+        {"_fast": _ema(F.col("close"), fast), "_slow": _ema(F.col("close"), slow)},
+        between={"_dif": F.col("_fast") - F.col("_slow")},
+        second={"_dea": _ema(dif, signal, slow - 1)},
+    )
 
 
 def macd(candles: DataFrame, *parameters) -> DataFrame:
@@ -113,17 +110,18 @@ def macd(candles: DataFrame, *parameters) -> DataFrame:
 
 
 def _kdj(period: int = 9) -> Recurrence:
-    def step(state, i, n, close, high, low):
-        if high is None or n < period + 1:
-            return None, None, None
-        rsv = 50.0 if abs(high - low) < 1e-9 else (close - low) / (high - low) * 100.0
-        third = 1.0 / 3.0
-        state[0] = third * rsv + (1.0 - third) * state[0]
-        state[1] = third * state[0] + (1.0 - third) * state[1]
-        return state[0], state[1], 3.0 * state[0] - 2.0 * state[1]
-
-    columns = {"_h": W.rolling_max(F.col("high"), period), "_l": W.rolling_min(F.col("low"), period)}
-    return Recurrence(columns, ["i", "n", "close", "_h", "_l"], lambda: [50.0, 50.0], step, doubles("k", "d", "j"))
+    high, low, warm = F.col("_h"), F.col("_l"), F.col("i") < period - 1
+    rsv = F.when(F.abs(high - low) < 1e-9, 50.0).otherwise(F.try_divide(F.col("close") - low, high - low) * 100.0)
+    third = 1.0 / 3.0
+    by_thirds = lambda x: (F.when(warm, 0.0).otherwise(1.0 - third), F.when(warm, 50.0).otherwise(third * x))
+    k, d = F.col("_k"), F.col("_d")
+    return Recurrence(
+        _given(~warm & (F.col("n") >= period + 1), k=k, d=d, j=3.0 * k - 2.0 * d),
+        {"_k": by_thirds(rsv)},
+        {"_h": lambda: W.rolling_max(F.col("high"), period), "_l": lambda: W.rolling_min(F.col("low"), period)},
+        period - 1,
+        second={"_d": by_thirds(k)},
+    )
 
 
 def kdj(candles: DataFrame, *parameters) -> DataFrame:
@@ -132,28 +130,18 @@ def kdj(candles: DataFrame, *parameters) -> DataFrame:
 
 
 def _adx(period: int = 14) -> Recurrence:
-    def step(state, i, n, tr, up, down):
-        if i < 1:
-            return None, None, None
-        atr = state[0].add(tr)
-        plus = state[1].add(up if up > down and up > 0 else 0.0)
-        minus = state[2].add(down if down > up and down > 0 else 0.0)
-        if atr is None:
-            return None, None, None
-        pdi, mdi = (100.0 * plus / atr, 100.0 * minus / atr) if atr > 0 else (0.0, 0.0)
-        total = pdi + mdi
-        value = state[3].add(100.0 * abs(pdi - mdi) / total if total > 0 else 0.0)
-        if value is None or i < 2 * period or n < 2 * period + 1:
-            return None, None, None
-        return value, pdi, mdi
-
-    columns = {
-        "_tr": W.true_range(F.col("high"), F.col("low"), F.col("close")),
-        "_u": W.delta(F.col("high"), 1),
-        "_d": -W.delta(F.col("low"), 1),
-    }
-    start = lambda: tuple(Smoothed(period) for _ in range(4))
-    return Recurrence(columns, ["i", "n", "_tr", "_u", "_d"], start, step, doubles("adx", "plus_di", "minus_di"))
+    up, down, atr = F.col("_up"), F.col("_down"), F.col("_atr")
+    index = lambda moved: F.when(atr > 0, F.try_divide(100.0 * F.col(moved), atr)).otherwise(0.0)
+    plus, minus = F.col("_pdi"), F.col("_mdi")
+    moved = lambda one, other: smoothed(F.when((one > other) & (one > 0), one).otherwise(0.0), period, start=1)
+    return Recurrence(
+        _given((F.col("i") >= 2 * period) & (F.col("n") >= 2 * period + 1), adx=F.col("_adx"), plus_di=plus, minus_di=minus),
+        {"_atr": smoothed(F.col("_tr"), period, start=1), "_plus": moved(up, down), "_minus": moved(down, up)},
+        {"_tr": _true_range, "_up": lambda: W.delta(F.col("high"), 1), "_down": lambda: -W.delta(F.col("low"), 1)},
+        1,
+        {"_pdi": index("_plus"), "_mdi": index("_minus")},
+        {"_adx": smoothed(F.when(plus + minus > 0, F.try_divide(100.0 * F.abs(plus - minus), plus + minus)).otherwise(0.0), period, start=period)},
+    )
 
 
 def adx(candles: DataFrame, *parameters) -> DataFrame:
@@ -162,17 +150,10 @@ def adx(candles: DataFrame, *parameters) -> DataFrame:
 
 
 def _rsi(period: int = 2) -> Recurrence:
-    def step(state, i, change):
-        if i < 1:
-            return (None,)
-        gain = state[0].add(change if change > 0 else 0.0)
-        loss = state[1].add(-change if change < 0 else 0.0)
-        if loss is None:
-            return (None,)
-        return (100.0 if loss < 1e-9 else 100.0 - 100.0 / (1.0 + gain / loss),)
-
-    columns = {"_c": W.delta(F.col("close"), 1)}
-    return Recurrence(columns, ["i", "_c"], lambda: (Smoothed(period), Smoothed(period)), step, doubles("rsi"))
+    change, gain, loss = F.col("_change"), F.col("_gain"), F.col("_loss")
+    value = F.when(loss < 1e-9, 100.0).otherwise(100.0 - F.try_divide(F.lit(100.0), 1.0 + F.try_divide(gain, loss)))
+    only = lambda x: smoothed(F.when(x > 0, x).otherwise(0.0), period, start=1)
+    return Recurrence(_given(F.col("i") >= period, rsi=value), {"_gain": only(change), "_loss": only(-change)}, {"_change": lambda: W.delta(F.col("close"), 1)}, 1)
 
 
 def rsi(candles: DataFrame, *parameters) -> DataFrame:
@@ -181,8 +162,8 @@ def rsi(candles: DataFrame, *parameters) -> DataFrame:
 
 
 def all_indicators(candles: DataFrame) -> DataFrame:
-    """Candles (with i and n) with every indicator's columns, in one pass."""
-    return applied(bollinger(candles), _keltner(), _macd(), _kdj(), _adx(), _rsi())
+    """Candles (with i and n) with every indicator's columns; recurrences take two passes over blocks of bars."""
+    return applied(candles, _bollinger(), _keltner(), _macd(), _kdj(), _adx(), _rsi())
 
 
 def regime(indicated: DataFrame) -> DataFrame:

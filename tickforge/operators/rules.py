@@ -2,11 +2,11 @@
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import windows as W
+from .blocks import affine, blocked, windowed
 from .indicators import all_indicators
-from .scan import scan
+from .machines import Squeeze, positions
 
 #: The tags of confirmations, and what they join of.
 KDJ_UP, MACD_UP, SUPPORT, KDJ_DOWN, MACD_DOWN, PRESSURE = "kdj↑", "macd↑", "支撑", "kdj↓", "macd↓", "压力"
@@ -24,9 +24,9 @@ def events(indicated: DataFrame) -> DataFrame:
     A bar's event may count twice where two of its rules hold. Events of KDJ and MACD need
     the bar before; those of support and pressure the bar's bands, from bar 50 on.
     """
-    c, p = F.col, lambda x: F.lag(x).over(W.in_order())
+    c = F.col
     k, d, j, dif, dea, bar, close = (c(x) for x in ("k", "d", "j", "dif", "dea", "bar", "close"))
-    rows = indicated.withColumns({f"_{x}": p(x) for x in ("k", "d", "j", "dif", "dea", "bar")})
+    rows = windowed(indicated, lambda: {f"_{x}": W.delay(c(x), 1) for x in ("k", "d", "j", "dif", "dea", "bar")}, 1)
     pk, pd_, pj, pdif, pdea, pbar = (c(f"_{x}") for x in ("k", "d", "j", "dif", "dea", "bar"))
     near = (c("i") >= 50) & c("bb_lower").isNotNull() & c("kc_lower").isNotNull()
     rows = rows.withColumns(
@@ -51,7 +51,7 @@ def confirmed(evented: DataFrame, within: int = 3) -> DataFrame:
     `within` - 1 before, never after.
     """
     recent = lambda x: F.max(x).over(W.last(within)) > 0
-    rows = evented.withColumns({f"_{x}": recent(x) for x in ("macd_buy", "macd_sell", "sr_buy", "sr_sell")})
+    rows = windowed(evented, lambda: {f"_{x}": recent(x) for x in ("macd_buy", "macd_sell", "sr_buy", "sr_sell")}, within - 1)
 
     def tags(side: str, up: str, line: str, level: str) -> Column:
         kdj, macd = F.col(f"kdj_{side}") > 0, F.col(f"macd_{side}") > 0
@@ -65,8 +65,8 @@ def confirmed(evented: DataFrame, within: int = 3) -> DataFrame:
 
 def _grouped(bars: DataFrame, j_lines: bool) -> DataFrame:
     """One row for each trade (part 0, grp the number of sells before it), and each bar's J events (parts 3 and 4, grp the bar)."""
-    sell = (F.size("sell_tags") > 0).cast("int")
-    rows = bars.withColumn("_sells", F.sum(sell).over(W.to_here()))  # sells up to and in this bar
+    sell = (F.size("sell_tags") > 0).cast("double")
+    rows = affine(blocked(bars), {"_sells": (F.lit(1.0), sell)})  # sells up to and in this bar
     event = lambda cond, part, grp, side, tags=None, times=None: F.when(
         cond,
         F.struct(
@@ -152,29 +152,14 @@ def squeeze_trades(indicated: DataFrame) -> DataFrame:
     """
     bw = F.try_divide(F.col("bb_upper") - F.col("bb_lower"), F.col("bb_middle"))
     rows = indicated.withColumn("_bw", bw)
-    lag = lambda x: F.lag(x).over(W.in_order())
-    rows = rows.withColumns(
-        {
-            "_ready": (F.col("i") >= 50) & F.col("bb_upper").isNotNull() & F.col("kc_upper").isNotNull(),
-            "_squeezed": F.col("_bw") < 0.85 * F.sum("_bw").over(W.last(20)) / 20,
-            "_surge": (F.col("close") > F.col("bb_upper")) & (F.col("volume") > 2 * W.volume_mean()) & (F.col("volume") > W.volume_upper_quartile()),
-            "_pulled": F.max((F.col("close") <= F.col("bb_upper")).cast("int")).over(W.last(5)) == 1,
-            "_death": F.coalesce((lag("k") >= lag("d")) & (F.col("k") < F.col("d")), F.lit(False)) | F.coalesce((lag("dif") >= lag("dea")) & (F.col("dif") < F.col("dea")), F.lit(False)),
-            "_stop": 1.5 * (F.col("kc_upper") - F.col("kc_middle")) / 2,
-        }
-    )
-
-    def step(state, ready, squeezed, surge, pulled, death, stop, close, middle):
-        buy = sell = False
-        if ready:
-            if state and (close < middle or close < state[0] - stop or death):
-                sell = True
-                state.clear()
-            if surge and (pulled if state else squeezed):
-                buy = True
-                state[:] = [max([close, *state])]
-        return buy, sell
-
-    adds = T.StructType([T.StructField("squeeze_buy", T.BooleanType()), T.StructField("squeeze_sell", T.BooleanType())])
-    reads = ["_ready", "_squeezed", "_surge", "_pulled", "_death", "_stop", "close", "bb_middle"]
-    return scan(rows, reads, list, step, adds, partitioned=True).drop("_bw", *reads[:6])
+    lag = lambda x: W.delay(F.col(x), 1)
+    falls = lambda x, y: F.coalesce((lag(x) >= lag(y)) & (F.col(x) < F.col(y)), F.lit(False))
+    columns = lambda: {
+        "_ready": (F.col("i") >= 50) & F.col("bb_upper").isNotNull() & F.col("kc_upper").isNotNull(),
+        "_squeezed": F.col("_bw") < 0.85 * F.sum("_bw").over(W.last(20)) / 20,
+        "_surge": (F.col("close") > F.col("bb_upper")) & (F.col("volume") > 2 * W.volume_mean()) & (F.col("volume") > W.volume_upper_quartile()),
+        "_pulled": F.max((F.col("close") <= F.col("bb_upper")).cast("int")).over(W.last(5)) == 1,
+        "_death": falls("k", "d") | falls("dif", "dea"),
+        "_stop": 1.5 * (F.col("kc_upper") - F.col("kc_middle")) / 2,
+    }
+    return positions(windowed(rows, columns, 20), Squeeze()).drop("_bw", *Squeeze.reads[:6])

@@ -1,14 +1,18 @@
 """Signals and positions from the composite score."""
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import SignalConfig, TurtleConfig
 from ..functions import windows as W
 from ..functions.guards import finite_or_null
+from . import blocks
+from .blocks import affine, placed, windowed
 from .factors import CATEGORIES
-from .scan import scan
+from .machines import Turtle, positions
+from .orders import quantiles_before
 
 #: What the categories are called in a reason.
 NAMES = {"momentum": "动量↑", "volatility": "波动", "volume_score": "量价", "trend": "趋势"}
@@ -32,19 +36,16 @@ def _signal(cond: Column, kind, rule: str, bound: Column, level=None, category=N
     return F.when(cond, F.struct(*[v.alias(k) for k, v in fields.items()]))
 
 
-def _with_quantile(scored: DataFrame, config: SignalConfig) -> tuple[DataFrame, list[Column]]:
+def _quantile(scored: DataFrame, config: SignalConfig) -> DataFrame:
     w = config.quantile_window
-    trend = W.last(6)
-    first, last = F.first("total", True).over(trend), F.last("total", True).over(trend)
-    moving = (F.col("i") >= 5) & (F.count("total").over(trend) >= 3)
+    first, last = lambda: F.first("total", True).over(W.last(6)), lambda: F.last("total", True).over(W.last(6))
+    moving = lambda: (F.col("i") >= 5) & (F.count("total").over(W.last(6)) >= 3)
+    rows = windowed(scored, lambda: {"_up": moving() & (last() > first()), "_down": moving() & (last() < first())}, 5).drop("block")
     # Scores that are there make a sequence of their own, in which the last ones are counted.
-    there = Window.partitionBy("symbol", F.col("total").isNull()).orderBy("time").rowsBetween(-w, -1)
-    rows = scored.withColumns({"_up": moving & (last > first), "_down": moving & (last < first), "_all": F.count("total").over(W.by_symbol())})
-    rows = rows.withColumn("_past", F.array_sort(F.collect_list("total").over(there)))
-    at = lambda q: F.get("_past", F.floor((F.size("_past") - 1) * F.lit(q)).cast("int"))
-    rows = rows.withColumns({"_p80": at(0.8), "_p60": at(0.6), "_p40": at(0.4), "_p20": at(0.2)})
+    rows = placed(rows.where("total IS NOT NULL"), place="_j", number="_all")
+    rows = quantiles_before(rows, "total", w, {"_p80": 0.8, "_p60": 0.6, "_p40": 0.4, "_p20": 0.2}, "_past", "_j", "_all")
     t = F.col("total")
-    ready = t.isNotNull() & (F.col("n") >= w + 5) & (F.col("_all") >= w) & (F.size("_past") >= w // 2)
+    ready = (F.col("n") >= w + 5) & (F.col("_all") >= w) & (F.col("_past") >= w // 2)
     level = (
         F.when((t > F.col("_p80")) & F.col("_up"), "p80")
         .when((t > F.col("_p60")) & (t > 0), "p60")
@@ -55,40 +56,40 @@ def _with_quantile(scored: DataFrame, config: SignalConfig) -> tuple[DataFrame,
     level = F.col("_level")
     bound = F.when(level == "p80", F.col("_p80")).when(level == "p60", F.col("_p60")).when(level == "p20", F.col("_p20")).otherwise(F.col("_p40"))
     kind = F.when(level.isin("p80", "p60"), "Buy").otherwise("Sell")
-    return rows, [_signal(level.isNotNull(), kind, "quantile", bound, level, dominant_category())]
+    return _given_out(rows, [_signal(level.isNotNull(), kind, "quantile", bound, level, dominant_category())], 0)
 
 
-def _with_reversal(scored: DataFrame) -> tuple[DataFrame, list[Column]]:
-    rows = scored.withColumns({"_t1": F.lag("total", 1).over(W.in_order()), "_t2": F.lag("total", 2).over(W.in_order())})
+def _reversal(scored: DataFrame) -> DataFrame:
+    rows = windowed(scored, lambda: {"_t1": W.delay(F.col("total"), 1), "_t2": W.delay(F.col("total"), 2)}, 2)
     t, p, q = F.col("total"), F.col("_t1"), F.col("_t2")
     ready = (F.col("i") >= 3) & (F.col("n") >= 5)
     up, down = ready & (p <= 0) & (t > 0) & (t > p) & (p > q), ready & (p >= 0) & (t < 0) & (t < p) & (p < q)
-    return rows, [_signal(up, "Buy", "reversal", p), _signal(down, "Sell", "reversal", p)]
+    return _given_out(rows, [_signal(up, "Buy", "reversal", p), _signal(down, "Sell", "reversal", p)], 1)
 
 
-def _with_divergence(scored: DataFrame, config: SignalConfig) -> tuple[DataFrame, list[Column]]:
+def _divergence(scored: DataFrame, config: SignalConfig) -> DataFrame:
     w = config.divergence_lookback
-    frame = W.before(w)
-    rows = scored.withColumns(
-        {
-            "_ph": F.max("close").over(frame),
-            "_pl": F.min("close").over(frame),
-            "_sh": F.max("total").over(frame),
-            "_sl": F.min("total").over(frame),
-            "_5": F.count("total").over(W.last(5)) == 5,
-            "_t4": F.lag("total", 4).over(W.in_order()),
-        }
-    )
+    columns = lambda: {
+        "_ph": F.max("close").over(W.before(w)),
+        "_pl": F.min("close").over(W.before(w)),
+        "_sh": F.max("total").over(W.before(w)),
+        "_sl": F.min("total").over(W.before(w)),
+        "_5": F.count("total").over(W.last(5)) == 5,
+        "_t4": W.delay(F.col("total"), 4),
+    }
+    rows = windowed(scored, columns, max(w, 4))
     t, close = F.col("total"), F.col("close")
     ready = (F.col("i") >= w) & (F.col("n") >= w + 5) & F.col("_5")
     top = ready & (close >= F.col("_ph") * 0.995) & (t < F.col("_sh") * 0.9) & (t < F.col("_t4"))
     bottom = ready & (close <= F.col("_pl") * 1.005) & (t > F.col("_sl") * 1.1) & (t > F.col("_t4"))
-    return rows, [_signal(top, "Sell", "divergence", F.col("_sh")), _signal(bottom, "Buy", "divergence", F.col("_sl"))]
+    return _given_out(rows, [_signal(top, "Sell", "divergence", F.col("_sh")), _signal(bottom, "Buy", "divergence", F.col("_sl"))], 3)
 
 
-def _given_out(rows: DataFrame, found: list[Column]) -> DataFrame:
-    out = rows.select("symbol", "time", F.col("close").alias("price"), "total", F.posexplode(F.array_compact(F.array(*found))).alias("_at", "s"))
-    return out.select("symbol", "time", "s.kind", "price", "s.rule", "s.level", "s.bound", "s.category", "total", "_at")
+def _given_out(rows: DataFrame, found: list[Column], at: int) -> DataFrame:
+    """A row for each signal; _at, from `at` on, is its rule's place among those of a bar."""
+    pairs = [F.when(s.isNotNull(), F.struct(F.lit(at + k).alias("_at"), s.alias("s"))) for k, s in enumerate(found)]
+    out = rows.select("symbol", "time", F.col("close").alias("price"), "total", F.explode(F.array_compact(F.array(*pairs))).alias("p"))
+    return out.select("symbol", "time", "p.s.kind", "price", "p.s.rule", "p.s.level", "p.s.bound", "p.s.category", "total", "p._at")
 
 
 def quantile_signals(scored: DataFrame, config: SignalConfig = SignalConfig()) -> DataFrame:
@@ -98,38 +99,31 @@ def quantile_signals(scored: DataFrame, config: SignalConfig = SignalConfig()) -
     `quantile_window` scores before, in order; half as many must be there. Bars without a
     score are passed over.
     """
-    return _given_out(*_with_quantile(scored, config)).drop("_at")
+    return _quantile(scored, config).drop("_at")
 
 
 def reversal_signals(scored: DataFrame) -> DataFrame:
     """Signals where the score crosses 0 after two moves in the same direction; bound is the score before."""
-    return _given_out(*_with_reversal(scored)).drop("_at")
+    return _reversal(scored).drop("_at")
 
 
 def divergence_signals(scored: DataFrame, config: SignalConfig = SignalConfig()) -> DataFrame:
     """Signals where the price is at an extreme of the bars before and the score is not, and has turned for 5 bars."""
-    return _given_out(*_with_divergence(scored, config)).drop("_at")
+    return _divergence(scored, config).drop("_at")
 
 
 def all_signals(scored: DataFrame, config: SignalConfig = SignalConfig()) -> DataFrame:
     """Signals of the rules that are switched on, with seq, their order by time and then by rule.
 
-    One pass over the bars finds all; a rule gives a bar each kind once at most.
+    A rule gives a bar each kind once at most. Signals are numbered by spans of time, so
+    that no task gets all of a symbol's.
     """
-    rows, found = scored, []
-    if config.quantile:
-        rows, more = _with_quantile(rows, config)
-        found += more
-    if config.reversal:
-        rows, more = _with_reversal(rows)
-        found += more
-    if config.divergence:
-        rows, more = _with_divergence(rows, config)
-        found += more
-    if not found:
-        rows, found = _with_reversal(rows.limit(0))
-    order = Window.partitionBy("symbol").orderBy("time", "_at")
-    return _given_out(rows, found).withColumn("seq", F.row_number().over(order)).drop("_at")
+    found = [_quantile(scored, config)] if config.quantile else []
+    found += [_reversal(scored)] if config.reversal else []
+    found += [_divergence(scored, config)] if config.divergence else []
+    rows = reduce(DataFrame.unionByName, found or [_reversal(scored.limit(0))])
+    rows = placed(rows, place="_seq", number="_signals", ties=("_at",))
+    return rows.withColumn("seq", F.col("_seq") + 1).drop("_at", "_seq", "_signals")
 
 
 def paired(signals: DataFrame, closes: DataFrame | None = None) -> DataFrame:
@@ -144,28 +138,28 @@ def paired(signals: DataFrame, closes: DataFrame | None = None) -> DataFrame:
         rows = rows.withColumn("_exit", F.coalesce("_close", "price")).drop("_close")
     else:
         rows = rows.withColumn("_exit", F.col("price"))
-    backwards = Window.partitionBy("symbol").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
-    exit_ = F.last(F.when(F.col("kind") == "Sell", F.col("_exit")), True).over(backwards)
-    pnl = F.when(F.col("kind") == "Buy", F.try_divide(exit_ - F.col("price"), F.col("price")) * 100)
-    return rows.withColumn("pnl_pct", pnl).drop("_exit")
+    # Backwards in seq, the exit that comes next is a state that each Sell sets anew.
+    sell, given = F.col("kind") == "Sell", F.col("_exit").isNotNull()
+    back = rows.withColumn("i", -F.col("seq").cast("int")).withColumn("block", F.floor(F.col("i") / blocks.SIZE).cast("int")).repartition("symbol", "block")
+    sets = lambda x: (F.when(sell & given, 0.0).otherwise(1.0), F.when(sell & given, x).otherwise(0.0))
+    back = affine(back, {"_comes": sets(F.col("_exit")), "_any": sets(F.lit(1.0))})
+    pnl = F.when((F.col("kind") == "Buy") & (F.col("_any") > 0), F.try_divide(F.col("_comes") - F.col("price"), F.col("price")) * 100)
+    return back.withColumn("pnl_pct", pnl).drop("_exit", "_comes", "_any", "i", "block")
 
 
 def rolling_z(scored: DataFrame, lookback: int = 60) -> DataFrame:
     """Adds alpha_std and alpha_z of the last `lookback` bars from bar `lookback` on, if a third of them have a score."""
     total = finite_or_null(F.col("total"))
-    frame = W.last(lookback)
-    ready = (F.col("i") >= lookback) & (F.count(total).over(frame) >= lookback // 3) & (F.count(total).over(frame) > 0)
-    rows = scored.withColumns({"alpha_std": F.when(ready, F.greatest(F.stddev_pop(total).over(frame), F.lit(1e-12))), "_mean": F.avg(total).over(frame)})
+    count = lambda: F.count(total).over(W.last(lookback))
+    ready = lambda: (F.col("i") >= lookback) & (count() >= lookback // 3) & (count() > 0)
+    columns = lambda: {
+        "alpha_std": F.when(ready(), F.greatest(F.stddev_pop(total).over(W.last(lookback)), F.lit(1e-12))),
+        "_mean": F.avg(total).over(W.last(lookback)),
+    }
+    rows = windowed(scored, columns, lookback)
     return rows.withColumn("alpha_z", F.when(total.isNotNull(), (total - F.col("_mean")) / F.col("alpha_std"))).drop("_mean")
 
 
-ACTION = T.StructType(
-    [T.StructField("action", T.StringType())]
-    + [T.StructField(c, T.DoubleType()) for c in ("position_pct", "pnl_pct", "level", "avg_entry")]
-    + [T.StructField("units", T.IntegerType())]
-)
-
-
 def turtle_actions(scored: DataFrame, config: TurtleConfig = TurtleConfig()) -> DataFrame:
     """(symbol, time, action, price, alpha_score, alpha_z, alpha_std, position_pct, units, max_units, level, avg_entry, pnl_pct).
 
@@ -175,42 +169,8 @@ def turtle_actions(scored: DataFrame, config: TurtleConfig = TurtleConfig()) ->
     the next Entry or Add, bars without a score included; an Exit does not wait. A
     position that is open in the end has no Exit. level is the bound that was crossed.
     """
-    c = config
-
-    def start():
-        return {"units": 0, "entry": 0.0, "price": 0.0, "last": 0.0, "wait": 0}
-
-    def step(s, i, n, total, z, std, close):
-        nothing = (None,) * len(ACTION)
-        if i < c.lookback:
-            return nothing
-        if s["wait"]:
-            s["wait"] -= 1
-        if total is None or total != total or total in (float("inf"), float("-inf")):
-            return nothing
-        z, std = 0.0 if z is None else z, 1e-6 if std is None else std
-        if s["units"]:
-            level = s["entry"] - c.stop * std
-            if total < level:
-                pnl = (close - s["price"]) / s["price"] * 100.0 if s["price"] else None
-                s.update(start(), wait=c.cooldown)
-                return "Exit", 0.0, pnl, level, None, 0
-        if s["wait"]:
-            return nothing
-        if not s["units"]:
-            if z <= c.entry_z:
-                return nothing
-            s.update(units=1, entry=total, price=close, last=total, wait=c.cooldown)
-            return "Entry", c.unit_share * 100.0, None, c.entry_z, close, 1
-        level = s["last"] + c.add_step * std
-        if total <= level or s["units"] >= c.max_units:
-            return nothing
-        s.update(price=(s["price"] * s["units"] + close) / (s["units"] + 1), units=s["units"] + 1, last=total, wait=c.cooldown)
-        return "Add", s["units"] * c.unit_share * 100.0, None, level, s["price"], s["units"]
-
-    rows = rolling_z(scored, c.lookback)
-    acted = scan(rows, ["i", "n", "total", "alpha_z", "alpha_std", "close"], start, step, ACTION, partitioned=True).where("action IS NOT NULL")
+    acted = positions(rolling_z(scored, config.lookback), Turtle(config)).where("action IS NOT NULL")
     return acted.select(
         "symbol", "time", "action", F.col("close").alias("price"), F.col("total").alias("alpha_score"), F.coalesce("alpha_z", F.lit(0.0)).alias("alpha_z"),
-        F.coalesce("alpha_std", F.lit(1e-6)).alias("alpha_std"), "position_pct", "units", F.lit(c.max_units).alias("max_units"), "level", "avg_entry", "pnl_pct",
+        F.coalesce("alpha_std", F.lit(1e-6)).alias("alpha_std"), "position_pct", "units", F.lit(config.max_units).alias("max_units"), "level", "avg_entry", "pnl_pct",
     )

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from ..functions.guards import percent_encoded
 from ..functions.windows import by_symbol
+from ..operators.blocks import placed
 
 CANDLES = T.StructType(
     [T.StructField("symbol", T.StringType()), T.StructField("time", T.LongType(), False)]
@@ -20,8 +21,8 @@ def epoch_seconds(ts: Column) -> Column:
 
 
 def with_places(candles: DataFrame) -> DataFrame:
-    """Adds i, each bar's place from 0, and n, the symbol's number of bars. Of rows with one (symbol, time) one must be left."""
-    return candles.withColumn("i", (F.row_number().over(by_symbol().orderBy("time")) - 1).cast("int")).withColumn("n", F.count("*").over(by_symbol()).cast("int"))
+    """Adds i, each bar's place from 0, and n, the symbol's number of bars; see blocks.placed()."""
+    return placed(candles)
 
 
 def bars(rows: DataFrame, symbol: Column, time: Column, order: Column, price: Column) -> DataFrame:
