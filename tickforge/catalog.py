@@ -17,6 +17,7 @@ from .operators.blocks import windowed
 from .oracles import FACTORS, composed
 from .plans.strategies import strategy
 from .sources import candles as S
+from .sources import instruments as I
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -278,9 +279,19 @@ _other(
 )
 _other(
     "instrument_search",
-    lambda s, d: S.search(table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("symbol"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("market")), "12"),
+    lambda s, d: I.search(table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("symbol"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("market")), "12"),
     "SELECT c_custkey::VARCHAR AS symbol, c_name AS name, c_mktsegment AS market FROM customer WHERE contains(c_custkey::VARCHAR, '12') OR contains(c_name, '12') ORDER BY symbol LIMIT 20",
 )
+_other(
+    "instrument_search_many",
+    lambda s, d: I.search_many(
+        table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("symbol"), F.col("c_name").alias("name")),
+        table(s, d, "supplier").select(F.substring("s_name", -3, 3).alias("keyword")).union(table(s, d, "part").select(F.substring("p_name", 1, 2))).union(table(s, d, "nation").select(F.col("n_nationkey").cast("string"))),
+    ),
+    """SELECT DISTINCT keyword, c_custkey::VARCHAR AS symbol, c_name AS name
+       FROM (SELECT right(s_name, 3) AS keyword FROM supplier UNION SELECT left(p_name, 2) FROM part UNION SELECT n_nationkey::VARCHAR FROM nation) k
+       JOIN customer ON contains(c_custkey::VARCHAR, keyword) OR contains(c_name, keyword) WHERE keyword <> ''""",
+)
 _other(
     "market_open",
     lambda s, d: table(s, d, "events").select("event_id", S.epoch_seconds(F.col("ts")).alias("at")).select("event_id", S.market_open(F.col("at")).alias("open"), S.time_to_live(F.col("at")).alias("ttl")),

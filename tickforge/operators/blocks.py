@@ -143,19 +143,25 @@ def _matrix(table: pa.Table, names: list[str]) -> np.ndarray:
     return np.stack([table.column(c).to_numpy().astype(np.float64) for c in names])
 
 
-def affine(rows: DataFrame, maps: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """Adds states x_i = a_i x_(i-1) + b_i along each symbol, for each name its (a, b); before the first bar x is 0.
+Maps = dict[str, tuple[Column, Column]]
+
+
+def _coded(rows: DataFrame, maps: Maps) -> tuple[DataFrame, list[str], list[str]]:
+    """Rows with the maps as columns of doubles, and these columns' names."""
+    a, b = [f"_a{k}" for k in range(len(maps))], [f"_b{k}" for k in range(len(maps))]
+    values = zip([*a, *b], [*(x for x, _ in maps.values()), *(y for _, y in maps.values())])
+    return rows.withColumns({k: F.coalesce(v.cast("double"), F.lit(float("nan"))) for k, v in values}), a, b
+
+
+def starts(rows: DataFrame, maps: Maps, name: str = "_start") -> DataFrame:
+    """(symbol, block, `name`): the states of affine() before each block, in the order of the maps.
 
-    `rows` have i and block, as windowed() leaves them. Each block's maps are composed to
-    one; these, one row a block, are scanned along the symbol; each block then replays
-    from the state that it starts with. No step is a call for a bar, and none but the
-    scan of blocks needs a symbol's rows together.
+    Each block's maps are composed to one; these, one row a block, stream along the
+    symbol, and only the last state is carried.
     """
-    names = list(maps)
-    held = {f"_a{k}": a for k, (a, _) in enumerate(maps.values())} | {f"_b{k}": b for k, (_, b) in enumerate(maps.values())}
-    a_names, b_names = [f"_a{k}" for k in range(len(maps))], [f"_b{k}" for k in range(len(maps))]
-    coded = rows.withColumns({k: F.coalesce(v.cast("double"), F.lit(float("nan"))) for k, v in held.items()})
-    spread = coded.select("symbol", "block", "i", *held).sortWithinPartitions("symbol", "block", "i")
+    coded, a_names, b_names = _coded(rows, maps)
+    spread = coded.select("symbol", "block", "i", *a_names, *b_names).sortWithinPartitions("symbol", "block", "i")
+    kind = rows.schema["symbol"].dataType.simpleString()
 
     def summarise(batches):
         for table, begins in whole_groups(batches, ["symbol", "block"]):
@@ -164,11 +170,7 @@ def affine(rows: DataFrame, maps: dict[str, tuple[Column, Column]]) -> DataFrame
             some = table.take(pa.array(ends))
             yield from pa.Table.from_arrays([some.column("symbol"), some.column("block"), _lists(a[:, ends]), _lists(b[:, ends])], names=["symbol", "block", "a", "b"]).to_batches()
 
-    kind = rows.schema["symbol"].dataType.simpleString()
-    blocks = spread.mapInArrow(summarise, f"symbol {kind}, block int, a array<double>, b array<double>").repartition("symbol").sortWithinPartitions("symbol", "block")
-
     def along(batches):
-        # Blocks of a symbol are as many as its bars over SIZE; they stream, and only the last state is carried.
         symbol, state = object(), None
         for batch in batches:
             a, b = (np.array(batch.column(c).to_pylist(), np.float64).reshape(batch.num_rows, -1) for c in "ab")
@@ -178,18 +180,52 @@ def affine(rows: DataFrame, maps: dict[str, tuple[Column, Column]]) -> DataFrame
                     symbol, state = s, np.zeros(a.shape[1])
                 out[r] = state
                 state = a[r] * state + b[r]
-            yield pa.RecordBatch.from_arrays([batch.column("symbol"), batch.column("block"), _lists(out.T)], names=["symbol", "block", "_start"])
+            yield pa.RecordBatch.from_arrays([batch.column("symbol"), batch.column("block"), _lists(out.T)], names=["symbol", "block", name])
 
-    starts = blocks.mapInArrow(along, f"symbol {kind}, block int, _start array<double>")
-    joined = coded.join(starts, ["symbol", "block"], "left").sortWithinPartitions("symbol", "block", "i")
-    kept = [c for c in rows.columns]
+    blocks = spread.mapInArrow(summarise, f"symbol {kind}, block int, a array<double>, b array<double>").repartition("symbol").sortWithinPartitions("symbol", "block")
+    return blocks.mapInArrow(along, f"symbol {kind}, block int, {name} array<double>")
+
+
+def replayed(rows: DataFrame, maps: Maps, name: str = "_start") -> DataFrame:
+    """Adds the states of affine() from those before each block, in the column `name`, which goes; where it is null they are 0."""
+    coded, a_names, b_names = _coded(rows, maps)
+    fields, names = [f for f in rows.schema.fields if f.name != name], list(maps)
 
     def replay(batches):
         for table, begins in whole_groups(batches, ["symbol", "block"]):
             a, b = compose(_matrix(table, a_names), _matrix(table, b_names), begins)
-            start = np.array(table.column("_start").take(pa.array(begins)).to_pylist(), np.float64).reshape(len(begins), -1).T
+            given = [x or [0.0] * len(names) for x in table.column(name).take(pa.array(begins)).to_pylist()]
+            start = np.array(given, np.float64).reshape(len(begins), -1).T
             state = a * np.repeat(start, np.diff(np.r_[begins, table.num_rows]), axis=1) + b
-            yield from pa.Table.from_arrays([*(table.column(c) for c in kept), *map(pa.array, state)], names=[*kept, *names]).to_batches()
+            yield from pa.Table.from_arrays([*(table.column(f.name) for f in fields), *map(pa.array, state)], names=[*(f.name for f in fields), *names]).to_batches()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return coded.mapInArrow(replay, f"{schema}, " + ", ".join(f"`{n}` double" for n in names))
+
+
+def longer(rows: DataFrame) -> DataFrame:
+    """Rows of symbols of more than one block, whose blocks alone have a state before them."""
+    return rows.where(F.col("n") > SIZE) if "n" in rows.columns else rows
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return joined.select(*kept, *held, "_start").mapInArrow(replay, f"{fields}, " + ", ".join(f"`{n}` double" for n in names))
+
+def affine(rows: DataFrame, maps: Maps) -> DataFrame:
+    """Adds states x_i = a_i x_(i-1) + b_i along each symbol, for each name its (a, b); before the first bar x is 0.
+
+    `rows` have i and block, as windowed() leaves them. Blocks are composed to one map
+    each, the maps scanned along the symbol, and each block then replays from the state
+    that it starts with. No step is a call for a bar, and none but the scan of blocks
+    needs a symbol's rows together.
+    """
+    before = starts(longer(rows), maps)
+    return replayed(rows.join(before, ["symbol", "block"], "left").sortWithinPartitions("symbol", "block", "i").select(*rows.columns, "_start"), maps)
+
+
+def affine_twice(rows: DataFrame, first: Maps, between: dict[str, Column], second: Maps) -> DataFrame:
+    """affine() of `first`, columns of its states, and affine() of `second`, which reads these; rows are dealt and sorted once."""
+    many = longer(rows)
+    before = starts(many, first)
+    joined = lambda df, states: df.join(states, ["symbol", "block"], "left")
+    again = replayed(joined(many, before).sortWithinPartitions("symbol", "block", "i").select(*rows.columns, "_start"), first).withColumns(between)
+    both = before.join(starts(again, second, "_start2"), ["symbol", "block"])
+    spread = joined(rows, both).sortWithinPartitions("symbol", "block", "i").select(*rows.columns, "_start", "_start2")
+    return replayed(replayed(spread, first).withColumns(between), second, "_start2")

@@ -334,26 +334,31 @@ def alpha_scores(candles: DataFrame, config: FactorConfig = FactorConfig(), fact
     Factors and coefficients are computed once, by blocks of bars, and kept in the shared
     folder. Weights, cut-offs and moments are aggregates over that table, a row for each
     symbol and factor; a symbol's are joined to its bars as one row, so that the score
-    is a projection.
+    is a projection. The scores are kept too, as all that is made of them reads them more
+    than once.
     """
     factors = factors or library()
     wide = kept(wide_ics(candles, config, factors))
     long = _unpivoted(wide, factors, {"x": "", "ic": "ic_"}, ("symbol", "time"))
     known = evaluate(long, config).join(normals(long), ["symbol", "factor"], "left")
-    values = ("ic_mean", "weight", "_m", "_lo", "_hi", "_mean", "_std")
-    by_symbol = known.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("factor", F.struct(*values)))).alias("_known"))
+    place = F.array_position(F.array(*[F.lit(f.name) for f in factors]), F.col("factor"))
+    values = ("weight", "ic_mean", "_m", "_lo", "_hi", "_mean", "_std")
+    by_symbol = known.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), *values))).alias("_known"))
     rows = wide.join(by_symbol, "symbol", "left")
-    z, weight = {}, {}
-    for f in factors:
-        stats = lambda c, f=f: F.col(f"_s_{f.name}.{c}")
-        weight[f.name] = stats("weight")
-        z[f.name] = _z(F.col(f.name), F.lit(f.direction), stats("ic_mean"), stats)
-    rows = rows.withColumns({f"_s_{f.name}": F.try_element_at("_known", F.lit(f.name)) for f in factors}).withColumns({f"_z_{k}": v for k, v in z.items()})
-    there = {f.name: finite(F.col(f"_z_{f.name}")) & (F.coalesce(weight[f.name], F.lit(0.0)) != 0) for f in factors}
-    any_ = F.greatest(*[there[f.name] for f in factors], F.lit(False))
+    direction = F.array(*[F.lit(f.direction) for f in factors])
+
+    def share(x: Column, at: Column) -> Column:
+        """Weight times z of the factor at a place, null where it does not count."""
+        stats = F.get("_known", at)
+        z = _z(x, F.get(direction, at), stats["ic_mean"], lambda c: stats[c])
+        return F.when(finite(z) & (F.coalesce(stats["weight"], F.lit(0.0)) != 0), stats["weight"] * z)
+
+    rows = rows.withColumn("_share", F.transform(F.array(*[F.col(f.name) for f in factors]), share))
+    counts = F.exists("_share", lambda x: x.isNotNull())
 
     def part(category: str) -> Column:
-        terms = [F.when(there[f.name], weight[f.name] * F.col(f"_z_{f.name}")).otherwise(0.0) for f in factors if f.category == category]
-        return F.when(any_, sum(terms, F.lit(0.0)))
+        terms = [F.coalesce(F.get("_share", F.lit(k)), F.lit(0.0)) for k, f in enumerate(factors) if f.category == category]
+        return F.when(counts, sum(terms, F.lit(0.0)))
 
-    return rows.select(*[c for c in candles.columns if c != "block"], *[part(c).alias(n) for c, n in zip(CATEGORIES, SCORES)]).withColumn("total", _total())
+    scored = rows.select(*[c for c in candles.columns if c != "block"], *[part(c).alias(n) for c, n in zip(CATEGORIES, SCORES)])
+    return kept(scored.withColumn("total", _total()))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
-from .blocks import affine, windowed
+from .blocks import affine, affine_twice, windowed
 
 
 @dataclass(frozen=True)
@@ -31,10 +31,11 @@ def applied(candles: DataFrame, *parts: Recurrence) -> DataFrame:
     """Adds what all recurrences give, each stage of all of them in one pass over blocks of bars; rows keep `block`."""
     gathered = lambda name: {k: v for p in parts for k, v in getattr(p, name).items()}
     rows = windowed(candles, lambda: {k: make() for k, make in gathered("columns").items()}, max(p.before for p in parts))
-    if first := gathered("first"):
+    first, second = gathered("first"), gathered("second")
+    if second:
+        rows = affine_twice(rows, first, gathered("between"), second)
+    elif first:
         rows = affine(rows, first)
-    if second := gathered("second"):
-        rows = affine(rows.withColumns(gathered("between")), second)
     return rows.select(*candles.columns, *[c.alias(k) for k, c in gathered("adds").items()], *(["block"] if "block" not in candles.columns else []))
 
 

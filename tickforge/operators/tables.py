@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import WIDTH
+
 
 def merged_history(older: DataFrame, newer: DataFrame, key: tuple[str, ...] = ("symbol", "time")) -> DataFrame:
     """The older rows whose bar is not among the newer ones, and all newer ones."""
@@ -18,23 +20,30 @@ def merged_series(older: DataFrame, newer: DataFrame, series: list[str], key: tu
     return rows.withColumns(kept).drop("_was", *[f"_{c}" for c in series])
 
 
-def nearest_bar(asked: DataFrame, bars: DataFrame) -> DataFrame:
-    """Adds near, the time of the symbol's bar that is nearest to `at`, the earlier of two; null for a symbol without bars.
+def nearest_bar(asked: DataFrame, bars: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Adds near, the time of the symbol's bar that is nearest to `at`, the earlier of two; null for a symbol without bars or a null `at`.
 
-    Both sides are put in one order by symbol and time; the bar before a question is the
-    last one in it, the bar after it the last one in the reverse order. Both frames grow
-    by a row at a time, so the work is linear and there is no join of ranges.
+    Questions and bars are dealt by symbol and span of `width` seconds. Spans tell each
+    other, a row a span, the last bar before and the first bar after them; within a span
+    the neighbours of a question are those in its order. So a symbol's bars spread over
+    tasks, the work is linear, and there is no join of ranges.
     """
+    span = lambda t: F.floor(t / width)
     asked = asked.withColumn("_n", F.monotonically_increasing_id())
-    rows = asked.select("symbol", F.col("at").alias("_t"), F.lit(None).cast("long").alias("_bar"), F.struct(*asked.columns).alias("_q")).unionByName(
-        bars.select("symbol", F.col("time").alias("_t"), F.col("time").alias("_bar")), allowMissingColumns=True
-    )
-    asks = F.col("_bar").isNull()
-    upto = lambda *order: F.last("_bar", True).over(Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    was, comes = upto("_t", asks), upto(F.desc("_t"), asks.desc())
+    questions = asked.select("symbol", span(F.col("at")).alias("_span"), F.col("at").alias("_t"), F.struct(*asked.columns).alias("_q"))
+    there = bars.select("symbol", span(F.col("time")).alias("_span"), F.col("time").alias("_t"), F.col("time").alias("_bar"))
+    ends = there.groupBy("symbol", "_span").agg(F.min("_bar").alias("_first"), F.max("_bar").alias("_last"))
+    spans = ends.unionByName(questions.select("symbol", "_span").distinct(), allowMissingColumns=True).groupBy("symbol", "_span").agg(F.max("_first").alias("_first"), F.max("_last").alias("_last"))
+    along = lambda order: Window.partitionBy("symbol").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    heads = spans.select("symbol", "_span", F.max("_last").over(along("_span")).alias("_before"), F.min("_first").over(along(F.desc("_span"))).alias("_after"))
+    rows = there.unionByName(questions, allowMissingColumns=True).unionByName(heads, allowMissingColumns=True)
+    own = Window.partitionBy("symbol", "_span")
+    asks = F.col("_q").isNotNull()
+    upto = lambda *order: F.last("_bar", True).over(own.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    was, comes = F.coalesce(upto("_t", asks), F.max("_before").over(own)), F.coalesce(upto(F.desc("_t"), asks.desc()), F.max("_after").over(own))
     rows = rows.withColumns({"_b": was, "_a": comes}).where("_q IS NOT NULL")
     nearer = F.when(F.col("_b").isNull() | (F.col("_a") - F.col("_t") < F.col("_t") - F.col("_b")), F.col("_a")).otherwise(F.col("_b"))
-    return rows.select("_q.*", nearer.alias("near")).drop("_n")
+    return rows.select("_q.*", F.when(F.col("_t").isNotNull(), nearer).alias("near")).drop("_n")
 
 
 def tints(signals: DataFrame) -> DataFrame:

@@ -87,12 +87,6 @@ def exchange_symbol(code: Column) -> Column:
     return F.when(six & code.startswith("6"), F.concat(F.lit("sh"), code)).when(six & code.rlike("^[03]"), F.concat(F.lit("sz"), code))
 
 
-def search(instruments: DataFrame, keyword: str, most: int = 20) -> DataFrame:
-    """Up to `most` instruments (symbol, name, market) whose symbol or name contains the keyword, in the order of symbols."""
-    hit = F.col("symbol").contains(keyword) | F.col("name").contains(keyword)
-    return instruments.where(hit).orderBy("symbol").limit(most)
-
-
 def market_open(seconds: Column) -> Column:
     """Whether the market is open at these UTC seconds: UTC+8, Monday to Friday, 9:00-11:30 and 13:00-15:00, the ends' minutes included."""
     local = seconds + 8 * 3600
