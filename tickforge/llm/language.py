@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast, chunks, crc_of_id, load
@@ -137,6 +137,75 @@ def train(docs: DataFrame, order: int = 3, docs_per_language: int = 1000, seed:
     return PpmModel(languages, order, *parts)
 
 
+def alphabet(model: PpmModel) -> np.ndarray:
+    """Which of the 256 bytes any language has learned."""
+    known = np.zeros(256, bool)
+    for grams in model.grams:
+        known[grams[0].astype(np.int64)] = True
+    return known
+
+
+def text_bits(model: PpmModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits that each language's model takes for each text, the texts' bytes, and how many of these no language has learned."""
+    keys, size = windows(texts, model.order + 1)
+    coded = pa.array(keys).dictionary_encode()
+    each, at = code_lengths(model, coded.dictionary.to_numpy()), coded.indices.to_numpy()
+    text = np.repeat(np.arange(len(size)), size)
+    new = np.bincount(text, ~alphabet(model)[(keys & np.uint64(255)).astype(np.int64)], len(size))
+    return np.array([np.bincount(text, x[at], len(size)) for x in each]).reshape(len(model.languages), len(size)), size, new
+
+
+#: Shorter texts, in bytes, are judged by nothing but whether they have a letter.
+SHORT = 64
+
+
+def unlearned_cost(docs: DataFrame, model: PpmModel, docs_per_language: int = 200) -> float | None:
+    """The most bits a byte that a labelled text takes, lower-cased, when its own language's model is left out.
+
+    It is what clean text may cost in a language that was not learned. Of each language
+    `docs_per_language` texts of SHORT bytes and more count, those of smallest hashed
+    id. None where fewer than two languages were learned.
+    """
+    if len(model.languages) < 2:
+        return None
+    shared = broadcast(docs.sparkSession, model)
+    rows = docs.where(F.col("lang").isin(model.languages) & (F.octet_length("text") >= SHORT) & F.col("text").rlike(r"\p{L}"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
+    sample = rows.select("doc_id", "lang", F.lower("text").alias("text")).withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= docs_per_language)
+
+    def cost(batches):
+        model = shared()
+        for batch in batches:
+            for part in chunks(batch, limit=2 << 20):
+                bits, size, _ = text_bits(model, part.column("text"))
+                own = [model.languages.index(x) for x in part.column("lang").to_pylist()]
+                bits[own, np.arange(len(own))] = np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(bits.min(axis=0) / size)], names=["cost"])
+
+    return sample.select("lang", "text").mapInArrow(cost, "cost double").agg(F.max("cost")).first()[0]
+
+
+def unlike_text(docs: DataFrame, model: PpmModel, cut: float, new_bytes: float = 0.05) -> DataFrame:
+    """Adds `unlike`: whether a text, lower-cased, takes more than `cut` bits a byte by every language, though its bytes are learned ones.
+
+    Of texts shorter than SHORT bytes, and of those of whose bytes more than a share of
+    `new_bytes` were never learned, such as another script's, nothing can be said: they
+    are not unlike. Nor are null or empty texts.
+    """
+    shared, names = broadcast(docs.sparkSession, model), docs.columns
+
+    def judge(batches):
+        model = shared()
+        for batch in batches:
+            for part in chunks(batch, "_judged", limit=2 << 20):
+                bits, size, new = text_bits(model, pc.fill_null(part.column("_judged"), ""))
+                unlike = (size >= SHORT) & (new <= new_bytes * size) & (bits.min(axis=0) > cut * size)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(unlike)], names=[*names, "unlike"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.withColumn("_judged", F.lower("text")).mapInArrow(judge, f"{fields}, unlike boolean")
+
+
 def identify(docs: DataFrame, model: PpmModel, keep: list[str] | None = None) -> DataFrame:
     """Adds lang_pred, score and bits_per_byte to the documents' columns, or to those named in `keep`.
 
