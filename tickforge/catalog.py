@@ -5,6 +5,7 @@ says otherwise. Doubles are rounded to six places on both sides.
 """
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -266,6 +267,83 @@ register(
 )
 
 
+def _strategy_values(c: DataFrame) -> DataFrame:
+    """What the hybrid strategy gives out and the turtle's actions, by value: a row for each of an output's, with its time, a label and a number."""
+    at = {
+        "indicators": ("time", F.lit(None).cast("string"), "dif"),
+        "regime": (F.lit(None).cast("long"), "regime", F.lit(None).cast("double")),
+        "rule_signals": ("time", F.concat("kind", F.lit(" "), "tags"), "price"),
+        "evals": (F.size("ic_series").cast("long"), "factor", "weight"),
+        "scores": ("time", F.lit(None).cast("string"), "total"),
+        "signals": ("time", "kind", "pnl_pct"),
+        "actions": ("time", "action", "position_pct"),
+    }
+    out = []
+    for name, parts in (("hybrid", _OF["factor"]), ("turtle", ("actions",))):
+        given = strategy(c.drop("i", "n"), name)
+        for part in parts:
+            df = given[part]
+            time, label, value = (x if isinstance(x, Column) else F.col(x) for x in at[part])
+            out.append(df.select(F.lit(name).alias("strategy"), F.lit(part).alias("part"), "symbol", time.alias("time"), label.alias("label"), value.alias("value")))
+    return reduce(DataFrame.union, out)
+
+
+_VALUES = {
+    "indicators": ("time, NULL", "dif", "md"),
+    "regime": ("NULL, regime", "NULL", "regimes"),
+    "rule_signals": ("time, kind || ' ' || tags", "price", "rule_out"),
+    "evals": ("(SELECT max(n) FROM c WHERE c.symbol = fe.symbol), factor", "weight", "fe"),
+    "scores": ("time, NULL", "total", "sc"),
+    "signals": ("time, kind", "pnl_pct", "pr"),
+    "actions": ("time, action", "position_pct", "ta"),
+}
+register(
+    "strategy_values",
+    _strategy_values,
+    "strategy part symbol time label value~",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS strategy, '{part}' AS part, symbol, t::BIGINT AS time, l::VARCHAR AS label, v::DOUBLE AS value FROM (SELECT symbol, {_VALUES[part][0]}, {_VALUES[part][1]} FROM {_VALUES[part][2]}) x(symbol, t, l, v)"
+        for name, parts in (("hybrid", _OF["factor"]), ("turtle", ("actions",)))
+        for part in parts
+    ),
+)
+
+# Parameters other than the defaults, series of coefficients, merged series, lists left out
+register("macd_fast", lambda c: indicators.macd(c, 6, 13, 5), "symbol time dif~ dea~ bar~", "SELECT * FROM md_fast")
+register("rsi_long", lambda c: indicators.rsi(c, 9), "symbol time rsi~", "SELECT * FROM rs_long")
+register(
+    "bollinger_narrow",
+    lambda c: indicators.bollinger(c, 10, 1.5),
+    "symbol time bb_upper~ bb_middle~ bb_lower~",
+    """SELECT symbol, time, CASE WHEN i >= 9 THEN m + 1.5 * s END AS bb_upper, CASE WHEN i >= 9 THEN m END AS bb_middle, CASE WHEN i >= 9 THEN m - 1.5 * s END AS bb_lower
+       FROM (SELECT *, avg(close) OVER w AS m, stddev_pop(close) OVER w AS s FROM c WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS 9 PRECEDING))""",
+)
+
+
+def _series(c: DataFrame) -> DataFrame:
+    ics = _ic(c)
+    return factors.with_series(factors.evaluate(ics, CONFIG), ics).select("symbol", "factor", "is_valid", F.posexplode("ic_series").alias("place", "ic"))
+
+
+register("factor_series", _series, "symbol factor is_valid place ic~", "SELECT symbol, factor, is_valid, (row_number() OVER (PARTITION BY symbol, factor ORDER BY time) - 1)::INTEGER AS place, ic FROM ic JOIN fe USING (symbol, factor)")
+register(
+    "history_series",
+    lambda c: tables.merged_series(*(part.select("symbol", "time", "close", (F.col("close") * k).alias("line")) for part, k in ((c.where("i < 200"), 2), (c.where("i >= 100").withColumn("close", -F.col("close")), 5))), ["line"]),
+    "symbol time close~ line~",
+    "SELECT symbol, time, CASE WHEN i >= 100 THEN -close ELSE close END AS close, CASE WHEN i < 200 THEN 2 * close ELSE -5 * close END AS line FROM c",
+)
+
+
+def _keys(c: DataFrame) -> DataFrame:
+    """The lists that each symbol's document has: none that would be empty."""
+    bought = rules.rule_signals(c).where("kind = 'Buy' AND price < 30")
+    made = tables.as_json(c.select("symbol", "time"), {"cheap": bought, "nothing": c.where("false").select("symbol", "time")})
+    return made.select("symbol", F.array_join(F.array_sort(F.json_object_keys("json")), ",").alias("keys"))
+
+
+register("json_lists", _keys, "symbol keys", "SELECT symbol, 'candles' || CASE WHEN symbol IN (SELECT symbol FROM rule_out WHERE kind = 'Buy' AND price < 30) THEN ',cheap' ELSE '' END AS keys FROM c GROUP BY symbol")
+
+
 # Scalar functions and stores, on other tables
 def _other(name: str, build: Query, sql: str) -> None:
     QUERIES[name], SQL[name] = build, sql

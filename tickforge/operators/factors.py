@@ -337,6 +337,11 @@ def alpha_scores(candles: DataFrame, config: FactorConfig = FactorConfig(), fact
     is a projection. The scores are kept too, as all that is made of them reads them more
     than once.
     """
+    return evaluation(candles, config, factors)[1]
+
+
+def evaluation(candles: DataFrame, config: FactorConfig = FactorConfig(), factors: list[Factor] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(coefficients, scores): what long_ics() and alpha_scores() give, from factors that are computed once."""
     factors = factors or library()
     wide = kept(wide_ics(candles, config, factors))
     long = _unpivoted(wide, factors, {"x": "", "ic": "ic_"}, ("symbol", "time"))
@@ -361,4 +366,4 @@ def alpha_scores(candles: DataFrame, config: FactorConfig = FactorConfig(), fact
         return F.when(counts, sum(terms, F.lit(0.0)))
 
     scored = rows.select(*[c for c in candles.columns if c != "block"], *[part(c).alias(n) for c, n in zip(CATEGORIES, SCORES)])
-    return kept(scored.withColumn("total", _total()))
+    return long, kept(scored.withColumn("total", _total()))

@@ -71,6 +71,18 @@ recurrence("dea9", "dif_rows", "dif", 25, 9, True)
 CTES["md"] = """
   SELECT c.symbol, c.time, c.i, CASE WHEN e.v IS NOT NULL THEN d.dif END AS dif, e.v AS dea, 2 * (d.dif - e.v) AS bar
   FROM c LEFT JOIN dif_rows d ON d.symbol = c.symbol AND d.i = c.i LEFT JOIN dea9 e ON e.symbol = c.symbol AND e.i = c.i AND c.n >= 35"""
+recurrence("fast6", "c", "close", 0, 6, True)
+recurrence("slow13", "c", "close", 0, 13, True)
+CTES["dif_fast"] = "  SELECT a.symbol, a.i, a.v - b.v AS dif FROM fast6 a JOIN slow13 b ON a.symbol = b.symbol AND a.i = b.i"
+recurrence("dea5", "dif_fast", "dif", 12, 5, True)
+CTES["md_fast"] = """
+  SELECT c.symbol, c.time, c.i, CASE WHEN e.v IS NOT NULL THEN d.dif END AS dif, e.v AS dea, 2 * (d.dif - e.v) AS bar
+  FROM c LEFT JOIN dif_fast d ON d.symbol = c.symbol AND d.i = c.i LEFT JOIN dea5 e ON e.symbol = c.symbol AND e.i = c.i AND c.n >= 18"""
+recurrence("gain9", "t", "gain", 1, 9, False)
+recurrence("loss9", "t", "loss", 1, 9, False)
+CTES["rs_long"] = """
+  SELECT c.symbol, c.time, CASE WHEN b.v < 1e-9 THEN 100 ELSE 100 - 100 / (1 + a.v / b.v) END AS rsi
+  FROM c LEFT JOIN gain9 a ON a.symbol = c.symbol AND a.i = c.i LEFT JOIN loss9 b ON b.symbol = c.symbol AND b.i = c.i"""
 CTES["rsv"] = """
   SELECT symbol, i, n, CASE WHEN abs(h - l) < 1e-9 THEN 50 ELSE (close - l) / (h - l) * 100 END AS rsv
   FROM (SELECT *, max(high) OVER w AS h, min(low) OVER w AS l FROM c WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS 8 PRECEDING)) WHERE i >= 8 AND n >= 10"""

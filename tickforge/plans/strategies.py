@@ -11,16 +11,15 @@ def strategy(candles: DataFrame, name: str = "default", factor: FactorConfig = F
     """The outputs of a strategy over candles (symbol, time, open, high, low, close, volume), by name.
 
     All have indicators, regime and rule_signals. `factor` and `hybrid` add evals, scores
-    and signals with their profit; `turtle` evals, scores and actions. Nothing runs
-    until an output is used.
+    and signals with their profit; `turtle` evals, scores and actions. Factors and scores
+    are computed at once and kept in the shared folder; all else runs when it is used.
     """
     bars = with_places(candles)
     indicated = indicators.all_indicators(bars)
     out = {"indicators": indicated, "regime": indicators.regime(indicated), "rule_signals": rules.rule_signals(bars)}
     if name in ("factor", "hybrid", "turtle"):
-        rows = factors.rolling_ic(factors.long_factors(bars, factor), factor)
+        rows, out["scores"] = factors.evaluation(bars, factor)
         out["evals"] = factors.with_series(factors.evaluate(rows, factor), rows)
-        out["scores"] = factors.alpha_scores(bars, factor)
         if name == "turtle":
             out["actions"] = signals.turtle_actions(out["scores"], turtle)
         else:
