@@ -5,7 +5,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import load, numbered, saved
@@ -100,6 +100,14 @@ def best_path(roles: list[int], entry: int, last: int | None, table, fill, costs
     return path[::-1], tail
 
 
+def escaped(text: Column) -> Column:
+    """The text with one backslash more in whatever reads as a marker of turns, so that it cannot begin or end one.
+
+    <|im_end|> becomes <|\\im_end|>, and that one more; taking one away from each gives the text back.
+    """
+    return F.regexp_replace(text, r"<\|(\\*im_(?:start|end)\|>)", r"<|\\$1")
+
+
 def repair(turns: DataFrame, costs: Costs = Costs(), block: int = 4096) -> DataFrame:
     """(conv_id, turn, place, sub, action, role, cost, piece) of the repaired conversations.
 
@@ -107,7 +115,8 @@ def repair(turns: DataFrame, costs: Costs = Costs(), block: int = 4096) -> DataF
     assistant last. Turns of conv_id in the order of `turn` (nulls first, ties as they are
     read) are kept, relabelled or merged into the turn before, and empty turns are
     inserted, so that the sum of costs is least; of equal ones the first in the order
-    of steps() is taken. A null or other role costs a label. Null text is empty.
+    of steps() is taken. A null or other role costs a label. Null text is empty; markers of
+    turns that stand in a text are escaped().
 
     One row for each turn of the input, and one (turn null, action "insert") for each
     inserted; in the order of (place, sub) their pieces join to the rendered
@@ -125,7 +134,7 @@ def repair(turns: DataFrame, costs: Costs = Costs(), block: int = 4096) -> DataF
             "conv_id",
             "turn",
             F.coalesce(F.try_element_at(known, F.coalesce("role", F.lit(""))), F.lit(0)).alias("role"),
-            F.coalesce("text", F.lit("")).alias("text"),
+            escaped(F.coalesce("text", F.lit(""))).alias("text"),
             F.monotonically_increasing_id().alias("_row"),
         )
     )
@@ -213,4 +222,5 @@ def render(repaired: DataFrame) -> DataFrame:
 
 
 def op2_chat(spark, sf_dir: str) -> DataFrame:
+    """Every conversation repaired, as pieces that join to its rendering; see repair() for nulls, ties, repeats and empty tables."""
     return repair(load(spark, sf_dir, "conversations"))

@@ -259,6 +259,7 @@ def held_out(column: str = "doc_id"):
 
 
 def op9_language(spark, sf_dir: str) -> DataFrame:
+    """Every document's language by models of those that are not held out; see identify() for nulls, texts without letters and repeats."""
     docs = load(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()))
     rows = docs.select("doc_id", "text", held_out().alias("held_out"))

@@ -178,4 +178,5 @@ FROM d LEFT JOIN a USING (doc_id)
 
 
 def op8_licenses(spark, sf_dir: str) -> DataFrame:
+    """Every document's licence words, places of phrases and labels; see scan_licenses() for nulls, empty texts and repeats."""
     return scan_licenses(load(spark, sf_dir, "documents"))

@@ -60,6 +60,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
+    """Every document in one of 8 shards of near equal bytes, in the order of doc_id."""
     return shard_by_bytes(load(spark, sf_dir, "documents")).select(
         "doc_id",
         "size",
