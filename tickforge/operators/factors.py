@@ -220,7 +220,8 @@ def evaluate(ics: DataFrame, config: FactorConfig) -> DataFrame:
 
 
 def with_weights(ics: DataFrame, config: FactorConfig) -> DataFrame:
-    """Adds what evaluate() finds for a factor to each of its rows."""
+    """Adds what evaluate() finds for a factor to each of its rows, which are kept in the shared folder, as all later steps read them again."""
+    ics = kept(ics)
     return ics.join(evaluate(ics, config), ["symbol", "factor"], "left")
 
 
