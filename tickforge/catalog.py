@@ -4,6 +4,7 @@ Candles are the hourly ones of `events`, one symbol for each event type, unless
 says otherwise. Doubles are rounded to six places on both sides.
 """
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -19,6 +20,8 @@ from .oracles import FACTORS, composed
 from .plans.strategies import strategy
 from .sources import candles as S
 from .sources import instruments as I
+from .sources.shared import shared_folder
+from .sources.store import CandleStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -247,6 +250,63 @@ register(
 )
 
 
+def _store(c: DataFrame) -> CandleStore:
+    """A store of its own in the shared folder."""
+    name = f"store_{uuid.uuid4().hex}"
+    return CandleStore(c.sparkSession, name, f"{shared_folder(c.sparkSession)}/{name}", buckets=32)
+
+
+def _store_upserted(c: DataFrame) -> DataFrame:
+    """Stored are the bars up to place 300; those of long symbols are then replaced by their bars from place 100 on."""
+    store = _store(c)
+    store.upsert(c.where("i <= 300"), 0)
+    store.upsert(c.where("i >= 100 AND length(symbol) > 5"), 60)
+    return store.read().join(store.meta, "symbol")
+
+
+register(
+    "store_upserted",
+    _store_upserted,
+    f"{OHLCV} day_count fetched_at",
+    """SELECT *, count(*) OVER (PARTITION BY symbol) AS day_count, CASE WHEN length(symbol) > 5 AND n > 100 THEN 60 ELSE 0 END AS fetched_at
+       FROM c WHERE CASE WHEN length(symbol) > 5 AND n > 100 THEN i >= 100 ELSE i <= 300 END""",
+)
+
+
+def _store_through(c: DataFrame) -> DataFrame:
+    """As cache_through, but what is not fresh is stored and read back; with what is then known of each symbol."""
+    store, now = _store(c), 1704270600
+    store.upsert(c.where("i <= 300"), F.when(F.length("symbol") > 5, F.lit(now - 60)).otherwise(0))
+    return store.through(c, now, 100).join(store.meta, "symbol")
+
+
+register(
+    "store_through",
+    _store_through,
+    "symbol time close~ day_count fetched_at",
+    """SELECT symbol, time, close, upto + 1 AS day_count, 1704270600 - CASE WHEN kept THEN 60 ELSE 0 END AS fetched_at
+       FROM (SELECT *, CASE WHEN kept THEN least(n - 1, 300) ELSE n - 1 END AS upto FROM (SELECT *, length(symbol) > 5 AND n >= 100 AS kept FROM c))
+       WHERE i <= upto AND i > upto - 100""",
+)
+
+
+def _store_joined(c: DataFrame) -> DataFrame:
+    """Each bar beside that of a day before: two stored tables, joined bucket by bucket."""
+    today, before = _store(c), _store(c)
+    today.upsert(c, 0)
+    before.upsert(c.withColumn("time", F.col("time") + 86400), 0)
+    day_before = before.candles.select("symbol", "span", "time", F.col("close").alias("day_before"))
+    return today.candles.join(day_before, ["symbol", "span", "time"]).withColumn("change", F.col("close") - F.col("day_before"))
+
+
+register(
+    "store_joined",
+    _store_joined,
+    "symbol time close~ day_before~ change~",
+    "SELECT a.symbol, a.time, a.close, b.close AS day_before, a.close - b.close AS change FROM c AS a JOIN c AS b ON a.symbol = b.symbol AND a.time = b.time + 86400",
+)
+
+
 def _strategies(c: DataFrame) -> DataFrame:
     """Every output of each strategy: its rows, and how many symbols it has."""
     out = None
