@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickforge.sources.candles import market_open
-from tickforge.sources.store import CandleStore
+from tickforge.sources.store import WITHOUT_EXCHANGE, CandleStore
 
 BARS = "symbol string, time long, open double, high double, low double, close double, volume double"
 DAY = 86400
@@ -72,6 +72,7 @@ def test_stored_tables_are_joined_without_an_exchange(spark, store, tmp_path):
     for s in (store, other):
         s.upsert(bars(spark, ["A", "B"], 250), 10)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set(WITHOUT_EXCHANGE, "false")
     try:
         joined = store.candles.join(other.candles.select("symbol", "span", "time", F.col("close").alias("other")), ["symbol", "span", "time"])
         plan = joined._jdf.queryExecution().executedPlan().toString()
@@ -79,6 +80,7 @@ def test_stored_tables_are_joined_without_an_exchange(spark, store, tmp_path):
         assert joined.count() == 500
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset(WITHOUT_EXCHANGE)
 
 
 def test_the_filter_on_symbols_reaches_the_scan(spark, store):

@@ -291,7 +291,7 @@ register(
 
 
 def _store_joined(c: DataFrame) -> DataFrame:
-    """Each bar beside that of a day before: two stored tables, joined bucket by bucket."""
+    """Each bar beside that of a day before: two stored tables, which are dealt alike."""
     today, before = _store(c), _store(c)
     today.upsert(c, 0)
     before.upsert(c.withColumn("time", F.col("time") + 86400), 0)

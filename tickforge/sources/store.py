@@ -5,15 +5,19 @@ from pyspark.sql import functions as F
 
 from .candles import PRICES, fresh, tail
 
+#: The setting, to be "false", by which joins of stores need no exchange.
+WITHOUT_EXCHANGE = "spark.sql.requireAllClusterKeysForCoPartition"
+
 
 class CandleStore:
     """Two tables in `folder`, known to the session as {name}_candles and {name}_meta.
 
     Candles are bucketed by (symbol, span), a span being `span` seconds, and sorted by
     time: a symbol that holds much of the table lies in many buckets, and tables with the
-    same buckets are joined by symbol, span and time without an exchange: the session is
-    told that a part of a join's keys will do for that. Each bucket is a partition of its
-    own, named by `part`, so that one bucket can be replaced.
+    same buckets are joined by symbol, span and time without an exchange, if the session
+    says that a part of a join's keys will do for that (WITHOUT_EXCHANGE; it is left to the
+    session, as it holds for all of its joins). Each bucket is a partition of its own,
+    named by `part`, so that one bucket can be replaced.
 
     A folder that holds tables already is opened as it is; `buckets` and `span` must then
     be those that it was made with. One writer at a time. Rows without a symbol or a time
@@ -23,7 +27,6 @@ class CandleStore:
     def __init__(self, spark: SparkSession, name: str, folder: str, buckets: int = 64, span: int = 1 << 25):
         self.spark, self.buckets, self.span = spark, buckets, span
         self.candles_table, self.meta_table = f"{name}_candles", f"{name}_meta"
-        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         prices = ", ".join(f"{p} DOUBLE" for p in PRICES)
         self._create(self.candles_table, f"{folder}/candles", f"symbol STRING, span BIGINT, time BIGINT, {prices}", "symbol, span", "symbol, time")
         self._create(self.meta_table, f"{folder}/meta", "symbol STRING, day_count BIGINT, fetched_at BIGINT", "symbol", "symbol")
