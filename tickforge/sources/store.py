@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .candles import PRICES, fresh, tail
+from .shared import kept
 
 #: The setting, to be "false", by which joins of stores need no exchange.
 WITHOUT_EXCHANGE = "spark.sql.requireAllClusterKeysForCoPartition"
@@ -65,13 +66,14 @@ class CandleStore:
     def upsert(self, candles: DataFrame, fetched_at: int | Column) -> list[int]:
         """Replaces all bars of the symbols that `candles` holds, and tells the candle buckets that were written.
 
-        Other buckets' files are not touched. The symbols' bars are replaced before what is
+        Other buckets' files are not touched. What comes is computed once and kept in the
+        shared folder; of what is stored, the symbols are read, and the buckets they lie in. The symbols' bars are replaced before what is
         known of them, so that after a failure between the two they are fetched once more.
         """
         at = F.lit(fetched_at) if isinstance(fetched_at, int) else fetched_at
         rows = candles.where("symbol IS NOT NULL AND time IS NOT NULL").dropDuplicates(["symbol", "time"])
         rows = self.spanned(rows.select("symbol", "time", *PRICES, at.cast("bigint").alias("fetched_at")))
-        rows = rows.withColumn("part", self._part("symbol", "span"))
+        rows = kept(rows.withColumn("part", self._part("symbol", "span")))
         meta = rows.groupBy("symbol").agg(F.count("*").alias("day_count"), F.max("fetched_at").alias("fetched_at"))
         written = self._replace(self.candles_table, rows.drop("fetched_at"), ["symbol", "span"])
         self._replace(self.meta_table, meta.withColumn("part", self._part("symbol")), ["symbol"])
