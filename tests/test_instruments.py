@@ -16,6 +16,24 @@ def test_many_keywords_equal_scans(spark):
     assert tried < 40
 
 
+def test_postings_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """Spark takes them for as small as their file; at 60 times sf0.1 their broadcast took all of the driver's memory."""
+    rows = [(str(i), f"Customer#{i:09d}") for i in range(3000)]
+    spark.createDataFrame(rows, "symbol string, name string").write.parquet(str(tmp_path / "i"))
+    words = [f"{i:03d}" for i in range(0, 1000, 7)] + ["1", "42"]
+    spark.createDataFrame([(w,) for w in words], "keyword string").write.parquet(str(tmp_path / "k"))
+    want = sorted((w, s, n) for w in words for s, n in rows if w in s or w in n)
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(I, "SENT", most, raising=False)
+        got = I.search_many(spark.read.parquet(str(tmp_path / "i")), spark.read.parquet(str(tmp_path / "k")))
+        assert sorted(map(tuple, got.collect())) == want
+        lines = [(len(x) - len(x.lstrip(" :+-")), x) for x in got._jdf.queryExecution().executedPlan().toString().splitlines()]
+        for at, (deep, line) in enumerate(lines):
+            if "BroadcastExchange" in line:
+                below = [x for d, x in lines[at + 1 :][: next((i for i, (d, _) in enumerate(lines[at + 1 :]) if d <= deep), None)]]
+                assert below and not any("symbol" in x for x in below)
+
+
 def test_search_of_one_keyword(spark):
     table = spark.createDataFrame([("2", "ab", "m"), ("1", "xab", "m"), ("3", "b", "m")], "symbol string, name string, market string")
     assert [r.symbol for r in I.search(table, "ab").collect()] == ["1", "2"] and I.search(table, "ab", 1).count() == 1

@@ -3,7 +3,11 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 FIELDS = ("symbol", "name")
+#: Characters of all keywords up to which these are broadcast to the postings; more are joined by shuffles.
+SENT = 1 << 20
 
 
 def search(instruments: DataFrame, keyword: str, most: int = 20) -> DataFrame:
@@ -25,19 +29,29 @@ def trigram_index(instruments: DataFrame) -> DataFrame:
     return rows.select(F.explode(trigrams(F.col("f.value"))).alias("gram"), "f.field", "symbol", "name")
 
 
+def looked_up(asked: DataFrame, postings: DataFrame, key: str) -> DataFrame:
+    """The rows of `asked` (keyword, ...), a table of files, with the postings of their key.
+
+    Spark takes postings for as small as the file that they are exploded from, and would
+    broadcast them; so only what is asked for is ever broadcast, up to SENT characters.
+    """
+    few = (asked.agg(F.sum(F.length("keyword").cast("long"))).first()[0] or 0) <= SENT
+    return postings.join(F.broadcast(asked), key) if few else postings.hint("merge").join(asked, key)
+
+
 def candidates(index: DataFrame, keywords: DataFrame) -> DataFrame:
     """(keyword, symbol, name, field) whose postings hold every trigram of the keyword; a keyword's rarest gram is read first.
 
     Each keyword is joined to the postings of its rarest trigram alone, the shortest
     list, and the others are looked for in the text found, so common trigrams' long lists
-    are not read for it.
+    are not read for it. Each keyword's rarest gram is kept in the shared folder.
     """
     counts = index.groupBy("gram").agg(F.count("*").alias("postings"))
     grams = keywords.select("keyword").distinct().where(F.length("keyword") >= 3).select("keyword", F.explode(trigrams(F.col("keyword"))).alias("gram"))
     rarest = grams.join(counts, "gram", "left").groupBy("keyword").agg(
         F.min_by("gram", F.struct(F.coalesce("postings", F.lit(0)), "gram")).alias("gram"), F.collect_set("gram").alias("all")
     )
-    found = rarest.join(index, "gram")
+    found = looked_up(kept(rarest), index, "gram")
     text = F.when(F.col("field") == FIELDS[0], F.col("symbol")).otherwise(F.col("name"))
     return found.where(F.forall("all", lambda g: F.contains(text, g))).select("keyword", "symbol", "name", "field")
 
@@ -56,5 +70,5 @@ def search_many(instruments: DataFrame, keywords: DataFrame) -> DataFrame:
     # One or two characters: their own postings, built for the lengths that are asked for.
     values = instruments.select("symbol", "name", F.explode(F.array(*FIELDS)).alias("v")).where("v IS NOT NULL")
     short = values.select("symbol", "name", F.explode(F.array_distinct(F.concat(grams(1), grams(2)))).alias("keyword"))
-    asked = keywords.select("keyword").distinct().where(F.length("keyword").between(1, 2))
-    return long.unionByName(short.join(asked, "keyword").select("keyword", "symbol", "name").distinct())
+    asked = kept(keywords.select("keyword").distinct().where(F.length("keyword").between(1, 2)))
+    return long.unionByName(looked_up(asked, short, "keyword").select("keyword", "symbol", "name").distinct())
