@@ -90,3 +90,19 @@ def test_every_pair_just_over_the_threshold_is_linked(spark, tmp_path):
     rows = pairs_just_over(400)
     assert 0.8 <= similarity(rows[0][1], rows[1][1]) < 0.81 and 0.79 < similarity(rows[800][1], rows[801][1]) < 0.8
     assert kept(spark, tmp_path, rows) == [i for i, _ in rows if i % 2 == 0 or i > 800]
+
+
+def test_simhash_finds_near_copies_by_itself(spark, tmp_path):
+    """Without MinHash keys, pairs lose a member if their fingerprints are linked and their similarity is 0.8 or more."""
+    rng = random.Random(9)
+    texts = [t for _ in range(40) for seed in [[f"w{rng.getrandbits(40)}" for _ in range(300)]] for t in (" ".join(seed), " ".join(edited(rng, seed, 1)))]
+    texts += [t for _ in range(300) for seed in [[f"w{rng.getrandbits(40)}" for _ in range(34)]] for t in (" ".join(seed), " ".join([*seed[:17], f"e{rng.getrandbits(40)}", *seed[18:]]))]
+    rows = [*enumerate(texts), (len(texts), ""), (len(texts) + 1, None)]
+    documents(spark, rows).repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    print_of = {r.doc_id: r.f0 & (1 << 64) - 1 for r in similar.sketches(docs.withColumn(similar.ROW, docs.doc_id), 5, 1, 4).collect()}
+    bits = [(print_of[i] ^ print_of[i + 1]).bit_count() for i in range(0, len(texts), 2)]
+    gone = {2 * i + 1 for i, n in enumerate(bits) if n <= 5 and 5 * similarity(texts[2 * i], texts[2 * i + 1]) >= 4}
+    assert len(gone) >= 20 and any(n <= 5 for n in bits[40:]) and all(5 * similarity(texts[i], texts[i + 1]) < 4 for i in range(80, len(texts), 2))
+    got = {r.doc_id for r in similar.keep_one_of_similar(docs, bands=0).collect()}
+    assert got == set(range(len(texts) + 1)) - gone

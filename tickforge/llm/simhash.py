@@ -23,6 +23,16 @@ ROW = "_tickforge_row"
 LARGE = 2048
 
 
+def majority(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(texts, bytes): the bits that over half of a text's hashes have. hashes: (hashes, bytes), text after text; count: how many each text has."""
+    value = np.zeros((len(count), hashes.shape[1]), np.uint8)
+    full = np.flatnonzero(count)
+    if len(full):
+        ones = np.add.reduceat(np.unpackbits(hashes, axis=1), (np.cumsum(count) - count)[full], axis=0, dtype=np.uint32)
+        value[full] = np.packbits(2 * ones > count[full, None], axis=1)
+    return value
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, bits: int = 64, row: str | None = None) -> DataFrame:
     """(doc_id, row, f0, f1) of each row: its SimHash over word shingles, repeats included.
 
@@ -53,12 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, bits: int = 64, row: str | N
                 at = np.arange(int(shingles.sum())) - np.repeat(before - first, shingles)
                 last = np.minimum(at + shingle, np.repeat(first + count, shingles)) - 1
                 hashes = b"".join([digest(joined[a:b]) for a, b in zip(start[at].tolist(), end[last].tolist())])
-                value = np.zeros((len(count), size), np.uint8)
-                full = np.flatnonzero(shingles)
-                if len(full):
-                    bit = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, size), axis=1)
-                    ones = np.add.reduceat(bit, before[full], axis=0, dtype=np.uint32)
-                    value[full] = np.packbits(2 * ones > shingles[full, None], axis=1)
+                value = majority(np.frombuffer(hashes, np.uint8).reshape(-1, size), shingles)
                 halves = value.view(">u8").astype(np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("row"), pa.array(halves[:, 0]), pa.array(halves[:, 1] if bits == 128 else np.zeros(len(count), np.int64))],
