@@ -1,4 +1,5 @@
 import math
+import os
 import random
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -8,6 +9,7 @@ import xxhash
 
 from pyspark.sql import functions as F
 
+from tickforge.llm import pitman_yor
 from tickforge.llm.pitman_yor import END, RARE, held_out, op1_pitman_yor, score, train
 from tickforge.llm.seating import EXACT, Tables, gammas, uniforms
 
@@ -184,3 +186,24 @@ def test_query_beats_the_base_on_held_out_texts(spark):
     mine, base = (sum(getattr(r, c) for r in got if r.held_out) / sum(r.n_tokens for r in got if r.held_out) for c in ("score", "base_score"))
     assert mine > base + 1 and mine > -2.8
     assert documents(spark, [(None, "a")]).select(held_out().alias("h")).first().h is False
+
+
+def test_pairs_that_are_scored_leave_the_disk(spark, monkeypatch):
+    """Of the four kinds of pairs those that are summed up are deleted before the next is joined."""
+    docs = documents(spark, ROWS)
+    model = train(docs, burn_in=0, samples=1, ranked_words=3)
+    kept, seen = pitman_yor.saved, []
+
+    def watched(df, partition_by=None):
+        out = kept(df, partition_by)
+        if partition_by == "kind":
+            seen.append((out.kept_at.removeprefix("file:"), []))
+        elif seen and os.path.isdir(seen[-1][0]):
+            seen[-1][1].append({x[5:] for x in os.listdir(seen[-1][0]) if x.startswith("kind=")})
+        return out
+
+    monkeypatch.setattr(pitman_yor, "saved", watched)
+    got = score(docs, model, {"doc_id": F.col("doc_id")}, dense_pairs=0, passes=1)
+    assert got.count() == docs.count()
+    ((_, kinds),) = seen
+    assert kinds[0] == {"-1", "0", "1", "2", "3"} and {"-1", "3"} in kinds and kinds[-1] == {"-1"}

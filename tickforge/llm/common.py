@@ -66,6 +66,13 @@ def forget(*tables: DataFrame) -> None:
     jvm.System.gc()
 
 
+def forget_part(table: DataFrame, part: str) -> None:
+    """Deletes the files of one partition ("column=value") of a table of saved(), as forget() does a whole table."""
+    files = table.limit(0)
+    files.kept_at = f"{table.kept_at}/{part}"
+    forget(files)
+
+
 def broadcast(spark: SparkSession, value):
     """A function that gives the value in a task, where its class needs no installed package."""
     held = spark.sparkContext.broadcast(cloudpickle.dumps(value))

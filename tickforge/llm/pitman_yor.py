@@ -1,6 +1,7 @@
 """Scoring texts with a hierarchical Pitman-Yor model whose seating is sampled by Gibbs."""
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_of_id, forget, load, mix, release, saved, split_words
+from .common import chunks, crc_of_id, forget, forget_part, load, mix, release, saved, split_words
 from .seating import Tables, gammas, uniforms
 
 #: The hash of the end token; no word can be a line feed.
@@ -321,7 +322,8 @@ def score(docs: DataFrame, model: PitmanYor, keep: dict[str, Column] | None = No
     broadcast. All other tokens are joined to their cells by (history, token), to their
     restaurant and to their root; what they add to their text is summed up. That is done
     in `passes` over the texts, a power of two, each for the pairs whose keys' lowest bits
-    differ alike, so that less lies on disk at once.
+    differ alike, so that less lies on disk at once; for the same reason pairs of ranked
+    and of rare tokens are joined in turn, and what a turn has read and shuffled is deleted.
     """
     spark = docs.sparkSession
     restaurants, roots, p = predictive(model)
@@ -378,7 +380,7 @@ def score(docs: DataFrame, model: PitmanYor, keep: dict[str, Column] | None = No
 
     for turn in range(passes):
         parts = saved(rows.mapInArrow(look_up, f"row long, h long, w long, n_tokens long, n_known long, base_score double, score double{kinds}, kind int"), partition_by="kind")
-        found = None
+        added = []
         for kind in range(4):
             some = parts.where(F.col("kind") == kind).select("row", "h", "w")
             mine = model.cells.where(f"h {'<' if kind & 2 else '>='} 0 AND w {'<' if kind & 1 else '>='} 0 AND (h ^ w) & {passes - 1} = {turn}")
@@ -387,12 +389,13 @@ def score(docs: DataFrame, model: PitmanYor, keep: dict[str, Column] | None = No
             some = some.join(roots.where("w < 0") if kind & 1 else ranked[1], "w", "left")
             base_of = F.log10((F.coalesce("count", F.lit(0)) + 1) / unit) if kind & 1 else F.lit(0.0)
             some = some.select("row", (seen & F.lit(bool(kind & 1))).cast("long").alias("n_known"), base_of.alias("base_score"), F.log10(p).alias("score"))
-            found = found.union(some) if found else some
-        added = found.groupBy("row").agg(*[F.sum(c).alias(f"_{c}") for c in ("n_known", "base_score", "score")])
+            added.append(saved(some.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])))
+            forget_part(parts, f"kind={kind}")
+        sums = reduce(DataFrame.union, added).groupBy("row").agg(*[F.sum(c).alias(f"_{c}") for c in ("n_known", "base_score", "score")])
         plus = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
         texts = out if turn else parts.where(F.col("kind") == texts_kind).drop("h", "w", "kind")
-        before, out = out, saved(texts.join(added, "row", "left").select("row", *own.values(), "n_tokens", plus("n_known"), plus("base_score"), plus("score")))
-        forget(parts, *([before] if turn else []))
+        before, out = out, saved(texts.join(sums, "row", "left").select("row", *own.values(), "n_tokens", plus("n_known"), plus("base_score"), plus("score")))
+        forget(parts, *added, *([before] if turn else []))
     return out.select(*[F.col(x).alias(c) for c, x in own.items()], "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
