@@ -207,3 +207,21 @@ def test_pairs_that_are_scored_leave_the_disk(spark, monkeypatch):
     assert got.count() == docs.count()
     ((_, kinds),) = seen
     assert kinds[0] == {"-1", "0", "1", "2", "3"} and {"-1", "3"} in kinds and kinds[-1] == {"-1"}
+
+
+def test_texts_are_tokenised_once_and_common_pairs_are_folded(spark, monkeypatch):
+    """Turns don't read the texts again, and pairs of ranked tokens go to their cells by shard, not by place."""
+    rows = [(i, "a b a b c d e f " * 50) for i in range(40)]
+    docs = documents(spark, rows).coalesce(1)
+    model = train(docs, burn_in=0, samples=1)
+    kept, seen = pitman_yor.saved, []
+
+    def watched(df, partition_by=None):
+        out = kept(df, partition_by)
+        if partition_by == "kind":
+            seen.append(out.where("kind = 0").count())
+        return out
+
+    monkeypatch.setattr(pitman_yor, "saved", watched)
+    got = score(docs, model, {"doc_id": F.col("doc_id")}, dense_pairs=0).collect()
+    assert seen == [1] and len(got) == len(rows) and len({round(r.score, 6) for r in got}) == 1 and got[0].n_tokens == 401

@@ -5,18 +5,23 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_of_id, forget, forget_part, load, mix, release, saved, split_words
+from .common import broadcast, chunks, crc_of_id, forget, forget_part, load, mix, release, saved, split_words
 from .seating import Tables, gammas, uniforms
 
 #: The hash of the end token; no word can be a line feed.
 END = xxhash.xxh3_64_intdigest(b"\n")
 #: Tokens whose pairs a task adds up before it hands them on.
 GATHERED = 2_000_000
+#: Training tokens of a shard of pairs, about.
+SHARD = 1 << 20
+#: Ranks whose sums one block has.
+RANGE = 1 << 11
 #: A token's key is its rank, or its hash with this bit set, which makes it negative.
 RARE = np.uint64(1 << 63)
 
@@ -34,9 +39,8 @@ class Tokens:
 def tokens(texts: pa.Array) -> Tokens:
     words, count = split_words(texts, lower=True)
     coded = words.dictionary_encode()
-    known = np.fromiter(
-        [*map(xxhash.xxh3_64_intdigest, coded.dictionary.cast(pa.large_binary()).to_pylist()), END], np.uint64, len(coded.dictionary) + 1
-    )
+    distinct = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    known = np.fromiter([*map(xxhash.xxh3_64_intdigest, distinct), END], np.uint64, len(distinct) + 1)
     ends = np.cumsum(count + 1) - 1
     token = np.full(len(words) + len(count), len(known) - 1, np.int64)
     own = np.ones(len(token), bool)
@@ -59,7 +63,8 @@ class Ranks:
     rank: np.ndarray
 
     def keys(self, known: np.ndarray) -> np.ndarray:
-        at = place_of(self.hashes, known)
+        at, by = np.empty(len(known), np.int64), np.argsort(known)
+        at[by] = place_of(self.hashes, known[by])
         found = at < len(self.hashes)
         return np.where(found, self.rank[np.minimum(at, len(self.rank) - 1)] if len(self.rank) else 0, (known | RARE).view(np.int64))
 
@@ -77,11 +82,11 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def least_count(counted: DataFrame, count: str, most: int) -> int:
-    """A count that `most` rows at most have or exceed, from a histogram in steps of a 64th of a power of two."""
+def least_count(counted: DataFrame, count: str, most: int, times: str = "1") -> int:
+    """A count that `most` rows at most have or exceed, from a histogram in steps of a 64th of a power of two. A row stands for `times` rows."""
     step = F.ceil(F.log2(count) * 64)
     rows, least = 0, 1 << 62
-    for r in counted.groupBy(step.alias("s")).agg(F.count("*").alias("rows"), F.min(count).alias("least")).orderBy(F.desc("s")).collect():
+    for r in counted.groupBy(step.alias("s")).agg(F.expr(f"sum({times})").alias("rows"), F.min(count).alias("least")).orderBy(F.desc("s")).collect():
         rows += r.rows
         if rows > most:
             break
@@ -89,20 +94,63 @@ def least_count(counted: DataFrame, count: str, most: int) -> int:
     return least
 
 
-def rank_tokens(docs: DataFrame, most: int) -> Ranks:
-    """Ranks for `most` of the commonest tokens at most, by their counts over all texts."""
+def rank_tokens(docs: DataFrame, most: int) -> tuple[Ranks, int]:
+    """Ranks for `most` of the commonest tokens at most, by their counts over all texts; and how many tokens there are."""
     counts = saved(count_tokens(docs))
     top = counts.where(F.col("n") >= least_count(counts, "n", most)).toArrow()
     hashes, n = top.column("w").to_numpy(), top.column("n").to_numpy()
     by = np.lexsort((hashes, -n))
     hashes = hashes[by].view(np.uint64)
     order = np.argsort(hashes)
+    total = counts.agg(F.sum("n")).first()[0] or 0
     forget(counts)
-    return Ranks(hashes[order], order.astype(np.int64))
+    return Ranks(hashes[order], order.astype(np.int64)), total
+
+
+def cut(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of the values between each two edges."""
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
+def opened(column, kind=np.int64) -> np.ndarray:
+    """The values of all that cut() gave, one after another."""
+    return np.frombuffer(b"".join(column.drop_null().to_pylist()), kind)
+
+
+def edges_of(column, kind=np.int64) -> np.ndarray:
+    """The edges in opened() of what each row holds."""
+    return np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64) // np.dtype(kind).itemsize)]
+
+
+def sides(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """History and token of pairs of ranked tokens, which are history << 32 | token."""
+    return pair >> 32, pair & 0xFFFFFFFF
 
 
-def count_pairs(docs: DataFrame, ranks: Ranks) -> DataFrame:
-    """(h, w, n): how often token w follows token h, by their keys; one row for each flush of a task."""
+def dealt(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys by their shard, else as they are, and the edges of the shards."""
+    shard = (mix(key.view(np.uint64)) % np.uint64(shards)).astype(np.uint16 if shards < 1 << 16 else np.int64)
+    by = np.argsort(shard, kind="stable")
+    return by, np.searchsorted(shard[by], np.arange(shards + 1))
+
+
+def summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct keys in rising order, and each one's sum."""
+    by = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
+    keys = [k[by] for k in keys]
+    first = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]) if len(n) else np.zeros(0, np.int64)
+    return [k[first] for k in keys], np.add.reduceat(n[by], first) if len(n) else n
+
+
+def count_pairs(docs: DataFrame, ranks: Ranks, shards: int) -> DataFrame:
+    """How often token w follows token h, by their keys, dealt into shards by the pair.
+
+    Of each shard one row (shard, single, pair, n) has its pairs of ranked tokens in
+    rising order: those that occur once, and the others with their counts, as bytes of
+    64-bit integers. Pairs with a rare token are rows (h, w, c) of their own.
+    Tasks add up what they read and hand on a block of bytes for each shard.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((ranks.hashes, ranks.rank))
 
     def count(batches):
@@ -110,24 +158,103 @@ def count_pairs(docs: DataFrame, ranks: Ranks) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         rows = 0
 
+        def blocks(key, h, w, n):
+            by, edges = dealt(key, shards)
+            full = pa.array(np.flatnonzero(np.diff(edges)))
+            second = pa.nulls(shards, pa.binary()) if w is None else cut(w[by], edges)
+            columns = [pa.array(np.arange(shards, dtype=np.int32)), cut(h[by], edges), second, cut(n[by], edges)]
+            return pa.RecordBatch.from_arrays([c.take(full) for c in columns], names=["shard", "h", "w", "n"])
+
         def flush():
-            keys = np.unique(np.concatenate([k for k, _ in held]))
-            pair = np.concatenate([np.searchsorted(keys, k)[p] for k, p in held], axis=1)
-            pair, n = np.unique(pair[0] * len(keys) + pair[1], return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys[pair // len(keys)]), pa.array(keys[pair % len(keys)]), pa.array(n)], names=["h", "w", "n"])
+            h, w = (np.concatenate([x[i] for x in held]) for i in range(2))
+            ranked = (h >= 0) & (w >= 0)
+            pair, n = np.unique(h[ranked] << 32 | w[ranked], return_counts=True)
+            yield blocks(pair, pair, None, n)
+            (h, w), n = summed([h[~ranked], w[~ranked]], np.ones(len(h) - ranked.sum(), np.int64))
+            yield blocks(mixed(h, w).view(np.int64), h, w, n)
 
         for batch in batches:
             for part in chunks(batch):
                 t = tokens(part.column("text"))
-                held.append((ranks.keys(t.known), np.stack([t.before, t.token])))
+                keys = ranks.keys(t.known)
+                held.append((keys[t.before], keys[t.token]))
                 rows += len(t.token)
                 if rows >= GATHERED:
-                    yield flush()
+                    yield from flush()
                     held, rows = [], 0
         if rows:
-            yield flush()
+            yield from flush()
+
+    def merge(key, table):
+        rare = pc.is_valid(table.column("w"))
+        ranked, rare = table.filter(pc.invert(rare)), table.filter(rare)
+        (pair,), n = summed([opened(ranked.column("h"))], opened(ranked.column("n")))
+        (h, w), c = summed([opened(rare.column("h")), opened(rare.column("w"))], opened(rare.column("n")))
+        many, rows = n > 1, len(c)
+        ours = [pa.array([x.tobytes()], pa.binary()) for x in (pair[~many], pair[many], n[many])]
+        columns = [pa.concat_arrays([x, pa.nulls(rows, pa.binary())]) for x in ours] + [pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(x)]) for x in (h, w, c)]
+        return pa.table([pa.array(np.full(rows + 1, key[0].as_py(), np.int32)), *columns], names=["shard", "single", "pair", "n", "h", "w", "c"])
+
+    found = docs.select("text").mapInArrow(count, "shard int, h binary, w binary, n binary")
+    return found.groupBy("shard").applyInArrow(merge, "shard int, single binary, pair binary, n binary, h long, w long, c long")
+
+
+def mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(h.view(np.uint64)) + w.view(np.uint64)
+
+
+def sums_by_rank(packed: DataFrame, columns: list[str], tally, names: list[str], size: int) -> DataFrame:
+    """(key, *names): of each ranked key the sums of what tally(batch) has, an array by rank for each name; none where the first is zero.
+
+    Tasks add up what they read and hand on a block of bytes for each RANGE of ranks.
+    """
+    parts, many = -(-size // RANGE), len(names)
+
+    def count(batches):
+        sums = np.zeros((many, size), np.int64)
+        for b in batches:
+            sums += tally(b)
+        keys = np.flatnonzero(sums[0])
+        edges = np.searchsorted(keys, np.arange(parts + 1) * RANGE)
+        blocks = [pa.array(np.arange(parts, dtype=np.int32)), cut((keys % RANGE).astype(np.uint16), edges), cut(sums[:, keys].T.ravel(), edges * many)]
+        full = pa.array(np.flatnonzero(np.diff(edges)))
+        yield pa.RecordBatch.from_arrays([x.take(full) for x in blocks], names=["part", "at", "sums"])
+
+    def add(key, table):
+        at, sums = opened(table.column("at"), np.uint16), opened(table.column("sums")).reshape(-1, many)
+        sums = [np.bincount(at, x, RANGE).astype(np.int64) for x in sums.T]
+        keys = np.flatnonzero(sums[0])
+        return pa.table([pa.array(key[0].as_py() * RANGE + keys), *(pa.array(x[keys]) for x in sums)], names=["key", *names])
+
+    found = packed.select(*columns).mapInArrow(count, "part int, at binary, sums binary")
+    return found.groupBy("part").applyInArrow(add, ", ".join(f"{x} long" for x in ["key", *names]))
+
 
-    return docs.select("text").mapInArrow(count, "h long, w long, n long")
+def tallied(packed: DataFrame, side: int, size: int) -> DataFrame:
+    """(key, n, single, again, twice) of ranked histories (side 0) or tokens (1): customers, cells of one, of more and of two."""
+
+    def tally(b):
+        one, more, n = sides(opened(b.column("single")))[side], sides(opened(b.column("pair")))[side], opened(b.column("n"))
+        one, again = np.bincount(one, minlength=size), np.bincount(more, minlength=size)
+        return np.stack([one + np.bincount(more, n, size).astype(np.int64), one, again, np.bincount(more[n == 2], minlength=size)])
+
+    return sums_by_rank(packed, ["single", "pair", "n"], tally, ["n", "single", "again", "twice"], size)
+
+
+def seats_of(packed: DataFrame, side: int, size: int) -> DataFrame:
+    """(key, t): tables of the cells of ranked histories (side 0) or tokens (1)."""
+
+    def tally(b):
+        return np.bincount(sides(opened(b.column("pair")))[side], opened(b.column("t")), size).astype(np.int64)[None]
+
+    return sums_by_rank(packed, ["pair", "t"], tally, ["t"], size)
+
+
+def cell_counts(batches):
+    """(n, cells): how many cells have n customers; some rows an n."""
+    for b in batches:
+        n, cells = np.unique(opened(b.column("n")), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(cells)], names=["n", "cells"])
 
 
 def discount_of(once: float, twice: float) -> float:
@@ -142,11 +269,15 @@ def _unsigned(column) -> np.ndarray:
 class PitmanYor:
     """A model: what was counted, and the seating in each of its samples.
 
-    cells: h, w, n, tables (the sum over the samples). restaurants: h, customers, sampled
-    (tables of each sample). roots: w, count, sampled (customers at the root).
+    Cells have h, w, n, tables (the sum over the samples). packed: those of ranked
+    tokens by shard, as bytes of 64-bit integers, pair (h << 32 | w), n and tables; these
+    two are null where all are one customer's. rare: the others. restaurants: h, customers,
+    sampled (tables of each sample). roots: w, count, sampled (customers at the root).
     """
 
-    cells: DataFrame
+    packed: DataFrame
+    rare: DataFrame
+    shards: int
     restaurants: DataFrame
     roots: DataFrame
     ranks: Ranks
@@ -161,6 +292,32 @@ class PitmanYor:
     def samples(self) -> int:
         return len(self.root_customers)
 
+    @property
+    def cells(self) -> DataFrame:
+        return self.ranked_cells(1).union(self.rare)
+
+    def ranked_cells(self, least: int) -> DataFrame:
+        """Cells of ranked tokens and `least` customers or more."""
+        samples = self.samples
+
+        def unpack(batches):
+            for b in batches:
+                for row in range(b.num_rows):
+                    pair, n, tables = cell_arrays(b.slice(row, 1), samples)
+                    some = n >= least
+                    columns = (*sides(pair[some]), n[some], tables[some])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["h", "w", "n", "tables"])
+
+        return self.packed.where(F.lit(least <= 1) | F.col("n").isNotNull()).mapInArrow(unpack, "h long, w long, n long, tables long")
+
+
+def cell_arrays(packed, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs, customers and tables of PitmanYor.packed."""
+    single = pc.is_null(packed.column("n"))
+    one, packed = opened(packed.column("pair").filter(single)), packed.filter(pc.invert(single))
+    first, many = np.ones(len(one), np.int64), [opened(packed.column(c)) for c in ("pair", "n", "tables")]
+    return tuple(np.concatenate(x) for x in zip((one, first, samples * first), many))
+
 
 def train(
     docs: DataFrame, burn_in: int = 1, samples: int = 3, concentration: float = 1.0, ranked_words: int = 1 << 19, seed: int = 11
@@ -183,13 +340,19 @@ def train(
     Spark; `ranked_words` of the commonest tokens' values at most are broadcast, the
     others are joined. No texts give a model in which every token is new.
     """
-    ranks = rank_tokens(docs, ranked_words)
-    pairs = count_pairs(docs, ranks).groupBy("h", "w").agg(F.sum("n").alias("n"))
-    counted = saved(pairs.withColumn("again", F.col("n") > 1).sortWithinPartitions("h", "w"), partition_by="again")
-    single, again = F.count_if(~F.col("again")).alias("single"), F.count_if("again").alias("again")
-    restaurants = saved(counted.groupBy("h").agg(F.sum("n").alias("customers"), single, again))
-    roots = saved(counted.groupBy("w").agg(F.sum("n").alias("count"), single, again))
-    got = counted.agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
+    ranks, total = rank_tokens(docs, ranked_words)
+    shards, size = total // SHARD + 1, len(ranks.hashes)
+    counted = saved(count_pairs(docs, ranks, shards))
+    packed = counted.where(F.col("h").isNull())
+    rare = counted.where(F.col("h").isNotNull()).select("h", "w", F.col("c").alias("n"))
+    own = [F.col("n"), *[F.expr(f"CAST(n {x} AS LONG)") for x in ("= 1", "> 1", "= 2")]]
+
+    def totals(side: int, key: str, count: str) -> DataFrame:
+        each = tallied(packed, side, size).union(rare.select(key, *own)).groupBy(F.col("key").alias(key))
+        return saved(each.agg(F.sum("n").alias(count), *[F.sum(c).alias(c) for c in ("single", "again", "twice")]))
+
+    restaurants, roots = totals(0, "h", "customers"), totals(1, "w", "count")
+    got = restaurants.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(x) for c, x in (("single", "once"), ("twice", "twice"))]).first()
     tables, idle = F.col("single") + F.col("again"), F.col("again") == 0
     at_root = roots.agg(
         F.count("*").alias("types"),
@@ -217,26 +380,31 @@ def train(
         ranked[top.column(key).to_numpy()] = top.column("x").to_numpy()
         return out, ranked
 
-    def seated(b, law, x, g):
-        h, w = b.column("h"), b.column("w")
-        key = mix(_unsigned(h)) + _unsigned(w)
-        t = law.draw(b.column("n").to_numpy(), discount * x * g / mass, uniforms(key, seed, sweep, 3), uniforms(key, seed, sweep, 4))
-        total = b.column("total").to_numpy() + (t if sweep >= burn_in else 0)
-        return pa.RecordBatch.from_arrays([h, w, b.column("n"), pa.array(t), pa.array(total)], names=["h", "w", "n", "t", "total"])
+    law_of = broadcast(docs.sparkSession, Tables(discount))
+
+    def seated(law, h, w, n, x, g):
+        key = mixed(h, w)
+        return law.draw(n, discount * x * g / mass, uniforms(key, seed, sweep, 3), uniforms(key, seed, sweep, 4))
 
     def seat_ranked(batches):
-        law, (x, g) = Tables(discount), shared.value
+        law, (x, g) = law_of(), shared.value
         for b in batches:
-            yield seated(b, law, x[b.column("h").to_numpy()], g[b.column("w").to_numpy()])
+            pair, n, total = (opened(b.column(c)) for c in ("pair", "n", "total"))
+            h, w = sides(pair)
+            t = seated(law, h, w, n, x[h], g[w])
+            edges, total = edges_of(b.column("pair")), (total if len(total) else np.zeros(len(t), np.int64)) + (t if sweep >= burn_in else 0)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("shard", "pair", "n")), cut(t, edges), cut(total, edges)], names=["shard", "pair", "n", "t", "total"])
 
     def seat_joined(batches):
-        law = Tables(discount)
+        law = law_of()
         for b in batches:
-            yield seated(b, law, b.column("x").to_numpy(), b.column("g").to_numpy())
+            h, w, n, total, x, g = (c.to_numpy() for c in b.columns)
+            t = seated(law, h, w, n, x, g)
+            columns = (h, w, n, t, total + (t if sweep >= burn_in else 0))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["h", "w", "n", "t", "total"])
 
-    cell = "h long, w long, n long, t long, total long"
-    cells = counted.where("again").select("h", "w", "n", F.lit(0).cast("long").alias("total"))
-    ranked, rare = (cells.where(f"{x}(h >= 0 AND w >= 0)") for x in ("", "NOT "))
+    ranked = packed.select("shard", "pair", "n", F.lit(None).cast("binary").alias("total"))
+    once, rare = rare.where("n = 1"), rare.where("n > 1").select("h", "w", "n", F.lit(0).cast("long").alias("total"))
     rooms = restaurants.where(~idle).select("h", tables.alias("t"))
     dishes = roots.where(~idle).select("w", tables.alias("t"))
     last: list[DataFrame] = []
@@ -250,12 +418,18 @@ def train(
         shared = docs.sparkSession.sparkContext.broadcast((ranked_x, ranked_g))
         joined = rare.join(x, "h").join(g.withColumnRenamed("x", "g"), "w").select("h", "w", "n", "total", "x", "g")
         done = [x, g, *last]
-        ranked = saved(ranked.select("h", "w", "n", "total").mapInArrow(seat_ranked, cell))
-        rare = saved(joined.mapInArrow(seat_joined, cell))
-        cells = ranked.union(rare)
+        ranked = saved(ranked.select("shard", "pair", "n", "total").mapInArrow(seat_ranked, "shard int, pair binary, n binary, t binary, total binary"))
+        rare = saved(joined.mapInArrow(seat_joined, "h long, w long, n long, t long, total long"))
         rooms, dishes = (
-            saved(base.where(~idle).select(key, F.col("single").alias("t")).union(cells.select(key, "t")).groupBy(key).agg(F.sum("t").alias("t")))
-            for base, key in ((restaurants, "h"), (roots, "w"))
+            saved(
+                base.where(~idle)
+                .select(key, F.col("single").alias("t"))
+                .union(seats_of(ranked, side, size))
+                .union(rare.select(key, "t"))
+                .groupBy(key)
+                .agg(F.sum("t").alias("t"))
+            )
+            for side, (base, key) in enumerate(((restaurants, "h"), (roots, "w")))
         )
         last = [ranked, rare]
         if sweep >= burn_in:
@@ -274,9 +448,12 @@ def train(
         alone = F.array(*[F.col("single")] * samples)
         final.append(saved(base.join(each, key, "left").select(key, keep, F.coalesce("sampled", alone).alias("sampled"))))
     forget(restaurants, roots, *[t for pair in samples_of for t in pair])
-    once = counted.where(~F.col("again")).select("h", "w", "n", F.lit(samples).cast("long").alias("tables"))
+    none = F.lit(None).cast("binary")
+    alike = packed.select("shard", F.col("single").alias("pair"), none.alias("n"), none.alias("tables"))
     return PitmanYor(
-        once.union(cells.select("h", "w", "n", F.col("total").alias("tables"))),
+        alike.union(ranked.select("shard", "pair", "n", "total")),
+        once.select("h", "w", "n", F.lit(samples).cast("long").alias("tables")).union(rare.select("h", "w", "n", "total")),
+        shards,
         *final,
         ranks,
         types,
@@ -308,6 +485,21 @@ def predictive(model: PitmanYor) -> tuple[DataFrame, DataFrame, Column]:
     return restaurants, roots, F.coalesce(own, F.lit(0.0)) + back
 
 
+@dataclass(frozen=True)
+class Chances:
+    """The averaged probabilities of pairs of ranked tokens, as predictive() has them, from arrays by rank."""
+
+    in_all: np.ndarray
+    rooms: np.ndarray  # a0, a1, ...
+    roots: np.ndarray  # b0, b1, ...
+    share: float  # of a table of a cell, in a sample's mean
+
+    def of(self, pair: np.ndarray, n: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        h, w = sides(pair)
+        own = np.where(n > 0, (n - self.share * tables) * self.in_all[h], 0.0)
+        return own + sum(a[h] * b[w] for a, b in zip(self.rooms, self.roots)) / len(self.rooms)
+
+
 def score(docs: DataFrame, model: PitmanYor, keep: dict[str, Column] | None = None, dense_pairs: int = 1 << 20, passes: int = 2) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score of each row, with the columns `keep`.
 
@@ -319,83 +511,160 @@ def score(docs: DataFrame, model: PitmanYor, keep: dict[str, Column] | None = No
     rows give none.
 
     The probabilities of at most `dense_pairs` of the commonest pairs of ranked tokens are
-    broadcast. All other tokens are joined to their cells by (history, token), to their
-    restaurant and to their root; what they add to their text is summed up. That is done
-    in `passes` over the texts, a power of two, each for the pairs whose keys' lowest bits
-    differ alike, so that less lies on disk at once; for the same reason pairs of ranked
-    and of rare tokens are joined in turn, and what a turn has read and shuffled is deleted.
+    broadcast. Other pairs of ranked tokens are folded by tasks into a block of bytes for
+    each shard of cells: the distinct pairs, how many places each has and the places'
+    texts. Each shard meets its cells, and what it adds to texts goes back to where the
+    block came from. Tokens that are rare or follow a rare one are joined to their cells by
+    (history, token), to their restaurant and to their root; what they add to their text
+    is summed up. Each text is tokenised once. The rows of rare tokens can be worked off in
+    `passes` turns, a power of two, each for the pairs whose keys' lowest bits differ
+    alike, so that less is shuffled at once; for the same reason the kinds of pairs are
+    joined in turn, and what a turn has read and shuffled is deleted.
     """
     spark = docs.sparkSession
     restaurants, roots, p = predictive(model)
-    pairs = model.cells.where("h >= 0 AND w >= 0")
-    ranked = [F.broadcast(x.where(f"{k} >= 0")) for x, k in ((restaurants, "h"), (roots, "w"))]
-    top = pairs.where(F.col("n") >= least_count(pairs, "n", dense_pairs)).join(ranked[0], "h", "left").join(ranked[1], "w", "left")
-    top = top.select(F.expr("shiftleft(h, 32) | w").alias("pair"), F.log10(p).alias("score")).toArrow()
-    by = np.argsort(top.column("pair").to_numpy())
-    pair, chance = top.column("pair").to_numpy()[by], top.column("score").to_numpy()[by]
-    unit = float(model.train_tokens + model.types + 1)
-    counts = roots.where("w >= 0").select("w", "count").toArrow()
-    base = np.zeros(len(model.ranks.hashes))
-    base[counts.column("w").to_numpy()] = np.log10((counts.column("count").to_numpy() + 1) / unit)
-    shared = spark.sparkContext.broadcast((model.ranks.hashes, model.ranks.rank, pair, chance, base))
-    del top, counts, by, pair, chance, base
+    size, many, unit = len(model.ranks.hashes), range(model.samples), float(model.train_tokens + model.types + 1)
+
+    def by_rank(table: DataFrame, key: str, columns: list[str]) -> np.ndarray:
+        got, out = table.where(f"{key} >= 0").select(key, *columns).toArrow(), np.zeros((len(columns), size))
+        for x, c in zip(out, columns):
+            x[got.column(key).to_numpy()] = got.column(c).to_numpy()
+        return out
+
+    room, root = by_rank(restaurants, "h", ["in_all", *[f"a{i}" for i in many]]), by_rank(roots, "w", ["count", *[f"b{i}" for i in many]])
+    chances = Chances(room[0], room[1:], root[1:], model.discount / model.samples)
+    counts = model.packed.where("n IS NOT NULL").mapInArrow(cell_counts, "n long, cells long")
+    singles = model.packed.where("n IS NULL").select(F.lit(1).cast("long"), F.expr("length(pair) div 8"))
+    pairs = model.ranked_cells(least_count(counts.union(singles).where("cells > 0"), "n", dense_pairs, "cells"))
+    top = pairs.select(F.expr("shiftleft(h, 32) | w").alias("pair"), "n", "tables").toArrow()
+    pair, n, tables = (top.column(c).to_numpy() for c in top.column_names)
+    by = np.argsort(pair)
+    dense = pair[by], np.log10(chances.of(pair[by], n[by], tables[by]))
+    shared = spark.sparkContext.broadcast((model.ranks.hashes, model.ranks.rank, *dense, np.log10((root[0] + 1) / unit)))
+    fields = spark.sparkContext.broadcast((chances.in_all, chances.rooms, chances.roots, chances.share))
+    del top, pair, n, tables, by, dense, room, root, chances
     release()
     keep = keep or {c: F.col(c) for c in docs.columns}
     own = {c: f"_keep{i}" for i, c in enumerate(keep)}
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "text", *[c.alias(own[x]) for x, c in keep.items()])
     kinds = "".join(f", {x} {rows.schema[x].dataType.simpleString()}" for x in own.values())
-    names = ["row", "h", "w", "n_tokens", "n_known", "base_score", "score", *own.values(), "kind"]
-    texts_kind, seen, out = -1, F.col("count").isNotNull(), None
+    schema = f"row long, h long, w long, n_tokens long, n_known long, base_score double, score double{kinds}, shard int, pair binary, times binary, at binary, kind int"
+    names = [*["row", "h", "w", "n_tokens", "n_known", "base_score", "score"], *own.values(), *["shard", "pair", "times", "at", "kind"]]
+    texts_kind, seen, shards, samples = -1, F.col("count").isNotNull(), model.shards, model.samples
 
     def look_up(batches):
         hashes, rank, pair, chance, base = shared.value
         ranks = Ranks(hashes, rank)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        places = 0
+
+        def batch_of(kind, columns, kept):
+            length = len(kind)
+            types = {"row": pa.int64(), "h": pa.int64(), "w": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "shard": pa.int32(), "pair": pa.binary(), "times": pa.binary(), "at": pa.binary()} | kept
+            columns = columns | {"kind": pa.array(kind.astype(np.int32))}
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(length, types[c]) for c in names], names=names)
+
+        def flush():
+            ask, row = (np.concatenate([x[i] for x in held]) for i in range(2))
+            by = np.argsort(ask)
+            ask, at = ask[by], row[by] - row.min()
+            first = np.flatnonzero(np.r_[True, ask[1:] != ask[:-1]])
+            times = np.diff(np.r_[first, len(ask)])
+            order, edges = dealt(ask[first], shards)
+            # The places of a pair move with it.
+            begin = np.r_[0, np.cumsum(times[order])]
+            at = at[np.repeat(first[order] - begin[:-1], times[order]) + np.arange(len(at))]
+            full = pa.array(np.flatnonzero(np.diff(edges)))
+            columns = {
+                "row": pa.array(np.full(shards, row.min())),
+                "shard": pa.array(np.arange(shards, dtype=np.int32)),
+                "pair": cut(ask[first][order], edges),
+                "times": cut(times[order].astype(np.uint32), edges),
+                "at": cut(at.astype(np.uint32), begin[edges]),
+            }
+            return batch_of(np.zeros(len(full)), {k: x.take(full) for k, x in columns.items()}, kept)
+
         for batch in batches:
+            kept = {x: batch.schema.field(x).type for x in own.values()}
             for part in chunks(batch):
                 t = tokens(part.column("text"))
                 row, texts = part.column("row"), part.num_rows
                 keys = ranks.keys(t.known)
                 h, w = keys[t.before], keys[t.token]
                 common = w >= 0
-                dense = np.full(len(w), len(pair))
                 both = common & (h >= 0)
-                dense[both] = place_of(pair, h[both] << 32 | w[both])
+                # Rising pairs are found faster, and each but once.
+                asked, text = h[both] << 32 | w[both], t.text[both]
+                by = np.argsort(asked)
+                asked, text = asked[by], text[by]
+                first = np.flatnonzero(np.r_[True, asked[1:] != asked[:-1]]) if len(asked) else np.zeros(0, np.int64)
+                dense = np.repeat(place_of(pair, asked[first]), np.diff(np.r_[first, len(asked)]))
                 hit = dense < len(pair)
-                if turn == 0:
-                    sums = [
-                        np.bincount(t.text, minlength=texts),
-                        np.bincount(t.text[common], minlength=texts),
-                        np.bincount(t.text[common], base[w[common]], texts),
-                        np.bincount(t.text[hit], chance[dense[hit]], texts),
-                    ]
-                    columns = [row, *[pa.nulls(texts, pa.int64())] * 2, *(pa.array(s.astype(k)) for s, k in zip(sums, (np.int64, np.int64, float, float))), *(part.column(c) for c in own.values())]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(texts, texts_kind, np.int32))], names=names)
-                # The others, in the order of their keys: 0 of ranked tokens, 1 of a rare token, 2 of a rare history, 3 of both.
-                rest = np.flatnonzero(~hit)
-                rest = rest[(h[rest] ^ w[rest]) & (passes - 1) == turn]
+                of = np.zeros(len(keys))
+                of[keys >= 0] = base[keys[keys >= 0]]
+                sums = {
+                    "n_tokens": np.bincount(t.text, minlength=texts).astype(np.int64),
+                    "n_known": np.bincount(t.text[common], minlength=texts).astype(np.int64),
+                    "base_score": np.bincount(t.text, of[t.token], texts).astype(float),
+                    "score": np.bincount(text[hit], chance[dense[hit]], texts).astype(float),
+                }
+                yield batch_of(np.full(texts, texts_kind), {"row": row} | {k: pa.array(x) for k, x in sums.items()} | {c: part.column(c) for c in own.values()}, kept)
+                # 0 of ranked tokens, 1 of a rare token, 2 of a rare history, 3 of both.
+                held.append((asked[~hit], row.to_numpy()[text[~hit]]))
+                places += len(hit) - hit.sum()
+                rest = np.flatnonzero(~both)
                 rest = rest[np.lexsort((w[rest], h[rest]))]
                 kind = (w[rest] < 0) + 2 * (h[rest] < 0)
-                columns = [row.take(pa.array(t.text[rest])), pa.array(h[rest]), pa.array(w[rest]), *(pa.nulls(len(rest), k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), *(pa.nulls(len(rest), part.column(c).type) for c in own.values())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(kind.astype(np.int32))], names=names)
-
-    for turn in range(passes):
-        parts = saved(rows.mapInArrow(look_up, f"row long, h long, w long, n_tokens long, n_known long, base_score double, score double{kinds}, kind int"), partition_by="kind")
-        added = []
-        for kind in range(4):
-            some = parts.where(F.col("kind") == kind).select("row", "h", "w")
-            mine = model.cells.where(f"h {'<' if kind & 2 else '>='} 0 AND w {'<' if kind & 1 else '>='} 0 AND (h ^ w) & {passes - 1} = {turn}")
+                yield batch_of(kind, {"row": row.take(pa.array(t.text[rest])), "h": pa.array(h[rest]), "w": pa.array(w[rest])}, kept)
+                if places >= GATHERED:
+                    yield flush()
+                    held, places = [], 0
+        if places:
+            yield flush()
+
+    def answer(asked, cells):
+        in_all, rooms, roots, share = fields.value
+        known, n, tables = cell_arrays(cells, samples)
+        by = np.argsort(known)
+        known, n, tables = known[by], np.r_[n[by], 0], np.r_[tables[by], 0]
+        pair, times, at = opened(asked.column("pair")), opened(asked.column("times"), np.uint32), opened(asked.column("at"), np.uint32)
+        place = place_of(known, pair)
+        chance = np.log10(Chances(in_all, rooms, roots, share).of(pair, n[place], tables[place]))
+        block = np.repeat(np.arange(asked.num_rows), np.diff(edges_of(asked.column("at"), np.uint32)))
+        text, of = np.unique(block << 32 | at, return_inverse=True)
+        edges = np.searchsorted(text >> 32, np.arange(asked.num_rows + 1))
+        added = np.bincount(of, np.repeat(chance, times), len(text)).astype(float)
+        return pa.table([asked.column("row"), cut((text & 0xFFFFFFFF).astype(np.uint32), edges), cut(added, edges)], names=["row", "at", "score"])
+
+    def gathered(key, table):
+        at = opened(table.column("at"), np.uint32)
+        found, of = np.unique(at, return_inverse=True)
+        sums = np.bincount(of, opened(table.column("score"), np.float64), len(found)).astype(float)
+        zeros = np.zeros(len(found))
+        return pa.table([pa.array(key[0].as_py() + found.astype(np.int64)), pa.array(zeros.astype(np.int64)), pa.array(zeros), pa.array(sums)], names=["row", "n_known", "base_score", "score"])
+
+    parts = saved(rows.mapInArrow(look_up, schema), partition_by="kind")
+    asked = parts.where("kind = 0").select("row", "shard", "pair", "times", "at")
+    answers = asked.groupBy("shard").cogroup(model.packed.groupBy("shard")).applyInArrow(answer, "row long, at binary, score binary")
+    added = [saved(answers.groupBy("row").applyInArrow(gathered, "row long, n_known long, base_score double, score double"))]
+    forget_part(parts, "kind=0")
+    ranked = [F.broadcast(x.where(f"{k} >= 0")) for x, k in ((restaurants, "h"), (roots, "w"))]
+    for kind in range(1, 4):
+        for turn in range(passes):
+            some = parts.where((F.col("kind") == kind) & F.expr(f"(h ^ w) & {passes - 1} = {turn}")).select("row", "h", "w")
+            mine = model.rare.where(f"h {'<' if kind & 2 else '>='} 0 AND w {'<' if kind & 1 else '>='} 0 AND (h ^ w) & {passes - 1} = {turn}")
             some = some.join(mine, ["h", "w"], "left")
             some = some.join(restaurants.where("h < 0") if kind & 2 else ranked[0], "h", "left")
             some = some.join(roots.where("w < 0") if kind & 1 else ranked[1], "w", "left")
             base_of = F.log10((F.coalesce("count", F.lit(0)) + 1) / unit) if kind & 1 else F.lit(0.0)
             some = some.select("row", (seen & F.lit(bool(kind & 1))).cast("long").alias("n_known"), base_of.alias("base_score"), F.log10(p).alias("score"))
             added.append(saved(some.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])))
-            forget_part(parts, f"kind={kind}")
-        sums = reduce(DataFrame.union, added).groupBy("row").agg(*[F.sum(c).alias(f"_{c}") for c in ("n_known", "base_score", "score")])
-        plus = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
-        texts = out if turn else parts.where(F.col("kind") == texts_kind).drop("h", "w", "kind")
-        before, out = out, saved(texts.join(sums, "row", "left").select("row", *own.values(), "n_tokens", plus("n_known"), plus("base_score"), plus("score")))
-        forget(parts, *added, *([before] if turn else []))
+        forget_part(parts, f"kind={kind}")
+    sums = reduce(DataFrame.union, added).groupBy("row").agg(*[F.sum(c).alias(f"_{c}") for c in ("n_known", "base_score", "score")])
+    plus = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
+    texts = parts.where(F.col("kind") == texts_kind).select("row", *own.values(), "n_tokens", "n_known", "base_score", "score")
+    out = saved(texts.join(sums, "row", "left").select(*own.values(), "n_tokens", plus("n_known"), plus("base_score"), plus("score")))
+    forget(parts, *added)
     return out.select(*[F.col(x).alias(c) for c, x in own.items()], "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
