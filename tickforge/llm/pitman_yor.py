@@ -18,6 +18,8 @@ from .seating import Tables, gammas, uniforms
 END = xxhash.xxh3_64_intdigest(b"\n")
 #: Tokens whose pairs a task adds up before it hands them on.
 GATHERED = 2_000_000
+#: Places of pairs that a task holds before it asks for them: two tasks share an executor's memory with its heap.
+PLACES = 1 << 19
 #: Training tokens of a shard of pairs, about.
 SHARD = 1 << 20
 #: Ranks whose sums one block has.
@@ -616,9 +618,11 @@ def score(docs: DataFrame, model: PitmanYor, keep: dict[str, Column] | None = No
                 rest = rest[np.lexsort((w[rest], h[rest]))]
                 kind = (w[rest] < 0) + 2 * (h[rest] < 0)
                 yield batch_of(kind, {"row": row.take(pa.array(t.text[rest])), "h": pa.array(h[rest]), "w": pa.array(w[rest])}, kept)
-                if places >= GATHERED:
-                    yield flush()
+                del t, keys, h, w, common, both, asked, text, by, first, dense, hit, of, sums, rest, kind
+                if places >= PLACES:
+                    out = flush()
                     held, places = [], 0
+                    yield out
         if places:
             yield flush()
 
