@@ -7,6 +7,7 @@ from fractions import Fraction
 import numpy as np
 import xxhash
 
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from tickforge.llm import pitman_yor
@@ -225,3 +226,34 @@ def test_texts_are_tokenised_once_and_common_pairs_are_folded(spark, monkeypatch
     monkeypatch.setattr(pitman_yor, "saved", watched)
     got = score(docs, model, {"doc_id": F.col("doc_id")}, dense_pairs=0).collect()
     assert seen == [1] and len(got) == len(rows) and len({round(r.score, 6) for r in got}) == 1 and got[0].n_tokens == 401
+
+
+def test_pairs_beside_a_rare_token_are_folded_and_ranked_pairs_go_in_turns(spark, monkeypatch):
+    """Only pairs of two rare tokens are rows; shards of ranked pairs are met in turns; broadcasts are deleted."""
+    docs = documents(spark, [(i, f"a b c d e f g r{i} a c e g b d s{i} t{i} " * 9) for i in range(20)]).coalesce(1)
+    kept, cast, seen, held = pitman_yor.saved, SparkContext.broadcast, [], []
+
+    def watched(df, partition_by=None):
+        out = kept(df, partition_by)
+        if partition_by == "kind":
+            seen.append({r.kind: r["count"] for r in out.groupBy("kind").count().collect()})
+        return out
+
+    monkeypatch.setattr(pitman_yor, "saved", watched)
+    monkeypatch.setattr(pitman_yor, "SHARD", 512)
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: held.append(cast(self, value)) or held[-1])
+    model = train(docs, burn_in=0, samples=1, ranked_words=8)
+    got = [{r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in score(docs, model, {"doc_id": F.col("doc_id")}, dense_pairs=0, passes=n).collect()} for n in (1, 2)]
+    assert got[0] == got[1] and len(got[0]) == docs.count() and model.shards > 2
+    assert set(seen[0]) == {-1, 0, 1, 2, 3} and set(seen[1]) == {-1, 0, 1, 2, 3, 4} and seen[0][0] == seen[1][0] + seen[1][4]
+    assert all(x[k] <= model.shards < 20 * 9 <= x[3] for x in seen for k in (1, 2))
+    assert held and not any(os.path.exists(x._path) for x in held)
+
+
+def test_tokens_are_counted_in_blocks(spark, monkeypatch):
+    docs = documents(spark, [(i, f"a b x{i}") for i in range(30)], extra=False)
+    monkeypatch.setattr(pitman_yor, "COUNTED", 5)
+    blocks = pitman_yor.count_tokens(docs).toArrow()
+    counts = Counter(w for i in range(30) for w in tokens(f"a b x{i}"))
+    found = dict(zip(pitman_yor.opened(blocks.column("w"), np.uint64).tolist(), pitman_yor.opened(blocks.column("n")).tolist()))
+    assert blocks.num_rows == 5 and found == {xxhash.xxh3_64_intdigest(w) if w != b"\n" else END: n for w, n in counts.items()}

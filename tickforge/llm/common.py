@@ -62,8 +62,18 @@ def forget(*tables: DataFrame) -> None:
     for table in tables:
         path = jvm.org.apache.hadoop.fs.Path(table.kept_at)
         path.getFileSystem(conf).delete(path, True)
+    tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Has Spark free the disk of shuffles and broadcasts that nothing refers to any more.
+
+    The listeners' queue refers to the last query's plan until another query has ended,
+    so a query without a job goes first.
+    """
+    spark.sql("VALUES 1").collect()
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def forget_part(table: DataFrame, part: str) -> None:

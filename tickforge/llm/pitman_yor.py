@@ -1,5 +1,6 @@
 """Scoring texts with a hierarchical Pitman-Yor model whose seating is sampled by Gibbs."""
 
+import pickle
 from dataclasses import dataclass
 from functools import reduce
 
@@ -8,10 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast, chunks, crc_of_id, forget, forget_part, load, mix, release, saved, split_words
+from .common import chunks, crc_of_id, forget, forget_part, load, mix, release, saved, split_words, tidy
 from .seating import Tables, gammas, uniforms
 
 #: The hash of the end token; no word can be a line feed.
@@ -22,6 +24,8 @@ GATHERED = 2_000_000
 PLACES = 1 << 19
 #: Training tokens of a shard of pairs, about.
 SHARD = 1 << 20
+#: Shards in which tokens are counted, before it is known how many there are.
+COUNTED = 1 << 10
 #: Ranks whose sums one block has.
 RANGE = 1 << 11
 #: A token's key is its rank, or its hash with this bit set, which makes it negative.
@@ -72,16 +76,39 @@ class Ranks:
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """(w, n): how often each token occurs, by its hash."""
+    """How often each token occurs: rows (w, n) of a shard's tokens each, by their hashes, as bytes of 64-bit integers.
+
+    Tasks add up what they read and hand on a block of bytes for each shard.
+    """
 
     def count(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+
+        def flush():
+            (w,), n = summed([np.concatenate([x[0] for x in held])], np.concatenate([x[1] for x in held]))
+            by, edges = dealt(w, COUNTED)
+            full = pa.array(np.flatnonzero(np.diff(edges)))
+            columns = [pa.array(np.arange(COUNTED, dtype=np.int32)), cut(w[by], edges), cut(n[by], edges)]
+            return pa.RecordBatch.from_arrays([c.take(full) for c in columns], names=["shard", "w", "n"])
+
         for batch in batches:
             for part in chunks(batch):
                 t = tokens(part.column("text"))
                 n = np.bincount(t.token, minlength=len(t.known))
-                yield pa.RecordBatch.from_arrays([pa.array(t.known[n > 0].view(np.int64)), pa.array(n[n > 0].astype(np.int64))], names=["w", "n"])
+                held.append((t.known[n > 0].view(np.int64), n[n > 0].astype(np.int64)))
+                rows += len(held[-1][0])
+                if rows >= GATHERED // 2:
+                    yield flush()
+                    held, rows = [], 0
+        if rows:
+            yield flush()
 
-    return docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    def merge(key, table):
+        (w,), n = summed([opened(table.column("w"))], opened(table.column("n")))
+        return pa.table([pa.array([x.tobytes()], pa.binary()) for x in (w, n)], names=["w", "n"])
+
+    return docs.select("text").mapInArrow(count, "shard int, w binary, n binary").groupBy("shard").applyInArrow(merge, "w binary, n binary")
 
 
 def least_count(counted: DataFrame, count: str, most: int, times: str = "1") -> int:
@@ -99,12 +126,19 @@ def least_count(counted: DataFrame, count: str, most: int, times: str = "1") ->
 def rank_tokens(docs: DataFrame, most: int) -> tuple[Ranks, int]:
     """Ranks for `most` of the commonest tokens at most, by their counts over all texts; and how many tokens there are."""
     counts = saved(count_tokens(docs))
-    top = counts.where(F.col("n") >= least_count(counts, "n", most)).toArrow()
+    often = counts.select("n").mapInArrow(cell_counts, "n long, cells long").groupBy("n").agg(F.sum("cells").alias("cells"))
+    least, total = least_count(often, "n", most, "cells"), often.agg(F.sum(F.col("n") * F.col("cells"))).first()[0] or 0
+
+    def common(batches):
+        for b in batches:
+            w, n = opened(b.column("w")), opened(b.column("n"))
+            yield pa.RecordBatch.from_arrays([pa.array(w[n >= least]), pa.array(n[n >= least])], names=["w", "n"])
+
+    top = counts.mapInArrow(common, "w long, n long").toArrow()
     hashes, n = top.column("w").to_numpy(), top.column("n").to_numpy()
     by = np.lexsort((hashes, -n))
     hashes = hashes[by].view(np.uint64)
     order = np.argsort(hashes)
-    total = counts.agg(F.sum("n")).first()[0] or 0
     forget(counts)
     return Ranks(hashes[order], order.astype(np.int64)), total
 
@@ -146,7 +180,7 @@ def summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.
 
 
 def count_pairs(docs: DataFrame, ranks: Ranks, shards: int) -> DataFrame:
-    """How often token w follows token h, by their keys, dealt into shards by the pair.
+    """How often token w follows token h, by their keys, dealt into shards by the pair; kept in the shared folder.
 
     Of each shard one row (shard, single, pair, n) has its pairs of ranked tokens in
     rising order: those that occur once, and the others with their counts, as bytes of
@@ -198,7 +232,36 @@ def count_pairs(docs: DataFrame, ranks: Ranks, shards: int) -> DataFrame:
         return pa.table([pa.array(np.full(rows + 1, key[0].as_py(), np.int32)), *columns], names=["shard", "single", "pair", "n", "h", "w", "c"])
 
     found = docs.select("text").mapInArrow(count, "shard int, h binary, w binary, n binary")
-    return found.groupBy("shard").applyInArrow(merge, "shard int, single binary, pair binary, n binary, h long, w long, c long")
+    out = saved(found.groupBy("shard").applyInArrow(merge, "shard int, single binary, pair binary, n binary, h long, w long, c long"))
+    shared.destroy()
+    return out
+
+
+def blocks_of(table: DataFrame, key: str, shards: int) -> DataFrame:
+    """The rows of a table of 64-bit columns as blocks: a row has those of one shard of the key, a column's values as bytes."""
+    names, kinds = table.columns, [np.float64 if t == "double" else np.int64 for _, t in table.dtypes]
+
+    def pack(batches):
+        held: list[list[np.ndarray]] = []
+        rows = 0
+
+        def flush():
+            values = [np.concatenate([x[i] for x in held]) for i in range(len(names))]
+            by, edges = dealt(values[names.index(key)], shards)
+            full = pa.array(np.flatnonzero(np.diff(edges)))
+            columns = [pa.array(np.arange(shards, dtype=np.int32)), *(cut(x[by], edges) for x in values)]
+            return pa.RecordBatch.from_arrays([c.take(full) for c in columns], names=["shard", *names])
+
+        for b in batches:
+            held.append([np.array(c.to_numpy(), k) for c, k in zip(b.columns, kinds)])
+            rows += b.num_rows
+            if rows >= PLACES:
+                yield flush()
+                held, rows = [], 0
+        if rows:
+            yield flush()
+
+    return table.mapInArrow(pack, ", ".join(["shard int", *(f"{c} binary" for c in names)]))
 
 
 def mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -344,7 +407,7 @@ def train(
     """
     ranks, total = rank_tokens(docs, ranked_words)
     shards, size = total // SHARD + 1, len(ranks.hashes)
-    counted = saved(count_pairs(docs, ranks, shards))
+    counted = count_pairs(docs, ranks, shards)
     packed = counted.where(F.col("h").isNull())
     rare = counted.where(F.col("h").isNotNull()).select("h", "w", F.col("c").alias("n"))
     own = [F.col("n"), *[F.expr(f"CAST(n {x} AS LONG)") for x in ("= 1", "> 1", "= 2")]]
@@ -368,28 +431,31 @@ def train(
     # Of histories and tokens whose cells have one customer each, nothing is ever drawn but the sum of their shares of the root.
     idle_shape = concentration + root_discount * types + at_root.idle_customers - root_discount * at_root.idle
 
-    def drawn(table: DataFrame, key: str, shift: float, stream: int) -> tuple[DataFrame, np.ndarray]:
-        """(key, x): Gamma(t + shift) for each row (key, t), kept; and the ranked tokens' values."""
+    def drawn(table: DataFrame, key: str, sweep: int) -> DataFrame:
+        """(key, t, x): what the sweep draws, Gamma(t + shift), for each row (key, t); kept. The shift of histories lifts, that of tokens lowers."""
+        shift, stream = (concentration / discount, 1) if key == "h" else (-root_discount, 2)
 
         def draw(batches):
             for b in batches:
                 x = gammas(b.column("t").to_numpy() + shift, _unsigned(b.column(key)), seed, sweep, stream)
-                yield pa.RecordBatch.from_arrays([b.column(key), pa.array(x)], names=[key, "x"])
+                yield pa.RecordBatch.from_arrays([b.column(key), b.column("t"), pa.array(x)], names=[key, "t", "x"])
+
+        return saved(table.select(key, "t").mapInArrow(draw, f"{key} long, t long, x double"))
 
-        out = saved(table.select(key, "t").mapInArrow(draw, f"{key} long, x double"))
-        top = out.where(F.col(key) >= 0).toArrow()
-        ranked = np.zeros(len(ranks.hashes))
+    def of_ranked(table: DataFrame, key: str) -> np.ndarray:
+        top, ranked = table.where(F.col(key) >= 0).select(key, "x").toArrow(), np.zeros(size)
         ranked[top.column(key).to_numpy()] = top.column("x").to_numpy()
-        return out, ranked
+        return ranked
 
-    law_of = broadcast(docs.sparkSession, Tables(discount))
+    # The class needs no installed package in a task.
+    law_of = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(Tables(discount)))
 
     def seated(law, h, w, n, x, g):
         key = mixed(h, w)
         return law.draw(n, discount * x * g / mass, uniforms(key, seed, sweep, 3), uniforms(key, seed, sweep, 4))
 
     def seat_ranked(batches):
-        law, (x, g) = law_of(), shared.value
+        law, (x, g) = pickle.loads(law_of.value), shared.value
         for b in batches:
             pair, n, total = (opened(b.column(c)) for c in ("pair", "n", "total"))
             h, w = sides(pair)
@@ -398,7 +464,7 @@ def train(
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("shard", "pair", "n")), cut(t, edges), cut(total, edges)], names=["shard", "pair", "n", "t", "total"])
 
     def seat_joined(batches):
-        law = law_of()
+        law = pickle.loads(law_of.value)
         for b in batches:
             h, w, n, total, x, g = (c.to_numpy() for c in b.columns)
             t = seated(law, h, w, n, x, g)
@@ -407,38 +473,35 @@ def train(
 
     ranked = packed.select("shard", "pair", "n", F.lit(None).cast("binary").alias("total"))
     once, rare = rare.where("n = 1"), rare.where("n > 1").select("h", "w", "n", F.lit(0).cast("long").alias("total"))
-    rooms = restaurants.where(~idle).select("h", tables.alias("t"))
-    dishes = roots.where(~idle).select("w", tables.alias("t"))
+    rooms, dishes = (drawn(base.where(~idle).select(key, tables.alias("t")), key, 0) for base, key in ((restaurants, "h"), (roots, "w")))
     last: list[DataFrame] = []
     samples_of: list[tuple[DataFrame, DataFrame]] = []
     root_customers: list[int] = []
     for sweep in range(burn_in + samples):
-        x, ranked_x = drawn(rooms, "h", concentration / discount, 1)
-        g, ranked_g = drawn(dishes, "w", -root_discount, 2)
         others = gammas(np.array([idle_shape]), np.array([seed], np.uint64), seed, sweep, 5)
-        mass = (g.agg(F.sum("x")).first()[0] or 0.0) + float(others[0])
-        shared = docs.sparkSession.sparkContext.broadcast((ranked_x, ranked_g))
-        joined = rare.join(x, "h").join(g.withColumnRenamed("x", "g"), "w").select("h", "w", "n", "total", "x", "g")
-        done = [x, g, *last]
+        mass = (dishes.agg(F.sum("x")).first()[0] or 0.0) + float(others[0])
+        shared = docs.sparkSession.sparkContext.broadcast((of_ranked(rooms, "h"), of_ranked(dishes, "w")))
+        joined = rare.join(rooms.select("h", "x"), "h").join(dishes.select("w", F.col("x").alias("g")), "w").select("h", "w", "n", "total", "x", "g")
+        done = [*last, *([rooms, dishes] if sweep <= burn_in else [])]
         ranked = saved(ranked.select("shard", "pair", "n", "total").mapInArrow(seat_ranked, "shard int, pair binary, n binary, t binary, total binary"))
         rare = saved(joined.mapInArrow(seat_joined, "h long, w long, n long, t long, total long"))
-        rooms, dishes = (
-            saved(
-                base.where(~idle)
-                .select(key, F.col("single").alias("t"))
-                .union(seats_of(ranked, side, size))
-                .union(rare.select(key, "t"))
-                .groupBy(key)
-                .agg(F.sum("t").alias("t"))
-            )
+        shared.destroy()
+        summed_up = [
+            base.where(~idle)
+            .select(key, F.col("single").alias("t"))
+            .union(seats_of(ranked, side, size))
+            .union(rare.select(key, "t"))
+            .groupBy(key)
+            .agg(F.sum("t").alias("t"))
             for side, (base, key) in enumerate(((restaurants, "h"), (roots, "w")))
-        )
+        ]
+        # The next sweep's draws are made as the tables are added up.
+        rooms, dishes = (drawn(t, k, sweep + 1) if sweep + 1 < burn_in + samples else saved(t) for t, k in zip(summed_up, "hw"))
+        del summed_up
         last = [ranked, rare]
         if sweep >= burn_in:
             samples_of.append((rooms, dishes))
             root_customers.append(at_root.idle_customers + (dishes.agg(F.sum("t")).first()[0] or 0))
-        else:
-            last += [rooms, dishes]
         forget(*done)
     final = []
     for base, key, keep, side in ((restaurants, "h", "customers", 0), (roots, "w", "count", 1)):
@@ -448,7 +511,8 @@ def train(
             each = each.union(one) if each else one
         each = each.groupBy(key).agg(F.array(*[F.sum(F.when(F.col("i") == i, F.col("t"))) for i in range(samples)]).alias("sampled"))
         alone = F.array(*[F.col("single")] * samples)
-        final.append(saved(base.join(each, key, "left").select(key, keep, F.coalesce("sampled", alone).alias("sampled"))))
+        final.append(saved(base.where(~idle).join(each, key).select(key, keep, "sampled").union(base.where(idle).select(key, keep, alone))))
+    law_of.destroy()
     forget(restaurants, roots, *[t for pair in samples_of for t in pair])
     none = F.lit(None).cast("binary")
     alike = packed.select("shard", F.col("single").alias("pair"), none.alias("n"), none.alias("tables"))
@@ -513,15 +577,16 @@ def score(docs: DataFrame, model: PitmanYor, keep: dict[str, Column] | None = No
     rows give none.
 
     The probabilities of at most `dense_pairs` of the commonest pairs of ranked tokens are
-    broadcast. Other pairs of ranked tokens are folded by tasks into a block of bytes for
-    each shard of cells: the distinct pairs, how many places each has and the places'
-    texts. Each shard meets its cells, and what it adds to texts goes back to where the
-    block came from. Tokens that are rare or follow a rare one are joined to their cells by
-    (history, token), to their restaurant and to their root; what they add to their text
-    is summed up. Each text is tokenised once. The rows of rare tokens can be worked off in
-    `passes` turns, a power of two, each for the pairs whose keys' lowest bits differ
-    alike, so that less is shuffled at once; for the same reason the kinds of pairs are
-    joined in turn, and what a turn has read and shuffled is deleted.
+    broadcast. Other pairs are folded by tasks into a block of bytes for each shard, by the
+    pair or, where one side is a rare token, by that token: the distinct pairs, how many
+    places each has and the places' texts. Each shard meets its cells, and its rare tokens'
+    restaurants or roots; what it adds to texts goes back to where the block came from.
+    Rare tokens that follow a rare one are joined to their cells by (history, token), to
+    their restaurant and to their root; what they add to their text is summed up. Each text
+    is tokenised once. Pairs of two ranked tokens or of two rare ones are worked off in
+    `passes` turns, a power of two, by their shard or by the lowest bits in which their keys
+    differ, so that less is shuffled at once; for the same reason the kinds of pairs are
+    taken in turn, and what a turn has read and shuffled is deleted.
     """
     spark = docs.sparkSession
     restaurants, roots, p = predictive(model)
@@ -543,48 +608,49 @@ def score(docs: DataFrame, model: PitmanYor, keep: dict[str, Column] | None = No
     by = np.argsort(pair)
     dense = pair[by], np.log10(chances.of(pair[by], n[by], tables[by]))
     shared = spark.sparkContext.broadcast((model.ranks.hashes, model.ranks.rank, *dense, np.log10((root[0] + 1) / unit)))
-    fields = spark.sparkContext.broadcast((chances.in_all, chances.rooms, chances.roots, chances.share))
-    del top, pair, n, tables, by, dense, room, root, chances
+    del top, pair, n, tables, by, dense, room, root
     release()
     keep = keep or {c: F.col(c) for c in docs.columns}
     own = {c: f"_keep{i}" for i, c in enumerate(keep)}
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "text", *[c.alias(own[x]) for x, c in keep.items()])
     kinds = "".join(f", {x} {rows.schema[x].dataType.simpleString()}" for x in own.values())
-    schema = f"row long, h long, w long, n_tokens long, n_known long, base_score double, score double{kinds}, shard int, pair binary, times binary, at binary, kind int"
-    names = [*["row", "h", "w", "n_tokens", "n_known", "base_score", "score"], *own.values(), *["shard", "pair", "times", "at", "kind"]]
+    schema = f"row long, h long, w long, n_tokens long, n_known long, base_score double, score double{kinds}, shard int, pair binary, other binary, times binary, at binary, kind int"
+    names = [*["row", "h", "w", "n_tokens", "n_known", "base_score", "score"], *own.values(), *["shard", "pair", "other", "times", "at", "kind"]]
     texts_kind, seen, shards, samples = -1, F.col("count").isNotNull(), model.shards, model.samples
 
     def look_up(batches):
         hashes, rank, pair, chance, base = shared.value
         ranks = Ranks(hashes, rank)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        # By kind: ranked pairs, or rare tokens and the ranked one beside each; and their rows.
+        held: list[list[tuple[np.ndarray, ...]]] = [[], [], []]
         places = 0
 
         def batch_of(kind, columns, kept):
-            length = len(kind)
-            types = {"row": pa.int64(), "h": pa.int64(), "w": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "shard": pa.int32(), "pair": pa.binary(), "times": pa.binary(), "at": pa.binary()} | kept
-            columns = columns | {"kind": pa.array(kind.astype(np.int32))}
+            length = len(columns["row"])
+            types = {"row": pa.int64(), "h": pa.int64(), "w": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "shard": pa.int32(), "pair": pa.binary(), "other": pa.binary(), "times": pa.binary(), "at": pa.binary()} | kept
+            columns = columns | {"kind": pa.array(np.broadcast_to(kind, length).astype(np.int32))}
             return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(length, types[c]) for c in names], names=names)
 
-        def flush():
-            ask, row = (np.concatenate([x[i] for x in held]) for i in range(2))
-            by = np.argsort(ask)
-            ask, at = ask[by], row[by] - row.min()
-            first = np.flatnonzero(np.r_[True, ask[1:] != ask[:-1]])
-            times = np.diff(np.r_[first, len(ask)])
-            order, edges = dealt(ask[first], shards)
+        def flush(kind):
+            *keys, row = (np.concatenate(x) for x in zip(*held[kind]))
+            by = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
+            keys, at = [x[by] for x in keys], row[by] - row.min()
+            first = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in keys], axis=0)])
+            times = np.diff(np.r_[first, len(at)])
+            order, edges = dealt(keys[0][first], shards)
             # The places of a pair move with it.
             begin = np.r_[0, np.cumsum(times[order])]
             at = at[np.repeat(first[order] - begin[:-1], times[order]) + np.arange(len(at))]
-            full = pa.array(np.flatnonzero(np.diff(edges)))
+            full = np.flatnonzero(np.diff(edges))
             columns = {
                 "row": pa.array(np.full(shards, row.min())),
                 "shard": pa.array(np.arange(shards, dtype=np.int32)),
-                "pair": cut(ask[first][order], edges),
+                "pair": cut(keys[0][first][order], edges),
                 "times": cut(times[order].astype(np.uint32), edges),
                 "at": cut(at.astype(np.uint32), begin[edges]),
             }
-            return batch_of(np.zeros(len(full)), {k: x.take(full) for k, x in columns.items()}, kept)
+            columns |= {"other": cut(x[first][order].astype(np.uint32), edges) for x in keys[1:]}
+            return batch_of(kind if kind else 4 * (full % passes), {k: x.take(pa.array(full)) for k, x in columns.items()}, kept)
 
         for batch in batches:
             kept = {x: batch.schema.field(x).type for x in own.values()}
@@ -610,60 +676,103 @@ def score(docs: DataFrame, model: PitmanYor, keep: dict[str, Column] | None = No
                     "base_score": np.bincount(t.text, of[t.token], texts).astype(float),
                     "score": np.bincount(text[hit], chance[dense[hit]], texts).astype(float),
                 }
-                yield batch_of(np.full(texts, texts_kind), {"row": row} | {k: pa.array(x) for k, x in sums.items()} | {c: part.column(c) for c in own.values()}, kept)
+                yield batch_of(texts_kind, {"row": row} | {k: pa.array(x) for k, x in sums.items()} | {c: part.column(c) for c in own.values()}, kept)
                 # 0 of ranked tokens, 1 of a rare token, 2 of a rare history, 3 of both.
-                held.append((asked[~hit], row.to_numpy()[text[~hit]]))
-                places += len(hit) - hit.sum()
+                held[0].append((asked[~hit], row.to_numpy()[text[~hit]]))
                 rest = np.flatnonzero(~both)
-                rest = rest[np.lexsort((w[rest], h[rest]))]
-                kind = (w[rest] < 0) + 2 * (h[rest] < 0)
-                yield batch_of(kind, {"row": row.take(pa.array(t.text[rest])), "h": pa.array(h[rest]), "w": pa.array(w[rest])}, kept)
-                del t, keys, h, w, common, both, asked, text, by, first, dense, hit, of, sums, rest, kind
+                kind, of_text = (w[rest] < 0) + 2 * (h[rest] < 0), row.to_numpy()[t.text[rest]]
+                for k, (rare, other) in ((1, (w, h)), (2, (h, w))):
+                    mine = kind == k
+                    held[k].append((rare[rest[mine]], other[rest[mine]], of_text[mine]))
+                places += len(hit) - hit.sum() + (kind < 3).sum()
+                rest, of_text = rest[kind == 3], of_text[kind == 3]
+                yield batch_of(3, {"row": pa.array(of_text), "h": pa.array(h[rest]), "w": pa.array(w[rest])}, kept)
+                del t, keys, h, w, common, both, asked, text, by, first, dense, hit, of, sums, rest, kind, of_text, mine
                 if places >= PLACES:
-                    out = flush()
-                    held, places = [], 0
-                    yield out
-        if places:
-            yield flush()
-
-    def answer(asked, cells):
-        in_all, rooms, roots, share = fields.value
-        known, n, tables = cell_arrays(cells, samples)
-        by = np.argsort(known)
-        known, n, tables = known[by], np.r_[n[by], 0], np.r_[tables[by], 0]
-        pair, times, at = opened(asked.column("pair")), opened(asked.column("times"), np.uint32), opened(asked.column("at"), np.uint32)
-        place = place_of(known, pair)
-        chance = np.log10(Chances(in_all, rooms, roots, share).of(pair, n[place], tables[place]))
-        block = np.repeat(np.arange(asked.num_rows), np.diff(edges_of(asked.column("at"), np.uint32)))
-        text, of = np.unique(block << 32 | at, return_inverse=True)
-        edges = np.searchsorted(text >> 32, np.arange(asked.num_rows + 1))
-        added = np.bincount(of, np.repeat(chance, times), len(text)).astype(float)
-        return pa.table([asked.column("row"), cut((text & 0xFFFFFFFF).astype(np.uint32), edges), cut(added, edges)], names=["row", "at", "score"])
+                    for k in range(3):
+                        if any(len(x[0]) for x in held[k]):
+                            yield flush(k)
+                        held[k] = []
+                    places = 0
+        for k in range(3):
+            if any(len(x[0]) for x in held[k]):
+                yield flush(k)
+
+    def answers(kind, lacking):
+        def answer(asked, cells):
+            of_rooms, rooms, roots, share = fields.value
+            pair, times, at = opened(asked.column("pair")), opened(asked.column("times"), np.uint32), opened(asked.column("at"), np.uint32)
+            seen = count = None
+            if kind:
+                own = pc.is_null(cells.column("n"))
+                mine, cells = cells.filter(own), cells.filter(pc.invert(own))
+                token, values = opened(mine.column("rare")), [opened(mine.column(f"v{i}"), np.float64) for i in range(samples + 1)]
+                by = np.argsort(token)
+                token, values = token[by], [np.r_[x[by], y] for x, y in zip(values, lacking)]
+                # A rare token's number is its place among the shard's.
+                pairs_of = lambda rare, other: (other << 32 | rare) if kind == 1 else (rare << 32 | other)
+                rare = place_of(token, pair)
+                pair = pairs_of(rare, opened(asked.column("other"), np.uint32).astype(np.int64))
+                known, n, tables = pairs_of(place_of(token, opened(cells.column("rare"))), opened(cells.column("other"))), opened(cells.column("n")), opened(cells.column("tables"))
+                if kind == 1:
+                    seen, count, roots = rare < len(token), values[0][rare], values[1:]
+                else:
+                    of_rooms, rooms = values[0], values[1:]
+            else:
+                known, n, tables = cell_arrays(cells, samples)
+            by = np.argsort(known)
+            known, n, tables = known[by], np.r_[n[by], 0], np.r_[tables[by], 0]
+            place = place_of(known, pair)
+            chance = np.log10(Chances(of_rooms, rooms, roots, share).of(pair, n[place], tables[place]))
+            block = np.repeat(np.arange(asked.num_rows), np.diff(edges_of(asked.column("at"), np.uint32)))
+            text, of = np.unique(block << 32 | at, return_inverse=True)
+            edges = np.searchsorted(text >> 32, np.arange(asked.num_rows + 1))
+            base = None if count is None else np.log10((count + 1) / unit)
+            sums = [pa.nulls(asked.num_rows, pa.binary()) if x is None else cut(np.bincount(of, np.repeat(x, times), len(text)).astype(float), edges) for x in (seen, base, chance)]
+            return pa.table([asked.column("row"), cut((text & 0xFFFFFFFF).astype(np.uint32), edges), *sums], names=["row", "at", "n_known", "base_score", "score"])
+
+        return answer
 
     def gathered(key, table):
-        at = opened(table.column("at"), np.uint32)
-        found, of = np.unique(at, return_inverse=True)
-        sums = np.bincount(of, opened(table.column("score"), np.float64), len(found)).astype(float)
-        zeros = np.zeros(len(found))
-        return pa.table([pa.array(key[0].as_py() + found.astype(np.int64)), pa.array(zeros.astype(np.int64)), pa.array(zeros), pa.array(sums)], names=["row", "n_known", "base_score", "score"])
+        found, of = np.unique(opened(table.column("at"), np.uint32), return_inverse=True)
+        added = [opened(table.column(c), np.float64) for c in ("n_known", "base_score", "score")]
+        known, base, mine = (np.bincount(of, x, len(found)).astype(float) if len(x) else np.zeros(len(found)) for x in added)
+        return pa.table([pa.array(key[0].as_py() + found.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(mine)], names=["row", "n_known", "base_score", "score"])
 
     parts = saved(rows.mapInArrow(look_up, schema), partition_by="kind")
-    asked = parts.where("kind = 0").select("row", "shard", "pair", "times", "at")
-    answers = asked.groupBy("shard").cogroup(model.packed.groupBy("shard")).applyInArrow(answer, "row long, at binary, score binary")
-    added = [saved(answers.groupBy("row").applyInArrow(gathered, "row long, n_known long, base_score double, score double"))]
-    forget_part(parts, "kind=0")
-    ranked = [F.broadcast(x.where(f"{k} >= 0")) for x, k in ((restaurants, "h"), (roots, "w"))]
-    for kind in range(1, 4):
-        for turn in range(passes):
-            some = parts.where((F.col("kind") == kind) & F.expr(f"(h ^ w) & {passes - 1} = {turn}")).select("row", "h", "w")
-            mine = model.rare.where(f"h {'<' if kind & 2 else '>='} 0 AND w {'<' if kind & 1 else '>='} 0 AND (h ^ w) & {passes - 1} = {turn}")
-            some = some.join(mine, ["h", "w"], "left")
-            some = some.join(restaurants.where("h < 0") if kind & 2 else ranked[0], "h", "left")
-            some = some.join(roots.where("w < 0") if kind & 1 else ranked[1], "w", "left")
-            base_of = F.log10((F.coalesce("count", F.lit(0)) + 1) / unit) if kind & 1 else F.lit(0.0)
-            some = some.select("row", (seen & F.lit(bool(kind & 1))).cast("long").alias("n_known"), base_of.alias("base_score"), F.log10(p).alias("score"))
-            added.append(saved(some.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])))
+    shared.destroy()
+    fields = spark.sparkContext.broadcast((chances.in_all, chances.rooms, chances.roots, chances.share))
+    tidy(spark)
+
+    def met(kind: int, asked: DataFrame, cells: DataFrame, lacking: list[float]) -> DataFrame:
+        asked = asked.select("row", "shard", "pair", "other", "times", "at").groupBy("shard")
+        out = asked.cogroup(cells.groupBy("shard")).applyInArrow(answers(kind, lacking), "row long, at binary, n_known binary, base_score binary, score binary")
+        return saved(out.groupBy("row").applyInArrow(gathered, "row long, n_known long, base_score double, score double"))
+
+    added = []
+    for turn in range(passes):
+        added.append(met(0, parts.where(F.col("kind") == 4 * turn), model.packed.where(F.col("shard") % passes == turn), []))
+        forget_part(parts, f"kind={4 * turn}")
+    # What a token that training lacked has: of the root what is left for new tokens, of a restaurant all.
+    new = [(model.concentration + model.root_discount * model.types) / (model.concentration + c) for c in model.root_customers]
+    for kind, table, rare, other, values, lacking in (
+        (1, roots, "w", "h", ["count", *[f"b{i}" for i in many]], [0.0, *new]),
+        (2, restaurants, "h", "w", ["in_all", *[f"a{i}" for i in many]], [1.0] * (samples + 1)),
+    ):
+        mine = table.where(f"{rare} < 0").select(F.col(rare).alias("rare"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(values)])
+        cells = model.rare.where(f"{rare} < 0 AND {other} >= 0").select(F.col(rare).alias("rare"), F.col(other).alias("other"), "n", "tables")
+        facts = blocks_of(mine, "rare", shards).unionByName(blocks_of(cells, "rare", shards), allowMissingColumns=True)
+        added.append(met(kind, parts.where(F.col("kind") == kind), facts, lacking))
         forget_part(parts, f"kind={kind}")
+    fields.destroy()
+    for turn in range(passes):
+        some = parts.where((F.col("kind") == 3) & F.expr(f"(h ^ w) & {passes - 1} = {turn}")).select("row", "h", "w")
+        some = some.join(model.rare.where(f"h < 0 AND w < 0 AND (h ^ w) & {passes - 1} = {turn}"), ["h", "w"], "left")
+        some = some.join(restaurants.where("h < 0"), "h", "left").join(roots.where("w < 0"), "w", "left")
+        base_of = F.log10((F.coalesce("count", F.lit(0)) + 1) / unit)
+        some = some.select("row", seen.cast("long").alias("n_known"), base_of.alias("base_score"), F.log10(p).alias("score"))
+        added.append(saved(some.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])))
+    forget_part(parts, "kind=3")
     sums = reduce(DataFrame.union, added).groupBy("row").agg(*[F.sum(c).alias(f"_{c}") for c in ("n_known", "base_score", "score")])
     plus = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
     texts = parts.where(F.col("kind") == texts_kind).select("row", *own.values(), "n_tokens", "n_known", "base_score", "score")
